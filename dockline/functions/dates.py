@@ -81,7 +81,7 @@ def parse_date(c: Column) -> Column:
 
 def days_between(ts: Column, as_of: dt.date) -> Column:
     """Whole days from ``as_of`` to the calendar date of ``ts`` (null-safe)."""
-    return F.datediff(F.to_date(ts), F.lit(as_of))
+    return F.datediff(F.to_date(ts), F.lit(as_of)).cast("long")
 
 
 def as_of_midnight(as_of: dt.date) -> Column:

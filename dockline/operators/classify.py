@@ -99,4 +99,4 @@ def ordered_sites(orders: DataFrame, rules: Ruleset) -> DataFrame:
     rank_expr = lookup(folded, rank, len(rank))
     from pyspark.sql import Window  # window over the distinct sites only (tiny)
     w = Window.orderBy(rank_expr, folded, F.col("site"))
-    return sites.select("site", F.row_number().over(w).alias("site_seq"))
+    return sites.select("site", F.row_number().over(w).cast("long").alias("site_seq"))

@@ -104,7 +104,13 @@ typed AS (
     __DATE_planned__ AS planned_dlv_date,
     __DATE_route__ AS route_depart_date,
     __DATE_dock__ AS customer_dock_appointment_date,
-    __DATE_wtc__ AS warehouse_task_creat
+    __DATE_wtc__ AS warehouse_task_creat,
+    '' AS cust_reference, '' AS sto_po_number, '' AS carrier, '' AS shipment_type,
+    '' AS shpg_cond_desc, '' AS ship_to_city, '' AS ship_to_province, CAST(0 AS DOUBLE) AS pallet_quantity,
+    CAST(0 AS DOUBLE) AS num_lifts_pallets, '' AS packing_status, '' AS picking, '' AS picking_plan,
+    '' AS cod_paid_flag, CAST(NULL AS VARCHAR) AS customer_dock_appointment_time,
+    '' AS customer_dock_reference, CAST(0 AS DOUBLE) AS gross_weight, '' AS sales_order, '' AS outb_del_ord,
+    '' AS shipping_cond, '' AS consignee, '' AS purchase_order
   FROM dt
 ),
 best AS (
@@ -263,6 +269,96 @@ def _money_if(cond: str) -> str:
     return _money(f"CASE WHEN {cond} THEN sales_order_total END")
 
 
+C35 = """ys, facility_code, warehouse_task_creat, picking_in_pct, route_depart_date,
+  planned_dlv_date, le_delivery, cust_reference, sto_po_number, carrier, carrier_description,
+  shipment_type, shpg_cond_desc, ship_to_name, ship_to_city, ship_to_province, cases, line_items,
+  goods_issue, pallet_quantity, num_lifts_pallets, packing_status, picking, picking_plan,
+  cod_paid_flag, customer_dock_appointment_date, customer_dock_appointment_time,
+  customer_dock_reference, gross_weight, sales_order, outb_del_ord, shipping_cond,
+  sales_order_total, consignee, purchase_order"""
+
+ESCALATED = "risk_status IN ('Critical', 'At Risk')"
+LATE_WH = ("facility_code = 'Warehouse' AND coalesce(planned_dlv_date < TIMESTAMP '__AS_OF__', false) "
+           "AND picking_in_pct < 100")
+LATE_DSD = ("upper(facility_code) IN ('DSD', 'INDEPENDENT', 'INDEPENDANT') "
+            "AND coalesce(planned_dlv_date < TIMESTAMP '__AS_OF__', false) "
+            "AND upper(goods_issue) <> 'COMPLETED'")
+AMZ_NOTE = ("CASE WHEN customer_dock_appointment_date IS NOT NULL THEN 'Cancellation deadline ' "
+            "|| strftime(customer_dock_appointment_date, '%m/%d') ELSE '' END")
+LATE_COLS = ("picking_in_pct, planned_dlv_date, le_delivery, ship_to_name, ship_to_city, "
+             "ship_to_province, cases, line_items, sales_order_total")
+
+
+def _fmt(x: str) -> str:
+    return f"coalesce(strftime({x}, '%b %d, %Y'), 'N/A')"
+
+
+def tracker_sql(where: str, first_status: bool = False) -> str:
+    """Issue tracker over ``enriched`` rows matching ``where``."""
+    other = ("first(risk_status ORDER BY ok, ln, k3, k4, k5)" if first_status else "NULL")
+    cnt = "CAST(order_count AS VARCHAR) || ' ' || customer"
+    return f"""
+, w AS (SELECT * FROM enriched WHERE {where}),
+g AS (
+  SELECT site, customer_group, issue_type,
+    min(customer_display) AS customer, min(customer_consequence) AS cons,
+    min(customer_report) AS rep, count(*) AS order_count,
+    count(*) FILTER (WHERE is_not_started) AS n_ns, count(*) FILTER (WHERE is_late) AS n_late,
+    count(*) FILTER (WHERE is_picking_in_progress) AS n_ip,
+    count(*) FILTER (WHERE picking_in_pct < 100) AS n_unpicked,
+    min(planned_dlv_date) AS ep, min(customer_dock_appointment_date) AS nd,
+    coalesce(min(picking_in_pct), 0.0) AS lp, min(due_date) AS due,
+    bool_or(risk_status = 'Critical') AS has_crit, bool_or(risk_status = 'At Risk') AS has_risk,
+    {other} AS first_status,
+    {_money('sales_order_total')} AS total_price,
+    CASE WHEN count(*) <= 5 THEN string_agg(le_delivery, ', ' ORDER BY le_delivery) END AS ids
+  FROM w GROUP BY site, customer_group, issue_type
+)
+SELECT site, customer, issue_type,
+  CASE issue_type
+    WHEN 'Cancellation Deadline Passed' THEN {cnt} || ' order(s) are past the customer cancellation deadline (earliest ' || {_fmt('nd')} || ').'
+    WHEN 'Late Delivery' THEN {cnt} || ' order(s) are past the planned delivery date (earliest ' || {_fmt('ep')} || ') with Goods Issue still open.'
+    WHEN 'Route Departure Missed' THEN {cnt} || ' order(s) missed the route departure window and are not fully picked (lowest ' || printf('%.0f', lp) || '% picked).'
+    WHEN 'Cancellation Deadline Approaching' THEN {cnt} || ' order(s) face a cancellation deadline on or before ' || {_fmt('nd')} || ' and ' || CAST(n_unpicked AS VARCHAR) || ' are not fully picked.'
+    WHEN 'Not Started' THEN {cnt} || ' order(s) are still at 0% picked. Earliest planned delivery ' || {_fmt('ep')} || '.'
+    WHEN 'Picking Behind Schedule' THEN {cnt} || ' order(s) are only partially picked (lowest ' || printf('%.0f', lp) || '%) with a deadline approaching. Earliest planned delivery ' || {_fmt('ep')} || '.'
+    WHEN 'Awaiting Goods Issue' THEN {cnt} || ' order(s) are fully picked and awaiting Goods Issue. Earliest planned delivery ' || {_fmt('ep')} || '.'
+    ELSE {cnt} || ' order(s) require attention: ' || CAST(n_ns AS VARCHAR) || ' not started, ' || CAST(n_late AS VARCHAR) || ' late, ' || CAST(n_ip AS VARCHAR) || ' in progress. Earliest planned delivery: ' || {_fmt('ep')} || '.'
+  END || coalesce(' Affected LE Deliveries: ' || ids || '.', '') AS issue,
+  CASE WHEN cons <> '' THEN cons ELSE 'Delivery delay, customer out-of-stock risk and lost sales.' END AS consequence,
+  'Unassigned' AS owner,
+  due AS due_date,
+  CASE WHEN has_crit THEN 'Critical' WHEN has_risk THEN 'At Risk' ELSE first_status END AS status,
+  total_price, order_count,
+  'As of {NOW_STAMP}: ' || CAST(n_late AS VARCHAR) || ' orders are late, ' || CAST(n_ns AS VARCHAR)
+    || ' are not started and the current value at risk is $' || format('{{:,.0f}}', total_price)
+    || '. The nearest due date is ' || {_fmt('due')} || '.' AS latest_update,
+  rep AS detail_report
+FROM g
+"""
+
+
+def long_sql() -> str:
+    """Every (order, report) pair with the report's workbook position."""
+    parts = [
+        ("SAPUI5 Export", 0, "CAST(NULL AS VARCHAR)", "true"),
+        ("DSD Priorities", 1, "CAST(NULL AS VARCHAR)", "dsd_priority IS NOT NULL"),
+        ("AMZ", 2, AMZ_NOTE, "customer_group IN ('amazon')"),
+        ("Andrew Tab", 3, "CAST(NULL AS VARCHAR)", LATE_WH),
+        ("Andrew Tab 2", 4, "CAST(NULL AS VARCHAR)", LATE_DSD),
+        ("PFG WHSE", 5, "CAST(NULL AS VARCHAR)",
+         "customer_group IN ('save_on', 'associated_grocers') AND upper(facility_code) IN ('WAREHOUSE')"),
+        ("Calgary CO-OP", 6, "''", "customer_group IN ('calgary_coop')"),
+        ("Sysco", 7, "CAST(NULL AS VARCHAR)", "customer_group IN ('sysco')"),
+        ("GFS", 8, "CAST(NULL AS VARCHAR)", "customer_group IN ('gfs', 'aw_via_gfs')"),
+        ("Pratts", 9, "CAST(NULL AS VARCHAR)", "customer_group IN ('pratts')"),
+    ]
+    sel = [f"SELECT '{n}' AS report, {seq} AS report_seq, {note} AS comments, "
+           f"dsd_priority AS priority, site, {C35} FROM enriched WHERE {cond}"
+           for n, seq, note, cond in parts]
+    return "\nUNION ALL\n".join(sel)
+
+
 SUMMARY = f"""
 SELECT CASE WHEN grouping(site) = 1 THEN 'All Plants' ELSE site END AS site,
        count(*) AS total_orders, {_money('sales_order_total')} AS total_price,
@@ -277,8 +373,128 @@ FROM enriched GROUP BY GROUPING SETS ((site), ())
 """
 
 
+def _q(body: str) -> str:
+    return base() + body.replace("__AS_OF__", AS_OF)
+
+
 def oracle_queries() -> dict[str, str]:
-    b = base()
+    m = _money("sales_order_total")
+    errors = (f"SELECT 'Missing LE Delivery — excluded from order calculations' AS validation_issue, {C35} FROM typed WHERE le_delivery = ''\n"
+              f"UNION ALL SELECT 'Blank Ship-to Name — classified as Other', {C35} FROM typed WHERE le_delivery <> '' AND ship_to_name = ''\n"
+              f"UNION ALL SELECT 'Sales Order Total was not numeric — treated as $0', {C35} FROM typed WHERE le_delivery <> '' AND bad_total")
+    tracker_groups = (f"SELECT site, count(*) AS n, sum(CAST(sales_order_total AS DECIMAL(38,4))) AS t FROM "
+                      f"(SELECT DISTINCT site, customer_group, issue_type, NULL AS x FROM enriched WHERE {ESCALATED}) "
+                      f"JOIN (SELECT site, customer_group, issue_type FROM enriched) USING (site, customer_group, issue_type) GROUP BY site")
+    catalog = f"""
+, tg AS (SELECT site, customer_group, issue_type, sum(CAST(sales_order_total AS DECIMAL(38,4))) AS t
+         FROM enriched WHERE {ESCALATED} GROUP BY ALL),
+L AS ({long_sql()}),
+parts AS (
+  SELECT site, 'Issue Tracker' AS report, 0 AS part_seq, count(*) AS rows, CAST(coalesce(sum(t), 0) AS DOUBLE) AS total FROM tg GROUP BY site
+  UNION ALL SELECT site, 'Not Started', 1, count(*), {m} FROM enriched WHERE is_not_started GROUP BY site
+  UNION ALL SELECT site, 'Orders', 2, count(*), {m} FROM enriched GROUP BY site
+  UNION ALL SELECT site, report, report_seq + 3, count(*), {m} FROM L WHERE report <> 'SAPUI5 Export' GROUP BY site, report, report_seq
+),
+rows_all AS (
+  SELECT 'All Plants Summary' AS sheet, CAST(NULL AS VARCHAR) AS site, 'All Plants Summary' AS report,
+         (SELECT count(DISTINCT site) + 1 FROM enriched) AS rows, CAST(NULL AS DOUBLE) AS total,
+         0 AS block, 0 AS r, '' AS lsite, 0 AS part_seq
+  UNION ALL SELECT 'All Plants Issue Tracker', NULL, 'All Plants Issue Tracker', (SELECT count(*) FROM tg), NULL, 0, 0, '', 1
+  UNION ALL SELECT 'All Plants Not Started', NULL, 'All Plants Not Started', (SELECT count(*) FROM enriched WHERE is_not_started), NULL, 0, 0, '', 2
+  UNION ALL SELECT site || CASE WHEN part_seq < 3 THEN ' ' ELSE ' - ' END || report, site, report, rows, total, 1,
+         CASE lower(site) WHEN 'mississauga' THEN 0 WHEN 'calgary' THEN 1 WHEN 'surrey' THEN 2 ELSE 3 END,
+         lower(site), part_seq FROM parts
+  UNION ALL SELECT 'SAPUI5 Export', NULL, 'SAPUI5 Export', (SELECT count(*) FROM enriched), (SELECT {m} FROM enriched), 2, 0, '', 0
+  UNION ALL SELECT 'Validation Warnings', NULL, 'Validation Warnings', n, NULL, 3, 0, '', 0
+    FROM (SELECT ((SELECT count(*) FROM typed WHERE le_delivery = '')
+                 + (SELECT count(*) FROM typed WHERE le_delivery <> '' AND ship_to_name = '')
+                 + (SELECT count(*) FROM typed WHERE le_delivery <> '' AND bad_total)) AS n) WHERE n > 0
+)
+SELECT CAST(row_number() OVER (ORDER BY block, r, lsite, site, part_seq) AS BIGINT) AS seq,
+       sheet, site, report, rows, total,
+       CASE WHEN report = 'AMZ' THEN 'HIGHLIGHTED ORDERS ARE CURRENTLY LATE AND MAY BE SUBJECT TO THE CONFIGURED ON-TIME DELIVERY CHARGEBACK' END AS note
+FROM rows_all
+"""
     return {
-        "all_plants_summary": b + SUMMARY,
+        "typed_export": _q(f"SELECT {C35}, bad_total, ok AS k1, ln AS k2, k3, k4, k5 FROM typed"),
+        "clean_orders": _q(f"SELECT {C35} FROM best"),
+        "validation_errors": _q(errors),
+        "run_summary": _q("""
+SELECT 'row_count' AS metric, count(*) AS value FROM enriched
+UNION ALL SELECT 'sites', count(DISTINCT site) FROM enriched
+UNION ALL SELECT 'only_unknown_site', CAST(count(*) > 0 AND count(*) FILTER (WHERE site <> 'Unknown') = 0 AS BIGINT) FROM enriched
+UNION ALL SELECT 'duplicates_removed', count(*) - count(DISTINCT le_delivery) FROM typed WHERE le_delivery <> ''
+UNION ALL SELECT 'validation_records', (SELECT count(*) FROM typed WHERE le_delivery = '')
+  + (SELECT count(*) FROM typed WHERE le_delivery <> '' AND ship_to_name = '')
+  + (SELECT count(*) FROM typed WHERE le_delivery <> '' AND bad_total)"""),
+        "enriched_orders": _q("""
+SELECT le_delivery, site, customer_group, customer_display, customer_priority, picking_in_pct,
+  sales_order_total, planned_dlv_date, route_depart_date, customer_dock_appointment_date, is_open,
+  is_not_started, is_late, is_route_departure_missed, days_to_planned_delivery,
+  days_to_route_departure, days_to_customer_deadline, earliest_due_days, risk_status, issue_type,
+  priority, CASE priority WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2
+  WHEN 'Low' THEN 3 ELSE 9 END AS priority_rank, due_date, customer_report
+FROM enriched"""),
+        "ordered_sites": _q("""
+SELECT site, CAST(row_number() OVER (ORDER BY CASE lower(site) WHEN 'mississauga' THEN 0
+  WHEN 'calgary' THEN 1 WHEN 'surrey' THEN 2 ELSE 3 END, lower(site), site) AS BIGINT) AS site_seq
+FROM (SELECT DISTINCT site FROM enriched WHERE trim(site) <> '')"""),
+        "all_plants_summary": _q(SUMMARY),
+        "issue_tracker": _q(tracker_sql(ESCALATED)),
+        "tracker_all_open": _q(tracker_sql("is_open", first_status=True)),
+        "not_started": _q("""
+SELECT priority, site, customer_display AS customer_group, facility_code, warehouse_task_creat,
+  route_depart_date, planned_dlv_date, le_delivery, cust_reference, carrier_description,
+  ship_to_name, ship_to_city, ship_to_province, cases, line_items, picking_in_pct,
+  picking AS picking_status, goods_issue, sales_order, sales_order_total,
+  days_to_route_departure, days_to_planned_delivery
+FROM enriched WHERE is_not_started"""),
+        "full_export": _q(f"SELECT {C35} FROM enriched"),
+        "report_amz": _q(f"SELECT {AMZ_NOTE} AS comments, {C35} FROM enriched WHERE customer_group IN ('amazon')"),
+        "report_pfg_whse": _q(f"SELECT {C35} FROM enriched WHERE customer_group IN ('save_on', 'associated_grocers') AND upper(facility_code) IN ('WAREHOUSE')"),
+        "report_calgary_coop": _q(f"SELECT '' AS comments, {C35} FROM enriched WHERE customer_group IN ('calgary_coop')"),
+        "report_gfs": _q(f"SELECT {C35} FROM enriched WHERE customer_group IN ('gfs', 'aw_via_gfs')"),
+        "late_warehouse": _q(f"SELECT {LATE_COLS} FROM enriched WHERE {LATE_WH}"),
+        "late_dsd_independent": _q(f"SELECT {LATE_COLS} FROM enriched WHERE {LATE_DSD}"),
+        "dsd_priorities": _q(f"SELECT dsd_priority AS priority, {C35} FROM enriched WHERE dsd_priority IS NOT NULL"),
+        "detail_reports_long": _q(f"SELECT report, comments, priority, site, {C35} FROM ({long_sql()})"),
+        "report_totals": _q(f"""
+, L AS ({long_sql()})
+SELECT CASE WHEN grouping(site) = 1 THEN 'All Plants' ELSE site END AS scope, report, report_seq,
+       count(*) AS rows, {m} AS total
+FROM L GROUP BY GROUPING SETS ((report, report_seq, site), (report, report_seq))"""),
+        "report_catalog": _q(catalog),
+        "filter_options": _q("""
+SELECT DISTINCT facet, value FROM (
+  SELECT 'site' AS facet, trim(site) AS value FROM enriched
+  UNION ALL SELECT 'customer', trim(customer_display) FROM enriched
+  UNION ALL SELECT 'status', risk_status FROM enriched
+  UNION ALL SELECT 'priority', priority FROM enriched
+  UNION ALL SELECT 'facility', trim(facility_code) FROM enriched
+  UNION ALL SELECT 'province', trim(ship_to_province) FROM enriched)
+WHERE value IS NOT NULL AND value <> ''"""),
+        "facet_filter": _q("""
+SELECT le_delivery, site, customer_display, risk_status, priority, sales_order_total FROM enriched
+WHERE site IN ('AMERICA', 'ASIA') AND priority IN ('Critical', 'High')"""),
+        "exec_kpis": _q(f"""
+SELECT count(*) FILTER (WHERE risk_status = 'Critical') AS critical_issues,
+  count(*) FILTER (WHERE risk_status = 'At Risk') AS at_risk_issues,
+  count(*) FILTER (WHERE {ESCALATED}) AS orders_requiring_attention,
+  count(*) FILTER (WHERE is_not_started) AS not_started_orders,
+  {_money_if(ESCALATED)} AS price_at_risk, {_money_if('is_not_started')} AS price_not_started
+FROM enriched"""),
+        "risk_value_by_customer": _q(f"SELECT customer_display, {m} AS price_at_risk FROM enriched WHERE {ESCALATED} GROUP BY customer_display"),
+        "not_started_by_customer": _q("SELECT customer_display, count(DISTINCT le_delivery) AS not_started_orders FROM enriched WHERE is_not_started GROUP BY customer_display"),
+        "status_distribution": _q(f"SELECT risk_status AS status, count(*) AS orders FROM enriched WHERE {ESCALATED} GROUP BY risk_status"),
+        "risk_value_by_planned_day": _q(f"SELECT CAST(planned_dlv_date AS DATE) AS planned_day, {m} AS price_at_risk FROM enriched WHERE {ESCALATED} AND planned_dlv_date IS NOT NULL GROUP BY 1"),
+        "tracker_drilldown": _q(f"""
+SELECT site, customer_display AS customer, issue_type, le_delivery, ship_to_name, facility_code,
+  picking_in_pct, risk_status, priority, planned_dlv_date, route_depart_date, sales_order_total
+FROM enriched WHERE {ESCALATED}"""),
+        "not_started_kpis": _q(f"""
+SELECT count(*) AS not_started_orders, {m} AS price_not_started,
+  count(*) FILTER (WHERE days_to_planned_delivery < 0) AS overdue_not_started,
+  count(*) FILTER (WHERE days_to_planned_delivery BETWEEN 0 AND 2) AS due_within_2_days
+FROM enriched WHERE is_not_started"""),
+        "filtered_tracker": _q(tracker_sql(f"{ESCALATED} AND site IN ('EUROPE') AND customer_display IN ('Amazon', 'Walmart')")),
     }

@@ -15,6 +15,7 @@ from ..config import Ruleset, load_rules
 from ..operators.classify import classify
 from ..operators.clean import dedup_orders, typed_export, validation_errors
 from ..operators.enrich import enrich
+from ..session import tune_for_wide_projections
 from .materialize import cut_lineage
 
 
@@ -61,6 +62,7 @@ def process_export(raw: DataFrame, as_of: dt.date, rules: Ruleset | None = None,
                    now: dt.datetime | None = None, materialize: str = "persist",
                    require_rows: bool = True) -> ProcessResult:
     """Run the pipeline on a raw export (see ``dockline.sources``)."""
+    tune_for_wide_projections(raw.sparkSession)
     rules = rules or load_rules()
     now = now or dt.datetime.combine(as_of, dt.time(8, 0))
     typed = typed_export(raw)

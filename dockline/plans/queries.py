@@ -1,7 +1,9 @@
 """Named queries over the TPC-H-derived export (one per operator family).
 
-Each query takes ``(spark, sf_dir)``, derives the raw export from the tables in
-``sf_dir`` and runs the whole pipeline on all of it, then the operator.
+Each query takes ``(spark, sf_dir)``, derives the raw export from ALL rows of
+the tables in ``sf_dir``, runs the pipeline, then the operator.  Results are
+unordered here (the driver compares them order-insensitively); the library
+functions sort at the output edge when asked to.
 """
 from __future__ import annotations
 
@@ -9,32 +11,137 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..config import load_rules
-from ..operators.classify import classify
-from ..operators.clean import dedup_orders, typed_export
+from ..operators import facets, reports, summary, tracker
+from ..operators.classify import classify, ordered_sites
+from ..operators.clean import dedup_orders, typed_export, validation_errors
 from ..operators.enrich import enrich
-from ..operators.summary import all_plants_summary
+from ..sinks import catalog
+from ..session import tune_for_wide_projections
+from .materialize import cut_lineage
 from ..sources.fixture import FIXTURE_AS_OF, fixture_export
+from ..sources.headers import COLUMNS
 
 AS_OF = dt.date.fromisoformat(FIXTURE_AS_OF)
 NOW = dt.datetime(1998, 1, 15, 8, 0)
 RULES = load_rules()
+SPEC = {s.name: s for s in RULES.detail_reports}
+
+# Fixed facet selections used by the registered facet queries.
+F2_SELECTION = {"site": ["AMERICA", "ASIA"], "priority": ["Critical", "High"]}
+F11_SELECTION = {"site": ["EUROPE"], "customer": ["Amazon", "Walmart"]}
+
+ENRICHED_COLUMNS = [
+    "le_delivery", "site", "customer_group", "customer_display", "customer_priority",
+    "picking_in_pct", "sales_order_total", "planned_dlv_date", "route_depart_date",
+    "customer_dock_appointment_date", "is_open", "is_not_started", "is_late",
+    "is_route_departure_missed", "days_to_planned_delivery", "days_to_route_departure",
+    "days_to_customer_deadline", "earliest_due_days", "risk_status", "issue_type", "priority",
+    "priority_rank", "due_date", "customer_report"]
 
 
 def fixture_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune_for_wide_projections(spark)
     return typed_export(fixture_export(spark, sf_dir))
 
 
 def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enriched orders, materialized once like ``process_export`` does.  Reports
+    filter on derived columns (risk_status, site); against the stored table
+    those filters stay small instead of being pushed into (and inlining) the
+    whole enrichment expression."""
+    typed = fixture_typed(spark, sf_dir)
+    return cut_lineage(enrich(classify(dedup_orders(typed), RULES), AS_OF, RULES))
+
+
+def _orders(fn):
+    def q(spark, sf_dir):
+        return fn(fixture_orders(spark, sf_dir))
+    q.__name__ = fn.__name__
+    return q
+
+
+def q_typed_export(spark, sf_dir):
+    t = fixture_typed(spark, sf_dir)
+    return t.select(*COLUMNS, "bad_total", F.col("ordinal.k1").alias("k1"),
+                    F.col("ordinal.k2").alias("k2"), F.col("ordinal.k3").alias("k3"),
+                    F.col("ordinal.k4").alias("k4"), F.col("ordinal.k5").alias("k5"))
+
+
+def q_clean_orders(spark, sf_dir):
+    return dedup_orders(fixture_typed(spark, sf_dir)).select(*COLUMNS)
+
+
+def q_validation_errors(spark, sf_dir):
+    return validation_errors(fixture_typed(spark, sf_dir)).select(
+        "validation_issue", *COLUMNS)
+
+
+def q_run_summary(spark, sf_dir):
+    typed = fixture_typed(spark, sf_dir)
+    orders = cut_lineage(enrich(classify(dedup_orders(typed), RULES), AS_OF, RULES))
+    return catalog.run_summary(typed, orders, validation_errors(typed))
+
+
+def q_report_catalog(spark, sf_dir):
     typed = fixture_typed(spark, sf_dir)
-    return enrich(classify(dedup_orders(typed), RULES), AS_OF, RULES)
+    orders = cut_lineage(enrich(classify(dedup_orders(typed), RULES), AS_OF, RULES))
+    return catalog.report_catalog(
+        summary.all_plants_summary(orders, RULES, ordered=False),
+        tracker.issue_tracker(orders, RULES, NOW, ordered=False),
+        reports.not_started(orders, ordered=False).select("site", "sales_order_total"),
+        orders, reports.detail_reports_long(orders, RULES, AS_OF),
+        validation_errors(typed), RULES)
 
 
-def q_all_plants_summary(spark, sf_dir):
-    return all_plants_summary(fixture_orders(spark, sf_dir), RULES)
+def _filtered_tracker(orders):
+    return tracker.issue_tracker(facets.facet_filter(orders, **F11_SELECTION), RULES, NOW,
+                                 ordered=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "all_plants_summary": q_all_plants_summary,
+    # sources + cleaning
+    "typed_export": q_typed_export,
+    "clean_orders": q_clean_orders,
+    "validation_errors": q_validation_errors,
+    "run_summary": q_run_summary,
+    # classification + enrichment
+    "enriched_orders": _orders(lambda o: o.select(*ENRICHED_COLUMNS)),
+    "ordered_sites": _orders(lambda o: ordered_sites(o, RULES)),
+    # reports
+    "all_plants_summary": _orders(lambda o: summary.all_plants_summary(o, RULES, ordered=False)),
+    "issue_tracker": _orders(lambda o: tracker.issue_tracker(o, RULES, NOW, ordered=False)),
+    "tracker_all_open": _orders(lambda o: tracker.issue_tracker(
+        o, RULES, NOW, include_non_escalated=True, ordered=False)),
+    "not_started": _orders(lambda o: reports.not_started(o, ordered=False)),
+    "full_export": _orders(lambda o: reports.full_export(o, ordered=False)),
+    "report_amz": _orders(lambda o: reports.customer_report(o, SPEC["AMZ"], ordered=False)),
+    "report_pfg_whse": _orders(lambda o: reports.customer_report(o, SPEC["PFG WHSE"], ordered=False)),
+    "report_calgary_coop": _orders(
+        lambda o: reports.customer_report(o, SPEC["Calgary CO-OP"], ordered=False)),
+    "report_gfs": _orders(lambda o: reports.customer_report(o, SPEC["GFS"], ordered=False)),
+    "late_warehouse": _orders(lambda o: reports.late_warehouse(o, AS_OF, ordered=False)),
+    "late_dsd_independent": _orders(
+        lambda o: reports.late_dsd_independent(o, AS_OF, ordered=False)),
+    "dsd_priorities": _orders(lambda o: reports.dsd_priorities(o, RULES, ordered=False)),
+    "detail_reports_long": _orders(lambda o: reports.detail_reports_long(o, RULES, AS_OF).select(
+        "report", "comments", "priority", "site", *COLUMNS)),
+    "report_totals": _orders(lambda o: reports.report_totals(
+        reports.detail_reports_long(o, RULES, AS_OF))),
+    "report_catalog": q_report_catalog,
+    # dashboard queries
+    "filter_options": _orders(facets.filter_options),
+    "facet_filter": _orders(lambda o: facets.facet_filter(o, **F2_SELECTION).select(
+        "le_delivery", "site", "customer_display", "risk_status", "priority", "sales_order_total")),
+    "exec_kpis": _orders(facets.exec_kpis),
+    "risk_value_by_customer": _orders(lambda o: facets.risk_value_by_customer(o, ordered=False)),
+    "not_started_by_customer": _orders(lambda o: facets.not_started_by_customer(o, ordered=False)),
+    "status_distribution": _orders(lambda o: facets.status_distribution(o, ordered=False)),
+    "risk_value_by_planned_day": _orders(
+        lambda o: facets.risk_value_by_planned_day(o, ordered=False)),
+    "tracker_drilldown": _orders(tracker.tracker_drilldown_all),
+    "not_started_kpis": _orders(facets.not_started_kpis),
+    "filtered_tracker": _orders(_filtered_tracker),
 }

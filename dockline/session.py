@@ -24,10 +24,21 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
                .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    tune_for_wide_projections(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def tune_for_wide_projections(spark: SparkSession) -> None:
+    """The cleaning / enrichment plan is a few projections of many large CASE /
+    regex expressions.  Catalyst's constraint propagation re-derives constraints
+    through every alias of those expressions and its cost explodes on such plans
+    (planning took minutes).  Spark documents this knob for exactly this case;
+    nothing in these plans relies on inferred constraints (no joins on derived
+    columns), so the pipeline turns it off for its session."""
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the configured ``spark.checkpoint.dir``; set a scratch one only if unset
     (tests / local runs)."""
