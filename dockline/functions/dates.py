@@ -21,44 +21,41 @@ MAX_SERIAL_DAYS = 106752
 # 4-digit text is read as 1 January of that year inside this range.
 YEAR_MIN, YEAR_MAX = 1678, 2261
 
-# Text layouts tried in order (first match wins).  Month-first before day-first.
-TEXT_FORMATS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    "yyyy-MM-dd HH:mm",
-    "yyyy-MM-dd",
-    "yyyy/M/d H:mm:ss",
-    "yyyy/M/d",
-    "M/d/yyyy H:mm:ss",
-    "M/d/yyyy H:mm",
-    "M/d/yyyy h:mm:ss a",
-    "M/d/yyyy h:mm a",
-    "M/d/yyyy",
-    "d/M/yyyy H:mm:ss",
-    "d/M/yyyy",
-    "M-d-yyyy",
-    "d-M-yyyy",
-    "MMM d, yyyy",
-    "MMM d yyyy",
-    "MMMM d, yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "yyyyMMdd",
+# Text layouts, grouped by the shape of the text so each value is tried only
+# against layouts that can match it (a failed parse is expensive).  Within a
+# group the first matching layout wins; month-first before day-first.
+_ISO = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?$"
+SHAPES: list[tuple[str, list[str]]] = [
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})?$",
+     ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})? ?[AaPp][Mm]$",
+     ["M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ssa", "M/d/yyyy h:mma"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}( \d{1,2}:\d{2}:\d{2})?$", ["yyyy/M/d H:mm:ss", "yyyy/M/d"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
+    (r"^[A-Za-z]{3,9}\.? \d{1,2},? \d{4}$", ["MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy",
+                                               "MMMM d yyyy"]),
+    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}$", ["d MMM yyyy", "d MMMM yyyy"]),
 ]
 
 
 def serial_to_ts(n: Column) -> Column:
     """Spreadsheet day serial (fractional days allowed) -> TIMESTAMP_NTZ."""
     days = F.floor(n).cast("int")
-    secs = ((n - F.floor(n)) * F.lit(86400)).cast("decimal(18,6)")
-    epoch = F.lit(SERIAL_EPOCH).cast("timestamp_ntz")
-    return epoch + F.make_dt_interval(days, F.lit(0), F.lit(0), secs)
+    day = F.date_add(F.lit(SERIAL_EPOCH.date()), days).cast("timestamp_ntz")
+    frac = n - F.floor(n)
+    secs = (frac * F.lit(86400)).cast("decimal(18,6)")
+    return F.when(frac == 0, day).otherwise(
+        day + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs))
 
 
 def _text_ts(s: Column) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TEXT_FORMATS]).cast("timestamp_ntz")
+    # ISO text goes through the exception-free string->timestamp cast.
+    out = F.when(s.rlike(_ISO), F.regexp_replace(s, "T", " ").try_cast("timestamp_ntz"))
+    for shape, formats in SHAPES:
+        parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
+        out = out.when(s.rlike(shape), parsed.cast("timestamp_ntz"))
+    return out
 
 
 def parse_date(c: Column) -> Column:

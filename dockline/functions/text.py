@@ -9,7 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WS_ONLY = r"(?U)^\s*$"
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# Whitespace stripped from both ends of a cell: every character Python's
+# str.isspace() accepts (the strip semantics being reproduced), derived by rule.
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 # Integer text written with a trailing ".0" by a spreadsheet (80117458.0).
 _DOT_ZERO = r"^[+-]?\d*\.0+$"
 # What counts as a number: optional sign, digits with an optional fraction or a
@@ -24,14 +26,14 @@ ID_NULL_TEXT = ("", "nan", "none", "nat")
 MATCH_NULL_TEXT = ("", "NAN", "NAT", "NONE", "<NA>")
 
 
-def blank_to_null(c: Column) -> Column:
-    """B1: whitespace-only cell -> null."""
-    return F.when(c.rlike(_WS_ONLY), F.lit(None).cast("string")).otherwise(c)
+def ustrip(c: Column) -> Column:
+    """Unicode-aware strip of both ends (a character-set trim, no regex)."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
-def ustrip(c: Column) -> Column:
-    """Unicode-aware strip of both ends."""
-    return F.regexp_replace(c, _EDGE_WS, "")
+def blank_to_null(c: Column) -> Column:
+    """B1: whitespace-only cell -> null."""
+    return F.when(ustrip(c) == "", F.lit(None).cast("string")).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:
@@ -58,7 +60,7 @@ def to_number(c: Column) -> Column:
 
 def is_bad_number(c: Column) -> Column:
     """Present, not blank, and not a number."""
-    return c.isNotNull() & ~c.rlike(_WS_ONLY) & to_number(c).isNull()
+    return c.isNotNull() & (ustrip(c) != "") & to_number(c).isNull()
 
 
 def match_key(c: Column) -> Column:

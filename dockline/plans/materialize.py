@@ -23,6 +23,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a scan yields fewer partitions than the
+    cluster can run at once (e.g. one small unsplittable file).  A no-op at
+    scale, where scans already have many more partitions than cores.
+    Round-robin after Spark's local sort is deterministic, so a lost task
+    recomputes the same rows."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    try:
+        current = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # e.g. no RDD access on this session type
+        return df
+    return df.repartition(target) if current < target else df
+
+
 def checkpoint_dir(spark) -> str | None:
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
