@@ -54,13 +54,15 @@ def drop_blank_rows(raw: DataFrame) -> DataFrame:
     return blanked.na.drop(how="all", subset=COLUMNS)
 
 
-def percent_factors(blanked: DataFrame) -> Column:
+def percent_factors(raw: DataFrame) -> Column:
     """B7 pass 1: per export, x100 when every parsed value is <= 1 and one is > 0.
 
-    The statistics are one row per export, bounded by the number of uploads in
-    the run; they are collected and inlined as a literal map (no join)."""
-    p = to_number(F.col(PERCENT_COLUMN))
-    stats = (blanked.groupBy("export_id")
+    Reads only the percent column (a blank row has no percent, so dropping
+    blank rows first would not change the maximum).  The statistics are one row
+    per export, bounded by the number of uploads in the run; they are collected
+    and inlined as a literal IN-list (no join)."""
+    p = to_number(blank_to_null(F.col(PERCENT_COLUMN)))
+    stats = (raw.groupBy("export_id")
              .agg(F.max(p).alias("mx"))
              .select("export_id",
                      F.when((F.col("mx") <= 1.0) & (F.col("mx") > 0.0), 100.0)
@@ -98,7 +100,8 @@ def type_columns(blanked: DataFrame, factor: Column | None = None) -> DataFrame:
 
 
 def typed_export(raw: DataFrame) -> DataFrame:
-    return type_columns(drop_blank_rows(raw))
+    raw = _with_bookkeeping(raw)
+    return type_columns(drop_blank_rows(raw), percent_factors(raw))
 
 
 def validation_errors(typed: DataFrame) -> DataFrame:
@@ -146,16 +149,18 @@ def dedup_orders(typed: DataFrame) -> DataFrame:
     )
     payload = F.struct(*COLUMNS, "ordinal")
     best = (keyed.groupBy("export_id", "le_delivery")
-            .agg(F.min_by(payload, rank).alias("best")))
+            .agg(F.min_by(payload, rank).alias("best"),
+                 F.count(F.lit(1)).alias("source_rows")))
     return best.select(*[F.col(f"best.{c}").alias(c) for c in COLUMNS],
-                       F.col("best.ordinal").alias("ordinal"), "export_id")
+                       F.col("best.ordinal").alias("ordinal"), "export_id", "source_rows")
 
 
-def duplicates_removed(typed: DataFrame) -> Column:
-    """B14 as an aggregate expression over the typed export."""
-    keyed = F.col("le_delivery") != ""
-    return (F.count_if(keyed) - F.count_distinct(
-        F.when(keyed, F.struct("export_id", "le_delivery")))).alias("duplicates_removed")
+def duplicates_removed() -> Column:
+    """B14 as an aggregate over the unique orders: every source row beyond the
+    first of its delivery was removed (``source_rows`` comes from the de-dup
+    aggregation itself, so no second pass over the raw rows is needed)."""
+    return F.coalesce(F.sum(F.col("source_rows") - 1), F.lit(0)).cast("long") \
+        .alias("duplicates_removed")
 
 
 def clean(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

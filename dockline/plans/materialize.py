@@ -15,7 +15,15 @@ from pyspark.sql import functions as F
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Row-count bound for a small derived frame (early-stopping take)."""
+    return len(df.select(F.lit(1).alias("x")).take(max_rows + 1)) <= max_rows
+
+
+def table_has_at_most(table: DataFrame, max_rows: int) -> bool:
+    """Row-count bound for a direct file scan: ``count()`` of a Parquet scan
+    reads footers / row-group counts only, and is one row per task to combine,
+    so the check stays cheap even for a huge table."""
+    return table.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -23,6 +31,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
 
+def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition when a scan yields fewer partitions than the
     cluster can run at once (e.g. one small unsplittable file).  A no-op at

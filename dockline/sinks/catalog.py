@@ -144,13 +144,12 @@ def write_output(df: DataFrame, path: str, as_of: dt.date, partition_by=("site",
      .partitionBy("as_of", *parts).format(fmt).save(path))
 
 
-def run_summary(typed: DataFrame, orders: DataFrame, errors: DataFrame) -> DataFrame:
+def run_summary(typed: DataFrame | None, orders: DataFrame, errors: DataFrame) -> DataFrame:
     """Run metadata as (metric, value) rows: row_count, duplicates_removed,
     sites, validation_records, only_unknown_site (0/1).  Three one-row
     aggregations stacked with ``unionByName`` (no join)."""
-    keyed = F.col("le_delivery") != ""
-    t = typed.agg((F.count_if(keyed) - F.count_distinct(
-        F.when(keyed, F.struct("export_id", "le_delivery")))).alias("duplicates_removed"))
+    from ..operators.clean import duplicates_removed
+    t = orders.agg(duplicates_removed())
     o = orders.agg(F.count(F.lit(1)).alias("row_count"),
                    F.count_distinct("site").alias("sites"),
                    ((F.count(F.lit(1)) > 0) & (F.count_if(F.col("site") != UNKNOWN_SITE) == 0))

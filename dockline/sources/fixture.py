@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.materialize import broadcast_if_small, spread
+from ..plans.materialize import broadcast_if, spread, table_has_at_most
 from .headers import COLUMNS
 
 # The as-of date of the derived export (day serial 35810).
@@ -53,13 +53,18 @@ def fixture_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     # only after a bounded row count proves it small, else it is a sort-merge
     # join on the key (AQE splits skewed keys).  Without explicit sides the
     # planner, misled by compressed file sizes, may broadcast the fact table.
-    geo = nation.join(broadcast_if_small(region, 10_000),
+    # Bounds come from the base tables' row counts (cheap for Parquet scans).
+    # A joined dimension has at most one row per row of its base table because
+    # it is joined on the other table's primary key (region, nation, customer).
+    geo_small = table_has_at_most(nation, 10_000) and table_has_at_most(region, 10_000)
+    cust_small = geo_small and table_has_at_most(cust, MAX_BROADCAST_ROWS)
+    orders_small = table_has_at_most(orders, MAX_BROADCAST_ROWS)
+    geo = nation.join(broadcast_if(region, geo_small),
                       nation.n_regionkey == region.r_regionkey).select("n_nationkey", "r_name")
-    cust_geo = cust.join(broadcast_if_small(geo, 10_000),
-                         cust.c_nationkey == geo.n_nationkey)
-    od = spread(orders).join(broadcast_if_small(cust_geo, MAX_BROADCAST_ROWS),
+    cust_geo = cust.join(broadcast_if(geo, geo_small), cust.c_nationkey == geo.n_nationkey)
+    od = spread(orders).join(broadcast_if(cust_geo, cust_small),
                              orders.o_custkey == cust_geo.c_custkey)
-    rows = li.join(broadcast_if_small(od, MAX_BROADCAST_ROWS), li.l_orderkey == od.o_orderkey)
+    rows = li.join(broadcast_if(od, orders_small), li.l_orderkey == od.o_orderkey)
 
     ok, ck, ln = F.col("o_orderkey"), F.col("o_custkey"), F.col("l_linenumber")
     off = ok % 29 - 12
