@@ -54,22 +54,34 @@ def checkpoint_dir(spark) -> str | None:
     d = sc.getCheckpointDir()
     if d:
         return d
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    conf = configured_checkpoint_dir(spark)
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir()
     return None
 
 
-def cut_lineage(df: DataFrame, mode: str = "persist") -> DataFrame:
+def configured_checkpoint_dir(spark) -> str | None:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``, if any."""
+    return (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getConf().get("spark.checkpoint.dir", None))
+
+
+def cut_lineage(df: DataFrame, mode: str = "auto") -> DataFrame:
     """Materialize ``df`` once for the many outputs computed from it.
 
+    ``auto``: ``checkpoint`` when the session names a ``spark.checkpoint.dir``
+    (a cluster), else ``persist``.
     ``persist``: MEMORY_AND_DISK (lost blocks are recomputed from lineage).
-    ``checkpoint``: reliable checkpoint in ``spark.checkpoint.dir`` (required).
+    ``checkpoint``: reliable checkpoint in ``spark.checkpoint.dir`` (required);
+    later jobs read the written table and survive executor loss without
+    re-running the cleaning.
     ``none``: leave the plan as is.
     """
     if mode == "none":
         return df
+    if mode == "auto":
+        mode = "checkpoint" if configured_checkpoint_dir(df.sparkSession) else "persist"
     if mode == "checkpoint":
         if checkpoint_dir(df.sparkSession) is None:
             raise RuntimeError("spark.checkpoint.dir is not set; cannot checkpoint")

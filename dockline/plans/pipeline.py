@@ -36,10 +36,10 @@ class ProcessResult:
     rules: Ruleset
     typed: DataFrame = field(repr=False, default=None)
 
-    def issue_tracker(self, include_non_escalated: bool = False) -> DataFrame:
+    def issue_tracker(self, include_non_escalated: bool = False, ordered: bool = True) -> DataFrame:
         from ..operators.tracker import issue_tracker
         return issue_tracker(self.orders, self.rules, self.now,
-                             include_non_escalated=include_non_escalated)
+                             include_non_escalated=include_non_escalated, ordered=ordered)
 
     def not_started(self) -> DataFrame:
         from ..operators.reports import not_started
@@ -57,9 +57,41 @@ class ProcessResult:
         from ..sinks.catalog import run_summary
         return run_summary(self.typed, self.orders, self.validation_errors)
 
+    def site_sections(self) -> dict[str, dict[str, DataFrame]]:
+        """Per site (section order) its tracker, not-started list, orders and
+        reports, each the all-plants output filtered to the site (lazy)."""
+        from pyspark.sql import functions as F
+        from ..operators.classify import ordered_sites
+        from ..sources.headers import COLUMNS
+        sites = [r["site"] for r in
+                 ordered_sites(self.orders, self.rules).orderBy("site_seq").collect()]
+        tracker, ns, long = self.issue_tracker(), self.not_started(), self.detail_reports()
+        out = {}
+        for site in sites:  # one lazy filter per site; the site list is small
+            f = F.col("site") == site
+            out[site] = {"issue_tracker": tracker.filter(f), "not_started": ns.filter(f),
+                         "orders": self.orders.filter(f).orderBy("ordinal").select(*COLUMNS),
+                         "reports": long.filter(f & (F.col("report") != "SAPUI5 Export"))}
+        return out
+
+    def report_catalog(self) -> DataFrame:
+        from ..sinks.catalog import report_catalog
+        return report_catalog(self.all_plants_summary(), self.issue_tracker(ordered=False),
+                              self.not_started().select("site", "sales_order_total"),
+                              self.orders, self.detail_reports(), self.validation_errors,
+                              self.rules)
+
+    def filtered(self, **facets) -> "ProcessResult":
+        """every output recomputed over the facet-filtered orders; the
+        validation errors stay those of the whole upload."""
+        from ..operators.facets import facet_filter
+        return ProcessResult(orders=facet_filter(self.orders, **facets),
+                             validation_errors=self.validation_errors, as_of=self.as_of,
+                             now=self.now, rules=self.rules, typed=self.typed)
+
 
 def process_export(raw: DataFrame, as_of: dt.date, rules: Ruleset | None = None,
-                   now: dt.datetime | None = None, materialize: str = "persist",
+                   now: dt.datetime | None = None, materialize: str = "auto",
                    require_rows: bool = True) -> ProcessResult:
     """Run the pipeline on a raw export (see ``dockline.sources``)."""
     tune_for_wide_projections(raw.sparkSession)

@@ -136,12 +136,15 @@ def with_total_row(df: DataFrame, label_col: str) -> DataFrame:
 
 def write_output(df: DataFrame, path: str, as_of: dt.date, partition_by=("site",),
                  fmt: str = "parquet") -> None:
-    """Persist an output under ``path/as_of=.../site=...``; rerunning a day
-    replaces exactly that day's partitions."""
+    """Persist an output under ``path/as_of=<day>/site=...``.  The day's
+    folder is overwritten as a whole, so a new upload for a day fully replaces
+    the previous one (also sites that are gone) and other days are untouched.
+    Readers see ``as_of`` and ``site`` as partition columns (pruned scans)."""
     parts = [p for p in partition_by if p in df.columns]
-    (df.withColumn("as_of", F.lit(as_of.isoformat()))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("as_of", *parts).format(fmt).save(path))
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt)
+    if parts:
+        writer = writer.partitionBy(*parts)
+    writer.save(f"{path.rstrip('/')}/as_of={as_of.isoformat()}")
 
 
 def run_summary(typed: DataFrame | None, orders: DataFrame, errors: DataFrame) -> DataFrame:
@@ -168,3 +171,19 @@ def run_summary(typed: DataFrame | None, orders: DataFrame, errors: DataFrame) -
 
 def all_plants_label() -> str:
     return ALL_PLANTS
+
+
+def write_all(result, path: str, fmt: str = "parquet") -> None:
+    """Persist every output of one run under ``path/<output>/as_of=.../site=...``.
+    Re-running the same as-of date replaces exactly that day's partitions."""
+    from ..sources.headers import COLUMNS
+    as_of = result.as_of
+    write_output(result.all_plants_summary(), f"{path}/summary", as_of, partition_by=(), fmt=fmt)
+    write_output(result.issue_tracker(), f"{path}/issue_tracker", as_of, fmt=fmt)
+    write_output(result.not_started(), f"{path}/not_started", as_of, fmt=fmt)
+    write_output(result.orders.select("site", *COLUMNS), f"{path}/orders", as_of, fmt=fmt)
+    write_output(result.detail_reports().drop("ordinal"), f"{path}/reports", as_of,
+                 partition_by=("site", "report"), fmt=fmt)
+    write_output(result.validation_errors.drop("ordinal"), f"{path}/validation_errors", as_of,
+                 partition_by=(), fmt=fmt)
+    write_output(result.report_catalog(), f"{path}/catalog", as_of, partition_by=(), fmt=fmt)

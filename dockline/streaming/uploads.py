@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..config import Ruleset, load_rules
 from ..plans.pipeline import process_export
-from ..sinks.catalog import write_output
+from ..sinks.catalog import write_all
 from ..sources.headers import to_canonical
 
 
@@ -60,12 +60,7 @@ def process_batch(out_dir: str, headers: list[str], as_of_for: Callable[[str], d
             as_of = as_of_for(export_id)
             res = process_export(batch.filter(F.col("export_id") == export_id), as_of, rules,
                                  require_rows=False)
-            write_output(res.all_plants_summary(), f"{out_dir}/summary", as_of, partition_by=())
-            write_output(res.issue_tracker(), f"{out_dir}/issue_tracker", as_of)
-            write_output(res.not_started(), f"{out_dir}/not_started", as_of)
-            write_output(res.detail_reports(), f"{out_dir}/reports", as_of)
-            write_output(res.validation_errors, f"{out_dir}/validation_errors", as_of,
-                         partition_by=())
+            write_all(res, out_dir)
             res.orders.unpersist()
 
     return handle
