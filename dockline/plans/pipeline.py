@@ -103,5 +103,8 @@ def process_export(raw: DataFrame, as_of: dt.date, rules: Ruleset | None = None,
         raise ExportSchemaError("The export contains headers but no data rows.")
     orders = enrich(classify(dedup_orders(typed), rules), as_of, rules)
     orders = cut_lineage(orders, materialize)
-    return ProcessResult(orders=orders, validation_errors=validation_errors(typed),
+    # Flagged rows are a small fraction of the upload: store them once too, so
+    # the run summary and the catalog do not re-derive them from the raw rows.
+    errors = cut_lineage(validation_errors(typed), materialize)
+    return ProcessResult(orders=orders, validation_errors=errors,
                          as_of=as_of, now=now, rules=rules, typed=typed)
