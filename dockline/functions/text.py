@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WS_ONLY = r"(?U)^\s*$"
 # Whitespace stripped from both ends of a cell: every character Python's
 # str.isspace() accepts (the strip semantics being reproduced), derived by rule.
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())

@@ -15,7 +15,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import AT_RISK, CRITICAL, ESCALATION_STATUSES, ISSUE_TYPES, Ruleset
+from ..config import AT_RISK, CRITICAL, ESCALATION_STATUSES, Ruleset
 from ..functions.agg import count_where, money_sum
 from ..functions.dates import fmt_long, stamp
 from ..functions.templates import (AFFECTED_LIMIT, AFFECTED_TEMPLATE, GENERAL_TEMPLATE,
@@ -68,7 +68,7 @@ def affected_ids(wanted: DataFrame, groups: DataFrame) -> DataFrame:
     """Sorted ids of groups with at most five orders, as one text per group."""
     small = groups.filter(F.col("order_count") <= AFFECTED_LIMIT).select(*KEYS)
     rows = wanted.select(*KEYS, "le_delivery").join(
-        broadcast_if_small(small, 1_000_000), KEYS, "left_semi")
+        broadcast_if_small(small, 100_000), KEYS, "left_semi")
     return rows.groupBy(*KEYS).agg(
         F.array_join(F.array_sort(F.collect_set("le_delivery")), ", ").alias("ids"))
 
@@ -170,5 +170,3 @@ def tracker_drilldown_all(orders: DataFrame) -> DataFrame:
         "ship_to_name", "facility_code", "picking_in_pct", "risk_status", "priority",
         "planned_dlv_date", "route_depart_date", "sales_order_total")
 
-
-ISSUE_RANK = {v: i for i, v in enumerate(ISSUE_TYPES)}

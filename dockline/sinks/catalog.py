@@ -22,7 +22,6 @@ from ..operators.summary import site_rank
 # Sheet names of the combined outputs, the validation sheet, and
 # the note attached to deadline reports.
 COMBINED = ["All Plants Summary", "All Plants Issue Tracker", "All Plants Not Started"]
-SITE_PARTS = ["Issue Tracker", "Not Started", "Orders"]
 VALIDATION_SHEET = "Validation Warnings"
 DEADLINE_REPORT_NOTE = ("HIGHLIGHTED ORDERS ARE CURRENTLY LATE AND MAY BE SUBJECT TO THE "
                         "CONFIGURED ON-TIME DELIVERY CHARGEBACK")
@@ -169,9 +168,6 @@ def run_summary(typed: DataFrame | None, orders: DataFrame, errors: DataFrame) -
             .unionByName(stack(e, ["validation_records"])))
 
 
-def all_plants_label() -> str:
-    return ALL_PLANTS
-
 
 def write_all(result, path: str, fmt: str = "parquet") -> None:
     """Persist every output of one run under ``path/<output>/as_of=.../site=...``.

@@ -58,3 +58,12 @@ def test_csv_export_with_messy_headers(spark, tmp_path):
     assert got[1]["picking_in_pct"] is None  # default NA token
     assert got[0]["ship_to_name"] == "AMAZON X"
     assert "Extra" not in df.columns
+
+
+def test_header_audit(spark):
+    from dockline.sources.headers import header_audit
+    df = spark.createDataFrame([("Planned Dlv. Date\n",), ("Plant",), ("junk",), (None,)], "header string")
+    got = {r["header"]: (r["canonical"], r["via_alias"]) for r in header_audit(df).collect()}
+    assert got["Planned Dlv. Date\n"] == ("Planned Dlv. Date", False)
+    assert got["Plant"] == ("ys", True)
+    assert got["junk"] == (None, None)
