@@ -82,7 +82,8 @@ def days_between(ts: Column, as_of: dt.date) -> Column:
 
 
 def as_of_midnight(as_of: dt.date) -> Column:
-    return F.lit(dt.datetime(as_of.year, as_of.month, as_of.day)).cast("timestamp_ntz")
+    """Midnight of the as-of date as TIMESTAMP_NTZ (text -> NTZ: zone-independent)."""
+    return F.lit(f"{as_of.isoformat()} 00:00:00").cast("timestamp_ntz")
 
 
 def fmt_long(ts: Column, missing: str = "N/A") -> Column:

@@ -19,3 +19,13 @@ def test_entry_runs(spark):
 def test_query_matches_oracle(spark, name):
     res = compare(spark, SF, [name], verbose=True)
     assert res[name] is True
+
+
+def test_results_do_not_depend_on_session_time_zone(spark):
+    tz = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Edmonton")
+    try:
+        res = compare(spark, SF, ["typed_export", "issue_tracker"], verbose=True)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", tz)
+    assert all(v is True for v in res.values())
