@@ -57,6 +57,17 @@ class ProcessResult:
         from ..sinks.catalog import run_summary
         return run_summary(self.typed, self.orders, self.validation_errors)
 
+    def warnings(self) -> list[str]:
+        """Run warnings, from the five-row run summary."""
+        from ..sinks.catalog import UNKNOWN_SITE_WARNING, UNPARSED_WARNING
+        meta = {r["metric"]: r["value"] for r in self.run_summary().collect()}
+        out = []
+        if meta.get("only_unknown_site"):
+            out.append(UNKNOWN_SITE_WARNING)
+        if meta.get("validation_records"):
+            out.append(UNPARSED_WARNING.format(n=meta["validation_records"]))
+        return out
+
     def site_sections(self) -> dict[str, dict[str, DataFrame]]:
         """Per site (section order) its tracker, not-started list, orders and
         reports, each the all-plants output filtered to the site (lazy)."""

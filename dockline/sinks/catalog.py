@@ -25,6 +25,12 @@ COMBINED = ["All Plants Summary", "All Plants Issue Tracker", "All Plants Not St
 VALIDATION_SHEET = "Validation Warnings"
 DEADLINE_REPORT_NOTE = ("HIGHLIGHTED ORDERS ARE CURRENTLY LATE AND MAY BE SUBJECT TO THE "
                         "CONFIGURED ON-TIME DELIVERY CHARGEBACK")
+# Run warnings.
+UNKNOWN_SITE_WARNING = ("No warehouse column was recognized in this export, so every order is "
+                        "grouped under a single Unknown warehouse. The site column should be "
+                        "named ys, Site, Warehouse or Plant.")
+UNPARSED_WARNING = ("{n} record(s) could not be fully parsed - see the Validation Warnings "
+                    "output.")
 # Numeric output columns whose blanks are written as 0.
 NUMERIC_OUTPUT_COLUMNS = [
     "total_price", "sales_order_total", "late_value", "completed_value", "partial_value",

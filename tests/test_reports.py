@@ -109,3 +109,10 @@ def test_only_unknown_site_warning(spark):
     res = run(spark, {"ys": None}, {"ys": "  "})
     meta = {r["metric"]: r["value"] for r in res.run_summary().collect()}
     assert meta["only_unknown_site"] == 1 and meta["sites"] == 1
+
+
+def test_run_warnings(spark):
+    res = run(spark, {"ys": None}, {"ys": None, "LE Delivery": ""})
+    w = res.warnings()
+    assert len(w) == 2 and "Unknown warehouse" in w[0] and w[1].startswith("1 record(s)")
+    assert run(spark, {}).warnings() == []
