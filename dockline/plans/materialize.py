@@ -9,6 +9,8 @@
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,8 +72,12 @@ def configured_checkpoint_dir(spark) -> str | None:
 def cut_lineage(df: DataFrame, mode: str = "auto") -> DataFrame:
     """Materialize ``df`` once for the many outputs computed from it.
 
-    ``auto``: ``checkpoint`` when the session names a ``spark.checkpoint.dir``
+    ``auto``: ``table`` when the session names a ``spark.checkpoint.dir``
     (a cluster), else ``persist``.
+    ``table``: write Parquet into ``spark.checkpoint.dir`` and read it back.
+    Reports then scan a columnar table: only the columns they use are read,
+    and filters on derived columns (risk_status, site, ...) are pushed into
+    the scan.  Survives executor loss; nothing is recomputed.
     ``persist``: MEMORY_AND_DISK (lost blocks are recomputed from lineage).
     ``checkpoint``: reliable checkpoint in ``spark.checkpoint.dir`` (required);
     later jobs read the written table and survive executor loss without
@@ -81,7 +87,14 @@ def cut_lineage(df: DataFrame, mode: str = "auto") -> DataFrame:
     if mode == "none":
         return df
     if mode == "auto":
-        mode = "checkpoint" if configured_checkpoint_dir(df.sparkSession) else "persist"
+        mode = "table" if configured_checkpoint_dir(df.sparkSession) else "persist"
+    if mode == "table":
+        base = checkpoint_dir(df.sparkSession)
+        if base is None:
+            raise RuntimeError("spark.checkpoint.dir is not set; cannot write a table")
+        path = f"{base.rstrip('/')}/dockline-tables/{uuid.uuid4().hex}"
+        df.write.mode("errorifexists").parquet(path)
+        return df.sparkSession.read.parquet(path)
     if mode == "checkpoint":
         if checkpoint_dir(df.sparkSession) is None:
             raise RuntimeError("spark.checkpoint.dir is not set; cannot checkpoint")

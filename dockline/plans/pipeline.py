@@ -109,13 +109,15 @@ def process_export(raw: DataFrame, as_of: dt.date, rules: Ruleset | None = None,
     rules = rules or load_rules()
     now = now or dt.datetime.combine(as_of, dt.time(8, 0))
     typed = typed_export(raw)
-    if require_rows and typed.isEmpty():
-        from ..sources.headers import ExportSchemaError
-        raise ExportSchemaError("The export contains headers but no data rows.")
     orders = enrich(classify(dedup_orders(typed), rules), as_of, rules)
     orders = cut_lineage(orders, materialize)
     # Flagged rows are a small fraction of the upload: store them once too, so
     # the run summary and the catalog do not re-derive them from the raw rows.
     errors = cut_lineage(validation_errors(typed), materialize)
+    # Every non-blank row is either a delivery row or a missing-key error,
+    # so "no data rows" is checked on the two stored tables (no extra pass).
+    if require_rows and orders.isEmpty() and errors.isEmpty():
+        from ..sources.headers import ExportSchemaError
+        raise ExportSchemaError("The export contains headers but no data rows.")
     return ProcessResult(orders=orders, validation_errors=errors,
                          as_of=as_of, now=now, rules=rules, typed=typed)

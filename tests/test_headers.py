@@ -67,3 +67,12 @@ def test_header_audit(spark):
     assert got["Planned Dlv. Date\n"] == ("Planned Dlv. Date", False)
     assert got["Plant"] == ("ys", True)
     assert got["junk"] == (None, None)
+
+
+def test_headers_but_no_rows_raise(spark):
+    from dockline import load_rules, process_export
+    from helpers import AS_OF, DEFAULTS, export
+    import pytest as _pytest
+    blank = {k: " " for k in DEFAULTS}
+    with _pytest.raises(ExportSchemaError):
+        process_export(export(spark, blank), AS_OF, load_rules())
