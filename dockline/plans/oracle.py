@@ -497,4 +497,19 @@ SELECT count(*) AS not_started_orders, {m} AS price_not_started,
   count(*) FILTER (WHERE days_to_planned_delivery BETWEEN 0 AND 2) AS due_within_2_days
 FROM enriched WHERE is_not_started"""),
         "filtered_tracker": _q(tracker_sql(f"{ESCALATED} AND site IN ('EUROPE') AND customer_display IN ('Amazon', 'Walmart')")),
+        "row_severity": _q("""
+SELECT le_delivery, site,
+  CASE WHEN (coalesce(planned_dlv_date < TIMESTAMP '__AS_OF__', false) AND upper(goods_issue) <> 'COMPLETED')
+         OR (coalesce(route_depart_date < TIMESTAMP '__AS_OF__', false) AND picking_in_pct < 100) THEN 'red'
+       WHEN picking_in_pct = 0 AND upper(goods_issue) <> 'COMPLETED' THEN 'yellow' END AS severity,
+  CASE risk_status WHEN 'Critical' THEN 'red' WHEN 'At Risk' THEN 'orange'
+       WHEN 'Not Started' THEN 'yellow' ELSE 'green' END AS status_severity,
+  CASE priority WHEN 'Critical' THEN 'red' WHEN 'High' THEN 'orange'
+       WHEN 'Medium' THEN 'yellow' END AS priority_severity
+FROM enriched"""),
+        "report_with_total": _q(f"""
+SELECT le_delivery, ship_to_name, sales_order_total, false AS is_total
+FROM enriched WHERE customer_group IN ('gfs', 'aw_via_gfs')
+UNION ALL
+SELECT 'TOTAL', NULL, {_money_if("customer_group IN ('gfs', 'aw_via_gfs')")}, true FROM enriched"""),
     }

@@ -144,4 +144,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tracker_drilldown": _orders(tracker.tracker_drilldown_all),
     "not_started_kpis": _orders(facets.not_started_kpis),
     "filtered_tracker": _orders(_filtered_tracker),
+    # sink shaping
+    "row_severity": _orders(lambda o: o.select(
+        "le_delivery", "site", catalog.detail_severity(AS_OF).alias("severity"),
+        catalog.tracker_severity(F.col("risk_status")).alias("status_severity"),
+        catalog.not_started_severity(F.col("priority")).alias("priority_severity"))),
+    "report_with_total": _orders(lambda o: catalog.with_total_row(
+        reports.customer_report(o, SPEC["GFS"], ordered=False)
+        .select("le_delivery", "ship_to_name", "sales_order_total"), "le_delivery")),
 }
