@@ -48,10 +48,14 @@ def _with_bookkeeping(raw: DataFrame) -> DataFrame:
 
 
 def drop_blank_rows(raw: DataFrame) -> DataFrame:
-    """B1 + B2: whitespace-only cells become null; rows with no value are dropped."""
+    """B1 + B2: rows whose cells are all missing or whitespace-only are dropped.
+
+    The cells themselves stay raw: every typing rule below already reads a
+    whitespace-only cell as missing, and only the untouched dock-time column
+    needs the explicit blank -> null step (done in ``type_columns``).
+    ``coalesce`` stops at the first non-blank cell of a row."""
     raw = _with_bookkeeping(raw)
-    blanked = raw.select(*[blank_to_null(F.col(c)).alias(c) for c in COLUMNS], *BOOKKEEPING)
-    return blanked.na.drop(how="all", subset=COLUMNS)
+    return raw.filter(F.coalesce(*[blank_to_null(F.col(c)) for c in COLUMNS]).isNotNull())
 
 
 def percent_factors(raw: DataFrame) -> Column:
@@ -76,7 +80,8 @@ def percent_factors(raw: DataFrame) -> Column:
 
 
 def type_columns(blanked: DataFrame, factor: Column | None = None) -> DataFrame:
-    """Typed cleaned columns + ``bad_total`` flag; one narrow projection."""
+    """Typed cleaned columns + ``bad_total`` flag; one narrow projection
+    over the raw text cells (whitespace-only cells read as missing)."""
     if factor is None:
         factor = percent_factors(blanked)
     out = []
@@ -93,8 +98,8 @@ def type_columns(blanked: DataFrame, factor: Column | None = None) -> DataFrame:
             out.append(F.greatest(F.least(pct, F.lit(100.0)), F.lit(0.0)).alias(c))
         elif c in DATE_COLUMNS:
             out.append(parse_date(col).alias(c))
-        else:
-            out.append(col.alias(c))
+        else:  # untouched text (dock time): only blank -> null
+            out.append(blank_to_null(col).alias(c))
     return blanked.select(*out, is_bad_number(F.col("sales_order_total")).alias("bad_total"),
                           *BOOKKEEPING)
 
