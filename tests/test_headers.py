@@ -76,3 +76,21 @@ def test_headers_but_no_rows_raise(spark):
     blank = {k: " " for k in DEFAULTS}
     with _pytest.raises(ExportSchemaError):
         process_export(export(spark, blank), AS_OF, load_rules())
+
+
+def test_parquet_export_and_table_picking(spark, tmp_path):
+    from dockline.sources.export import read_export
+    good = spark.createDataFrame(
+        [("Calgary Warehouse", "Warehouse", "0.5", "2026-07-22", "2026-07-20", "801", "GFS A",
+          "Not Started", "10")],
+        "`ys` string, `Facility Code` string, `Picking in %` string, `Planned Dlv. Date` string, "
+        "`Route Depart. Date` string, `LE Delivery` string, `Ship-to Name` string, "
+        "`Goods Issue` string, `Sales Order Total` string")
+    summary_sheet = spark.createDataFrame([("x", "1")], "Site string, `LE Delivery` string")
+    g, s = str(tmp_path / "good"), str(tmp_path / "summary")
+    good.write.parquet(g)
+    summary_sheet.write.parquet(s)
+    df = read_export(spark, [s, g], fmt="parquet")  # the best-scoring table wins
+    row = df.first()
+    assert row["ship_to_name"] == "GFS A" and row["picking_in_pct"] == "0.5"
+    assert row["ordinal"]["k2"] == 0
