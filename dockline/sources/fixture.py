@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.materialize import broadcast_if, spread, table_has_at_most
+from ..plans.materialize import broadcast_if, cut_lineage, spread, table_has_at_most
 from .headers import COLUMNS
 
 # The as-of date of the derived export (day serial 35810).
@@ -37,7 +37,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def fixture_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fixture_export(spark: SparkSession, sf_dir: str, materialize_large: bool = True) -> DataFrame:
     """The raw (all-text) export: 35 canonical columns + ``ordinal`` + ``export_id``."""
     li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -112,5 +112,11 @@ def fixture_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = [(raw[c] if c in raw else null).alias(c) for c in COLUMNS]
     ordinal = F.struct(ok.alias("k1"), ln.alias("k2"), F.col("l_partkey").alias("k3"),
                        F.col("l_suppkey").alias("k4"), F.col("l_extendedprice").alias("k5"))
-    return rows.select(*cols, ordinal.alias("ordinal"),
-                       F.lit(FIXTURE_EXPORT_ID).alias("export_id"))
+    export = rows.select(*cols, ordinal.alias("ordinal"),
+                         F.lit(FIXTURE_EXPORT_ID).alias("export_id"))
+    if not (orders_small and cust_small) and materialize_large:
+        # The derivation shuffles (sort-merge joins).  The pipeline reads the
+        # export several times (percent statistics, orders, errors), so shuffle
+        # once and store it; later passes scan the stored text (pruned).
+        export = cut_lineage(export, "auto")
+    return export

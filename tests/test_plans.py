@@ -27,3 +27,14 @@ def test_dedup_is_one_partial_aggregation_and_one_exchange_on_the_key(spark):
     hash_exchanges = [ln for ln in lines if "Arguments: hashpartitioning(" in ln]
     assert len(hash_exchanges) == 1, hash_exchanges
     assert "le_delivery" in hash_exchanges[0]
+
+
+def test_large_dimension_path_stores_the_export_once(spark, monkeypatch):
+    import dockline.sources.fixture as fx
+    from oracle_check import compare
+    monkeypatch.setattr(fx, "MAX_BROADCAST_ROWS", 10)  # dimensions "too large" to broadcast
+    raw = fx.fixture_export(spark, SF)
+    assert "Scan parquet" in raw._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan_text(raw)
+    res = compare(spark, SF, ["all_plants_summary", "validation_errors"], verbose=True)
+    assert all(v is True for v in res.values())
