@@ -42,7 +42,7 @@ def reports_of(res, rules):
         "not_started": reports.not_started(o),
         "all_plants_summary": summary.all_plants_summary(o, rules),
         "detail_reports_long": long,
-        "report_totals": reports.report_totals(long),
+        "report_totals": reports.report_totals(o, rules, AS_OF),
         "late_lists": reports.late_warehouse(o, AS_OF).unionByName(
             reports.late_dsd_independent(o, AS_OF)),
         "exec_kpis": facets.exec_kpis(o),

@@ -176,17 +176,27 @@ def detail_reports_long(orders: DataFrame, rules: Ruleset, as_of: dt.date) -> Da
                          "ordinal", *COLUMNS)
 
 
-def report_totals(long: DataFrame) -> DataFrame:
+def report_totals(orders: DataFrame, rules: Ruleset, as_of: dt.date) -> DataFrame:
     """rows and value per (scope, report); scope = each site and 'All Plants'.
 
-    GROUPING SETS ((report, site), (report)): one aggregation, exact sums."""
+    One pass over the orders that emits only (site, report number, amount) for
+    each report an order belongs to (narrow rows, not the 35-column report
+    rows), then GROUPING SETS ((report, site), (report)) in one hash
+    aggregation.  Only (scope, report) pairs with rows exist, as in the long
+    form."""
     from ..config import ALL_PLANTS
     from ..functions.agg import money_sum
-    agg = (long.groupingSets([["report", "report_seq", "site"], ["report", "report_seq"]],
-                             "report", "report_seq", "site")
+    members = report_membership(rules, as_of)
+    names = F.array(*[F.lit(n) for n, _ in members])
+    seqs = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(i))
+                     for i, (_, cond) in enumerate(members)])
+    narrow = orders.select("site", "sales_order_total",
+                           F.explode(F.filter(seqs, lambda x: x.isNotNull())).alias("report_seq"))
+    agg = (narrow.groupingSets([["report_seq", "site"], ["report_seq"]], "report_seq", "site")
            .agg(F.count(F.lit(1)).alias("rows"),
                 money_sum(F.col("sales_order_total")).alias("total"),
                 F.grouping("site").alias("g")))
     return agg.select(
         F.when(F.col("g") == 1, F.lit(ALL_PLANTS)).otherwise(F.col("site")).alias("scope"),
-        "report", "report_seq", "rows", "total")
+        F.element_at(names, F.col("report_seq") + 1).alias("report"), "report_seq",
+        "rows", "total")

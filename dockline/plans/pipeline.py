@@ -89,8 +89,11 @@ class ProcessResult:
         from ..sinks.catalog import report_catalog
         return report_catalog(self.all_plants_summary(), self.issue_tracker(ordered=False),
                               self.not_started().select("site", "sales_order_total"),
-                              self.orders, self.detail_reports(), self.validation_errors,
-                              self.rules)
+                              self.orders, self.validation_errors, self.rules, self.as_of)
+
+    def report_totals(self) -> DataFrame:
+        from ..operators.reports import report_totals
+        return report_totals(self.orders, self.rules, self.as_of)
 
     def filtered(self, **facets) -> "ProcessResult":
         """every output recomputed over the facet-filtered orders; the

@@ -92,8 +92,7 @@ def q_report_catalog(spark, sf_dir):
         summary.all_plants_summary(orders, RULES, ordered=False),
         tracker.issue_tracker(orders, RULES, NOW, ordered=False),
         reports.not_started(orders, ordered=False).select("site", "sales_order_total"),
-        orders, reports.detail_reports_long(orders, RULES, AS_OF),
-        validation_errors(typed), RULES)
+        orders, validation_errors(typed), RULES, AS_OF)
 
 
 def _filtered_tracker(orders):
@@ -128,8 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dsd_priorities": _orders(lambda o: reports.dsd_priorities(o, RULES, ordered=False)),
     "detail_reports_long": _orders(lambda o: reports.detail_reports_long(o, RULES, AS_OF).select(
         "report", "comments", "priority", "site", *COLUMNS)),
-    "report_totals": _orders(lambda o: reports.report_totals(
-        reports.detail_reports_long(o, RULES, AS_OF))),
+    "report_totals": _orders(lambda o: reports.report_totals(o, RULES, AS_OF)),
     "report_catalog": q_report_catalog,
     # dashboard queries
     "filter_options": _orders(facets.filter_options),

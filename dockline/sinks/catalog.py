@@ -41,8 +41,8 @@ NUMERIC_OUTPUT_COLUMNS = [
 
 
 def report_catalog(summary: DataFrame, tracker: DataFrame, not_started: DataFrame,
-                   orders: DataFrame, long: DataFrame, errors: DataFrame,
-                   rules: Ruleset) -> DataFrame:
+                   orders: DataFrame, errors: DataFrame, rules: Ruleset,
+                   as_of: dt.date) -> DataFrame:
     """G1 (+G5): ordered manifest (seq, sheet, site, report, rows, total, note).
 
     Combined outputs, then per site (configured order) its tracker, not-started
@@ -59,12 +59,11 @@ def report_catalog(summary: DataFrame, tracker: DataFrame, not_started: DataFram
                 .unionByName(counts(not_started, "Not Started", 1, True))
                 .unionByName(counts(orders, "Orders", 2, True)))
     spec_notes = {s.name: DEADLINE_REPORT_NOTE for s in rules.detail_reports if s.amazon_deadline}
-    reports = (long.filter(F.col("report") != FULL_EXPORT)
-               .groupBy("site", "report", "report_seq")
-               .agg(F.count(F.lit(1)).alias("rows"),
-                    money_sum(F.col("sales_order_total")).alias("total"))
-               .select("site", "report", (F.col("report_seq") + 3).alias("part_seq"),
-                       "rows", "total"))
+    from ..operators.reports import report_totals
+    reports = (report_totals(orders, rules, as_of)
+               .filter((F.col("scope") != ALL_PLANTS) & (F.col("report") != FULL_EXPORT))
+               .select(F.col("scope").alias("site"), "report",
+                       (F.col("report_seq") + 3).alias("part_seq"), "rows", "total"))
     sites = (per_site.unionByName(reports)
              .select(F.concat(F.col("site"), F.when(F.col("part_seq") < 3, F.lit(" "))
                               .otherwise(F.lit(" - ")), F.col("report")).alias("sheet"),
