@@ -1,8 +1,10 @@
 """Process one export end to end and write every output.
 
-    spark-submit -m dockline --input exports/2026-07-17/*.csv --as-of 2026-07-17 \\
+    python -m dockline --input exports/2026-07-17/*.csv --as-of 2026-07-17 \\
         --out s3://bucket/delivery-risk [--format csv|parquet] [--rules rules.yaml]
 
+or from a job that already has a session: ``main([...], spark)``.
+
 Uses the active (cluster) session; outputs land under
 ``<out>/<output>/as_of=<day>/...`` and a re-run of the same day replaces it.
 """
