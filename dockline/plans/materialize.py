@@ -1,11 +1,13 @@
 """Size-checked broadcast and lineage cutting.
 
-* ``broadcast_if_small`` broadcasts a side only after proving its row count is
-  under a bound (a ``limit(n+1).count()`` job that stops early); beyond the
-  bound the join is left to the planner (sort-merge, AQE skew splitting).
-* ``cut_lineage`` persists (default) or reliably checkpoints a DataFrame into
-  the shared folder named by ``spark.checkpoint.dir``.  It never uses
-  ``localCheckpoint`` (executor-local, lost with the executor).
+* ``broadcast_if`` / ``broadcast_if_small`` broadcast a side only after its row
+  count is proven under a bound (``table_has_at_most``: a base table's count,
+  footers only for Parquet; ``has_at_most``: an early-stopping ``take`` for
+  small derived frames); beyond the bound the join is left to the planner
+  (sort-merge, AQE skew splitting).
+* ``cut_lineage`` stores a DataFrame as a Parquet table in the shared folder
+  named by ``spark.checkpoint.dir`` (or reliably checkpoints / persists it).
+  It never uses ``localCheckpoint`` (executor-local, lost with the executor).
 """
 from __future__ import annotations
 

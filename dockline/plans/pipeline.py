@@ -2,7 +2,8 @@
 
 raw text export -> typed + quarantined -> unique orders (one shuffle on the
 delivery key) -> classified + enriched (narrow) -> materialized once
-(``persist`` or reliable ``checkpoint``) -> every report is a DataFrame over it.
+(a Parquet table in ``spark.checkpoint.dir``, else ``persist``) -> every report
+is a DataFrame over it.
 """
 from __future__ import annotations
 

@@ -3,7 +3,7 @@
 The catalog is computed from small grouped counts (reports x sites), never by
 running one job per output.  Writes go through one partitioned write per
 output kind; a new run of the same as-of date fully replaces the previous one
-(dynamic partition overwrite).
+(the day's folder is overwritten as a whole).
 """
 from __future__ import annotations
 

@@ -4,8 +4,8 @@ The reference regenerates everything from scratch on every upload and keeps
 no state between days.  On Spark that maps to a file stream of exports with
 ``foreachBatch``: each micro-batch is one or more new uploads; every upload
 (its ``export_id`` = file name) is processed by the batch pipeline and its
-outputs are written with dynamic partition overwrite keyed on the as-of date,
-so a re-upload of a day replaces that day's outputs.  There is deliberately no
+outputs are written under ``as_of=<day>`` folders that are overwritten as a
+whole, so a re-upload of a day replaces that day's outputs.  There is deliberately no
 streaming state (no watermark, no aggregation across batches): "late" in this
 domain is a business flag, not late-arriving data.
 
