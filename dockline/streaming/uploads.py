@@ -1,7 +1,7 @@
 """Daily uploads as a Structured Streaming source.
 
-The reference regenerates everything from scratch on every upload and keeps
-no state between days.  On Spark that maps to a file stream of exports with
+Every upload regenerates everything from scratch and no state is kept
+between days.  On Spark that maps to a file stream of exports with
 ``foreachBatch``: each micro-batch is one or more new uploads; every upload
 (its ``export_id`` = file name) is processed by the batch pipeline and its
 outputs are written under ``as_of=<day>`` folders that are overwritten as a
