@@ -94,3 +94,39 @@ def test_parquet_export_and_table_picking(spark, tmp_path):
     row = df.first()
     assert row["ship_to_name"] == "GFS A" and row["picking_in_pct"] == "0.5"
     assert row["ordinal"]["k2"] == 0
+
+
+def test_duplicate_and_dotted_headers_with_custom_separator(spark, tmp_path):
+    from dockline.sources.export import read_export
+    p = tmp_path / "dup.csv"
+    p.write_text("Description;ys;Facility Code;Picking in %;Planned Dlv. Date;Route Depart. Date;"
+                 "LE Delivery;LE Delivery;Ship-to Name;Goods Issue;Sales Order Total\n"
+                 "Wrong;Calgary Warehouse;Warehouse;NA;2026-07-22;2026-07-20;801;999;X;Not Started;5\n")
+    row = read_export(spark, str(p), sep=";").first()
+    assert row["ys"] == "Calgary Warehouse"      # literal ys beats the alias
+    assert row["le_delivery"] == "801"           # first of the duplicates wins
+    assert row["picking_in_pct"] is None         # NA token
+
+
+def test_two_uploads_in_one_run_are_independent(spark):
+    from pyspark.sql import functions as F
+    from dockline.operators.clean import dedup_orders, typed_export
+    from helpers import DEFAULTS
+    from dockline.sources.export import from_rows
+    headers = list(DEFAULTS)
+
+    def rows(pcts):
+        out = []
+        for pct in pcts:
+            rec = dict(DEFAULTS)
+            rec["Picking in %"] = pct
+            out.append([rec[h] for h in headers])
+        return out
+
+    a = from_rows(spark, headers, rows(["0.5", "0.2"]), export_id="a")  # fractions: x100
+    b = from_rows(spark, headers, rows(["50", "20"]), export_id="b")    # already percent
+    typed = typed_export(a.unionByName(b))
+    got = sorted((r["export_id"], r["picking_in_pct"]) for r in typed.collect())
+    assert got == [("a", 20.0), ("a", 50.0), ("b", 20.0), ("b", 50.0)]
+    # same delivery id in two uploads: one order per upload
+    assert dedup_orders(typed).groupBy("export_id").count().count() == 2
