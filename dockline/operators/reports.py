@@ -169,9 +169,12 @@ def detail_reports_long(orders: DataFrame, rules: Ruleset, as_of: dt.date) -> Da
         tags.append(F.when(F.coalesce(cond, F.lit(False)), F.struct(
             F.lit(name).alias("report"), F.lit(seq).alias("report_seq"),
             note.alias("comments"))))
-    tagged = orders.select(
-        F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("t"),
-        dsd.alias("priority"), "site", "ordinal", *COLUMNS)
+    # explode over a plain array (non-members are null) + a null filter keeps
+    # the Generate inside whole-stage codegen; a lambda filter would not.
+    tagged = (orders.withColumn("priority", dsd)
+              .select(F.explode(F.array(*tags)).alias("t"), "priority", "site", "ordinal",
+                      *COLUMNS)
+              .filter(F.col("t").isNotNull()))
     return tagged.select("t.report", "t.report_seq", "t.comments", "priority", "site",
                          "ordinal", *COLUMNS)
 
@@ -190,8 +193,8 @@ def report_totals(orders: DataFrame, rules: Ruleset, as_of: dt.date) -> DataFram
     names = F.array(*[F.lit(n) for n, _ in members])
     seqs = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(i))
                      for i, (_, cond) in enumerate(members)])
-    narrow = orders.select("site", "sales_order_total",
-                           F.explode(F.filter(seqs, lambda x: x.isNotNull())).alias("report_seq"))
+    narrow = (orders.select("site", "sales_order_total", F.explode(seqs).alias("report_seq"))
+              .filter(F.col("report_seq").isNotNull()))
     agg = (narrow.groupingSets([["report_seq", "site"], ["report_seq"]], "report_seq", "site")
            .agg(F.count(F.lit(1)).alias("rows"),
                 money_sum(F.col("sales_order_total")).alias("total"),
