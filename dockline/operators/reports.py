@@ -140,9 +140,12 @@ def report_names(rules: Ruleset) -> list[str]:
     return names
 
 
-def report_membership(rules: Ruleset, as_of: dt.date) -> list[tuple[str, Column]]:
-    """(report name, membership predicate) in workbook order."""
-    dsd = dsd_priority(match_key(F.col("ship_to_name")), rules)
+def report_membership(rules: Ruleset, as_of: dt.date,
+                      dsd: Column | None = None) -> list[tuple[str, Column]]:
+    """(report name, membership predicate) in workbook order; ``dsd`` may be an
+    already computed DSD priority column."""
+    if dsd is None:
+        dsd = dsd_priority(match_key(F.col("ship_to_name")), rules)
     out: list[tuple[str, Column]] = [(FULL_EXPORT, F.lit(True)), (DSD_REPORT, dsd.isNotNull())]
     for spec in rules.detail_reports:
         if spec.special == "andrew_tab":
@@ -159,7 +162,7 @@ def detail_reports_long(orders: DataFrame, rules: Ruleset, as_of: dt.date) -> Da
 
     Columns: report, report_seq, comments, priority, site, ordinal + 35 business
     columns.  ``comments`` is the deadline note where the report has one."""
-    members = report_membership(rules, as_of)
+    members = report_membership(rules, as_of, dsd=F.col("priority"))
     spec_by_name = {s.name: s for s in rules.detail_reports}
     dsd = dsd_priority(match_key(F.col("ship_to_name")), rules)
     tags = []
