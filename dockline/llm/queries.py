@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from dockline.llm.common import table
+from dockline.llm.decontaminate import contamination, decontaminate
 from dockline.llm.exact_dedup import exact_dedup
+from dockline.llm.simhash_dedup import simhash_components
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(found).drop("spans", "items")
+
+
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,10 +24,32 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_simhash_dedup": op3_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
+#: Lower-cased words of a text, as a DuckDB list.
+WORDS = (r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+         r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
 ORACLE = {
+    "op1_decontaminate": f"""
+        WITH item AS (SELECT item_id, {WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+        win AS (SELECT DISTINCT item_id, least(13, len(w)) AS k,
+                       array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+                FROM item, unnest(range(1, greatest(len(w) - 13, 0) + 2)) t(i) WHERE len(w) > 0),
+        doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce({WORDS}, []) AS w FROM documents),
+        gram AS (SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS g
+                 FROM doc, (SELECT DISTINCT k FROM win), unnest(range(1, len(w) - k + 2)) t(i)),
+        occ AS (SELECT r, i, k, item_id FROM gram JOIN win USING (k, g)),
+        hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM occ, unnest(range(i, i + k)) t(p) GROUP BY r),
+        its AS (SELECT r, list_sort(list_distinct(list(item_id::VARCHAR))) AS items FROM occ GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(len(items), 0) AS n_items,
+               sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM doc LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
+    """,
     "op6_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
