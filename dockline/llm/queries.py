@@ -2,12 +2,15 @@
 SQL can express it."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from dockline.llm.common import table
 from dockline.llm.decontaminate import contamination, decontaminate
 from dockline.llm.exact_dedup import exact_dedup
+from dockline.llm.packing import pack
 from dockline.llm.simhash_dedup import simhash_components
+from dockline.llm.token_counts import sentencepiece_pieces, token_counts
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +26,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"),
+                        sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: Lower-cased words of a text, as a DuckDB list.
