@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from dockline.llm.common import table
 from dockline.llm.decontaminate import contamination, decontaminate
 from dockline.llm.exact_dedup import exact_dedup
+from dockline.llm.language_id import held_out, identify, learn
+from dockline.llm.license_scan import scan, summary
 from dockline.llm.packing import pack
 from dockline.llm.simhash_dedup import simhash_components
 from dockline.llm.token_counts import sentencepiece_pieces, token_counts
@@ -26,6 +28,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary(scan(table(spark, sf_dir, "documents")))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -38,7 +49,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_license_scan": op7_license_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_token_counts": op10_token_counts,
 }
