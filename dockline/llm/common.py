@@ -40,10 +40,17 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
+#: Rows of a stored table a file holds at least, when their number is known.
+ROWS_A_FILE = 250_000
+
+
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df``, computed once and written to the shared folder; later jobs read
-    those files, also after an executor is lost."""
+    those files, also after an executor is lost.  ``rows``: a bound on its rows,
+    for narrow tables, so that a small one isn't written as very many files."""
     shared_dir(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // ROWS_A_FILE)))
     return df.checkpoint(eager=True)
 
 

@@ -57,11 +57,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       F.conv(F.hex(byte), 16, 10).cast("int").bitwiseAND(
                           F.pow(F.lit(2), at % 8).cast("int")) != 0, F.lit(False)))
                   .drop(f"block{k}", f"bitmap{k}"))
-    probed = stored(probed.select("id", "row", "sha", (F.col("hit0") & F.col("hit1")).alias("again")))
+    probed = probed.select("id", "row", "sha", (F.col("hit0") & F.col("hit1")).alias("again"))
 
     again = probed.where("again")
     groups = stored(again.groupBy("sha").agg(F.max(F.struct("id", "row")).alias("keep"),
-                                             F.count(F.lit(1)).alias("group_size")))
+                                             F.count(F.lit(1)).alias("group_size")), n)
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     once = probed.where("not again").select(
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
