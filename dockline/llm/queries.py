@@ -10,6 +10,7 @@ from dockline.llm.decontaminate import contamination, decontaminate
 from dockline.llm.exact_dedup import exact_dedup
 from dockline.llm.language_id import held_out, identify, learn
 from dockline.llm.license_scan import scan, summary
+from dockline.llm.line_dedup import drop_recurring
 from dockline.llm.packing import pack
 from dockline.llm.simhash_dedup import simhash_components
 from dockline.llm.token_counts import sentencepiece_pieces, token_counts
@@ -41,6 +42,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"),
                         sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model")))
@@ -53,6 +58,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
