@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dockline.llm.common import table
 from dockline.llm.decontaminate import contamination, decontaminate
@@ -12,6 +13,7 @@ from dockline.llm.language_id import held_out, identify, learn
 from dockline.llm.license_scan import scan, summary
 from dockline.llm.line_dedup import drop_recurring
 from dockline.llm.packing import pack
+from dockline.llm.sharding import assign_shards
 from dockline.llm.simhash_dedup import simhash_components
 from dockline.llm.token_counts import sentencepiece_pieces, token_counts
 
@@ -29,6 +31,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = assign_shards(table(spark, sf_dir, "documents"))
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, learn(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -54,6 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_license_scan": op7_license_scan,
