@@ -1,9 +1,55 @@
-"""The corpus pipeline: documents through five operators in turn."""
+"""The corpus pipeline: documents through five operators in turn.
+
+Every stage gets what the one before kept, as a Parquet table, and returns the
+columns of documents, the last one the packed pieces.
+"""
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dockline.llm import decontaminate, language_id, line_dedup, packing, simhash_dedup
+from dockline.llm.common import shared_dir, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that can be told (no null text, none without a
+    letter); a missing label is filled in."""
+    return language_id.accepted(docs, language_id.learn(docs))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines of templates that recur across documents."""
+    kept = line_dedup.drop_recurring(docs)
+    return kept.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")
+                         for c in docs.columns))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of SimHash near-duplicates."""
+    return simhash_dedup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The remaining documents as packed sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_lines),
+    ("simhash_dedup", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("best_fit_packing", pack),
+]
 
 #: Several stages are no SQL (automata, fingerprints, packing); tests compare
 #: run() with a brute-force version instead.
@@ -11,4 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

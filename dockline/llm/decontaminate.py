@@ -43,35 +43,55 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     marks spans but isn't listed; equal rows give equal results; an empty
     benchmark gives no spans.  Other columns are not read.
     """
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    found = _found(docs, benchmark, [id_col], text_col, item_col, item_text_col, window, block_chars)
+    return found.select(F.col(f"doc.`{id_col}`"), "n_words", "spans", "items")
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                   item_text_col: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``docs``, with all its columns, without the contaminated rows."""
+    found = _found(docs, benchmark, docs.columns, text_col, item_col, item_text_col, window, block_chars)
+    return found.where(~_contaminated()).select("doc.*")
+
+
+def _found(docs, benchmark, keep, text_col, item_col, item_text_col, window, block_chars) -> DataFrame:
+    """(doc: the kept columns, n_words, spans, items) of each row."""
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"),
+                       F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"))
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_chars)
     if len(blocks) == 1:
         index = window_index(rows, blocks[0], window)
-        return over_batches(rows, lambda: Matcher(index.value), FIELDS, 1).withColumnRenamed("id", id_col)
+        return over_batches(rows, lambda: Matcher(index.value), FIELDS, 1)
     # Each block finds its own spans; the rows are stored first, so that a row
     # keeps its number from pass to pass.
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
-    found = None
+    parts = None
     for block in blocks:
         index = window_index(rows, block, window)
-        part = over_batches(rows, lambda index=index: Matcher(index.value), FIELDS, 1)
-        found = part if found is None else found.unionAll(part)
-    merged = (stored(found).groupBy("row")
-              .agg(F.max("id").alias("id"), F.max("n_words").alias("n_words"),
-                   F.flatten(F.collect_list("spans")).alias("spans"),
+        part = over_batches(rows.select("text", "row"), lambda index=index: Matcher(index.value), FIELDS, 1)
+        parts = part if parts is None else parts.unionAll(part)
+    merged = (stored(parts).groupBy("row")
+              .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"),
                    F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
-    return over_batches(merged.select("spans", "id", "n_words", "items"), lambda: _merge_all,
-                        "spans array<struct<start:long,end:long>>", 1).select(
-        F.col("id").alias(id_col), "n_words", "spans", "items")
+    merged = over_batches(merged.select("spans", "row", "n_words", "items"), lambda: _merge_all,
+                          "spans array<struct<start:long,end:long>>", 1)
+    return rows.select("row", "doc").join(merged, "row").select("doc", "n_words", "spans", "items")
+
+
+def _n_hit():
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def _contaminated():
+    return (_n_hit() > 0) & (_n_hit() * 20 >= F.col("n_words"))
 
 
 def contamination(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The counts of ``decontaminate``'s rows: n_hit words in spans, items, their
     digest, and contaminated: a twentieth of the words or more are hit."""
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "spans", "items") \
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    return found.select(id_col, "n_words", _n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        _contaminated().alias("contaminated"))
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_chars: int) -> list[DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dockline.llm.common import table
 from dockline.llm.decontaminate import contamination, decontaminate
 from dockline.llm.exact_dedup import exact_dedup
+from dockline.llm.html_extract import extract
 from dockline.llm.language_id import held_out, identify, learn
 from dockline.llm.license_scan import scan, summary
 from dockline.llm.line_dedup import drop_recurring
@@ -20,7 +21,11 @@ from dockline.llm.token_counts import sentencepiece_pieces, token_counts
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return contamination(found).drop("spans", "items")
+    return contamination(found)
+
+
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_html_extract": op2_html_extract,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_sharding": op4_sharding,
     "op5_language_id": op5_language_id,
