@@ -2,5 +2,5 @@
 
 Entry point: :func:`dockline.process_export` (raw export -> lazy reports).
 """
-from .config import Ruleset, load_rules  # noqa: F401
-from .plans.pipeline import ProcessResult, enriched_orders, process_export  # noqa: F401
+from .config import Rules, load_rules  # noqa: F401
+from .plans.pipeline import ProcessResult, process_export  # noqa: F401

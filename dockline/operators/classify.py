@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import UNKNOWN_SITE, Ruleset, norm_key
+from ..config import UNKNOWN_SITE, Rules
 from ..functions.text import first_word, match_key
 
 
@@ -23,80 +23,79 @@ def lookup(key: Column, mapping: dict[str, Any], default: Any) -> Column:
     return F.lit(default) if expr is None else expr.otherwise(F.lit(default))
 
 
-def customer_group(ship_key: Column, carrier_key: Column, rules: Ruleset) -> Column:
-    """First matching rule's key, else the fallback key."""
-    expr = None
-    for r in rules.customers:
-        hits = ([ship_key.contains(p) for p in r.ship_to_contains]
-                + [ship_key.startswith(p) for p in r.ship_to_startswith]
-                + [carrier_key.contains(p) for p in r.carrier_contains])
-        if not hits:
-            continue
-        cond = hits[0]
-        for h in hits[1:]:
-            cond = cond | h
-        expr = F.when(cond, F.lit(r.key)) if expr is None else expr.when(cond, F.lit(r.key))
-    fb = F.lit(rules.fallback.key)
-    return fb if expr is None else expr.otherwise(fb)
-
-
-def site_label(ys: Column, rules: Ruleset) -> Column:
+def first_of(cases: list[tuple[Column, Any]], default: Column) -> Column:
+    """CASE WHEN over (condition, value) pairs in order."""
+    out = default
+    for condition, value in reversed(cases):
+        out = F.when(condition, F.lit(value)).otherwise(out)
+    return out
+
+
+def customer_group(ship_key: Column, carrier_key: Column, rules: Rules) -> Column:
+    """The group of the first pattern row that holds, else the fallback.  Rows
+    of one group are one condition, so the chain has a branch per group."""
+    keys = {"ship_to": ship_key, "carrier": carrier_key}
+    branches: dict[str, Column] = {}
+    for p in sorted(rules.patterns):
+        hit = getattr(keys[p.column], p.test)(p.text)
+        branches[p.group] = branches[p.group] | hit if p.group in branches else hit
+    return first_of([(hit, group) for group, hit in branches.items()], F.lit(rules.fallback))
+
+
+def site_label(ys: Column, rules: Rules) -> Column:
     """Configured label, 'Unknown' when missing, else the first word (case kept)."""
     key = match_key(ys)
-    labels = {k.upper(): v for k, v in rules.site_display.items()}
-    configured = None
-    for k, v in labels.items():
-        configured = F.when(key == k, F.lit(v)) if configured is None else configured.when(key == k, F.lit(v))
-    out = F.when(key == "", F.lit(UNKNOWN_SITE))
-    if configured is not None:
-        out = out.when(configured.isNotNull(), configured)
-    return out.otherwise(first_word(ys))
+    return first_of([(key == "", UNKNOWN_SITE), *((key == name, label) for name, label in rules.site_labels.items())],
+                    first_word(ys))
 
 
-def dsd_priority(ship_key: Column, rules: Ruleset) -> Column:
+def dsd_priority(ship_key: Column, rules: Rules) -> Column:
     """First label (sorted) with a pattern contained in the ship-to key; else null."""
-    expr = None
-    for label in sorted(rules.dsd_priorities):
-        pats = [norm_key(p) for p in rules.dsd_priorities[label] if norm_key(p)]
-        if not pats:
-            continue
-        cond = ship_key.contains(pats[0])
-        for p in pats[1:]:
-            cond = cond | ship_key.contains(p)
-        expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
-    none = F.lit(None).cast("string")
-    return none if expr is None else F.when(ship_key != "", expr)
-
-
-def classify(orders: DataFrame, rules: Ruleset) -> DataFrame:
+    hits = [(ship_key.contains(text), label) for label, texts in rules.dsd.items() for text in texts]
+    return first_of(hits, F.lit(None).cast("string"))
+
+
+def classify(orders: DataFrame, rules: Rules) -> DataFrame:
     """Add customer_group, customer_display/owner/priority/consequence,
     deadline_flag, customer_report and site."""
     ship = match_key(F.col("ship_to_name"))
     carrier = match_key(F.col("carrier_description"))
     grouped = orders.withColumn("customer_group", customer_group(ship, carrier, rules))
-    g = F.col("customer_group")
-    every = rules.all_rules()
-    fb = rules.fallback
+
+    def of_group(name: str) -> Column:
+        values = rules.values(name)
+        return lookup(F.col("customer_group"), values, values[rules.fallback])
     return grouped.withColumns({
-        "customer_display": lookup(g, {r.key: r.display for r in every}, fb.display),
-        "customer_owner": lookup(g, {r.key: r.owner_or_unassigned for r in every},
-                                 fb.owner_or_unassigned),
-        "customer_priority": lookup(g, {r.key: r.priority for r in every}, fb.priority),
-        "customer_consequence": lookup(g, {r.key: r.consequence for r in every}, fb.consequence),
-        "deadline_flag": lookup(g, {r.key: r.amazon_deadline for r in every}, fb.amazon_deadline),
-        "customer_report": lookup(g, rules.group_to_report(), ""),
+        "customer_display": of_group("display"),
+        "customer_owner": of_group("owner"),
+        "customer_priority": of_group("priority"),
+        "customer_consequence": of_group("consequence"),
+        "deadline_flag": of_group("amazon_deadline"),
+        "customer_report": lookup(F.col("customer_group"), rules.report_of_group(), ""),
         "site": site_label(F.col("ys"), rules),
     })
 
 
-def ordered_sites(orders: DataFrame, rules: Ruleset) -> DataFrame:
+def site_rank(site: Column, rules: Rules) -> Column:
+    """Section rank of a site label: configured order first (case-insensitive)."""
+    return lookup(F.lower(site), rules.site_rank, len(rules.site_rank))
+
+
+def ordered_sites(orders: DataFrame, rules: Rules) -> DataFrame:
     """Distinct non-blank sites with their section rank ``site_seq``
     (configured order first, case-insensitive, then alphabetical; two labels that
-    differ only in letter case are ordered by their text)."""
-    rank = {s.casefold(): i for i, s in enumerate(rules.site_order)}
-    folded = F.lower(F.col("site"))
-    sites = orders.filter(F.trim(F.col("site")) != "").select("site").distinct()
-    rank_expr = lookup(folded, rank, len(rank))
-    from pyspark.sql import Window  # window over the distinct sites only (tiny)
-    w = Window.orderBy(rank_expr, folded, F.col("site"))
-    return sites.select("site", F.row_number().over(w).cast("long").alias("site_seq"))
+    differ only in letter case are ordered by their text).
+
+    Sites are numbered in two steps, so that their number may grow with the
+    data: within each first character, then by the characters before it."""
+    sites = (orders.filter(F.trim(F.col("site")) != "").select("site").distinct()
+             .withColumn("rank", site_rank(F.col("site"), rules)).withColumn("folded", F.lower(F.col("site")))
+             .withColumn("lead", F.substring("folded", 1, 1)))
+    within = Window.partitionBy("rank", "lead").orderBy("folded", "site")
+    # one row per configured rank and first character
+    leads = sites.groupBy("rank", "lead").agg(F.count(F.lit(1)).alias("n"))
+    before = leads.withColumn("before", F.coalesce(F.sum("n").over(
+        Window.orderBy("rank", "lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (sites.withColumn("nth", F.row_number().over(within))
+            .join(before.select("rank", "lead", "before"), ["rank", "lead"])
+            .select("site", (F.col("before") + F.col("nth")).cast("long").alias("site_seq")))

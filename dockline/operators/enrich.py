@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import (AT_RISK, CRITICAL, IN_PROGRESS, ISSUE_TYPES, NOT_STARTED, PRIORITIES,
-                      READY, RESOLVED, Ruleset)
+                      READY, RESOLVED, Rules)
 from ..functions.dates import as_of_midnight, days_between
 from .classify import lookup
 
@@ -39,13 +39,12 @@ def due_date(planned: Column, route: Column, dock: Column, deadline_flag: Column
     return F.least(planned, route, F.when(deadline_flag, dock))
 
 
-def enrich(df: DataFrame, as_of: dt.date, rules: Ruleset) -> DataFrame:
+def enrich(df: DataFrame, as_of: dt.date, rules: Rules) -> DataFrame:
     midnight = as_of_midnight(as_of)
-    at_risk_days = rules.window("at_risk_days", 2)
-    crit_days = rules.window("amazon_cancel_critical_days", 2)
-    risk_days = rules.window("amazon_cancel_at_risk_days", 5)
-    high_days = rules.window("not_started_high_days", 2)
-    medium_days = rules.window("not_started_medium_days", 5)
+    days = rules.windows
+    at_risk_days = days["at_risk_days"]
+    crit_days, risk_days = days["amazon_cancel_critical_days"], days["amazon_cancel_at_risk_days"]
+    high_days, medium_days = days["not_started_high_days"], days["not_started_medium_days"]
 
     pick = F.col("picking_in_pct")
     planned, route = F.col("planned_dlv_date"), F.col("route_depart_date")

@@ -10,22 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ALL_PLANTS, Ruleset
+from ..config import ALL_PLANTS, Rules
 from ..functions.agg import count_where, money_sum
-from .classify import lookup
+from .classify import site_rank
 
 SUMMARY_COLUMNS = ["site", "total_orders", "total_price", "late_orders", "late_value",
                    "completed", "completed_value", "partial", "partial_value",
                    "not_started", "not_started_value"]
 
 
-def site_rank(site, rules: Ruleset):
-    """Section rank of a site label: configured order first (case-insensitive)."""
-    rank = {s.casefold(): i for i, s in enumerate(rules.site_order)}
-    return lookup(F.lower(site), rank, len(rank))
-
-
-def all_plants_summary(orders: DataFrame, rules: Ruleset, ordered: bool = True) -> DataFrame:
+def all_plants_summary(orders: DataFrame, rules: Rules, ordered: bool = True) -> DataFrame:
     amt = F.col("sales_order_total")
     late = F.col("is_late")
     buckets = {"completed": F.col("is_picking_complete"),
