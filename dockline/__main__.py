@@ -24,17 +24,21 @@ from .sources.export import read_export
 
 def main(argv=None, spark: SparkSession | None = None) -> dict:
     p = argparse.ArgumentParser(prog="dockline", description=__doc__.splitlines()[0])
-    p.add_argument("--input", nargs="+", required=True, help="export path(s); the best table wins")
+    p.add_argument("--input", nargs="+", required=True, help="files, folders or globs of one export; all are read")
     p.add_argument("--format", default="csv", choices=["csv", "parquet"])
     p.add_argument("--as-of", required=True, help="YYYY-MM-DD")
     p.add_argument("--out", required=True)
     p.add_argument("--rules", default=None, help="YAML or JSON rules (default: built-in)")
     p.add_argument("--sep", default=",")
+    p.add_argument("--now", type=dt.datetime.fromisoformat, default=None,
+                   help="run clock in the texts (default: current plant time)")
+    p.add_argument("--single-line", action="store_true", help="no cell holds a line break (splits huge files)")
     a = p.parse_args(argv)
     spark = spark or SparkSession.builder.getOrCreate()
     as_of = dt.date.fromisoformat(a.as_of)
-    raw = read_export(spark, a.input, fmt=a.format, export_id=a.as_of, sep=a.sep)
-    res = process_export(raw, as_of, load_rules(a.rules))
+    raw = read_export(spark, a.input, fmt=a.format, export_id=a.as_of, sep=a.sep,
+                      multiline=not a.single_line)
+    res = process_export(raw, as_of, load_rules(a.rules), now=a.now)
     write_all(res, a.out, fmt="parquet")
     meta = {r["metric"]: r["value"] for r in res.run_summary().collect()}
     meta["warnings"] = res.warnings()

@@ -1,97 +1,176 @@
 """Read raw text exports (CSV or Parquet) into the canonical schema.
 
-Every cell is read as text (no inference).  Headers are resolved on the driver
-from metadata only (A3-A8, ``headers.to_canonical``).  Each row gets an
+Every cell is read as text (no inference).  All files of an export are read.
+Files may have different headers: each file's header row is resolved on the
+driver (its first record, nothing else), files with the same header row are read
+together, and the canonical frames are put one below the other.  Each row gets an
 ``ordinal`` that reproduces file order without a global sort:
-``(file path, split start, position within the split)`` for CSV and
-``(file path, row index)`` for Parquet.
+``(file path, split start, position within the split)``.
 """
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.materialize import spread
-from .headers import COLUMNS, ExportSchemaError, score_headers, to_canonical
+from .headers import COLUMNS, ExportSchemaError, HeaderMap
 
 # Cell texts read as missing by default (the spreadsheet reader's
 # default NA tokens).
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
                "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
                "nan", "null")
-
-
-def _csv_headers(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
-    first = (spark.read.option("header", False).option("sep", sep).option("encoding", encoding)
-             .csv(path).limit(1).collect())
-    if not first:
-        raise ExportSchemaError("The export is empty.")
-    return ["" if v is None else v for v in first[0]]
-
-
-def read_csv_table(spark: SparkSession, path: str, sep: str = ",",
-                   encoding: str = "UTF-8") -> tuple[DataFrame, list[str]]:
-    """All-text CSV with positional column names; returns (frame, raw headers)."""
-    headers = _csv_headers(spark, path, sep, encoding)
+HEAD_BYTES = 1 << 16
+
+
+def list_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """The data files that paths, folders and globs stand for, in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found: list[str] = []
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(conf)
+        for status in fs.globStatus(at) or []:
+            inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+            found += sorted(f.getPath().toString() for f in inner
+                            if f.isFile() and f.getPath().getName()[:1] not in ("_", "."))
+    if not found:
+        raise ExportSchemaError(f"No files at {', '.join(paths)}.")
+    return list(dict.fromkeys(found))
+
+
+def read_header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
+    """The first record of a CSV file; cells may be quoted and hold line breaks."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+    size = HEAD_BYTES
+    while True:
+        stream = at.getFileSystem(conf).open(at)
+        stream = codec.createInputStream(stream) if codec is not None else stream
+        try:
+            head = bytes(stream.readNBytes(size))
+        finally:
+            stream.close()
+        text = head.decode(encoding, "replace").removeprefix("\ufeff")
+        reader = csv.reader(io.StringIO(text, newline=""), delimiter=sep)
+        first = next((r for r in reader if r), [])
+        whole = next(reader, None) is not None  # a second record begins: the first one is complete
+        if whole or len(head) < size:
+            return first
+        size *= 4
+
+
+def read_csv(spark: SparkSession, files: Sequence[str], headers: Sequence[str], sep: str, encoding: str,
+             multiline: bool) -> DataFrame:
+    """Cells ``_c0``.. of CSV files with one header row, and the ordinal.  Quotes
+    inside quoted cells are doubled (RFC 4180)."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
-    df = (spark.read.option("header", True).option("enforceSchema", True).option("sep", sep)
-          .option("encoding", encoding).option("multiLine", False).schema(schema).csv(path))
-    ordinal = F.struct(F.col("_metadata.file_path").alias("k1"),
-                       F.col("_metadata.file_block_start").alias("k2"),
-                       F.monotonically_increasing_id().alias("k3"))
-    return df.select("*", ordinal.alias("ordinal")), headers
-
-
-def read_parquet_table(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    df = spark.read.parquet(path)
-    headers = list(df.columns)
-    renamed = df.toDF(*[f"_c{i}" for i in range(len(headers))])
-    ordinal = F.struct(F.col("_metadata.file_path").alias("k1"),
-                       F.col("_metadata.row_index").alias("k2"))
-    return (renamed.select(*[F.col(f"_c{i}").cast("string") for i in range(len(headers))],
-                           ordinal.alias("ordinal")), headers)
-
-
-def _apply_headers(df: DataFrame, headers: list[str], export_id: str,
-                   null_tokens: Sequence[str]) -> DataFrame:
-    """Positional header mapping (duplicate raw headers are fine), then null tokens."""
-    base = df.withColumn("export_id", F.lit(export_id))
-    canon = to_canonical(base.toDF(*headers, "ordinal", "export_id"))
-    tokens = list(null_tokens)
-    if tokens:
-        canon = canon.select(*[F.when(F.col(c).isin(*tokens), F.lit(None).cast("string"))
-                               .otherwise(F.col(c)).alias(c) for c in COLUMNS],
-                             "ordinal", "export_id")
-    return canon
+    lines = multiline or any("\n" in h or "\r" in h for h in headers)
+    cells = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep)
+             .option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", lines)
+             .csv(list(files)))
+    return cells.select("*", F.struct(F.col("_metadata.file_path").alias("k1"),
+                                      F.col("_metadata.file_block_start").alias("k2"),
+                                      F.monotonically_increasing_id().alias("k3")).alias("ordinal"))
+
+
+def read_parquet(spark: SparkSession, files: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    table = spark.read.parquet(*files)
+    cells = table.toDF(*(f"_c{i}" for i in range(len(table.columns))))
+    ordinal = F.struct(F.col("_metadata.file_path").alias("k1"), F.col("_metadata.row_index").alias("k2"),
+                       F.lit(0).cast("long").alias("k3"))
+    return cells.select(*(cell_text(F.col(f.name), f.dataType).alias(f.name) for f in cells.schema),
+                        ordinal.alias("ordinal")), table.columns
+
+
+def cell_text(c: Column, kind: T.DataType) -> Column:
+    """A typed cell as its text; floating numbers without an exponent, and whole
+    ones without a fraction (an id stored as a double stays an id)."""
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
+        return c.cast("string")
+    whole = c.cast("decimal(38,0)").cast("string")
+    part = F.regexp_replace(c.cast("decimal(38,12)").cast("string"), "0+$", "")
+    return F.when(c == F.floor(c), F.coalesce(whole, c.cast("string"))).otherwise(F.coalesce(part, c.cast("string")))
+
+
+def canonical(cells: DataFrame, headers: HeaderMap, export_id: Column, null_tokens: Sequence[str]) -> DataFrame:
+    """The 35 canonical text columns, ordinal and export_id from positional cells."""
+    names = [c for c in cells.columns if c != "ordinal"]
+    rows = cells.select(*headers.columns([F.col(c) for c in names]), "ordinal", export_id.alias("export_id"))
+    if not null_tokens:
+        return rows
+    return rows.select(*(F.when(~F.col(c).isin(*null_tokens), F.col(c)).alias(c) for c in COLUMNS),
+                       "ordinal", "export_id")
+
+
+def _tables(spark, paths, fmt, sep, encoding, multiline) -> list[tuple[HeaderMap, DataFrame, str]]:
+    """(headers, cells, a file's name) for each distinct header row."""
+    files = list_files(spark, [paths] if isinstance(paths, str) else list(paths))
+    groups: dict[tuple, list[str]] = {}
+    if fmt == "csv":
+        for f in files:
+            groups.setdefault(tuple(read_header(spark, f, sep, encoding)), []).append(f)
+        if groups.pop((), None) and not groups:
+            raise ExportSchemaError("The export is empty.")
+        return [(HeaderMap(h), read_csv(spark, g, h, sep, encoding, multiline), g[0]) for h, g in groups.items()]
+    for f in files:
+        schema = spark.read.parquet(f).schema  # footer only
+        groups.setdefault(tuple((x.name, x.dataType.simpleString()) for x in schema), []).append(f)
+    tables = [(read_parquet(spark, g), g[0]) for g in groups.values()]
+    return [(HeaderMap(h), cells, f) for (cells, h), f in tables]
 
 
 def read_export(spark: SparkSession, paths: str | Sequence[str], fmt: str = "csv",
                 export_id: str = "export", null_tokens: Sequence[str] = NULL_TOKENS,
-                sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A1 + A2: read each candidate table, keep the one whose headers resolve the
-    most required columns (first wins ties), map it to the canonical schema."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    if not paths:
+                sep: str = ",", encoding: str = "UTF-8", multiline: bool = True) -> DataFrame:
+    """A1: every file of an export, in the canonical schema.
+
+    ``multiline``: cells may hold line breaks.  A file is then read by one task,
+    so an export should be many files; pass False for huge files that are known
+    to have no such cells.  A file without the required columns is an error."""
+    out = None
+    for headers, cells, name in _tables(spark, paths, fmt, sep, encoding, multiline):
+        part = canonical(spread(cells), headers.require(name), F.lit(export_id), null_tokens)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def pick_export(spark: SparkSession, candidates: Sequence[str], fmt: str = "csv", **options) -> DataFrame:
+    """A2: of candidate tables that hold the same upload (the sheets of a workbook,
+    say), the one with the most required columns; the first one wins ties."""
+    if not candidates:
         raise ExportSchemaError("The export contains no tables.")
-    tables = [read_csv_table(spark, p, sep, encoding) if fmt == "csv" else read_parquet_table(spark, p)
-              for p in paths]
-    best = max(range(len(tables)), key=lambda i: (score_headers(tables[i][1]), -i))
-    df, headers = tables[best]
-    return _apply_headers(spread(df), headers, export_id, null_tokens)
+    look = {k: options.get(k, d) for k, d in (("sep", ","), ("encoding", "UTF-8"), ("multiline", True))}
+    scores = [max(h.score for h, _, _ in _tables(spark, c, fmt, **look)) for c in candidates]
+    return read_export(spark, candidates[scores.index(max(scores))], fmt, **options)
 
 
 def from_rows(spark: SparkSession, headers: Sequence[str], rows: Sequence[Sequence],
               export_id: str = "export", null_tokens: Sequence[str] = ()) -> DataFrame:
     """A small literal export (tests, hand-entered uploads): text cells in
     ``rows`` under raw ``headers``; the ordinal is the row position."""
-    width = len(headers)
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)]
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))]
                           + [T.StructField("_row", T.LongType())])
     data = [tuple(None if v is None else str(v) for v in r) + (i,) for i, r in enumerate(rows)]
-    df = spark.createDataFrame(data, schema)
-    df = df.select(*[f"_c{i}" for i in range(width)],
-                   F.struct(F.col("_row").alias("k1")).alias("ordinal"))
-    return _apply_headers(df, list(headers), export_id, null_tokens)
+    cells = spark.createDataFrame(data, schema)
+    cells = cells.select(*(f"_c{i}" for i in range(len(headers))), F.struct(F.col("_row").alias("k1")).alias("ordinal"))
+    return canonical(cells, HeaderMap(headers).require(), F.lit(export_id), null_tokens)
+
+
+def from_table(table: DataFrame, export_id: Column, ordinal: Column,
+               null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+    """An export that is already a DataFrame: its column names are the raw headers,
+    ``export_id`` and ``ordinal`` are expressions over it."""
+    names = table.columns
+    rows = table.select(ordinal.alias("ordinal"), export_id.alias("export_id"),
+                        *(cell_text(F.col(f"`{f.name.replace('`', '``')}`"), f.dataType).alias(f"_c{i}")
+                          for i, f in enumerate(table.schema)))
+    return canonical(rows.select(*(f"_c{i}" for i in range(len(names))), "ordinal", "export_id")
+                     .withColumnRenamed("export_id", f"_c{len(names)}"),
+                     HeaderMap(names).require(), F.col(f"_c{len(names)}"), null_tokens)

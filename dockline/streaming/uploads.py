@@ -1,17 +1,15 @@
 """Daily uploads as a Structured Streaming source.
 
-Every upload regenerates everything from scratch and no state is kept
-between days.  On Spark that maps to a file stream of exports with
-``foreachBatch``: each micro-batch is one or more new uploads; every upload
-(its ``export_id`` = file name) is processed by the batch pipeline and its
-outputs are written under ``as_of=<day>`` folders that are overwritten as a
-whole, so a re-upload of a day replaces that day's outputs.  There is deliberately no
-streaming state (no watermark, no aggregation across batches): "late" in this
-domain is a business flag, not late-arriving data.
+The stream carries the names of new uploads; each upload is then read by the
+batch reader (``sources.export``), so headers, quoting and missing-value tokens
+are those of a batch run.  Every upload regenerates its day from scratch: outputs
+go to ``as_of=<day>`` folders that are overwritten as a whole.  Of several uploads
+of one day in a micro-batch the one modified last wins.  There is deliberately no
+streaming state: "late" in this domain is a business flag, not late data.
 
 The checkpoint location must be on shared storage (e.g. under the cluster's
-``spark.checkpoint.dir``) so a restarted query resumes after executor or
-driver loss without reprocessing committed batches.
+``spark.checkpoint.dir``) so a restarted query resumes after executor or driver
+loss without reprocessing committed batches.
 """
 from __future__ import annotations
 
@@ -20,57 +18,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..config import Ruleset, load_rules
+from ..config import Rules, load_rules
 from ..plans.pipeline import process_export
 from ..sinks.catalog import write_all
-from ..sources.headers import to_canonical
+from ..sources.export import read_export
 
+FILES = "path string, modificationTime timestamp, length long, content binary"
 
-def upload_stream(spark: SparkSession, folder: str, headers: list[str], sep: str = ",") -> DataFrame:
-    """New CSV uploads under ``folder`` (all with the given raw header row), as
-    positional text columns plus the file path and split start of each row."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
-    df = (spark.readStream.schema(schema).option("header", True).option("sep", sep)
-          .option("enforceSchema", True).csv(folder))
-    return df.select("*", F.col("_metadata.file_path").alias("_file"),
-                     F.col("_metadata.file_block_start").alias("_block"))
 
+def upload_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, modified) of new files under ``folder``; contents are not read."""
+    return (spark.readStream.format("binaryFile").schema(FILES).load(folder)
+            .select("path", F.col("modificationTime").alias("modified")))
 
-def to_export(batch: DataFrame, headers: list[str]) -> DataFrame:
-    """Canonical raw export of one micro-batch (static), with a file-order ordinal."""
-    ordinal = F.struct(F.col("_file").alias("k1"), F.col("_block").alias("k2"),
-                       F.monotonically_increasing_id().alias("k3"))
-    export_id = F.element_at(F.split(F.col("_file"), "/"), -1)
-    data = [f"_c{i}" for i in range(len(headers))]
-    return to_canonical(batch.select(*data, ordinal.alias("ordinal"), export_id.alias("export_id"))
-                        .toDF(*headers, "ordinal", "export_id"))
 
-
-def process_batch(out_dir: str, headers: list[str], as_of_for: Callable[[str], dt.date],
-                  rules: Ruleset | None = None):
+def process_batch(out_dir: str, as_of_for: Callable[[str], dt.date], rules: Rules | None = None,
+                  now: dt.datetime | None = None, **read_options):
     """``foreachBatch`` handler: run the pipeline per upload, overwrite its day."""
     rules = rules or load_rules()
 
-    def handle(raw_batch: DataFrame, batch_id: int) -> None:
-        batch = to_export(raw_batch, headers)
-        ids = [r["export_id"] for r in batch.select("export_id").distinct().collect()]
-        for export_id in ids:  # one upload = one day's run (bounded by files per batch)
-            as_of = as_of_for(export_id)
-            res = process_export(batch.filter(F.col("export_id") == export_id), as_of, rules,
-                                 require_rows=False)
+    def handle(files: DataFrame, batch_id: int) -> None:
+        newest: dict[dt.date, str] = {}
+        for path, _ in sorted(files.collect(), key=lambda f: (f["modified"], f["path"])):  # names of new files
+            newest[as_of_for(path.rsplit("/", 1)[-1])] = path
+        for as_of, path in sorted(newest.items()):
+            raw = read_export(files.sparkSession, path, export_id=as_of.isoformat(), **read_options)
+            res = process_export(raw, as_of, rules, now=now, require_rows=False)
             write_all(res, out_dir)
-            res.orders.unpersist()
+            res.release()
 
     return handle
 
 
-def start(spark: SparkSession, folder: str, headers: list[str], out_dir: str,
-          checkpoint: str, as_of_for: Callable[[str], dt.date], available_now: bool = False):
+def start(spark: SparkSession, folder: str, out_dir: str, checkpoint: str, as_of_for: Callable[[str], dt.date],
+          available_now: bool = False, **options):
     """Start the upload query; ``available_now`` processes what is there and stops."""
-    writer = (upload_stream(spark, folder, headers).writeStream
-              .foreachBatch(process_batch(out_dir, headers, as_of_for))
+    writer = (upload_stream(spark, folder).writeStream
+              .foreachBatch(process_batch(out_dir, as_of_for, **options))
               .option("checkpointLocation", checkpoint))
     writer = writer.trigger(availableNow=True) if available_now else writer
     return writer.start()

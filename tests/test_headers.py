@@ -1,132 +1,126 @@
 import pytest
 
-from dockline.sources.headers import (ExportSchemaError, header_mapping, normalize_header,
-                                      resolve_header, score_headers)
-from dockline.sources.export import from_rows
+from dockline.sources.export import from_rows, pick_export, read_export
+from dockline.sources.headers import (ALIASES, COLUMNS, DISPLAY, REQUIRED, ExportSchemaError, HeaderMap, header_audit,
+                                      normalize_header)
 
+HEADERS = "Plant,Facility Code,Picking in %,Planned Dlv. Date,Route Depart. Date,LE Delivery,Ship-to Name,Goods Issue," \
+          "Sales Order Total"
 
-def test_normalization_tolerates_spacing_case_newlines():
-    assert resolve_header("  ship-to name ") == "Ship-to Name"
-    assert resolve_header("SHIP-TO NAME") == "Ship-to Name"
-    assert resolve_header("Planned Dlv. Date\n") == "Planned Dlv. Date"
-    assert resolve_header("Picking in %") == "Picking in %"
-    assert resolve_header("Route Departure Date") == "Route Depart. Date"
-    assert resolve_header("totally unknown column") is None
-    assert normalize_header(None) == ""
-    assert normalize_header(" -Cust. Reference:; ") == "cust. reference"
 
+def line(number, **kw):
+    cells = dict(plant="Laval DC", code="DSD", pct="5", planned="2031-04-01", route="2031-03-30", id=f"70{number}",
+                 name="Deli", gi="Open", total="12") | kw
+    return ",".join(cells.values())
 
-def test_site_header_aliases_and_exact_first():
-    assert resolve_header("Warehouse") == "ys"
-    assert resolve_header("Plant") == "ys"
-    assert resolve_header("Description") == "ys"
-    assert resolve_header("Description", exact_only=True) is None
-    # a literal "ys" further right claims the slot before the loose alias
-    assert header_mapping(["Description", "ys"]) == [None, "ys"]
-    # first occurrence wins among duplicates
-    assert header_mapping(["Cases", "cases"]) == ["Cases", None]
 
+def test_headers_are_compared_by_their_words():
+    assert normalize_header(" -Sales\r\nOrder\t Total:; ") == "sales order total"
+    assert normalize_header(None) == normalize_header(" .-_ ") == ""
+    for d in DISPLAY:
+        assert list(HeaderMap([f"\n {d.upper()} : "]).at) == [d]
+    for alias, d in ALIASES.items():
+        assert d in HeaderMap([alias.title()]).at
 
-def test_score_counts_required_columns():
-    assert score_headers(["LE Delivery", "Goods Issue", "junk"]) == 2
 
+def test_names_beat_aliases_and_left_beats_right():
+    assert HeaderMap(["werks", "Plant", "YS", "ys "]).at == {"ys": 2}
+    assert HeaderMap(["site", "warehouse"]).at == {"ys": 0}
+    assert HeaderMap(["Picking %", "x", "picking in"]).at == {"Picking in %": 0}
+    both = HeaderMap(["Goods Issue", "?", "LE Delivery"])
+    assert both.score == 2 and len(both.missing) == len(REQUIRED) - 2
+    with pytest.raises(ExportSchemaError, match="Ship-to Name.*Recognized columns: Goods Issue, LE Delivery"):
+        both.require()
 
-def test_missing_required_columns_raise(spark):
-    with pytest.raises(ExportSchemaError):
-        from_rows(spark, ["ys", "LE Delivery", "Cases"], [["Calgary", "1", "3"]])
-
-
-def test_missing_optional_columns_become_blank(spark):
-    from helpers import DEFAULTS
-    headers = [h for h in DEFAULTS if h != "ys"]
-    df = from_rows(spark, headers, [[DEFAULTS[h] for h in headers]])
-    assert "ys" in df.columns and df.first()["ys"] is None
-
-
-def test_csv_export_with_messy_headers(spark, tmp_path):
-    from dockline.sources.export import read_export
-    p = tmp_path / "export.csv"
-    p.write_text("Site,Facility Code,Picking in %,Planned Delivery Date,Route Departure Date,"
-                 "LE Delivery,SHIP-TO NAME,Goods Issue,Sales Order Total,Extra\n"
-                 "Calgary Warehouse,Warehouse,50,2026-07-22,2026-07-20,80100001,AMAZON X,"
-                 "Not Started,1000,zzz\n"
-                 "Surrey Warehouse,DSD,N/A,2026-07-22,2026-07-20,80100002,GFS Y,"
-                 "Not Started,2000,zzz\n")
-    df = read_export(spark, str(p))
-    got = [r.asDict() for r in df.orderBy("le_delivery").collect()]
-    assert [g["ys"] for g in got] == ["Calgary Warehouse", "Surrey Warehouse"]
-    assert got[1]["picking_in_pct"] is None  # default NA token
-    assert got[0]["ship_to_name"] == "AMAZON X"
-    assert "Extra" not in df.columns
-
-
-def test_header_audit(spark):
-    from dockline.sources.headers import header_audit
-    df = spark.createDataFrame([("Planned Dlv. Date\n",), ("Plant",), ("junk",), (None,)], "header string")
+
+def test_absent_columns_are_blank(spark):
+    row = from_rows(spark, [*REQUIRED, "junk"], [[*"abcdefgh", "z"]]).first()
+    assert [row[c] for c in COLUMNS if row[c] is not None] == ["a", "b", "d", "c", "e", "f", "g", "h"]
+
+
+def test_audit_table(spark):
+    df = spark.createDataFrame([("GOODS\nISSUE",), ("Werks",), ("zzz",), (None,)], "header string")
     got = {r["header"]: (r["canonical"], r["via_alias"]) for r in header_audit(df).collect()}
-    assert got["Planned Dlv. Date\n"] == ("Planned Dlv. Date", False)
-    assert got["Plant"] == ("ys", True)
-    assert got["junk"] == (None, None)
-
-
-def test_headers_but_no_rows_raise(spark):
-    from dockline import load_rules, process_export
-    from helpers import AS_OF, DEFAULTS, export
-    import pytest as _pytest
-    blank = {k: " " for k in DEFAULTS}
-    with _pytest.raises(ExportSchemaError):
-        process_export(export(spark, blank), AS_OF, load_rules())
-
-
-def test_parquet_export_and_table_picking(spark, tmp_path):
-    from dockline.sources.export import read_export
-    good = spark.createDataFrame(
-        [("Calgary Warehouse", "Warehouse", "0.5", "2026-07-22", "2026-07-20", "801", "GFS A",
-          "Not Started", "10")],
-        "`ys` string, `Facility Code` string, `Picking in %` string, `Planned Dlv. Date` string, "
-        "`Route Depart. Date` string, `LE Delivery` string, `Ship-to Name` string, "
-        "`Goods Issue` string, `Sales Order Total` string")
-    summary_sheet = spark.createDataFrame([("x", "1")], "Site string, `LE Delivery` string")
-    g, s = str(tmp_path / "good"), str(tmp_path / "summary")
-    good.write.parquet(g)
-    summary_sheet.write.parquet(s)
-    df = read_export(spark, [s, g], fmt="parquet")  # the best-scoring table wins
-    row = df.first()
-    assert row["ship_to_name"] == "GFS A" and row["picking_in_pct"] == "0.5"
-    assert row["ordinal"]["k2"] == 0
-
-
-def test_duplicate_and_dotted_headers_with_custom_separator(spark, tmp_path):
-    from dockline.sources.export import read_export
-    p = tmp_path / "dup.csv"
-    p.write_text("Description;ys;Facility Code;Picking in %;Planned Dlv. Date;Route Depart. Date;"
-                 "LE Delivery;LE Delivery;Ship-to Name;Goods Issue;Sales Order Total\n"
-                 "Wrong;Calgary Warehouse;Warehouse;NA;2026-07-22;2026-07-20;801;999;X;Not Started;5\n")
-    row = read_export(spark, str(p), sep=";").first()
-    assert row["ys"] == "Calgary Warehouse"      # literal ys beats the alias
-    assert row["le_delivery"] == "801"           # first of the duplicates wins
-    assert row["picking_in_pct"] is None         # NA token
-
-
-def test_two_uploads_in_one_run_are_independent(spark):
-    from pyspark.sql import functions as F
-    from dockline.operators.clean import dedup_orders, typed_export
-    from helpers import DEFAULTS
-    from dockline.sources.export import from_rows
-    headers = list(DEFAULTS)
-
-    def rows(pcts):
-        out = []
-        for pct in pcts:
-            rec = dict(DEFAULTS)
-            rec["Picking in %"] = pct
-            out.append([rec[h] for h in headers])
-        return out
-
-    a = from_rows(spark, headers, rows(["0.5", "0.2"]), export_id="a")  # fractions: x100
-    b = from_rows(spark, headers, rows(["50", "20"]), export_id="b")    # already percent
-    typed = typed_export(a.unionByName(b))
-    got = sorted((r["export_id"], r["picking_in_pct"]) for r in typed.collect())
-    assert got == [("a", 20.0), ("a", 50.0), ("b", 20.0), ("b", 50.0)]
-    # same delivery id in two uploads: one order per upload
-    assert dedup_orders(typed).groupBy("export_id").count().count() == 2
+    assert got == {"GOODS\nISSUE": ("Goods Issue", False), "Werks": ("ys", True), "zzz": (None, None), None: (None, None)}
+
+
+def test_all_files_are_read_each_by_its_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"{HEADERS}\n{line(1)}\n{line(2)}\n")
+    turned = HEADERS.split(",")[::-1]
+    (tmp_path / "b.csv").write_text(",".join(turned) + "\n" + ",".join(line(3).split(",")[::-1]) + "\n")
+    (tmp_path / "c.csv").write_text(f"{HEADERS}\n{line(4)}\n")
+    for paths in (str(tmp_path), str(tmp_path / "*.csv"), [str(tmp_path / f"{n}.csv") for n in "abc"]):
+        got = sorted((r["le_delivery"], r["ys"], r["sales_order_total"]) for r in read_export(spark, paths).collect())
+        assert got == [(f"70{k}", "Laval DC", "12") for k in (1, 2, 3, 4)]
+    (tmp_path / "d.csv").write_text("Cases,Goods Issue\n1,Open\n")
+    with pytest.raises(ExportSchemaError, match="d.csv"):
+        read_export(spark, str(tmp_path))
+    with pytest.raises(ExportSchemaError):
+        read_export(spark, str(tmp_path / "nothing*"))
+
+
+def test_quotes_commas_and_line_breaks_in_cells_and_headers(spark, tmp_path):
+    head = HEADERS.replace("Goods Issue", '"Goods\nIssue"')
+    rows = [line(1, name='"JO ""THE"" BAKER, LTD"'), line(2, name='"two\nlines"'), line(3, total="N/A")]
+    (tmp_path / "x.csv").write_text("﻿" + head + "\n" + "\n".join(rows) + "\n", encoding="utf-8")
+    got = {r["le_delivery"]: r for r in read_export(spark, str(tmp_path / "x.csv")).collect()}
+    assert sorted(got) == ["701", "702", "703"]
+    assert got["701"]["ship_to_name"] == 'JO "THE" BAKER, LTD' and got["701"]["sales_order_total"] == "12"
+    assert got["702"]["ship_to_name"] == "two\nlines" and got["702"]["goods_issue"] == "Open"
+    assert got["703"]["sales_order_total"] is None  # a token for a missing value
+
+
+def test_other_separators_doubled_headers_and_compressed_files(spark, tmp_path):
+    import gzip
+    text = f"{HEADERS},LE Delivery,Description\n{line(1)},999,wrong\n".replace(",", ";")
+    (tmp_path / "x.csv.gz").write_bytes(gzip.compress(text.encode()))
+    row = read_export(spark, str(tmp_path), sep=";").first()
+    assert (row["le_delivery"], row["ys"]) == ("701", "Laval DC")
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "empty.csv").write_text("")
+    with pytest.raises(ExportSchemaError, match="empty"):
+        read_export(spark, str(tmp_path / "e"))
+
+
+def test_typed_parquet_cells_as_text(spark, tmp_path):
+    names = ", ".join(f"`{h}` {'double' if h in ('LE Delivery', 'Sales Order Total', 'Picking in %') else 'string'}"
+                      for h in HEADERS.split(","))
+    rows = [("L", "DSD", 0.75, "2031-04-01", "x", 80117458123.0, "n", "Open", 1234567.25),
+            ("L", "DSD", 1e-7, "2031-04-01", "x", 7.0, "n", "Open", 3e9), ("L", "DSD", None, "x", "x", 8.0, "n", "o", None)]
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "p"))
+    got = {r["le_delivery"]: (r["picking_in_pct"], r["sales_order_total"])
+           for r in read_export(spark, str(tmp_path / "p"), fmt="parquet").collect()}
+    assert got == {"80117458123": ("0.75", "1234567.25"), "7": ("0.0000001", "3000000000"), "8": (None, None)}
+
+
+def test_best_of_several_candidates(spark, tmp_path):
+    (tmp_path / "notes.csv").write_text("Plant,Cases\nx,1\n")
+    (tmp_path / "data.csv").write_text(f"{HEADERS}\n{line(1)}\n")
+    df = pick_export(spark, [str(tmp_path / "notes.csv"), str(tmp_path / "data.csv")])
+    assert [r["le_delivery"] for r in df.collect()] == ["701"]
+
+
+def test_one_export_at_a_time_and_not_without_rows(spark):
+    from dockline import process_export
+    from helpers import AS_OF, COLS, order, raw_export
+    two = raw_export(spark, [order(1)], export_id="a").unionByName(raw_export(spark, [order(1)], export_id="b"))
+    with pytest.raises(ExportSchemaError, match="more than one export"):
+        process_export(two, AS_OF, materialize="persist")
+    with pytest.raises(ExportSchemaError, match="no data rows"):
+        process_export(raw_export(spark, [{c: " " for c in COLS}]), AS_OF, materialize="persist")
+
+
+def test_session_settings_come_back_and_the_clock_is_the_plants(spark):
+    import datetime as dt
+    from dockline import process_export
+    from helpers import AS_OF, order, raw_export
+    key = "spark.sql.constraintPropagation.enabled"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "true")
+        res = process_export(raw_export(spark, [order(1)]), AS_OF, materialize="persist")
+        assert spark.conf.get(key) == "true" and res.orders.count() == 1
+        off = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) - res.now
+        assert dt.timedelta(hours=5.9) < off < dt.timedelta(hours=7.1)
+    finally:
+        spark.conf.set(key, was)
