@@ -1,9 +1,8 @@
 """Lenient date parsing and display formatting as native Column expressions.
 
 All parsed values are ``TIMESTAMP_NTZ`` (naive wall-clock), like the exports.
-``try_to_timestamp`` interprets text in the session time zone and the cast to
-NTZ converts back in the same zone, so the wall clock is preserved; run the
-session in UTC (as ``dockline.session`` does) to also avoid DST gaps.
+Every layout is rewritten to ISO text and cast once, so the session's time zone
+plays no part.  Text that fits no layout is null, as a missing date would be.
 """
 from __future__ import annotations
 
@@ -21,22 +20,24 @@ MAX_SERIAL_DAYS = 106752
 # 4-digit text is read as 1 January of that year inside this range.
 YEAR_MIN, YEAR_MAX = 1678, 2261
 
-# Text layouts, grouped by the shape of the text so each value is tried only
-# against layouts that can match it (a failed parse is expensive).  Within a
-# group the first matching layout wins; month-first before day-first.
+# ISO text, which the cast reads as it is.
 _ISO = r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?)?$"
-SHAPES: list[tuple[str, list[str]]] = [
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["M/d/yyyy", "d/M/yyyy"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})?$",
-     ["M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "d/M/yyyy H:mm:ss", "d/M/yyyy H:mm"]),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}(:\d{2})? ?[AaPp][Mm]$",
-     ["M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a", "M/d/yyyy h:mm:ssa", "M/d/yyyy h:mma"]),
-    (r"^\d{4}/\d{1,2}/\d{1,2}( \d{1,2}:\d{2}:\d{2})?$", ["yyyy/M/d H:mm:ss", "yyyy/M/d"]),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["M-d-yyyy", "d-M-yyyy"]),
-    (r"^[A-Za-z]{3,9}\.? \d{1,2},? \d{4}$", ["MMM d, yyyy", "MMM d yyyy", "MMMM d, yyyy",
-                                               "MMMM d yyyy"]),
-    (r"^\d{1,2} [A-Za-z]{3,9} \d{4}$", ["d MMM yyyy", "d MMMM yyyy"]),
+# Other layouts: a date, then perhaps a time.  Their parts are put together as
+# ISO text and cast once, so no time zone and no parse exception is involved.
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september",
+           "october", "november", "december"]
+_MONTH = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m != "september" else "sep(?:t(?:ember)?)?" for m in _MONTHS) + r")\.?"
+_YEAR = r"(\d{4}|\d{2})"
+_TIME = r"(?:[ t]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?(?: *([ap])m)?)?$"
+#: Pattern over lower-cased text, and the groups of year, month and day in it.
+LAYOUTS = [
+    (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME, (1, 2, 3)),
+    (r"^(\d{1,2})[-/.](\d{1,2})[-/.]" + _YEAR + _TIME, (3, 1, 2)),  # month first, unless it can't be one
+    (r"^(\d{1,2})[- ]?" + _MONTH + r"[-, ]+" + _YEAR + _TIME, (3, 2, 1)),
+    (r"^" + _MONTH + r"[- ](\d{1,2})(?:,? +|-)" + _YEAR + _TIME, (3, 1, 2)),
 ]
+# Fixed value: two-digit years from here on are of the last century.
+PIVOT = 69
 
 
 def serial_to_ts(n: Column) -> Column:
@@ -49,13 +50,41 @@ def serial_to_ts(n: Column) -> Column:
         day + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), secs))
 
 
+def _layout_iso(s: Column, pattern: str, ymd: tuple[int, int, int]) -> Column:
+    """The parts of one layout as ISO text (anything else if a part is out of range)."""
+    def group(i: int) -> Column:
+        return F.regexp_extract(s, pattern, i)
+
+    year, month, day = (group(i) for i in ymd)
+    short = year.try_cast("int")
+    year = F.when(F.length(year) == 4, year).otherwise(F.concat(F.when(short < PIVOT, "20").otherwise("19"), year))
+    if _MONTH in pattern:
+        month = F.element_at(F.create_map(*(x for i, m in enumerate(_MONTHS) for x in (F.lit(m[:3]), F.lit(str(i + 1))))),
+                             F.substring(month, 1, 3))
+    elif ymd[0] == 3:
+        swap = month.try_cast("int") > 12
+        month, day = F.when(swap, day).otherwise(month), F.when(swap, month).otherwise(day)
+    hour, half = group(4).try_cast("int"), group(8)
+    hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "p", 12).otherwise(0)) \
+        .otherwise(99)
+
+    def or_zero(c: Column) -> Column:
+        return F.when(c == "", "0").otherwise(c)
+    clock = F.when(group(4) == "", "0:0:0").otherwise(
+        F.concat_ws(":", hour.cast("string"), group(5), F.concat(or_zero(group(6)), F.lit("."), or_zero(group(7)))))
+    return F.concat(F.concat_ws("-", year, month, day), F.lit(" "), clock)
+
+
 def _text_ts(s: Column) -> Column:
-    # ISO text goes through the exception-free string->timestamp cast.
-    out = F.when(s.rlike(_ISO), F.regexp_replace(s, "T", " ").try_cast("timestamp_ntz"))
-    for shape, formats in SHAPES:
-        parsed = F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats])
-        out = out.when(s.rlike(shape), parsed.cast("timestamp_ntz"))
-    return out
+    def other(low: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for pattern, ymd in reversed(LAYOUTS):
+            out = F.when(low.rlike(pattern), _layout_iso(low, pattern, ymd)).otherwise(out)
+        return out
+    # Inside a lambda the layouts are evaluated without generated code, of which
+    # four date columns would make more than a Java method may hold.
+    rest = F.element_at(F.transform(F.array(F.lower(s)), other), 1)
+    return F.when(s.rlike(_ISO), F.regexp_replace(s, "T", " ")).otherwise(rest).try_cast("timestamp_ntz")
 
 
 def parse_date(c: Column) -> Column:
@@ -67,7 +96,7 @@ def parse_date(c: Column) -> Column:
     year = s.try_cast("int")
     return (
         F.when(s.rlike(r"^\d{8}$"),
-               F.try_to_timestamp(s, F.lit("yyyyMMdd")).cast("timestamp_ntz"))
+               F.regexp_replace(s, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("timestamp_ntz"))
         .when(s.rlike(r"^\d{4}$") & year.between(YEAR_MIN, YEAR_MAX),
               F.make_timestamp_ntz(year, F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
         .when(s.rlike(r"^\d+(\.\d+)?$"),
@@ -97,5 +126,4 @@ def fmt_mmdd(ts: Column) -> Column:
 
 def stamp(now: dt.datetime) -> str:
     """'Jul 17, 2026 at 8:15 AM' for the run clock (driver-side constant)."""
-    hour12 = now.hour % 12 or 12
-    return f"{now.strftime('%b %d, %Y')} at {hour12}:{now.minute:02d} {now.strftime('%p')}"
+    return now.strftime("%b %d, %Y at %I:%M %p").replace(" at 0", " at ")
