@@ -14,7 +14,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ReportSpec, Ruleset
+from ..config import ALL_PLANTS, Report, Rules
+from ..functions.agg import count_where, money_sum
 from ..functions.dates import as_of_midnight, fmt_mmdd
 from ..functions.text import match_key
 from ..sources.headers import COLUMNS
@@ -48,12 +49,38 @@ def _sorted(df: DataFrame, ordered: bool, *keys: Column) -> DataFrame:
     return df.orderBy(*keys, F.col("ordinal")) if ordered else df
 
 
-def not_started(orders: DataFrame, ordered: bool = True) -> DataFrame:
-    """0% picked and not goods-issued, ranked by priority / planned / value."""
+def not_started_keys() -> list[Column]:
+    """E13 order: priority, planned delivery (none last), value from the highest, input order."""
+    planned = F.col("planned_dlv_date")
+    return [F.col("priority_rank"), planned.isNull(), planned, -F.col("sales_order_total"), F.col("ordinal")]
+
+
+def late_list_keys() -> list[Column]:
+    """E17/E18 order: planned delivery, picking, value from the highest, input order."""
+    return [F.col("planned_dlv_date"), F.col("picking_in_pct"), -F.col("sales_order_total"), F.col("ordinal")]
+
+
+def place(keys: list[Column]) -> Column:
+    """Sort keys as one column, to be written with rows that are put in order by
+    whoever reads them."""
+    return F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys))).alias("place")
+
+
+def not_started(orders: DataFrame, ordered: bool = True, placed: bool = False) -> DataFrame:
+    """0% picked and not goods-issued, ranked by priority / planned / value;
+    ``placed``: with the rank as a column instead of a sort."""
     ns = orders.filter(F.col("is_not_started"))
-    ns = _sorted(ns, ordered, F.col("priority_rank"), F.col("planned_dlv_date").asc_nulls_last(),
-                 F.col("sales_order_total").desc_nulls_last())
-    return ns.select(*[F.col(src).alias(out) for out, src in NOT_STARTED_COLUMNS])
+    ns = ns.orderBy(*not_started_keys()) if ordered and not placed else ns
+    return ns.select(*[F.col(src).alias(out) for out, src in NOT_STARTED_COLUMNS],
+                     *([place(not_started_keys())] if placed else []))
+
+
+def late_lists(orders: DataFrame, rules: Rules, as_of: dt.date) -> DataFrame:
+    """E17/E18 under their configured report names, by site: nine columns and place."""
+    special = {"andrew_tab": late_warehouse_filter(as_of), "andrew_tab_2": late_dsd_filter(as_of)}
+    names = F.array(*(F.when(special[r.special], F.lit(r.name)) for r in rules.reports if r.special in special))
+    return orders.select(F.explode(names).alias("report"), "site", *LATE_LIST_COLUMNS, place(late_list_keys())) \
+        .where(F.col("report").isNotNull())
 
 
 def full_export(orders: DataFrame, ordered: bool = True) -> DataFrame:
@@ -61,31 +88,24 @@ def full_export(orders: DataFrame, ordered: bool = True) -> DataFrame:
     return _sorted(orders, ordered).select(*COLUMNS)
 
 
-def _facility_in(spec: ReportSpec) -> Column:
-    facs = sorted({f.strip().upper() for f in spec.facility_in})
-    return F.upper(F.col("facility_code")).isin(*facs)
-
+def customer_report_filter(spec: Report) -> Column:
+    mine = F.col("customer_group").isin(*spec.groups)
+    return mine & F.upper(F.col("facility_code")).isin(*spec.facilities) if spec.facilities else mine
 
-def customer_report_filter(spec: ReportSpec) -> Column:
-    cond = F.col("customer_group").isin(*spec.customers)
-    if spec.facility_in:
-        cond = cond & _facility_in(spec)
-    return cond
 
-
-def comments(spec: ReportSpec) -> Column:
+def comments(spec: Report) -> Column:
     """Deadline note for deadline reports when the dock date is known."""
     dock = F.col("customer_dock_appointment_date")
-    if spec.amazon_deadline:
+    if spec.deadline:
         return F.when(dock.isNotNull(), F.concat(F.lit(DEADLINE_NOTE), fmt_mmdd(dock))) \
             .otherwise(F.lit(""))
     return F.lit("")
 
 
-def customer_report(orders: DataFrame, spec: ReportSpec, ordered: bool = True) -> DataFrame:
+def customer_report(orders: DataFrame, spec: Report, ordered: bool = True) -> DataFrame:
     """The spec's customer groups (optionally facilities), input order."""
     sub = _sorted(orders.filter(customer_report_filter(spec)), ordered)
-    lead = [comments(spec).alias("comments")] if spec.comments_column else []
+    lead = [comments(spec).alias("comments")] if spec.comments else []
     return sub.select(*lead, *COLUMNS)
 
 
@@ -102,10 +122,8 @@ def late_dsd_filter(as_of: dt.date) -> Column:
 
 
 def _late_list(orders: DataFrame, cond: Column, ordered: bool) -> DataFrame:
-    sub = _sorted(orders.filter(cond), ordered, F.col("planned_dlv_date").asc_nulls_last(),
-                  F.col("picking_in_pct").asc_nulls_last(),
-                  F.col("sales_order_total").desc_nulls_last())
-    return sub.select(*LATE_LIST_COLUMNS)
+    sub = orders.filter(cond)
+    return (sub.orderBy(*late_list_keys()) if ordered else sub).select(*LATE_LIST_COLUMNS)
 
 
 def late_warehouse(orders: DataFrame, as_of: dt.date, ordered: bool = True) -> DataFrame:
@@ -118,11 +136,11 @@ def late_dsd_independent(orders: DataFrame, as_of: dt.date, ordered: bool = True
     return _late_list(orders, late_dsd_filter(as_of), ordered)
 
 
-def with_dsd_priority(orders: DataFrame, rules: Ruleset) -> DataFrame:
+def with_dsd_priority(orders: DataFrame, rules: Rules) -> DataFrame:
     return orders.withColumn("dsd_priority", dsd_priority(match_key(F.col("ship_to_name")), rules))
 
 
-def dsd_priorities(orders: DataFrame, rules: Ruleset, ordered: bool = True) -> DataFrame:
+def dsd_priorities(orders: DataFrame, rules: Rules, ordered: bool = True) -> DataFrame:
     """Orders whose ship-to matches a DSD priority pattern (completed included)."""
     sub = with_dsd_priority(orders, rules).filter(F.col("dsd_priority").isNotNull())
     rank = F.when(F.col("dsd_priority").contains("1"), 1).otherwise(2)
@@ -130,45 +148,35 @@ def dsd_priorities(orders: DataFrame, rules: Ruleset, ordered: bool = True) -> D
     return sub.select(F.col("dsd_priority").alias("priority"), *COLUMNS)
 
 
-def report_names(rules: Ruleset) -> list[str]:
-    """Report names in workbook order: full export, DSD, then configured ones."""
-    names = [FULL_EXPORT, DSD_REPORT]
-    for spec in rules.detail_reports:
-        if spec.special in ("andrew_tab", "andrew_tab_2") or (not spec.special and spec.customers):
-            if spec.name not in names:
-                names.append(spec.name)
-    return names
-
-
-def report_membership(rules: Ruleset, as_of: dt.date,
+def report_membership(rules: Rules, as_of: dt.date,
                       dsd: Column | None = None) -> list[tuple[str, Column]]:
     """(report name, membership predicate) in workbook order; ``dsd`` may be an
     already computed DSD priority column."""
     if dsd is None:
         dsd = dsd_priority(match_key(F.col("ship_to_name")), rules)
     out: list[tuple[str, Column]] = [(FULL_EXPORT, F.lit(True)), (DSD_REPORT, dsd.isNotNull())]
-    for spec in rules.detail_reports:
+    for spec in rules.reports:
         if spec.special == "andrew_tab":
             out.append((spec.name, late_warehouse_filter(as_of)))
         elif spec.special == "andrew_tab_2":
             out.append((spec.name, late_dsd_filter(as_of)))
-        elif spec.customers:
+        elif spec.groups:
             out.append((spec.name, customer_report_filter(spec)))
     return out
 
 
-def detail_reports_long(orders: DataFrame, rules: Ruleset, as_of: dt.date) -> DataFrame:
+def detail_reports_long(orders: DataFrame, rules: Rules, as_of: dt.date) -> DataFrame:
     """E20 long form: one row per (order, report it belongs to), one scan.
 
     Columns: report, report_seq, comments, priority, site, ordinal + 35 business
     columns.  ``comments`` is the deadline note where the report has one."""
     members = report_membership(rules, as_of, dsd=F.col("priority"))
-    spec_by_name = {s.name: s for s in rules.detail_reports}
+    spec_by_name = {s.name: s for s in rules.reports}
     dsd = dsd_priority(match_key(F.col("ship_to_name")), rules)
     tags = []
     for seq, (name, cond) in enumerate(members):
         spec = spec_by_name.get(name)
-        note = comments(spec) if (spec and spec.comments_column) else F.lit(None).cast("string")
+        note = comments(spec) if (spec and spec.comments) else F.lit(None).cast("string")
         tags.append(F.when(F.coalesce(cond, F.lit(False)), F.struct(
             F.lit(name).alias("report"), F.lit(seq).alias("report_seq"),
             note.alias("comments"))))
@@ -182,27 +190,21 @@ def detail_reports_long(orders: DataFrame, rules: Ruleset, as_of: dt.date) -> Da
                          "ordinal", *COLUMNS)
 
 
-def report_totals(orders: DataFrame, rules: Ruleset, as_of: dt.date) -> DataFrame:
-    """rows and value per (scope, report); scope = each site and 'All Plants'.
-
-    One pass over the orders that emits only (site, report number, amount) for
-    each report an order belongs to (narrow rows, not the 35-column report
-    rows), then GROUPING SETS ((report, site), (report)) in one hash
-    aggregation.  Only (scope, report) pairs with rows exist, as in the long
-    form."""
-    from ..config import ALL_PLANTS
-    from ..functions.agg import money_sum
-    members = report_membership(rules, as_of)
-    names = F.array(*[F.lit(n) for n, _ in members])
-    seqs = F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(i))
-                     for i, (_, cond) in enumerate(members)])
-    narrow = (orders.select("site", "sales_order_total", F.explode(seqs).alias("report_seq"))
-              .filter(F.col("report_seq").isNotNull()))
-    agg = (narrow.groupingSets([["report_seq", "site"], ["report_seq"]], "report_seq", "site")
-           .agg(F.count(F.lit(1)).alias("rows"),
-                money_sum(F.col("sales_order_total")).alias("total"),
-                F.grouping("site").alias("g")))
-    return agg.select(
-        F.when(F.col("g") == 1, F.lit(ALL_PLANTS)).otherwise(F.col("site")).alias("scope"),
-        F.element_at(names, F.col("report_seq") + 1).alias("report"), "report_seq",
-        "rows", "total")
+def report_totals(orders: DataFrame, rules: Rules, as_of: dt.date) -> DataFrame:
+    """rows and value per (scope, report), without the full export.
+
+    ``All Plants`` has every report, those without rows too; a site has the
+    reports with rows there.  One rollup over the orders holds a count and a sum
+    for each report; its few rows are then turned into one row per report."""
+    members = [(seq, name, F.coalesce(cond, F.lit(False)))
+               for seq, (name, cond) in enumerate(report_membership(rules, as_of)) if name != FULL_EXPORT]
+    sums = [x for seq, _, cond in members for x in (
+        count_where(cond).alias(f"rows{seq}"), money_sum(F.col("sales_order_total"), cond).alias(f"total{seq}"))]
+    rolled = orders.rollup("site").agg(*sums, F.grouping("site").alias("all_plants"))
+    cells = F.array(*(F.struct(F.lit(name).alias("report"), F.lit(seq).alias("report_seq"),
+                               F.coalesce(F.col(f"rows{seq}"), F.lit(0)).alias("rows"),
+                               F.coalesce(F.col(f"total{seq}"), F.lit(0.0)).alias("total"))
+                      for seq, name, _ in members))
+    return (rolled.select(F.when(F.col("all_plants") == 1, F.lit(ALL_PLANTS)).otherwise(F.col("site")).alias("scope"),
+                          "all_plants", F.explode(cells).alias("cell"))
+            .where((F.col("all_plants") == 1) | (F.col("cell.rows") > 0)).select("scope", "cell.*"))

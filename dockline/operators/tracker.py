@@ -15,7 +15,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import AT_RISK, CRITICAL, ESCALATION_STATUSES, Ruleset
+from ..config import AT_RISK, CRITICAL, ESCALATION_STATUSES, Rules
+from .reports import place
 from ..functions.agg import count_where, money_sum
 from ..functions.dates import fmt_long, stamp
 from ..functions.templates import (AFFECTED_LIMIT, AFFECTED_TEMPLATE, GENERAL_TEMPLATE,
@@ -100,7 +101,7 @@ def _slots() -> dict:
     return {n: F.col(f"_s_{n}") for n in _SLOT_NAMES}
 
 
-def issue_text(rules: Ruleset):
+def issue_text(rules: Rules):
     slots = _slots()
     it = F.col("issue_type")
     expr = None
@@ -119,9 +120,10 @@ def latest_update(now: dt.datetime):
     return render(LATEST_UPDATE_TEMPLATE, slots)
 
 
-def issue_tracker(orders: DataFrame, rules: Ruleset, now: dt.datetime,
-                  include_non_escalated: bool = False, ordered: bool = True) -> DataFrame:
-    """E10 (escalation-only) / E11 (all open orders) with E8/E9 text and E12 order."""
+def issue_tracker(orders: DataFrame, rules: Rules, now: dt.datetime,
+                  include_non_escalated: bool = False, ordered: bool = True, placed: bool = False) -> DataFrame:
+    """E10 (escalation-only) / E11 (all open orders) with E8/E9 text and E12 order;
+    ``placed``: with the order as a column instead of a sort."""
     wanted = escalating(orders, include_non_escalated)
     groups = tracker_groups(wanted)
     ids = affected_ids(wanted, groups)
@@ -147,10 +149,11 @@ def issue_tracker(orders: DataFrame, rules: Ruleset, now: dt.datetime,
         F.col("customer_report").alias("detail_report"),
         (F.col("status_code") != 0).cast("int").alias("_status_rank"),
     )
-    if ordered:
-        out = out.orderBy("_status_rank", issue_type_rank(F.col("issue_type")),
-                          F.col("total_price").desc(), "site", "customer", "issue_type")
-    return out.select(*TRACKER_COLUMNS)
+    keys = [F.col("_status_rank"), issue_type_rank(F.col("issue_type")), -F.col("total_price"),
+            F.col("site"), F.col("customer"), F.col("issue_type")]
+    if placed:
+        return out.select(*TRACKER_COLUMNS, place(keys))
+    return (out.orderBy(*keys) if ordered else out).select(*TRACKER_COLUMNS)
 
 
 def tracker_drilldown(orders: DataFrame, site: str, customer: str, issue_type: str) -> DataFrame:

@@ -382,38 +382,44 @@ def oracle_queries() -> dict[str, str]:
     errors = (f"SELECT 'Missing LE Delivery — excluded from order calculations' AS validation_issue, {C35} FROM typed WHERE le_delivery = ''\n"
               f"UNION ALL SELECT 'Blank Ship-to Name — classified as Other', {C35} FROM typed WHERE le_delivery <> '' AND ship_to_name = ''\n"
               f"UNION ALL SELECT 'Sales Order Total was not numeric — treated as $0', {C35} FROM typed WHERE le_delivery <> '' AND bad_total")
-    tracker_groups = (f"SELECT site, count(*) AS n, sum(CAST(sales_order_total AS DECIMAL(38,4))) AS t FROM "
-                      f"(SELECT DISTINCT site, customer_group, issue_type, NULL AS x FROM enriched WHERE {ESCALATED}) "
-                      f"JOIN (SELECT site, customer_group, issue_type FROM enriched) USING (site, customer_group, issue_type) GROUP BY site")
+    # The sheet plan as published: a tracker, a not-started list and the orders of
+    # every site, also when empty; reports of a site only with rows; totals on the
+    # orders and on customer reports only; colours by status, priority or detail.
+    customer_reports = "('AMZ', 'PFG WHSE', 'Calgary CO-OP', 'Sysco', 'GFS', 'Pratts')"
     catalog = f"""
-, tg AS (SELECT site, customer_group, issue_type, sum(CAST(sales_order_total AS DECIMAL(38,4))) AS t
-         FROM enriched WHERE {ESCALATED} GROUP BY ALL),
+, tg AS (SELECT site, customer_group, issue_type FROM enriched WHERE {ESCALATED} GROUP BY ALL),
 L AS ({long_sql()}),
+sites AS (
+  SELECT site, row_number() OVER (ORDER BY CASE lower(site) WHEN 'mississauga' THEN 0 WHEN 'calgary' THEN 1
+         WHEN 'surrey' THEN 2 ELSE 3 END, lower(site), site) AS site_seq
+  FROM (SELECT DISTINCT site FROM enriched WHERE trim(site) <> '')),
 parts AS (
-  SELECT site, 'Issue Tracker' AS report, 0 AS part_seq, count(*) AS rows, CAST(coalesce(sum(t), 0) AS DOUBLE) AS total FROM tg GROUP BY site
-  UNION ALL SELECT site, 'Not Started', 1, count(*), {m} FROM enriched WHERE is_not_started GROUP BY site
-  UNION ALL SELECT site, 'Orders', 2, count(*), {m} FROM enriched GROUP BY site
-  UNION ALL SELECT site, report, report_seq + 3, count(*), {m} FROM L WHERE report <> 'SAPUI5 Export' GROUP BY site, report, report_seq
+  SELECT site, 'Issue Tracker' AS report, 0 AS part, (SELECT count(*) FROM tg WHERE tg.site = s.site) AS rows,
+         CAST(NULL AS DOUBLE) AS total, 'status' AS shading FROM sites s
+  UNION ALL SELECT site, 'Not Started', 1, (SELECT count(*) FROM enriched e WHERE e.site = s.site AND is_not_started),
+         NULL, 'priority' FROM sites s
+  UNION ALL SELECT site, 'Orders', 2, count(*), {m}, 'detail' FROM enriched GROUP BY site
+  UNION ALL SELECT site, report, report_seq + 3, count(*), CASE WHEN report IN {customer_reports} THEN {m} END,
+         CASE WHEN report IN {customer_reports} THEN 'detail' END
+  FROM L WHERE report <> 'SAPUI5 Export' GROUP BY site, report, report_seq
 ),
-rows_all AS (
-  SELECT 'All Plants Summary' AS sheet, CAST(NULL AS VARCHAR) AS site, 'All Plants Summary' AS report,
-         (SELECT count(DISTINCT site) + 1 FROM enriched) AS rows, CAST(NULL AS DOUBLE) AS total,
-         0 AS block, 0 AS r, '' AS lsite, 0 AS part_seq
-  UNION ALL SELECT 'All Plants Issue Tracker', NULL, 'All Plants Issue Tracker', (SELECT count(*) FROM tg), NULL, 0, 0, '', 1
-  UNION ALL SELECT 'All Plants Not Started', NULL, 'All Plants Not Started', (SELECT count(*) FROM enriched WHERE is_not_started), NULL, 0, 0, '', 2
-  UNION ALL SELECT site || CASE WHEN part_seq < 3 THEN ' ' ELSE ' - ' END || report, site, report, rows, total, 1,
-         CASE lower(site) WHEN 'mississauga' THEN 0 WHEN 'calgary' THEN 1 WHEN 'surrey' THEN 2 ELSE 3 END,
-         lower(site), part_seq FROM parts
-  UNION ALL SELECT 'SAPUI5 Export', NULL, 'SAPUI5 Export', (SELECT count(*) FROM enriched), (SELECT {m} FROM enriched), 2, 0, '', 0
-  UNION ALL SELECT 'Validation Warnings', NULL, 'Validation Warnings', n, NULL, 3, 0, '', 0
+plan AS (
+  SELECT 0 AS seq, 'All Plants Summary' AS sheet, CAST(NULL AS VARCHAR) AS site, 'All Plants Summary' AS report,
+         (SELECT count(DISTINCT site) + 1 FROM enriched) AS rows, CAST(NULL AS DOUBLE) AS total, CAST(NULL AS VARCHAR) AS shading
+  UNION ALL SELECT 1, 'All Plants Issue Tracker', NULL, 'All Plants Issue Tracker', (SELECT count(*) FROM tg), NULL, 'status'
+  UNION ALL SELECT 2, 'All Plants Not Started', NULL, 'All Plants Not Started',
+         (SELECT count(*) FROM enriched WHERE is_not_started), NULL, 'priority'
+  UNION ALL SELECT 1000000000000000 + site_seq * 1000 + part, site || CASE WHEN part < 3 THEN ' ' ELSE ' - ' END || report,
+         site, report, rows, total, shading FROM parts JOIN sites USING (site)
+  UNION ALL SELECT 2000000000000000, 'SAPUI5 Export', NULL, 'SAPUI5 Export', (SELECT count(*) FROM enriched), NULL, NULL
+  UNION ALL SELECT 3000000000000000, 'Validation Warnings', NULL, 'Validation Warnings', n, NULL, NULL
     FROM (SELECT ((SELECT count(*) FROM typed WHERE le_delivery = '')
                  + (SELECT count(*) FROM typed WHERE le_delivery <> '' AND ship_to_name = '')
                  + (SELECT count(*) FROM typed WHERE le_delivery <> '' AND bad_total)) AS n) WHERE n > 0
 )
-SELECT CAST(row_number() OVER (ORDER BY block, r, lsite, site, part_seq) AS BIGINT) AS seq,
-       sheet, site, report, rows, total,
+SELECT CAST(seq AS BIGINT) AS seq, sheet, site, report, rows, total, shading,
        CASE WHEN report = 'AMZ' THEN 'HIGHLIGHTED ORDERS ARE CURRENTLY LATE AND MAY BE SUBJECT TO THE CONFIGURED ON-TIME DELIVERY CHARGEBACK' END AS note
-FROM rows_all
+FROM plan
 """
     return {
         "typed_export": _q(f"SELECT {C35}, bad_total, ok AS k1, ln AS k2, k3, k4, k5 FROM typed"),
@@ -458,11 +464,14 @@ FROM enriched WHERE is_not_started"""),
         "late_dsd_independent": _q(f"SELECT {LATE_COLS} FROM enriched WHERE {LATE_DSD}"),
         "dsd_priorities": _q(f"SELECT dsd_priority AS priority, {C35} FROM enriched WHERE dsd_priority IS NOT NULL"),
         "detail_reports_long": _q(f"SELECT report, comments, priority, site, {C35} FROM ({long_sql()})"),
+        # all plants lists every report, also without rows; never the full export
         "report_totals": _q(f"""
-, L AS ({long_sql()})
-SELECT CASE WHEN grouping(site) = 1 THEN 'All Plants' ELSE site END AS scope, report, report_seq,
-       count(*) AS rows, {m} AS total
-FROM L GROUP BY GROUPING SETS ((report, report_seq, site), (report, report_seq))"""),
+, L AS (SELECT * FROM ({long_sql()}) WHERE report <> 'SAPUI5 Export'),
+names(report, report_seq) AS (VALUES ('DSD Priorities', 1), ('AMZ', 2), ('Andrew Tab', 3), ('Andrew Tab 2', 4),
+  ('PFG WHSE', 5), ('Calgary CO-OP', 6), ('Sysco', 7), ('GFS', 8), ('Pratts', 9))
+SELECT 'All Plants' AS scope, n.report, n.report_seq, count(L.report) AS rows, {m} AS total
+FROM names n LEFT JOIN L ON L.report = n.report GROUP BY n.report, n.report_seq
+UNION ALL SELECT site, report, report_seq, count(*), {m} FROM L GROUP BY site, report, report_seq"""),
         "report_catalog": _q(catalog),
         "filter_options": _q("""
 SELECT DISTINCT facet, value FROM (
@@ -503,7 +512,7 @@ SELECT le_delivery, site,
          OR (coalesce(route_depart_date < TIMESTAMP '__AS_OF__', false) AND picking_in_pct < 100) THEN 'red'
        WHEN picking_in_pct = 0 AND upper(goods_issue) <> 'COMPLETED' THEN 'yellow' END AS severity,
   CASE risk_status WHEN 'Critical' THEN 'red' WHEN 'At Risk' THEN 'orange'
-       WHEN 'Not Started' THEN 'yellow' ELSE 'green' END AS status_severity,
+       WHEN 'Not Started' THEN 'yellow' WHEN 'Ready / Awaiting GI' THEN 'green' END AS status_severity,
   CASE priority WHEN 'Critical' THEN 'red' WHEN 'High' THEN 'orange'
        WHEN 'Medium' THEN 'yellow' END AS priority_severity
 FROM enriched"""),

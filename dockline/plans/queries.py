@@ -27,7 +27,7 @@ from ..sources.headers import COLUMNS
 AS_OF = dt.date.fromisoformat(FIXTURE_AS_OF)
 NOW = dt.datetime(1998, 1, 15, 8, 0)
 RULES = load_rules()
-SPEC = {s.name: s for s in RULES.detail_reports}
+SPEC = {r.name: r for r in RULES.reports}
 
 # Fixed facet selections used by the registered facet queries.
 F2_SELECTION = {"site": ["AMERICA", "ASIA"], "priority": ["Critical", "High"]}

@@ -12,12 +12,11 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ALL_PLANTS, AT_RISK, CRITICAL, UNKNOWN_SITE, Ruleset
+from ..config import ALL_PLANTS, AT_RISK, CRITICAL, NOT_STARTED, READY, UNKNOWN_SITE, Rules
 from ..functions.agg import money_sum
 from ..functions.dates import as_of_midnight
-from ..operators.reports import FULL_EXPORT
-from ..operators.classify import lookup
-from ..operators.summary import site_rank
+from ..operators.classify import lookup, ordered_sites
+from ..operators.reports import FULL_EXPORT, report_totals
 
 # Sheet names of the combined outputs, the validation sheet, and
 # the note attached to deadline reports.
@@ -40,65 +39,53 @@ NUMERIC_OUTPUT_COLUMNS = [
     "late_orders", "completed", "partial"]
 
 
+#: Places in the catalog: blocks, and parts within a site's block.
+SITE_PARTS = ["Issue Tracker", "Not Started", "Orders"]
+BLOCK, SITE = 10**15, 1000
+
+
 def report_catalog(summary: DataFrame, tracker: DataFrame, not_started: DataFrame,
-                   orders: DataFrame, errors: DataFrame, rules: Ruleset,
+                   orders: DataFrame, errors: DataFrame, rules: Rules,
                    as_of: dt.date) -> DataFrame:
-    """G1 (+G5): ordered manifest (seq, sheet, site, report, rows, total, note).
-
-    Combined outputs, then per site (configured order) its tracker, not-started
-    list, orders and every NON-EMPTY report, then the full export, then the
-    validation sheet only when there are errors."""
-    def counts(df: DataFrame, part: str, part_seq: int, with_total: bool) -> DataFrame:
-        total = money_sum(F.col("sales_order_total")) if with_total else F.lit(None).cast("double")
-        return (df.groupBy("site").agg(F.count(F.lit(1)).alias("rows"), total.alias("total"))
-                .select("site", F.lit(part).alias("report"), F.lit(part_seq).alias("part_seq"),
-                        "rows", "total"))
-
-    per_site = (counts(tracker.withColumn("sales_order_total", F.col("total_price")),
-                       "Issue Tracker", 0, True)
-                .unionByName(counts(not_started, "Not Started", 1, True))
-                .unionByName(counts(orders, "Orders", 2, True)))
-    spec_notes = {s.name: DEADLINE_REPORT_NOTE for s in rules.detail_reports if s.amazon_deadline}
-    from ..operators.reports import report_totals
-    reports = (report_totals(orders, rules, as_of)
-               .filter((F.col("scope") != ALL_PLANTS) & (F.col("report") != FULL_EXPORT))
-               .select(F.col("scope").alias("site"), "report",
-                       (F.col("report_seq") + 3).alias("part_seq"), "rows", "total"))
-    sites = (per_site.unionByName(reports)
-             .select(F.concat(F.col("site"), F.when(F.col("part_seq") < 3, F.lit(" "))
-                              .otherwise(F.lit(" - ")), F.col("report")).alias("sheet"),
-                     "site", "report", "rows", "total",
-                     F.lit(1).alias("block"), site_rank(F.col("site"), rules).alias("r"),
-                     F.lower(F.col("site")).alias("lsite"), "part_seq"))
-    head = (summary.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.lit(COMBINED[0]).alias("sheet"), F.lit(None).cast("string").alias("site"),
-        F.lit(COMBINED[0]).alias("report"), "rows", F.lit(None).cast("double").alias("total"),
-        F.lit(0).alias("block"), F.lit(0).alias("r"), F.lit("").alias("lsite"),
-        F.lit(0).alias("part_seq")))
-    for i, (name, df) in enumerate([(COMBINED[1], tracker), (COMBINED[2], not_started)], 1):
-        head = head.unionByName(df.agg(F.count(F.lit(1)).alias("rows")).select(
-            F.lit(name).alias("sheet"), F.lit(None).cast("string").alias("site"),
-            F.lit(name).alias("report"), "rows", F.lit(None).cast("double").alias("total"),
-            F.lit(0).alias("block"), F.lit(0).alias("r"), F.lit("").alias("lsite"),
-            F.lit(i).alias("part_seq")))
-    tail = (orders.agg(F.count(F.lit(1)).alias("rows"),
-                       money_sum(F.col("sales_order_total")).alias("total")).select(
-        F.lit(FULL_EXPORT).alias("sheet"), F.lit(None).cast("string").alias("site"),
-        F.lit(FULL_EXPORT).alias("report"), "rows", "total", F.lit(2).alias("block"),
-        F.lit(0).alias("r"), F.lit("").alias("lsite"), F.lit(0).alias("part_seq")))
-    errs = (errors.agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 0).select(
-        F.lit(VALIDATION_SHEET).alias("sheet"), F.lit(None).cast("string").alias("site"),
-        F.lit(VALIDATION_SHEET).alias("report"), "rows", F.lit(None).cast("double").alias("total"),
-        F.lit(3).alias("block"), F.lit(0).alias("r"), F.lit("").alias("lsite"),
-        F.lit(0).alias("part_seq")))
-    note = lookup(F.col("report"), spec_notes, None).cast("string")
-    allrows = head.unionByName(sites).unionByName(tail).unionByName(errs)
-    # The catalog has (sites x reports) rows: numbering it in one window is cheap.
-    from pyspark.sql import Window
-    w = Window.orderBy("block", "r", "lsite", "site", "part_seq")
-    return (allrows.select(F.row_number().over(w).cast("long").alias("seq"), "sheet", "site", "report",
-                           "rows", "total", note.alias("note"))
-            .orderBy("seq"))
+    """G1 (+G5): manifest (seq, sheet, site, report, rows, total, shading, note).
+
+    Combined outputs; per site (configured order) its tracker, not-started list
+    and orders, with 0 rows too, and every report with rows; the full export; the
+    validation sheet if there are errors.  ``seq`` sorts it (block, site, part;
+    it has gaps).  ``total`` is there for outputs that end in a total row: orders
+    and customer reports.  ``shading`` says what rows are coloured by."""
+    count = F.count(F.lit(1)).alias("rows")
+
+    def whole(df: DataFrame, name: str, seq: int, shading: str | None) -> DataFrame:
+        return df.agg(count).select(F.lit(seq).cast("long").alias("seq"), F.lit(name).alias("sheet"),
+                                    F.lit(None).cast("string").alias("site"), F.lit(name).alias("report"), "rows",
+                                    F.lit(None).cast("double").alias("total"), F.lit(shading).cast("string").alias("shading"))
+
+    sites = ordered_sites(orders, rules)
+    reports = report_totals(orders, rules, as_of).where(F.col("scope") != ALL_PLANTS).select(
+        F.col("scope").alias("site"), "report", (F.col("report_seq") + len(SITE_PARTS)).alias("part"), "rows", "total")
+    sections = reports
+    totals = [None, None, F.col("sales_order_total")]
+    for part, (df, amount) in enumerate(zip((tracker, not_started, orders), totals)):
+        # every site has the part, also when it is empty
+        counts = df.groupBy("site").agg(count, (F.lit(None).cast("double") if amount is None else money_sum(amount))
+                                        .alias("total"))
+        sections = sections.unionByName(sites.select("site").join(counts, "site", "left").select(
+            "site", F.lit(SITE_PARTS[part]).alias("report"), F.lit(part).alias("part"),
+            F.coalesce("rows", F.lit(0)).alias("rows"), "total"))
+    customer = [r.name for r in rules.reports if r.groups and not r.special]
+    detail = F.col("report").isin(SITE_PARTS[2], *customer)
+    per_site = sections.join(sites, "site").select(
+        (BLOCK + F.col("site_seq") * SITE + F.col("part")).alias("seq"),
+        F.concat("site", F.when(F.col("part") < len(SITE_PARTS), " ").otherwise(" - "), "report").alias("sheet"),
+        "site", "report", "rows", F.when(detail, F.col("total")).alias("total"),
+        F.when(F.col("part") == 0, "status").when(F.col("part") == 1, "priority").when(detail, "detail").alias("shading"))
+    plan = (whole(summary, COMBINED[0], 0, None).unionByName(whole(tracker, COMBINED[1], 1, "status"))
+            .unionByName(whole(not_started, COMBINED[2], 2, "priority")).unionByName(per_site)
+            .unionByName(whole(orders, FULL_EXPORT, 2 * BLOCK, None))
+            .unionByName(whole(errors, VALIDATION_SHEET, 3 * BLOCK, None).where("rows > 0")))
+    notes = {r.name: DEADLINE_REPORT_NOTE for r in rules.reports if r.deadline}
+    return plan.withColumn("note", lookup(F.col("report"), notes, None).cast("string")).orderBy("seq")
 
 
 def null_as_zero(df: DataFrame) -> DataFrame:
@@ -108,9 +95,8 @@ def null_as_zero(df: DataFrame) -> DataFrame:
 
 
 def tracker_severity(status: Column) -> Column:
-    """G3 for tracker rows."""
-    return (F.when(status == CRITICAL, "red").when(status == AT_RISK, "orange")
-            .when(status == "Not Started", "yellow").otherwise("green"))
+    """G3 for tracker rows; other statuses have no colour."""
+    return lookup(status, {CRITICAL: "red", AT_RISK: "orange", NOT_STARTED: "yellow", READY: "green"}, None)
 
 
 def not_started_severity(priority: Column) -> Column:
@@ -144,7 +130,12 @@ def write_output(df: DataFrame, path: str, as_of: dt.date, partition_by=("site",
     folder is overwritten as a whole, so a new upload for a day fully replaces
     the previous one (also sites that are gone) and other days are untouched.
     Readers see ``as_of`` and ``site`` as partition columns (pruned scans)."""
+    df = null_as_zero(df)
+    if fmt != "parquet":  # text files have no struct cells
+        df = df.drop("place", "ordinal")
     parts = [p for p in partition_by if p in df.columns]
+    if parts:  # files of a useful size for each folder; a large site is split
+        df = df.hint("rebalance", *parts)
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt)
     if parts:
         writer = writer.partitionBy(*parts)
@@ -176,15 +167,29 @@ def run_summary(typed: DataFrame | None, orders: DataFrame, errors: DataFrame) -
 
 def write_all(result, path: str, fmt: str = "parquet") -> None:
     """Persist every output of one run under ``path/<output>/as_of=.../site=...``.
-    Re-running the same as-of date replaces exactly that day's partitions."""
+
+    Re-running the same as-of date replaces exactly that day's folders.  Ranked
+    lists carry their order in ``place`` and rows their colour in ``severity``;
+    blank numbers are 0.  Orders are written once: the reports leave out the full
+    export and have the late lists in their own nine columns."""
+    from ..operators.reports import late_lists, not_started
+    from ..operators.tracker import issue_tracker
     from ..sources.headers import COLUMNS
-    as_of = result.as_of
-    write_output(result.all_plants_summary(), f"{path}/summary", as_of, partition_by=(), fmt=fmt)
-    write_output(result.issue_tracker(), f"{path}/issue_tracker", as_of, fmt=fmt)
-    write_output(result.not_started(), f"{path}/not_started", as_of, fmt=fmt)
-    write_output(result.orders.select("site", *COLUMNS), f"{path}/orders", as_of, fmt=fmt)
-    write_output(result.detail_reports().drop("ordinal"), f"{path}/reports", as_of,
-                 partition_by=("site", "report"), fmt=fmt)
-    write_output(result.validation_errors.drop("ordinal"), f"{path}/validation_errors", as_of,
-                 partition_by=(), fmt=fmt)
-    write_output(result.report_catalog(), f"{path}/catalog", as_of, partition_by=(), fmt=fmt)
+    as_of, rules, orders = result.as_of, result.rules, result.orders
+    late = [r.name for r in rules.reports if r.special]
+    reports = result.detail_reports().where(~F.col("report").isin(FULL_EXPORT, *late))
+    tracker = issue_tracker(orders, rules, result.now, placed=True)
+    outputs = {
+        "summary": result.all_plants_summary(),
+        "issue_tracker": tracker.withColumn("severity", tracker_severity(F.col("status"))),
+        "not_started": not_started(orders, placed=True).withColumn("severity", not_started_severity(F.col("priority"))),
+        "orders": orders.select("site", *COLUMNS, detail_severity(as_of).alias("severity"), "ordinal"),
+        "reports": reports.withColumn("severity", detail_severity(as_of)),
+        "late_lists": late_lists(orders, rules, as_of),
+        "validation_errors": result.validation_errors,
+        "catalog": result.report_catalog(),
+    }
+    by = {"issue_tracker": ("site",), "not_started": ("site",), "orders": ("site",), "reports": ("site", "report"),
+          "late_lists": ("site", "report")}
+    for name, df in outputs.items():
+        write_output(df, f"{path}/{name}", as_of, partition_by=by.get(name, ()), fmt=fmt)

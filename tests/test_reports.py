@@ -3,68 +3,69 @@ from pyspark.sql import functions as F
 
 from dockline.operators import reports, summary, tracker
 from dockline.plans.queries import fixture_orders
-from helpers import AS_OF, NOW, RULES, rows, run
-
-
-def test_tracker_counts_only_escalating_orders(spark):
-    res = run(spark,
-              {"Ship-to Name": "AMAZON A", "Planned Dlv. Date": "2026-07-10", "Sales Order Total": "5000"},
-              {"Ship-to Name": "AMAZON B", "Planned Dlv. Date": "2026-07-11", "Sales Order Total": "2500"},
-              {"Ship-to Name": "AMAZON C", "Planned Dlv. Date": "2026-07-30", "Sales Order Total": "9000"})
-    t = [r.asDict() for r in res.issue_tracker().collect()]
-    assert len(t) == 1
-    row = t[0]
-    assert (row["site"], row["customer"], row["issue_type"], row["status"]) == \
-        ("Calgary", "Amazon", "Late Delivery", "Critical")
-    assert row["total_price"] == 7500.0 and row["order_count"] == 2
-    assert row["issue"] == ("2 Amazon order(s) are past the planned delivery date (earliest "
-                            "Jul 10, 2026) with Goods Issue still open. Affected LE Deliveries: "
-                            "80100000, 80100001.")
-    assert row["latest_update"] == ("As of Jul 17, 2026 at 8:15 AM: 2 orders are late, 2 are not "
-                                    "started and the current value at risk is $7,500. The nearest "
-                                    "due date is Jul 10, 2026.")
-    assert row["detail_report"] == "AMZ" and row["owner"] == "Unassigned"
-
-
-def test_tracker_splits_sites_and_issue_types(spark):
-    res = run(spark,
-              {"ys": "Calgary Warehouse", "Ship-to Name": "AMAZON CANADA", "Planned Dlv. Date": "2026-07-10"},
-              {"ys": "Mississauga Warehouse", "Ship-to Name": "AMAZON ONTARIO", "Planned Dlv. Date": "2026-07-11"},
-              {"ys": "Calgary Warehouse", "Ship-to Name": "AMAZON CANADA",
-               "Route Depart. Date": "2026-07-15", "Picking in %": "40"})
-    keys = sorted((r["site"], r["issue_type"]) for r in res.issue_tracker().collect())
-    assert keys == [("Calgary", "Late Delivery"), ("Calgary", "Route Departure Missed"),
-                    ("Mississauga", "Late Delivery")]
-
-
-def test_special_tabs(spark):
-    res = run(spark,
-              {"Facility Code": "Warehouse", "Planned Dlv. Date": "2026-07-10", "Picking in %": "50"},
-              {"Facility Code": "DSD", "Planned Dlv. Date": "2026-07-10"},
-              {"Facility Code": "Independant", "Planned Dlv. Date": "2026-07-10"},
-              {"Facility Code": " independent ", "Planned Dlv. Date": "2026-07-10", "Goods Issue": "Completed"},
-              {"Facility Code": "Warehouse", "Planned Dlv. Date": "2026-07-30"})
-    wh = [r["le_delivery"] for r in reports.late_warehouse(res.orders, AS_OF).collect()]
-    dsd = [r["le_delivery"] for r in reports.late_dsd_independent(res.orders, AS_OF).collect()]
-    assert wh == ["80100000"]
-    assert dsd == ["80100001", "80100002"]
-    assert reports.late_warehouse(res.orders, AS_OF).columns == reports.LATE_LIST_COLUMNS
-
-
-def test_not_started_and_customer_reports(spark):
-    res = run(spark,
-              {"Ship-to Name": "AMAZON A", "Customer Dock Appointment Date": "2026-07-21"},
-              {"Ship-to Name": "AMAZON B"},
-              {"Ship-to Name": "SAVE ON 1", "Facility Code": "DSD"},
-              {"Ship-to Name": "SAVE ON 2", "Facility Code": " warehouse "},
-              {"Picking in %": "10"})
-    ns = res.not_started()
-    assert ns.count() == 4 and ns.columns[0] == "priority"
-    spec = {s.name: s for s in RULES.detail_reports}
-    amz = [r.asDict() for r in reports.customer_report(res.orders, spec["AMZ"]).collect()]
-    assert [a["comments"] for a in amz] == ["Cancellation deadline 07/21", ""]
-    pfg = [r["le_delivery"] for r in reports.customer_report(res.orders, spec["PFG WHSE"]).collect()]
-    assert pfg == ["80100003"]
+from helpers import AS_OF, NOW, RULES, day, order, processed
+
+
+def test_tracker_row_and_its_texts(spark):
+    late = dict(ship_to_name="Amazon yard", ys="Laval DC")
+    res = processed(spark, [order(1, **late, planned_dlv_date=day(-4), sales_order_total="1200.5"),
+                            order(2, **late, planned_dlv_date=day(-2), sales_order_total="34"),
+                            order(3, **late, planned_dlv_date=day(20))])
+    row, = (r.asDict() for r in res.issue_tracker().collect())
+    assert (row["site"], row["customer"], row["issue_type"], row["status"], row["owner"], row["detail_report"]) == (
+        "Laval", "Amazon", "Late Delivery", "Critical", "Unassigned", "AMZ")
+    assert (row["total_price"], row["order_count"], row["due_date"].day) == (1234.5, 2, 8)
+    assert row["issue"] == ("2 Amazon order(s) are past the planned delivery date (earliest Mar 08, 2031) with Goods "
+                            "Issue still open. Affected LE Deliveries: 90001, 90002.")
+    assert row["latest_update"] == ("As of Mar 12, 2031 at 2:05 PM: 2 orders are late, 2 are not started and the current "
+                                    "value at risk is $1,234. The nearest due date is Mar 08, 2031.")
+
+
+def test_tracker_rows_are_per_site_customer_and_issue_in_order(spark):
+    res = processed(spark, [
+        order(1, ship_to_name="SYSCO", planned_dlv_date=day(-1), ys="Surrey Warehouse", sales_order_total="10"),
+        order(2, ship_to_name="SYSCO", planned_dlv_date=day(-1), ys="Laval", sales_order_total="900"),
+        order(3, ship_to_name="SYSCO", route_depart_date=day(-1), picking_in_pct="3", ys="Laval"),
+        order(4, ship_to_name="A&W", planned_dlv_date=day(1), ys="Laval")])
+    rows = [(r["site"], r["issue_type"], r["status"]) for r in res.issue_tracker().collect()]
+    assert rows == [("Laval", "Late Delivery", "Critical"), ("Surrey", "Late Delivery", "Critical"),
+                    ("Laval", "Route Departure Missed", "Critical"), ("Laval", "Not Started", "At Risk")]
+
+
+def test_late_lists_sorted_by_date_picking_and_value(spark):
+    past = dict(planned_dlv_date=day(-1))
+    res = processed(spark, [
+        order(1, **past, picking_in_pct="50"), order(2, **past, picking_in_pct="5", sales_order_total="1"),
+        order(3, **past, picking_in_pct="5", sales_order_total="2"), order(4, planned_dlv_date=day(-9)),
+        order(5, **past, picking_in_pct="100"), order(6), order(7, **past, facility_code="dsd"),
+        order(8, **past, facility_code=" INDEPENDANT "), order(9, **past, facility_code="DSD", goods_issue="completed")])
+    wh, dsd = reports.late_warehouse(res.orders, AS_OF), reports.late_dsd_independent(res.orders, AS_OF)
+    assert [r["le_delivery"] for r in wh.collect()] == ["90004", "90003", "90002", "90001"]
+    assert [r["le_delivery"] for r in dsd.collect()] == ["90007", "90008"] and len(wh.columns) == 9
+
+
+def test_customer_reports_and_not_started(spark):
+    res = processed(spark, [
+        order(1, ship_to_name="AMZ", customer_dock_appointment_date=day(8)), order(2, ship_to_name="AMZ"),
+        order(3, ship_to_name="Save-On", facility_code="DSD"), order(4, ship_to_name="saveon 3", facility_code=" warehouse"),
+        order(5, ship_to_name="Calgary Co Op", picking_in_pct="40"), order(6, goods_issue="COMPLETED")])
+    spec = {r.name: r for r in RULES.reports}
+
+    def ids(name):
+        return [r["le_delivery"] for r in reports.customer_report(res.orders, spec[name]).collect()]
+    amz = reports.customer_report(res.orders, spec["AMZ"]).collect()
+    assert [r["comments"] for r in amz] == ["Cancellation deadline 03/20", ""]
+    assert ids("PFG WHSE") == ["90004"] and ids("Calgary CO-OP") == ["90005"] and ids("Pratts") == []
+    assert [r["comments"] for r in reports.customer_report(res.orders, spec["Calgary CO-OP"]).collect()] == [""]
+    assert sorted(r["le_delivery"] for r in res.not_started().collect()) == ["90001", "90002", "90003", "90004"]
+
+
+def test_report_totals_have_empty_reports_for_all_plants_only(spark):
+    res = processed(spark, [order(1, ship_to_name="GFS", ys="Laval", sales_order_total="5"), order(2, ys="Surrey")])
+    got = {(r["scope"], r["report"]): (r["rows"], r["total"]) for r in res.report_totals().collect()}
+    names = {"DSD Priorities", *(r.name for r in RULES.reports)}
+    assert {n for s, n in got if s == "All Plants"} == names
+    assert {k: v for k, v in got.items() if v[0]} == {("All Plants", "GFS"): (1, 5.0), ("Laval", "GFS"): (1, 5.0)}
 
 
 @pytest.fixture(scope="module")
@@ -95,24 +96,18 @@ def test_invariants_on_fixture(spark, fixture_small):
         sorted(map(tuple, t_all.filter(F.col("site") == site).collect()))
 
 
-def test_duplicates_never_inflate(spark):
-    res = run(spark, {"LE Delivery": "1", "Planned Dlv. Date": "2026-07-10"},
-              {"LE Delivery": "1.0", "Planned Dlv. Date": "2026-07-10"},
-              {"LE Delivery": "1", "Planned Dlv. Date": "2026-07-10"})
-    s = {r["site"]: r for r in res.all_plants_summary().collect()}
-    assert s["All Plants"]["total_orders"] == 1 and s["All Plants"]["total_price"] == 1000.0
+def test_repeated_deliveries_count_once(spark):
+    res = processed(spark, [order(1, le_delivery=i, planned_dlv_date=day(-1)) for i in ("12", "12.0", " 12 ")])
+    total = {r["site"]: r for r in res.all_plants_summary().collect()}["All Plants"]
+    assert (total["total_orders"], total["total_price"]) == (1, 250.0)
     meta = {r["metric"]: r["value"] for r in res.run_summary().collect()}
-    assert meta["duplicates_removed"] == 2 and meta["row_count"] == 1
-
-
-def test_only_unknown_site_warning(spark):
-    res = run(spark, {"ys": None}, {"ys": "  "})
-    meta = {r["metric"]: r["value"] for r in res.run_summary().collect()}
-    assert meta["only_unknown_site"] == 1 and meta["sites"] == 1
+    assert (meta["duplicates_removed"], meta["row_count"]) == (2, 1)
 
 
 def test_run_warnings(spark):
-    res = run(spark, {"ys": None}, {"ys": None, "LE Delivery": ""})
-    w = res.warnings()
-    assert len(w) == 2 and "Unknown warehouse" in w[0] and w[1].startswith("1 record(s)")
-    assert run(spark, {}).warnings() == []
+    none = processed(spark, [order(1, ys=None), order(2, ys=" ", le_delivery=None)])
+    meta = {r["metric"]: r["value"] for r in none.run_summary().collect()}
+    assert (meta["only_unknown_site"], meta["sites"], meta["validation_records"]) == (1, 1, 1)
+    first, second = none.warnings()
+    assert "Unknown warehouse" in first and second.startswith("1 record(s)")
+    assert processed(spark, [order(1)]).warnings() == []

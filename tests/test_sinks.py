@@ -1,75 +1,96 @@
 from pyspark.sql import functions as F
 
 from dockline.plans.materialize import cut_lineage
-from dockline.sinks.catalog import (detail_severity, null_as_zero, tracker_severity, with_total_row,
-                                    write_all)
+from dockline.sinks.catalog import (COMBINED, detail_severity, not_started_severity, null_as_zero, tracker_severity,
+                                    with_total_row, write_all)
 from dockline.sinks.display import TRACKER_HEADERS, with_display_names
-from helpers import AS_OF, rows, run
-
-ORDERS = (
-    {"ys": "Surrey Warehouse", "Ship-to Name": "AMAZON A", "Planned Dlv. Date": "2026-07-10",
-     "Customer Dock Appointment Date": "2026-07-21"},
-    {"ys": "Calgary Warehouse", "Ship-to Name": "SYSCO B", "Picking in %": "50"},
-    {"ys": "Winnipeg DC", "Ship-to Name": "GFS C", "Planned Dlv. Date": "2026-07-12"},
-    {"ys": "Calgary Warehouse", "LE Delivery": ""},
-)
-
-
-def test_catalog_order_and_nonempty_reports(spark):
-    res = run(spark, *ORDERS)
-    cat = [(r["sheet"], r["rows"]) for r in res.report_catalog().collect()]
-    sheets = [s for s, _ in cat]
-    assert sheets[:3] == ["All Plants Summary", "All Plants Issue Tracker", "All Plants Not Started"]
-    # configured sites first (Calgary before Surrey), then the others alphabetically
-    firsts = [s.split(" ")[0] for s in sheets[3:-2]]
-    assert firsts.index("Calgary") < firsts.index("Surrey") < firsts.index("Winnipeg")
-    assert "Surrey - AMZ" in sheets and "Calgary - AMZ" not in sheets  # empty reports skipped
-    assert sheets[-2:] == ["SAPUI5 Export", "Validation Warnings"]
-    assert dict(cat)["SAPUI5 Export"] == 3
+from helpers import AS_OF, day, order, processed, records
+
+ORDERS = [
+    order(1, ship_to_name="AMZ", planned_dlv_date=day(-4), sales_order_total="70"),
+    order(2, ship_to_name="Sysco", ys="Calgary Warehouse", picking_in_pct="30"),
+    order(3, ship_to_name="GFS", ys="Winnipeg DC", planned_dlv_date=day(-2), sales_order_total="30"),
+    order(4, ys="Calgary Warehouse", le_delivery=""),
+    order(5, ship_to_name="DELUCA BROS FOODS", ys="Calgary Warehouse", picking_in_pct="30"),
+]
+
+
+def test_catalog(spark):
+    cat = processed(spark, ORDERS).report_catalog().collect()
+    sheets = [r["sheet"] for r in cat]
+    assert sheets[:3] == COMBINED and sheets[-2:] == ["SAPUI5 Export", "Validation Warnings"]
+    assert sheets[3:-2] == [
+        "Calgary Issue Tracker", "Calgary Not Started", "Calgary Orders", "Calgary - DSD Priorities", "Calgary - Sysco",
+        "Surrey Issue Tracker", "Surrey Not Started", "Surrey Orders", "Surrey - AMZ", "Surrey - Andrew Tab",
+        "Winnipeg Issue Tracker", "Winnipeg Not Started", "Winnipeg Orders", "Winnipeg - Andrew Tab", "Winnipeg - GFS"]
+    by = {r["sheet"]: r for r in cat}
+    assert (by["Calgary Issue Tracker"]["rows"], by["Calgary Not Started"]["rows"]) == (0, 0)  # listed, though empty
+    totals = {s: r["total"] for s, r in by.items() if r["total"] is not None}
+    assert totals == {"Calgary Orders": 500.0, "Calgary - Sysco": 250.0, "Surrey Orders": 70.0, "Surrey - AMZ": 70.0,
+                      "Winnipeg Orders": 30.0, "Winnipeg - GFS": 30.0}
+    assert [s for s, r in by.items() if r["note"]] == ["Surrey - AMZ"]
+    assert (by["Surrey Issue Tracker"]["shading"], by["Surrey - Andrew Tab"]["shading"], by["Surrey - AMZ"]["shading"],
+            by["SAPUI5 Export"]["rows"]) == ("status", None, "detail", 4)
+    assert len({r["seq"] for r in cat}) == len(cat)
 
 
 def test_site_sections_equal_filtered_outputs(spark):
-    res = run(spark, *ORDERS)
-    sections = res.site_sections()
+    sections = processed(spark, ORDERS).site_sections()
     assert list(sections) == ["Calgary", "Surrey", "Winnipeg"]
-    assert sections["Surrey"]["issue_tracker"].count() == 1
-    assert sections["Calgary"]["orders"].count() == 1
+    assert sections["Surrey"]["issue_tracker"].count() == 1 and sections["Calgary"]["orders"].count() == 2
     assert {r["report"] for r in sections["Winnipeg"]["reports"].collect()} == {"GFS", "Andrew Tab"}
 
 
 def test_filtered_rebuild_keeps_validation_errors(spark):
-    res = run(spark, *ORDERS)
-    f = res.filtered(site=["Surrey"])
-    assert [r["site"] for r in f.all_plants_summary().collect()] == ["Surrey", "All Plants"]
-    assert f.validation_errors.count() == res.validation_errors.count() == 1
+    res = processed(spark, ORDERS)
+    only = res.filtered(site=["Surrey"])
+    assert [r["site"] for r in only.all_plants_summary().collect()] == ["Surrey", "All Plants"]
+    assert only.validation_errors.count() == res.validation_errors.count() == 1
+
 
+def test_colours(spark):
+    statuses = ["Critical", "At Risk", "Not Started", "Ready / Awaiting GI", "In Progress", "Resolved"]
+    df = spark.createDataFrame([(s,) for s in statuses + ["High", "Medium", "Low"]], "s string")
+    got = {r[0]: (r[1], r[2]) for r in df.select("s", tracker_severity(F.col("s")), not_started_severity(F.col("s"))).collect()}
+    assert [got[s][0] for s in statuses] == ["red", "orange", "yellow", "green", None, None]
+    assert [got[s][1] for s in ("Critical", "High", "Medium", "Low")] == ["red", "orange", "yellow", None]
+    res = processed(spark, ORDERS + [order(6), order(7, goods_issue="completed", planned_dlv_date=day(-9))])
+    sev = {r["le_delivery"]: r["s"] for r in res.orders.select("le_delivery", detail_severity(AS_OF).alias("s")).collect()}
+    assert sev == {"90001": "red", "90002": None, "90003": "red", "90005": None, "90006": "yellow", "90007": None}
 
-def test_shaping_helpers(spark):
-    res = run(spark, *ORDERS)
-    t = res.issue_tracker()
-    shown = with_display_names(t.withColumn("sev", tracker_severity(F.col("status"))),
-                               TRACKER_HEADERS)
+
+def test_total_row_zero_fill_and_display_names(spark):
+    orders = processed(spark, ORDERS).orders
+    total, = (r for r in with_total_row(orders.select("le_delivery", "sales_order_total"), "le_delivery").collect()
+              if r["is_total"])
+    assert (total["le_delivery"], total["sales_order_total"]) == ("TOTAL", 600.0)
+    filled = null_as_zero(orders.select(F.lit(None).cast("double").alias("cases"), F.lit(None).cast("double").alias("x")))
+    assert {tuple(r) for r in filled.collect()} == {(0.0, None)}
+    shown = with_display_names(processed(spark, ORDERS).issue_tracker(), TRACKER_HEADERS)
     assert shown.columns[:3] == ["Site", "Customer", "Issue Type"]
-    sev = {r["le_delivery"]: r["sev"] for r in
-           res.orders.select("le_delivery", detail_severity(AS_OF).alias("sev")).collect()}
-    assert sev == {"80100000": "red", "80100001": None, "80100002": "red"}
-    tot = with_total_row(res.orders.select("le_delivery", "sales_order_total"), "le_delivery")
-    last = [r for r in tot.collect() if r["is_total"]]
-    assert last[0]["le_delivery"] == "TOTAL" and last[0]["sales_order_total"] == 3000.0
-    z = null_as_zero(res.orders.select(F.lit(None).cast("double").alias("cases"), "le_delivery"))
-    assert {r["cases"] for r in z.collect()} == {0.0}
 
 
-def test_write_all_replaces_a_day(spark, tmp_path):
+def test_a_day_is_replaced_as_a_whole(spark, tmp_path):
+    out = str(tmp_path / "out")
+    write_all(processed(spark, ORDERS), out)
+    write_all(processed(spark, ORDERS[1:2]), out)
+    assert [r["le_delivery"] for r in spark.read.parquet(out + "/orders").collect()] == ["90002"]
+    assert not list((tmp_path / "out" / "issue_tracker").rglob("*.parquet"))  # nothing escalates any more
+    assert spark.read.parquet(out + "/catalog").count() == 8
+
+
+def test_written_lists_keep_their_order(spark, tmp_path):
     out = str(tmp_path / "out")
-    write_all(run(spark, *ORDERS), out)
-    write_all(run(spark, ORDERS[1]), out)  # same as-of date: replaces that day's partitions
-    orders = spark.read.parquet(out + "/orders")
-    assert [r["le_delivery"] for r in orders.collect()] == ["80100000"]
-    assert spark.read.parquet(out + "/catalog").count() > 3
+    res = processed(spark, ORDERS + [order(i, planned_dlv_date=day(9 - i)) for i in range(10, 20)])
+    write_all(res, out)
+    for name, df in (("not_started", res.not_started()), ("issue_tracker", res.issue_tracker())):
+        written = spark.read.parquet(f"{out}/{name}")
+        keys = [c for c in df.columns if c in ("le_delivery", "site", "customer", "issue_type")]
+        for site in ("Surrey", "Winnipeg"):
+            want = [tuple(r[k] for k in keys) for r in df.where(F.col("site") == site).collect()]
+            assert [tuple(r[k] for k in keys) for r in written.where(F.col("site") == site).orderBy("place").collect()] == want
 
 
 def test_checkpoint_mode_cuts_lineage(spark):
-    res = run(spark, *ORDERS)
-    cp = cut_lineage(res.orders, "checkpoint")
-    assert cp.count() == 3 and "Scan" not in cp._jdf.queryExecution().optimizedPlan().toString()
+    kept = cut_lineage(processed(spark, ORDERS).orders, "checkpoint")
+    assert len(records(kept)) == 4 and "Scan" not in kept._jdf.queryExecution().optimizedPlan().toString()
