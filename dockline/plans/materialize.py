@@ -102,3 +102,15 @@ def cut_lineage(df: DataFrame, mode: str = "auto") -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir is not set; cannot checkpoint")
         return df.checkpoint(eager=True)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(df: DataFrame) -> None:
+    """Drop what ``cut_lineage`` kept: cached blocks, or the table's own folder."""
+    df.unpersist()
+    for file in df.inputFiles():
+        at = file.find("/dockline-tables/")
+        if at >= 0:
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(file[:file.index("/", at + len("/dockline-tables/"))])
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            return

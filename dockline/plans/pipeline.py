@@ -9,21 +9,21 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
 
-from ..config import Ruleset, load_rules
+from ..config import Rules, load_rules
 from ..operators.classify import classify
 from ..operators.clean import dedup_orders, typed_export, validation_errors
 from ..operators.enrich import enrich
-from ..session import tune_for_wide_projections
-from .materialize import cut_lineage
+from ..session import wide_projections
+from ..sources.headers import ExportSchemaError
+from .materialize import cut_lineage, release
 
 
-def enriched_orders(raw: DataFrame, as_of: dt.date, rules: Ruleset) -> DataFrame:
-    """Unique, classified, enriched orders from a raw export (lazy)."""
-    typed = typed_export(raw)
-    return enrich(classify(dedup_orders(typed), rules), as_of, rules)
+#: Where the plants are: the run clock's zone.
+PLANT_ZONE = ZoneInfo("America/Edmonton")
 
 
 @dataclass
@@ -34,9 +34,14 @@ class ProcessResult:
     validation_errors: DataFrame
     as_of: dt.date
     now: dt.datetime
-    rules: Ruleset
+    rules: Rules
     typed: DataFrame = field(repr=False, default=None)
 
+    def release(self) -> None:
+        """Give up what is stored; DataFrames made from it can't be run any more."""
+        for stored in (self.orders, self.validation_errors):
+            release(stored)
+
     def issue_tracker(self, include_non_escalated: bool = False, ordered: bool = True) -> DataFrame:
         from ..operators.tracker import issue_tracker
         return issue_tracker(self.orders, self.rules, self.now,
@@ -105,23 +110,28 @@ class ProcessResult:
                              now=self.now, rules=self.rules, typed=self.typed)
 
 
-def process_export(raw: DataFrame, as_of: dt.date, rules: Ruleset | None = None,
+def process_export(raw: DataFrame, as_of: dt.date, rules: Rules | None = None,
                    now: dt.datetime | None = None, materialize: str = "auto",
                    require_rows: bool = True) -> ProcessResult:
-    """Run the pipeline on a raw export (see ``dockline.sources``)."""
-    tune_for_wide_projections(raw.sparkSession)
+    """Run the pipeline on one raw export (see ``dockline.sources``).
+
+    ``now``: the run clock in the texts, by default the plants' current time.
+    Rows of more than one ``export_id`` are an error: process them one by one."""
     rules = rules or load_rules()
-    now = now or dt.datetime.combine(as_of, dt.time(8, 0))
-    typed = typed_export(raw)
-    orders = enrich(classify(dedup_orders(typed), rules), as_of, rules)
-    orders = cut_lineage(orders, materialize)
-    # Flagged rows are a small fraction of the upload: store them once too, so
-    # the run summary and the catalog do not re-derive them from the raw rows.
-    errors = cut_lineage(validation_errors(typed), materialize)
+    now = now or dt.datetime.now(PLANT_ZONE).replace(tzinfo=None)
+    with wide_projections(raw.sparkSession):
+        typed = typed_export(raw)
+        orders = enrich(classify(dedup_orders(typed), rules), as_of, rules)
+        orders = cut_lineage(orders, materialize)
+        # Flagged rows are a small fraction of the upload: store them once too, so
+        # the run summary and the catalog do not re-derive them from the raw rows.
+        errors = cut_lineage(validation_errors(typed), materialize)
+        ids = orders.select("export_id").union(errors.select("export_id")).distinct().limit(2).count()
     # Every non-blank row is either a delivery row or a missing-key error,
     # so "no data rows" is checked on the two stored tables (no extra pass).
-    if require_rows and orders.isEmpty() and errors.isEmpty():
-        from ..sources.headers import ExportSchemaError
+    if require_rows and not ids:
         raise ExportSchemaError("The export contains headers but no data rows.")
+    if ids > 1:
+        raise ExportSchemaError("The rows come from more than one export; process each by itself.")
     return ProcessResult(orders=orders, validation_errors=errors,
                          as_of=as_of, now=now, rules=rules, typed=typed)

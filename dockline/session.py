@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -39,6 +40,19 @@ def tune_for_wide_projections(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
 
 
+@contextmanager
+def wide_projections(spark: SparkSession):
+    """``tune_for_wide_projections`` while plans are made; the session's own
+    setting comes back afterwards."""
+    key = "spark.sql.constraintPropagation.enabled"
+    was = spark.conf.get(key)
+    tune_for_wide_projections(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the configured ``spark.checkpoint.dir``; set a scratch one only if unset
     (tests / local runs)."""

@@ -1,28 +1,18 @@
 """One delivery / one tracker group holding a third of all rows."""
-import datetime as dt
-
 from pyspark.sql import functions as F
 
 from dockline import load_rules, process_export
 from dockline.operators.clean import dedup_orders, typed_export
-from dockline.sources.export import from_rows
-from helpers import DEFAULTS
+from helpers import AS_OF, day, order, raw_export
 
 N = 3000
+HOT = "hot-one"
 
 
 def _skewed(spark):
-    headers = list(DEFAULTS)
-    rows = []
-    for i in range(N):
-        rec = dict(DEFAULTS)
-        hot = i % 3 == 0  # a third of all rows share one delivery
-        rec["LE Delivery"] = "80199999" if hot else str(80100000 + i)
-        rec["Picking in %"] = str(i % 101) if hot else "0"
-        rec["Ship-to Name"] = "AMAZON HOT"
-        rec["Planned Dlv. Date"] = "2026-07-10"
-        rows.append([rec[h] for h in headers])
-    return from_rows(spark, headers, rows)
+    late = dict(ship_to_name="AMZ everywhere", planned_dlv_date=day(-6))
+    return raw_export(spark, [order(i, **late) if i % 3 else order(i, **late, le_delivery=HOT, picking_in_pct=str(i % 101))
+                              for i in range(N)])
 
 
 def test_hot_delivery_is_reduced_map_side_and_kept_whole(spark):
@@ -30,14 +20,14 @@ def test_hot_delivery_is_reduced_map_side_and_kept_whole(spark):
     orders = dedup_orders(typed_export(raw))
     got = {r["le_delivery"]: r for r in orders.collect()}
     assert len(got) == 1 + (N - N // 3)
-    hot = got["80199999"]
+    hot = got[HOT]
     assert hot["picking_in_pct"] == 100.0 and hot["source_rows"] == N // 3
     plan = orders._jdf.queryExecution().executedPlan().toString()
     assert "partial_min_by" in plan
 
 
 def test_hot_tracker_group(spark):
-    res = process_export(_skewed(spark).repartition(8), dt.date(2026, 7, 17), load_rules())
+    res = process_export(_skewed(spark).repartition(8), AS_OF, load_rules())
     t = res.issue_tracker().collect()
     assert len(t) == 1 and t[0]["order_count"] == 1 + (N - N // 3)
     assert "Affected LE Deliveries" not in t[0]["issue"]  # large group: no id list
