@@ -26,7 +26,8 @@ WITH src AS (
 ),
 raw AS (
   SELECT ok, ln, k3, k4, k5,
-    CASE WHEN ck % 97 = 0 THEN NULL WHEN ck % 2 = 0 THEN r_name || ' WAREHOUSE'
+    CASE WHEN ck % 97 = 0 THEN NULL WHEN ck % 11 = 0 THEN 'Mississauga  warehouse'
+         WHEN ck % 11 = 1 THEN 'CALGARY WAREHOUSE' WHEN ck % 11 = 2 THEN ' Surrey Warehouse ' WHEN ck % 2 = 0 THEN r_name || ' WAREHOUSE'
          ELSE ' ' || r_name || '  Warehouse' END AS ys,
     CASE ok % 5 WHEN 0 THEN 'DSD' WHEN 1 THEN 'Independant' WHEN 2 THEN ' independent '
          ELSE 'Warehouse' END AS fac,
@@ -37,7 +38,9 @@ raw AS (
          WHEN ln % 3 = 0 THEN CAST(35810 + ok % 29 - 12 AS VARCHAR) || '.5'
          WHEN ln % 3 = 1 THEN '1998-01-' || lpad(CAST(15 + ok % 29 - 12 AS VARCHAR), 2, '0') || ' 23:00:00'
          ELSE '01/' || lpad(CAST(15 + ok % 29 - 12 AS VARCHAR), 2, '0') || '/1998' END AS planned,
-    CASE WHEN (ok + ln) % 31 = 0 THEN 'not a date'
+    CASE WHEN (ok + ln) % 31 = 0 THEN 'not a date' WHEN ok % 37 = 0 THEN '19980120' WHEN ok % 43 = 0 THEN '1998'
+         WHEN ok % 47 = 0 THEN '20-Jan-1998' WHEN ok % 59 = 0 THEN 'Jan 20, 1998 11:00 PM'
+         WHEN ok % 61 = 0 THEN '1/20/98 8:30' WHEN ok % 67 = 0 THEN '20.01.1998'
          ELSE CAST(35810 + ck % 23 - 6 AS VARCHAR) END AS route,
     CASE WHEN ok % 4 = 0 THEN NULL ELSE CAST(35810 + (ok + ck) % 17 - 4 AS VARCHAR) END AS dock,
     CASE WHEN ln % 4 = 0 THEN NULL ELSE CAST(l_shipdate AS VARCHAR) END AS wtc,
@@ -45,7 +48,10 @@ raw AS (
          WHEN ln % 2 = 0 THEN CAST(80000000 + ok AS VARCHAR) || '.0'
          ELSE ' ' || CAST(80000000 + ok AS VARCHAR) END AS le,
     CASE WHEN ck % 101 = 0 THEN ''
-         ELSE (CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Amazon  ' WHEN 'BUILDING' THEN 'sysco '
+         ELSE coalesce(CASE ck % 13 WHEN 0 THEN 'Save-On ' WHEN 1 THEN 'ASSOCIATED  GROCERS ' WHEN 2 THEN 'Calgary Co-op '
+               WHEN 3 THEN 'Pratt''s Wholesale ' WHEN 4 THEN 'FCL ' WHEN 5 THEN 'Canada  Safeway ' WHEN 6 THEN 'LOBLAW '
+               WHEN 7 THEN 'Italian Centre ' WHEN 8 THEN 'DELUCA BROS FOODS ' WHEN 9 THEN 'GFS ' END,
+               CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Amazon  ' WHEN 'BUILDING' THEN 'sysco '
                WHEN 'FURNITURE' THEN 'A&W GFS ' WHEN 'MACHINERY' THEN 'WM ' ELSE 'WMX ' END) || c_name
     END AS ship,
     CASE WHEN ok % 41 = 0 THEN 'Loblaws  Pick up' ELSE 'CARRIER ' || CAST(ck % 7 AS VARCHAR) END AS carrier,
@@ -54,8 +60,10 @@ raw AS (
     CASE WHEN ok % 307 = 0 THEN 'TBD'
          ELSE CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) END AS total,
     CAST(l_quantity AS VARCHAR) AS cases,
-    CAST(ln AS VARCHAR) AS line_items
+    CAST(ln AS VARCHAR) AS line_items,
+    CASE WHEN ok % 6 <> 0 THEN '08:' || lpad(CAST(ok % 60 AS VARCHAR), 2, '0') END AS dock_time
   FROM src
+  WHERE (ok + ln) % 499 <> 0  -- those rows are blank, and blank rows don't count
 ),
 b AS (  -- whitespace-only cells are missing; then strip
   SELECT ok, ln, k3, k4, k5,
@@ -71,7 +79,7 @@ b AS (  -- whitespace-only cells are missing; then strip
     CASE WHEN regexp_matches(carrier, '^\s*$') THEN NULL ELSE trim(carrier) END AS carrier,
     CASE WHEN regexp_matches(gi, '^\s*$') THEN NULL ELSE trim(gi) END AS gi,
     CASE WHEN regexp_matches(total, '^\s*$') THEN NULL ELSE total END AS total,
-    cases, line_items
+    cases, line_items, dock_time
   FROM raw
 ),
 num AS (
@@ -108,7 +116,7 @@ typed AS (
     '' AS cust_reference, '' AS sto_po_number, '' AS carrier, '' AS shipment_type,
     '' AS shpg_cond_desc, '' AS ship_to_city, '' AS ship_to_province, CAST(0 AS DOUBLE) AS pallet_quantity,
     CAST(0 AS DOUBLE) AS num_lifts_pallets, '' AS packing_status, '' AS picking, '' AS picking_plan,
-    '' AS cod_paid_flag, CAST(NULL AS VARCHAR) AS customer_dock_appointment_time,
+    '' AS cod_paid_flag, dock_time AS customer_dock_appointment_time,
     '' AS customer_dock_reference, CAST(0 AS DOUBLE) AS gross_weight, '' AS sales_order, '' AS outb_del_ord,
     '' AS shipping_cond, '' AS consignee, '' AS purchase_order
   FROM dt
@@ -119,7 +127,8 @@ best AS (
       PARTITION BY le_delivery
       ORDER BY (CAST(planned_dlv_date IS NOT NULL AS INT) + CAST(route_depart_date IS NOT NULL AS INT)
                 + CAST(customer_dock_appointment_date IS NOT NULL AS INT)
-                + CAST(warehouse_task_creat IS NOT NULL AS INT)) DESC,
+                + CAST(warehouse_task_creat IS NOT NULL AS INT)
+                + CAST(customer_dock_appointment_time IS NOT NULL AS INT)) DESC,
                picking_in_pct DESC, warehouse_task_creat DESC NULLS LAST, ok, ln, k3, k4, k5) AS rn
     FROM typed WHERE le_delivery <> '') WHERE rn = 1
 ),
@@ -251,7 +260,8 @@ def _date_sql(c: str) -> str:
             f"(CASE WHEN CAST({c} AS DOUBLE) < 106752 THEN TIMESTAMP '1899-12-30' + "
             f"to_microseconds(CAST(round(CAST({c} AS DOUBLE) * 86400000000) AS BIGINT)) END) "
             f"ELSE try_strptime({c}, ['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d %H:%M', "
-            f"'%Y-%m-%d', '%m/%d/%Y %H:%M:%S', '%m/%d/%Y', '%d/%m/%Y', '%b %d, %Y']) END)")
+            f"'%Y-%m-%d', '%m/%d/%Y %H:%M:%S', '%m/%d/%Y', '%d/%m/%Y', '%b %d, %Y', '%d-%b-%Y', "
+            f"'%b %d, %Y %I:%M %p', '%m/%d/%y %H:%M', '%d.%m.%Y']) END)")
 
 
 def base() -> str:
@@ -423,6 +433,7 @@ FROM plan
 """
     return {
         "typed_export": _q(f"SELECT {C35}, bad_total, ok AS k1, ln AS k2, k3, k4, k5 FROM typed"),
+        "messy_header_export": _q(f"SELECT {C35}, bad_total, ok AS k1, ln AS k2, k3, k4, k5 FROM typed"),
         "clean_orders": _q(f"SELECT {C35} FROM best"),
         "validation_errors": _q(errors),
         "run_summary": _q("""
@@ -459,6 +470,7 @@ FROM enriched WHERE is_not_started"""),
         "report_amz": _q(f"SELECT {AMZ_NOTE} AS comments, {C35} FROM enriched WHERE customer_group IN ('amazon')"),
         "report_pfg_whse": _q(f"SELECT {C35} FROM enriched WHERE customer_group IN ('save_on', 'associated_grocers') AND upper(facility_code) IN ('WAREHOUSE')"),
         "report_calgary_coop": _q(f"SELECT '' AS comments, {C35} FROM enriched WHERE customer_group IN ('calgary_coop')"),
+        "report_pratts": _q(f"SELECT {C35} FROM enriched WHERE customer_group IN ('pratts')"),
         "report_gfs": _q(f"SELECT {C35} FROM enriched WHERE customer_group IN ('gfs', 'aw_via_gfs')"),
         "late_warehouse": _q(f"SELECT {LATE_COLS} FROM enriched WHERE {LATE_WH}"),
         "late_dsd_independent": _q(f"SELECT {LATE_COLS} FROM enriched WHERE {LATE_DSD}"),

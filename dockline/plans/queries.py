@@ -21,7 +21,8 @@ from ..operators.enrich import enrich
 from ..sinks import catalog
 from ..session import tune_for_wide_projections
 from .materialize import cut_lineage
-from ..sources.fixture import FIXTURE_AS_OF, fixture_export
+from ..sources.export import from_table
+from ..sources.fixture import FIXTURE_AS_OF, fixture_export, messy_export
 from ..sources.headers import COLUMNS
 
 AS_OF = dt.date.fromisoformat(FIXTURE_AS_OF)
@@ -70,6 +71,13 @@ def q_typed_export(spark, sf_dir):
                     F.col("ordinal.k4").alias("k4"), F.col("ordinal.k5").alias("k5"))
 
 
+def q_messy_header_export(spark, sf_dir):
+    """The same export under untidy headers, resolved and typed."""
+    tune_for_wide_projections(spark)
+    t = typed_export(from_table(messy_export(fixture_export(spark, sf_dir))))
+    return t.select(*COLUMNS, "bad_total", *(F.col(f"ordinal.k{i}").alias(f"k{i}") for i in range(1, 6)))
+
+
 def q_clean_orders(spark, sf_dir):
     return dedup_orders(fixture_typed(spark, sf_dir)).select(*COLUMNS)
 
@@ -103,6 +111,7 @@ def _filtered_tracker(orders):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources + cleaning
     "typed_export": q_typed_export,
+    "messy_header_export": q_messy_header_export,
     "clean_orders": q_clean_orders,
     "validation_errors": q_validation_errors,
     "run_summary": q_run_summary,
@@ -120,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_pfg_whse": _orders(lambda o: reports.customer_report(o, SPEC["PFG WHSE"], ordered=False)),
     "report_calgary_coop": _orders(
         lambda o: reports.customer_report(o, SPEC["Calgary CO-OP"], ordered=False)),
+    "report_pratts": _orders(lambda o: reports.customer_report(o, SPEC["Pratts"], ordered=False)),
     "report_gfs": _orders(lambda o: reports.customer_report(o, SPEC["GFS"], ordered=False)),
     "late_warehouse": _orders(lambda o: reports.late_warehouse(o, AS_OF, ordered=False)),
     "late_dsd_independent": _orders(

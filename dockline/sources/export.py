@@ -101,7 +101,7 @@ def cell_text(c: Column, kind: T.DataType) -> Column:
 
 def canonical(cells: DataFrame, headers: HeaderMap, export_id: Column, null_tokens: Sequence[str]) -> DataFrame:
     """The 35 canonical text columns, ordinal and export_id from positional cells."""
-    names = [c for c in cells.columns if c != "ordinal"]
+    names = [c for c in cells.columns if c not in ("ordinal", "export_id")]
     rows = cells.select(*headers.columns([F.col(c) for c in names]), "ordinal", export_id.alias("export_id"))
     if not null_tokens:
         return rows
@@ -163,14 +163,10 @@ def from_rows(spark: SparkSession, headers: Sequence[str], rows: Sequence[Sequen
     return canonical(cells, HeaderMap(headers).require(), F.lit(export_id), null_tokens)
 
 
-def from_table(table: DataFrame, export_id: Column, ordinal: Column,
-               null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
-    """An export that is already a DataFrame: its column names are the raw headers,
-    ``export_id`` and ``ordinal`` are expressions over it."""
-    names = table.columns
-    rows = table.select(ordinal.alias("ordinal"), export_id.alias("export_id"),
-                        *(cell_text(F.col(f"`{f.name.replace('`', '``')}`"), f.dataType).alias(f"_c{i}")
-                          for i, f in enumerate(table.schema)))
-    return canonical(rows.select(*(f"_c{i}" for i in range(len(names))), "ordinal", "export_id")
-                     .withColumnRenamed("export_id", f"_c{len(names)}"),
-                     HeaderMap(names).require(), F.col(f"_c{len(names)}"), null_tokens)
+def from_table(table: DataFrame, null_tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
+    """An export that is already a DataFrame: its column names are the raw headers;
+    the last two columns are ``ordinal`` and ``export_id``."""
+    headers, kinds = table.columns[:-2], [f.dataType for f in table.schema][:-2]
+    cells = table.toDF(*(f"_c{i}" for i in range(len(headers))), "ordinal", "export_id")
+    cells = cells.select(*(cell_text(F.col(f"_c{i}"), k).alias(f"_c{i}") for i, k in enumerate(kinds)), "ordinal", "export_id")
+    return canonical(cells, HeaderMap(headers).require(), F.col("export_id"), null_tokens)

@@ -73,6 +73,8 @@ def fixture_export(spark: SparkSession, sf_dir: str, materialize_large: bool = T
 
     raw = {
         "ys": F.when(ck % 97 == 0, null)
+               .when(ck % 11 == 0, "Mississauga  warehouse").when(ck % 11 == 1, "CALGARY WAREHOUSE")
+               .when(ck % 11 == 2, " Surrey Warehouse ")
                .when(ck % 2 == 0, F.concat(F.col("r_name"), F.lit(" WAREHOUSE")))
                .otherwise(F.concat(F.lit(" "), F.col("r_name"), F.lit("  Warehouse"))),
         "facility_code": F.when(ok % 5 == 0, "DSD").when(ok % 5 == 1, "Independant")
@@ -85,15 +87,23 @@ def fixture_export(spark: SparkSession, sf_dir: str, materialize_large: bool = T
             .when(ln % 3 == 1, F.concat(F.lit("1998-01-"), _lpad2(off + 15), F.lit(" 23:00:00")))
             .otherwise(F.concat(F.lit("01/"), _lpad2(off + 15), F.lit("/1998"))),
         "route_depart_date": F.when((ok + ln) % 31 == 0, "not a date")
+                              .when(ok % 37 == 0, "19980120").when(ok % 43 == 0, "1998")
+                              .when(ok % 47 == 0, "20-Jan-1998").when(ok % 59 == 0, "Jan 20, 1998 11:00 PM")
+                              .when(ok % 61 == 0, "1/20/98 8:30").when(ok % 67 == 0, "20.01.1998")
                               .otherwise(_s(serial + ck % 23 - 6)),
         "customer_dock_appointment_date": F.when(ok % 4 == 0, null)
                                            .otherwise(_s(serial + (ok + ck) % 17 - 4)),
+        "customer_dock_appointment_time": F.when(ok % 6 == 0, "  ").otherwise(F.concat(F.lit("08:"), _lpad2(ok % 60))),
         "warehouse_task_creat": F.when(ln % 4 == 0, null).otherwise(_s(F.col("l_shipdate"))),
         "le_delivery": F.when(ok % 301 == 0, "   ")
                         .when(ln % 2 == 0, F.concat(_s(ok + 80000000), F.lit(".0")))
                         .otherwise(F.concat(F.lit(" "), _s(ok + 80000000))),
         "ship_to_name": F.when(ck % 101 == 0, "").otherwise(F.concat(
-            F.when(F.col("c_mktsegment") == "AUTOMOBILE", "Amazon  ")
+            F.when(ck % 13 == 0, "Save-On ").when(ck % 13 == 1, "ASSOCIATED  GROCERS ")
+             .when(ck % 13 == 2, "Calgary Co-op ").when(ck % 13 == 3, "Pratt's Wholesale ")
+             .when(ck % 13 == 4, "FCL ").when(ck % 13 == 5, "Canada  Safeway ").when(ck % 13 == 6, "LOBLAW ")
+             .when(ck % 13 == 7, "Italian Centre ").when(ck % 13 == 8, "DELUCA BROS FOODS ").when(ck % 13 == 9, "GFS ")
+             .when(F.col("c_mktsegment") == "AUTOMOBILE", "Amazon  ")
              .when(F.col("c_mktsegment") == "BUILDING", "sysco ")
              .when(F.col("c_mktsegment") == "FURNITURE", "A&W GFS ")
              .when(F.col("c_mktsegment") == "MACHINERY", "WM ")
@@ -109,7 +119,9 @@ def fixture_export(spark: SparkSession, sf_dir: str, materialize_large: bool = T
         "cases": _s(F.col("l_quantity")),
         "line_items": _s(ln),
     }
-    cols = [(raw[c] if c in raw else null).alias(c) for c in COLUMNS]
+    # some rows are blank altogether
+    blank = (ok + ln) % 499 == 0
+    cols = [F.when(blank, " " if c in raw else null).otherwise(raw.get(c, null)).alias(c) for c in COLUMNS]
     ordinal = F.struct(ok.alias("k1"), ln.alias("k2"), F.col("l_partkey").alias("k3"),
                        F.col("l_suppkey").alias("k4"), F.col("l_extendedprice").alias("k5"))
     export = rows.select(*cols, ordinal.alias("ordinal"),
@@ -120,3 +132,22 @@ def fixture_export(spark: SparkSession, sf_dir: str, materialize_large: bool = T
         # once and store it; later passes scan the stored text (pruned).
         export = cut_lineage(export, "auto")
     return export
+
+
+#: Headers as an untidy export may have them, by column: line breaks, spacing,
+#: punctuation, case, aliases.
+MESSY = {"ys": "Description", "facility_code": " FACILITY\n Code:", "picking_in_pct": "picking %",
+         "planned_dlv_date": "Planned Delivery Date", "route_depart_date": "ROUTE  DEPARTURE DATE.",
+         "customer_dock_appointment_date": "Customer Dock Appointment", "warehouse_task_creat": "Warehouse Task Creation",
+         "customer_dock_appointment_time": "customer dock appointment\r\ntime", "le_delivery": "LE Delivery",
+         "ship_to_name": "-ship-to name", "carrier_description": "Carrier\tDescription", "goods_issue": "goods issue;",
+         "sales_order_total": "Sales Order Total ", "cases": "CASES", "line_items": "Line Items,"}
+
+
+def messy_export(export: DataFrame) -> DataFrame:
+    """The export under ``MESSY`` headers, in another order, with columns that mean
+    nothing or come second to another, and without the optional ones."""
+    wrong = F.lit("wrong")
+    columns = [F.col(c).alias(h) for c, h in reversed(MESSY.items())]
+    return export.select(F.lit("x").alias("Notes"), *columns, wrong.alias("le delivery "), wrong.alias("Plant"),
+                         wrong.alias("Picking in"), "ordinal", "export_id")
