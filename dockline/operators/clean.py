@@ -9,12 +9,15 @@ reduced inside each map task before anything is shuffled.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.text import (blank_to_null, clean_identifier, clean_text, is_bad_number,
                               to_number)
+from ..plans.materialize import broadcast_if_small
 from ..sources.headers import COLUMNS
 
 # Column roles.
@@ -37,6 +40,7 @@ ISSUE_BAD_TOTAL = "Sales Order Total was not numeric — treated as $0"
 VALIDATION_ISSUES = [ISSUE_MISSING_KEY, ISSUE_BLANK_CUSTOMER, ISSUE_BAD_TOTAL]
 
 BOOKKEEPING = ["ordinal", "export_id"]
+MAX_BROADCAST_EXPORTS = 10_000
 
 
 def _with_bookkeeping(raw: DataFrame) -> DataFrame:
@@ -58,32 +62,10 @@ def drop_blank_rows(raw: DataFrame) -> DataFrame:
     return raw.filter(F.coalesce(*[blank_to_null(F.col(c)) for c in COLUMNS]).isNotNull())
 
 
-def percent_factors(raw: DataFrame) -> Column:
-    """B7 pass 1: per export, x100 when every parsed value is <= 1 and one is > 0.
-
-    Reads only the percent column (a blank row has no percent, so dropping
-    blank rows first would not change the maximum).  The statistics are one row
-    per export, bounded by the number of uploads in the run; they are collected
-    and inlined as a literal IN-list (no join)."""
-    p = to_number(blank_to_null(F.col(PERCENT_COLUMN)))
-    stats = (raw.groupBy("export_id")
-             .agg(F.max(p).alias("mx"))
-             .select("export_id",
-                     F.when((F.col("mx") <= 1.0) & (F.col("mx") > 0.0), 100.0)
-                      .otherwise(1.0).alias("factor")))
-    rows = stats.limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("more than 100000 exports in one run; split the run")
-    scaled = [r["export_id"] for r in rows if r["factor"] != 1.0]
-    return F.when(F.col("export_id").isin(scaled), F.lit(100.0)).otherwise(F.lit(1.0)) \
-        if scaled else F.lit(1.0)
-
-
-def type_columns(blanked: DataFrame, factor: Column | None = None) -> DataFrame:
-    """Typed cleaned columns + ``bad_total`` flag; one narrow projection
-    over the raw text cells (whitespace-only cells read as missing)."""
-    if factor is None:
-        factor = percent_factors(blanked)
+def type_columns(rows: DataFrame) -> DataFrame:
+    """Typed cleaned columns + ``bad_total`` flag; one narrow projection
+    over the raw text cells (whitespace-only cells read as missing).  The percent
+    is the parsed number as it is; ``scale_percent`` makes it 0..100."""
     out = []
     for c in COLUMNS:
         col = F.col(c)
@@ -94,19 +76,33 @@ def type_columns(blanked: DataFrame, factor: Column | None = None) -> DataFrame:
         elif c in NUMERIC_COLUMNS:
             out.append(F.coalesce(to_number(col), F.lit(0.0)).alias(c))
         elif c == PERCENT_COLUMN:
-            pct = F.coalesce(to_number(col) * factor, F.lit(0.0))
-            out.append(F.greatest(F.least(pct, F.lit(100.0)), F.lit(0.0)).alias(c))
+            out.append(to_number(col).alias(c))
         elif c in DATE_COLUMNS:
             out.append(parse_date(col).alias(c))
         else:  # untouched text (dock time): only blank -> null
             out.append(blank_to_null(col).alias(c))
-    return blanked.select(*out, is_bad_number(F.col("sales_order_total")).alias("bad_total"),
-                          *BOOKKEEPING)
+    return rows.select(*out, is_bad_number(F.col("sales_order_total")).alias("bad_total"), *BOOKKEEPING)
 
 
-def typed_export(raw: DataFrame) -> DataFrame:
-    raw = _with_bookkeeping(raw)
-    return type_columns(drop_blank_rows(raw), percent_factors(raw))
+def scale_percent(typed: DataFrame) -> DataFrame:
+    """x100 where every percent of the export is <= 1 and one is > 0; then none
+    is 0, and all are within 0..100.
+
+    The factors are one row per export, found by an aggregation over two columns
+    and joined by export: broadcast if there are few (checked), else by a shuffle,
+    which many exports spread."""
+    most = F.max(PERCENT_COLUMN)
+    factors = typed.groupBy("export_id").agg(F.when((most <= 1.0) & (most > 0.0), 100.0).otherwise(1.0).alias("factor"))
+    joined = typed.join(broadcast_if_small(factors, MAX_BROADCAST_EXPORTS), "export_id")
+    scaled = F.coalesce(F.col(PERCENT_COLUMN) * F.col("factor"), F.lit(0.0))
+    return joined.withColumn(PERCENT_COLUMN, F.greatest(F.least(scaled, F.lit(100.0)), F.lit(0.0))) \
+        .select(*COLUMNS, "bad_total", *BOOKKEEPING)
+
+
+def typed_export(raw: DataFrame, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Typed rows.  ``store`` keeps the typed rows between passes, so that the raw
+    text is read once: percents, orders and errors then come from what it stored."""
+    return scale_percent(store(type_columns(drop_blank_rows(raw))))
 
 
 def validation_errors(typed: DataFrame) -> DataFrame:
@@ -166,9 +162,3 @@ def duplicates_removed() -> Column:
     aggregation itself, so no second pass over the raw rows is needed)."""
     return F.coalesce(F.sum(F.col("source_rows") - 1), F.lit(0)).cast("long") \
         .alias("duplicates_removed")
-
-
-def clean(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(unique orders, validation errors) from a raw all-text export."""
-    typed = typed_export(raw)
-    return dedup_orders(typed), validation_errors(typed)

@@ -21,7 +21,6 @@ from ..functions.agg import count_where, money_sum
 from ..functions.dates import fmt_long, stamp
 from ..functions.templates import (AFFECTED_LIMIT, AFFECTED_TEMPLATE, GENERAL_TEMPLATE,
                                    ISSUE_TEMPLATES, LATEST_UPDATE_TEMPLATE, render)
-from ..plans.materialize import broadcast_if_small
 from .enrich import issue_type_rank
 
 KEYS = ["site", "customer_group", "issue_type"]
@@ -66,10 +65,13 @@ def tracker_groups(wanted: DataFrame) -> DataFrame:
 
 
 def affected_ids(wanted: DataFrame, groups: DataFrame) -> DataFrame:
-    """Sorted ids of groups with at most five orders, as one text per group."""
+    """Sorted ids of groups with at most five orders, as one text per group.
+
+    Only those groups' orders are collected, so no list is longer than five.  The
+    join is left to the planner: AQE broadcasts the small groups if they are few
+    and splits a large group's partition if it has to shuffle."""
     small = groups.filter(F.col("order_count") <= AFFECTED_LIMIT).select(*KEYS)
-    rows = wanted.select(*KEYS, "le_delivery").join(
-        broadcast_if_small(small, 100_000), KEYS, "left_semi")
+    rows = wanted.select(*KEYS, "le_delivery").join(small, KEYS, "left_semi")
     return rows.groupBy(*KEYS).agg(
         F.array_join(F.array_sort(F.collect_set("le_delivery")), ", ").alias("ids"))
 

@@ -39,7 +39,7 @@ class ProcessResult:
 
     def release(self) -> None:
         """Give up what is stored; DataFrames made from it can't be run any more."""
-        for stored in (self.orders, self.validation_errors):
+        for stored in (self.orders, self.validation_errors, self.typed):
             release(stored)
 
     def issue_tracker(self, include_non_escalated: bool = False, ordered: bool = True) -> DataFrame:
@@ -120,11 +120,9 @@ def process_export(raw: DataFrame, as_of: dt.date, rules: Rules | None = None,
     rules = rules or load_rules()
     now = now or dt.datetime.now(PLANT_ZONE).replace(tzinfo=None)
     with wide_projections(raw.sparkSession):
-        typed = typed_export(raw)
+        typed = typed_export(raw, lambda rows: cut_lineage(rows, materialize))
         orders = enrich(classify(dedup_orders(typed), rules), as_of, rules)
         orders = cut_lineage(orders, materialize)
-        # Flagged rows are a small fraction of the upload: store them once too, so
-        # the run summary and the catalog do not re-derive them from the raw rows.
         errors = cut_lineage(validation_errors(typed), materialize)
         ids = orders.select("export_id").union(errors.select("export_id")).distinct().limit(2).count()
     # Every non-blank row is either a delivery row or a missing-key error,

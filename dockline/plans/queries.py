@@ -45,7 +45,7 @@ ENRICHED_COLUMNS = [
 
 def fixture_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune_for_wide_projections(spark)
-    return typed_export(fixture_export(spark, sf_dir))
+    return typed_export(fixture_export(spark, sf_dir), cut_lineage)
 
 
 def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
