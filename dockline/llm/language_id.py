@@ -9,8 +9,8 @@ bits a letter).  A phrase doesn't cross a word's ends, so a word's phrase counts
 don't depend on its place and are remembered.
 
 What is learned is bounded: the ``WORDS`` most frequent words, shared evenly by
-the languages, of ``DOCS`` labelled documents of each language at most, drawn by
-a hash of their text.  Prediction reads every text in full.
+the ``LANGUAGES`` most frequent labels, of about ``DOCS`` labelled documents of
+each, drawn by a hash of their text.  Prediction reads every text in full.
 """
 from __future__ import annotations
 
@@ -24,6 +24,7 @@ from dockline.llm.common import over_batches
 
 WORDS = 40_000
 DOCS = 500
+LANGUAGES = 256
 MEMO = 200_000
 UNKNOWN = "und"
 FIELDS = "lang_pred string, score double"
@@ -68,12 +69,12 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Words by language, from the labelled documents that aren't held out."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {lang: n for lang, n in rows.groupBy("lang").count().collect()}
+    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
     if not counts:
         return {}
     bound = F.element_at(F.create_map(*(x for lang, n in counts.items() for x in (
         F.lit(lang), F.lit(min(1 << 30, math.ceil((1 << 30) * n_docs / n)))))), F.col("lang"))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < bound).distinct()
+    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < bound).distinct()  # other labels: null, so none
     found = drawn.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     top = (found.groupBy("lang", "word").count().withColumn("n", F.row_number().over(order))
