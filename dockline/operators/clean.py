@@ -1,11 +1,13 @@
 """Type the raw text export, quarantine unusable rows, keep the best
 record per delivery.
 
-Plan shape: one narrow projection (codegen) types every column; validation
-errors come from the same scan through ``explode`` (no union, no shuffle);
-de-duplication is ONE hash exchange on (export_id, le_delivery) with a
-map-side partial ``min_by``, so a delivery that holds a third of all rows is
-reduced inside each map task before anything is shuffled.
+Plan shape: one narrow projection (codegen) types every column, and its rows are
+stored, so the raw text is parsed once; percents, validation errors (``explode``,
+no union, no shuffle) and orders are read from there.  De-duplication is ONE hash
+exchange on (export_id, le_delivery) with a map-side partial ``min_by``, so a
+delivery that holds a third of all rows is reduced inside each map task before
+anything is shuffled.  (Measured at sf0.1 against a window after one exchange of
+all rows, 4.5 and 5.8 s, and against narrow ranks joined back, 5.4 s.)
 """
 from __future__ import annotations
 
@@ -85,8 +87,8 @@ def type_columns(rows: DataFrame) -> DataFrame:
 
 
 def scale_percent(typed: DataFrame) -> DataFrame:
-    """x100 where every percent of the export is <= 1 and one is > 0; then none
-    is 0, and all are within 0..100.
+    """x100 where every percent of the export is <= 1 and one is > 0; a missing
+    percent is 0, and all are kept within 0..100.
 
     The factors are one row per export, found by an aggregation over two columns
     and joined by export: broadcast if there are few (checked), else by a shuffle,

@@ -20,7 +20,7 @@ CASES = [
      ("Critical", "Cancellation Deadline Approaching", "Critical")),
     (dict(ship_to_name="amz 1", customer_dock_appointment_date=day(5)),
      ("At Risk", "Cancellation Deadline Approaching", None)),
-    (dict(ship_to_name="sysco", customer_dock_appointment_date=day(-1)), ("Not Started", "Not Started", "Low")),
+    (dict(ship_to_name="sysco", customer_dock_appointment_date=day(-1)), ("Not Started", "Not Started", "High")),
 ]
 
 
