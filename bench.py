@@ -63,7 +63,7 @@ def one_pass(spark, sf_dir, rules, timings=None):
         run(df)
         if timings is not None:
             timings[name] = round(time.time() - t, 3)
-    res.orders.unpersist()
+    res.release()
     return n
 
 
