@@ -71,6 +71,16 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+#: Rows that are Python objects at a time, whatever the size of Arrow's batches.
+SLICE = 1000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def over_batches(df: DataFrame, make: Callable[[], Callable[..., Sequence]], fields: str | T.StructType,
                  n_args: int, keep: int | None = None) -> DataFrame:
     """Rows of ``df`` with Python results, Arrow batch by batch.
@@ -90,7 +100,7 @@ def over_batches(df: DataFrame, make: Callable[[], Callable[..., Sequence]], fie
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in slices(batches):
             out = f(*(b.column(i).to_pylist() for i in range(n_args)))
             cols = [b.column(i) for i in at] + [pa.array(v, t) for v, t in zip(out, types)]
             yield pa.RecordBatch.from_arrays(cols, names=names)

@@ -17,14 +17,13 @@ cut into several blocks, each joined with all documents in a pass of its own.
 """
 from __future__ import annotations
 
-import hashlib
 from collections import Counter, defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockline.llm.common import over_batches, ship, stored, words
+from dockline.llm.common import over_batches, ship, slices, stored, words
 
 WINDOW = 13
 BLOCK_CHARS = 16_000_000
@@ -127,7 +126,7 @@ def document_counts(rows: DataFrame, vocabulary) -> dict[bytes, int]:
 
     def count(batches):
         known, n = vocabulary.value, Counter()
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 n.update(known.intersection(words(text)))
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())],

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from dockline.llm.common import over_batches
 
-WORDS = 40_000
+WORDS = 16_000
 DOCS = 500
 LANGUAGES = 256
-MEMO = 200_000
+MEMO = 150_000
 UNKNOWN = "und"
 FIELDS = "lang_pred string, score double"
 #: Runs of letters (with marks and numerals that are no decimal digits).

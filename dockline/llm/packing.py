@@ -26,7 +26,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockline.llm.common import ship, stored
+from dockline.llm.common import ship, slices, stored
 
 CAPACITY = 1024
 END = 2  # the id after each document
@@ -67,7 +67,7 @@ def cut(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, capacity:
 
     def run(batches):
         encode = Encoder(ranks.value)
-        for b in batches:
+        for b in slices(batches):
             out, at = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 ids = (encode(text) if text else b"") + tail

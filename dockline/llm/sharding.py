@@ -53,17 +53,17 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     groups = stored(rows.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes")), n)
     many = groups.where("members > 1").select("group", "bytes")
     linked = stored(rows.select("row", "size", "group").join(many, "group")
-                    .withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")))
+                    .withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), n)
     loads = _loads(linked, shards)
     for k in range(rounds):
-        moved = _propagate(linked, loads, capacity, shards, k)
-        linked = stored(moved)
+        moved = _propagate(linked, loads, capacity, shards, k, n)
+        linked = stored(moved, n)
         loads = _loads(linked, shards)
         if not linked.where("moved").limit(1).count():
             break
     single = rows.join(groups.where("members = 1").select("group"), "group", "left_semi").select("row", "size")
     labels = stored(_level(single, loads, capacity, shards).withColumn("single", F.lit(True))
-                    .unionByName(linked.select("row", "size", "shard").withColumn("single", F.lit(False))))
+                    .unionByName(linked.select("row", "size", "shard").withColumn("single", F.lit(False))), n)
     labels = _smooth(labels, n, shards)
     return _numbered(rows.join(labels.select("row", "shard"), "row"), n, shards).select(
         F.col("id").alias(id_col), "size", "text_crc32", "shard", "slot")
@@ -79,7 +79,7 @@ def _uniform(*cols):
     return F.pmod(F.xxhash64(*cols), F.lit(UNIT))
 
 
-def _propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int, k: int) -> DataFrame:
+def _propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int, k: int, n: int) -> DataFrame:
     """``linked`` after one round, with ``moved``."""
     open_ = [s for s in range(shards) if loads[s] < 0.98 * capacity]
     counts = linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
@@ -89,13 +89,13 @@ def _propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int,
         F.sort_array(F.collect_list(F.struct(
             (-F.col("n")).alias("order"), F.xxhash64("group", "shard").alias("tie"), "shard"))).alias("at"))
     fits = F.greatest(F.lit(1), F.ceil(F.col("bytes") / max(1, capacity))).cast("int")
-    targets = stored(ranked.select("group", F.slice(F.expr("transform(at, x -> x.shard)"), F.lit(1), fits).alias("to")))
+    targets = stored(ranked.select("group", F.slice(F.expr("transform(at, x -> x.shard)"), F.lit(1), fits).alias("to")), n)
     wants = linked.join(targets, "group").withColumn(
         "to", F.when(F.array_contains("to", F.col("shard")), F.col("shard")).otherwise(
             F.element_at("to", (F.pmod(F.xxhash64("row", F.lit(k)), F.size("to")) + 1).cast("int"))))
     if k:  # shards without room take nobody
         wants = wants.withColumn("to", F.when(F.col("to").isin(open_), F.col("to")).otherwise(F.col("shard")))
-    wants = stored(wants)
+    wants = stored(wants, n)
     asked = dict(wants.where("to <> shard").groupBy("to").agg(F.sum("size")).collect())
     leaving = dict(wants.where("to <> shard").groupBy("shard").agg(F.sum("size")).collect())
     share = [min(1.0, max(0, capacity - loads[s] + leaving.get(s, 0) // 2) / asked[s]) if asked.get(s) else 0.0

@@ -73,7 +73,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def labelled(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
     """(id, hash, fp, label, component_id) of each row."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle))
-    comps = stored(components(prints.groupBy("fp").agg(F.min("id").alias("least")), radius))
+    n = prints.count()
+    comps = stored(components(prints.groupBy("fp").agg(F.min("id").alias("least")), radius, n), n)
     return prints.join(comps, "fp")
 
 
@@ -117,7 +118,7 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
+def links(fps: DataFrame, radius: int, n: int | None = None) -> DataFrame:
     """(a, b), a < b: links whose components are those of all pairs of distinct
     ``fp`` within ``radius`` bits."""
     tables = [(k, signed(m), [signed(1 << b) for b in range(BITS) if not m >> b & 1])
@@ -125,7 +126,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     keyed = fps.select("fp", F.explode(F.array(*(
         F.struct(F.lit(k).alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m, _ in tables))).alias("t")
     ).select("fp", "t.mask", "t.key")
-    shared = stored(keyed.groupBy("mask", "key").count().where("count > 1").select("mask", "key"))
+    shared = stored(keyed.groupBy("mask", "key").count().where("count > 1").select("mask", "key"), n)
     near = keyed.join(shared, ["mask", "key"], "left_semi")
     if radius == 0:
         return near.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
@@ -142,22 +143,24 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return at.select(F.array_min("at").alias("a"), F.explode("at").alias("b")).where("a < b").distinct()
 
 
-def components(fps: DataFrame, radius: int) -> DataFrame:
-    """(fp, label, component_id) for (fp, least) rows, one of each fp."""
-    fps = stored(fps)
-    pairs = stored(links(fps.select("fp"), radius))
-    both = stored(pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+def components(fps: DataFrame, radius: int, n: int | None = None) -> DataFrame:
+    """(fp, label, component_id) for (fp, least) rows, one of each fp.  ``n``: a
+    bound on their number."""
+    fps = stored(fps, n)
+    n = fps.count()
+    pairs = stored(links(fps.select("fp"), radius, n), n)
+    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), n)
     while True:
         # least label among a node and its neighbours, then that label's label
         seen = both.join(label.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("n"))
-        near = stored(label.join(seen, "a").select("a", F.col("m").alias("was"), F.least("m", "n").alias("m")))
+        near = stored(label.join(seen, "a").select("a", F.col("m").alias("was"), F.least("m", "n").alias("m")), n)
         jump = near.join(near.select(F.col("a").alias("m"), F.col("m").alias("next")), "m", "left")
-        label = stored(jump.select("a", "was", F.least("m", "next").alias("m")))
+        label = stored(jump.select("a", "was", F.least("m", "next").alias("m")), n)
         if not label.where("was <> m").limit(1).count():
             break
     linked = fps.join(label.select(F.col("a").alias("fp"), "m"), "fp", "left") \
         .select("fp", "least", F.coalesce("m", "fp").alias("m"))
-    roots = stored(linked)
-    return roots.join(stored(roots.groupBy("m").agg(F.min("least").alias("component_id"))), "m") \
+    roots = stored(linked, n)
+    return roots.join(stored(roots.groupBy("m").agg(F.min("least").alias("component_id")), n), "m") \
         .select("fp", F.col("m").alias("label"), "component_id")
