@@ -198,9 +198,12 @@ def report_totals(orders: DataFrame, rules: Rules, as_of: dt.date) -> DataFrame:
     for each report; its few rows are then turned into one row per report."""
     members = [(seq, name, F.coalesce(cond, F.lit(False)))
                for seq, (name, cond) in enumerate(report_membership(rules, as_of)) if name != FULL_EXPORT]
-    sums = [x for seq, _, cond in members for x in (
-        count_where(cond).alias(f"rows{seq}"), money_sum(F.col("sales_order_total"), cond).alias(f"total{seq}"))]
-    rolled = orders.rollup("site").agg(*sums, F.grouping("site").alias("all_plants"))
+    # memberships are worked out once a row, below the rollup's doubling of rows
+    flagged = orders.select("site", "sales_order_total", *(cond.alias(f"in{seq}") for seq, _, cond in members))
+    sums = [x for seq, _, _ in members for x in (
+        count_where(F.col(f"in{seq}")).alias(f"rows{seq}"),
+        money_sum(F.col("sales_order_total"), F.col(f"in{seq}")).alias(f"total{seq}"))]
+    rolled = flagged.rollup("site").agg(*sums, F.grouping("site").alias("all_plants"))
     cells = F.array(*(F.struct(F.lit(name).alias("report"), F.lit(seq).alias("report_seq"),
                                F.coalesce(F.col(f"rows{seq}"), F.lit(0)).alias("rows"),
                                F.coalesce(F.col(f"total{seq}"), F.lit(0.0)).alias("total"))
