@@ -8,23 +8,23 @@ divided by the text's letters (the cross-parsing estimate of cross-entropy, in
 bits a letter).  A phrase doesn't cross a word's ends, so a word's phrase counts
 don't depend on its place and are remembered.
 
-What is learned is bounded: the ``WORDS`` most frequent words, shared evenly by
-the ``LANGUAGES`` most frequent labels, of about ``DOCS`` labelled documents of
-each, drawn by a hash of their text.  Prediction reads every text in full.
+Every label is learned, from a bounded part of its rows: its ``WORDS`` most
+frequent words in about ``DOCS`` different labelled texts, drawn by their hash
+(all of them if it has no more).  Prediction reads every text in full.
 """
 from __future__ import annotations
 
 import math
 import re
+from array import array
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dockline.llm.common import over_batches
 
-WORDS = 16_000
+WORDS = 10_000  # of each language
 DOCS = 500
-LANGUAGES = 256
 MEMO = 150_000
 UNKNOWN = "und"
 FIELDS = "lang_pred string, score double"
@@ -69,16 +69,14 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Words by language, from the labelled documents that aren't held out."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = dict(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
-    if not counts:
-        return {}
-    bound = F.element_at(F.create_map(*(x for lang, n in counts.items() for x in (
-        F.lit(lang), F.lit(min(1 << 30, math.ceil((1 << 30) * n_docs / n)))))), F.col("lang"))
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < bound).distinct()  # other labels: null, so none
+    bounds = rows.groupBy("lang").agg(
+        F.least(F.lit(1 << 30), F.ceil((1 << 30) * n_docs / F.count(F.lit(1)))).alias("bound"))
+    drawn = rows.join(F.broadcast(bounds), "lang").where(
+        F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("bound")).select("lang", "text").distinct()
     found = drawn.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("word"))
     order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     top = (found.groupBy("lang", "word").count().withColumn("n", F.row_number().over(order))
-           .where(F.col("n") <= max(1, words // len(counts))))
+           .where(F.col("n") <= words))
     model: dict[str, list[str]] = {}
     for lang, word in top.orderBy("lang", "word").select("lang", "word").collect():
         model.setdefault(lang, []).append(word)
@@ -86,50 +84,65 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 class SuffixAutomaton:
-    """All substrings of a text; reads a string into longest matches."""
+    """All substrings of a text; reads a string into longest matches.
+
+    A state's transitions are a string of characters, shared by the states that
+    have the same ones, and as many numbers from ``first`` on in ``to``.
+    """
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
-        link, length = [-1], [0]
+        step: list[dict[str, int]] = [{}]
+        link, length = array("i", [-1]), array("i", [0])
         last = 0
         for c in text:
-            new = len(self.next)
-            self.next.append({})
+            new = len(step)
+            step.append({})
             length.append(length[last] + 1)
             link.append(0)
             at = last
-            while at >= 0 and c not in self.next[at]:
-                self.next[at][c] = new
+            while at >= 0 and c not in step[at]:
+                step[at][c] = new
                 at = link[at]
             if at >= 0:
-                old = self.next[at][c]
+                old = step[at][c]
                 if length[old] == length[at] + 1:
                     link[new] = old
                 else:
-                    copy = len(self.next)
-                    self.next.append(dict(self.next[old]))
+                    copy = len(step)
+                    step.append(dict(step[old]))
                     length.append(length[at] + 1)
                     link.append(link[old])
-                    while at >= 0 and self.next[at].get(c) == old:
-                        self.next[at][c] = copy
+                    while at >= 0 and step[at].get(c) == old:
+                        step[at][c] = copy
                         at = link[at]
                     link[old] = link[new] = copy
             last = new
+        known: dict[str, str] = {}
+        self.root = step[0]
+        self.chars: list[str] = []
+        self.first, self.to = array("i"), array("i")
+        for k, found in enumerate(step):
+            chars = "".join(found)
+            self.chars.append(known.setdefault(chars, chars))
+            self.first.append(len(self.to))
+            self.to.extend(found.values())
+            if k:
+                found.clear()
 
     def phrases(self, text: str) -> int:
         """How many longest matches ``text`` parses into, from left to right; a
         character that doesn't occur is a phrase by itself."""
-        step, node, n = self.next, 0, 0
+        chars, first, to, root, node, n = self.chars, self.first, self.to, self.root, 0, 0
         for c in text:
-            to = step[node].get(c)
-            if to is None:
-                if node:
-                    n += 1
-                to = step[0].get(c)
-                if to is None:
-                    n += 1
-                    to = 0
-            node = to
+            if node:
+                k = chars[node].find(c)
+                if k >= 0:
+                    node = to[first[node] + k]
+                    continue
+                n += 1
+            node = root.get(c, 0)
+            if not node:
+                n += 1
         return n + 1 if node else n
 
 

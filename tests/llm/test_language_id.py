@@ -61,3 +61,25 @@ def test_nothing_is_learned_from_held_out_or_unlabelled_rows(spark):
     learned = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert learned == {"en": sorted(f"word{'abcdefghij'[i]}" for i in range(10)
                                     if i % 2 and zlib.crc32(str(i).encode()) % 5)}
+
+
+def test_every_language_has_its_own_words(spark):
+    # 300 labels, of which none takes words from another
+    rows = [(10 * k + j, " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}{chr(97 + x)}" for x in range(20)), f"l{k}")
+            for k in range(300) for j in range(10)]
+    learned = learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    want = {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 5:
+            want.setdefault(lang, set()).update(t.split())
+    assert {k: set(v) for k, v in learned.items()} == want and len(want) == 300
+
+
+def test_automata_are_small():
+    import tracemalloc
+    words = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 7 % 26)}{k * 7919 % 9973:x}{k * 104729 % 99991:x}" for k in range(5000))
+    tracemalloc.start()
+    a = SuffixAutomaton(words)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size < 60 * len(words) and a.phrases(words[100:200]) == 1
