@@ -69,7 +69,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Words by language, from the labelled documents that aren't held out."""
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()) \
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    bounds = rows.groupBy("lang").agg(
+    # copies are drawn together, so the share is one of different texts
+    bounds = rows.select("lang", F.xxhash64("text").alias("hash")).distinct().groupBy("lang").agg(
         F.least(F.lit(1 << 30), F.ceil((1 << 30) * n_docs / F.count(F.lit(1)))).alias("bound"))
     drawn = rows.join(F.broadcast(bounds), "lang").where(
         F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.col("bound")).select("lang", "text").distinct()

@@ -75,6 +75,14 @@ def test_every_language_has_its_own_words(spark):
     assert {k: set(v) for k, v in learned.items()} == want and len(want) == 300
 
 
+def test_copies_do_not_starve_a_language(spark):
+    texts = [f"word{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(100)]
+    df = spark.range(20_000).selectExpr("id AS doc_id", "id % 100 AS k").join(
+        spark.createDataFrame(list(enumerate(texts)), "k long, text string"), "k").selectExpr(
+        "doc_id", "text", "'xx' AS lang")
+    assert learn(df)["xx"] == texts
+
+
 def test_automata_are_small():
     import tracemalloc
     words = " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 7 % 26)}{k * 7919 % 9973:x}{k * 104729 % 99991:x}" for k in range(5000))
