@@ -3,7 +3,9 @@
 Documents with equal texts are linked.  Every linked document starts in a shard
 by hash; then, round by round, it moves to the shard where most of its group is,
 as far as capacity quotas allow.  A group larger than a shard has as many target
-shards as it fills.  A round is two Spark joins: the documents' labels are
+shards as it fills; another one goes where most of it is of the shards with room
+for the rest of it, or to one that has none of it.  Rounds go on until no group
+improves (``ROUNDS`` at most).  A round is two Spark joins: the documents' labels are
 counted by group and shard, each group's targets follow from the counts and the
 room in each shard, and the documents are joined with their group's targets.
 A shard takes at most what its capacity (an even share of all bytes) leaves
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from dockline.llm.common import stored, text_of
 
 SHARDS = 24
-ROUNDS = 4
+ROUNDS = 16
 SAMPLE = 5000
 CHUNK = 2000  # rows that are numbered together
 UNIT = 1 << 30
@@ -55,11 +57,15 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = stored(rows.select("row", "size", "group").join(many, "group")
                     .withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")), n)
     loads = _loads(linked, shards)
+    cut = None
     for k in range(rounds):
-        moved = _propagate(linked, loads, capacity, shards, k, n)
-        linked = stored(moved, n)
-        loads = _loads(linked, shards)
-        if not linked.where("moved").limit(1).count():
+        moved = stored(_propagate(linked, loads, capacity, shards, k, n), n)
+        now = _cut(moved)
+        if cut is not None and now > cut:
+            break
+        same = now == cut
+        linked, cut, loads = moved, now, _loads(moved, shards)
+        if not cut or same:
             break
     single = rows.join(groups.where("members = 1").select("group"), "group", "left_semi").select("row", "size")
     labels = stored(_level(single, loads, capacity, shards).withColumn("single", F.lit(True))
@@ -74,6 +80,13 @@ def _loads(rows: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
+def _cut(linked: DataFrame) -> int:
+    """How many linked documents aren't in their group's fullest shard."""
+    parts = linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n")).groupBy("group").agg(
+        (F.sum("n") - F.max("n")).alias("out"))
+    return parts.agg(F.sum("out")).first()[0] or 0
+
+
 def _uniform(*cols):
     """A hash from 0 to UNIT."""
     return F.pmod(F.xxhash64(*cols), F.lit(UNIT))
@@ -82,12 +95,26 @@ def _uniform(*cols):
 def _propagate(linked: DataFrame, loads: list[int], capacity: int, shards: int, k: int, n: int) -> DataFrame:
     """``linked`` after one round, with ``moved``."""
     open_ = [s for s in range(shards) if loads[s] < 0.98 * capacity]
-    counts = linked.groupBy("group", "shard").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
+    room = [max(0, capacity - x) if s in open_ else 0 for s, x in enumerate(loads)]
+    counts = linked.groupBy("group", "shard").agg(
+        F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"), F.sum("size").alias("here"))
+    # of a group that fits in a shard, those without room for the rest of it come last
+    full = (F.col("bytes") <= capacity) & (
+        F.col("bytes") - F.col("here") > F.element_at(F.array(*(F.lit(x) for x in room)), F.col("shard") + 1))
     ranked = counts.groupBy("group").agg(
         F.max("bytes").alias("bytes"),
-        # a group's fullest shards first, those without room last, ties by a hash
+        # then a group's fullest shards first, ties by a hash
         F.sort_array(F.collect_list(F.struct(
-            (-F.col("n")).alias("order"), F.xxhash64("group", "shard").alias("tie"), "shard"))).alias("at"))
+            full.alias("full"), (-F.col("n")).alias("order"), F.xxhash64("group", "shard").alias("tie"), "shard"))).alias("at"))
+    if sum(room):  # if all of its shards are full, one that has none of it, by room
+        ends, at = [], 0
+        for x in room:
+            at += x
+            ends.append(at * UNIT // sum(room))
+        ranked = ranked.withColumn("at", F.when(
+            F.expr("at[0].full"), F.array(F.struct(
+                F.lit(False).alias("full"), F.lit(0).cast("long").alias("order"), F.lit(0).cast("long").alias("tie"),
+                _pick(_uniform("group", F.lit(100 + k)), ends).alias("shard")))).otherwise(F.col("at")))
     fits = F.greatest(F.lit(1), F.ceil(F.col("bytes") / max(1, capacity))).cast("int")
     targets = stored(ranked.select("group", F.slice(F.expr("transform(at, x -> x.shard)"), F.lit(1), fits).alias("to")), n)
     wants = linked.join(targets, "group").withColumn(

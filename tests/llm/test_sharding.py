@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from cases import ODD, docs_of
 
-from dockline.llm.sharding import assign_shards, even_out
+from dockline.llm.sharding import _propagate, assign_shards, even_out
 
 
 def check(rows, source, shards=24):
@@ -56,3 +56,11 @@ def test_odd_documents(odd, empty):
 def test_even_out_moves_the_sample_only():
     moves = even_out([100, 0], [(1, 30, 0, True), (2, 25, 0, False), (3, 90, 0, True)])
     assert moves == {1: 1, 2: 1} or moves == {1: 1}
+
+
+def test_a_refused_group_moves_to_a_shard_with_room(spark):
+    # group 1 is mostly in the full shard 0, group 2 nowhere else but in full ones
+    rows = [(1, 100, 1, 300, 0), (2, 100, 1, 300, 0), (3, 100, 1, 300, 1), (4, 50, 2, 100, 0), (5, 50, 2, 100, 3)]
+    linked = spark.createDataFrame(rows, "row long, size long, group long, bytes long, shard int")
+    got = {r.row: r.shard for r in _propagate(linked, [1000, 500, 500, 1000], 1000, 4, 1, 5).collect()}
+    assert got[1] == got[2] == got[3] == 1 and got[4] == got[5] and got[4] in (1, 2)
