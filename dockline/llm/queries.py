@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dockline.llm.common import table
 from dockline.llm.decontaminate import contamination, decontaminate
 from dockline.llm.exact_dedup import exact_dedup
+from dockline.llm.filter_audit import filter_audit
 from dockline.llm.html_extract import extract
 from dockline.llm.language_id import held_out, identify, learn
 from dockline.llm.license_scan import scan, summary
@@ -64,6 +65,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_html_extract": op2_html_extract,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Lower-cased words of a text, as a DuckDB list.
@@ -104,4 +110,32 @@ ORACLE = {
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_filter_audit": r"""
+        WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                            list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+                     FROM documents),
+        label AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                         max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+        fail AS (SELECT doc_id, part,
+                        CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+                        || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                        || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 'C' ELSE '' END
+                        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS m
+                 FROM doc),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS o FROM f a, f b, f c, f d, f e
+                   WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        step AS (SELECT part, o, k::INTEGER AS step, substr(o, k, 1) AS f, contains(m, substr(o, k, 1)) AS fails,
+                        translate(substr(o, 1, k - 1), m, '') <> substr(o, 1, k - 1) AS gone,
+                        m = substr(o, k, 1) AS sole, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+                 FROM fail LEFT JOIN label USING (doc_id), orders, range(1, 6) r(k)),
+        counted AS (SELECT part, o AS filter_order, step, f, count(*) FILTER (NOT fails AND NOT gone) AS kept,
+                           count(*) FILTER (fails AND NOT gone) AS removed, count(*) FILTER (fails AND gone) AS redundant,
+                           count(*) FILTER (sole) AS unique_fails,
+                           count(*) FILTER (fails AND NOT gone AND good = 1) AS good_lost,
+                           count(*) FILTER (fails AND NOT gone AND toxic = 1) AS toxic_lost
+                    FROM step GROUP BY ALL)
+        SELECT * EXCLUDE (f), sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM counted
+    """,
 }

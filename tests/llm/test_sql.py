@@ -13,7 +13,7 @@ def test_query_matches_sql(spark, name):
     df = QUERIES[name](spark, SMALL)
     rows = [tuple(r) for r in df.collect()]
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     con.execute(ORACLE[name])
     columns = [c[0] for c in con.description]
