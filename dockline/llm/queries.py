@@ -12,6 +12,7 @@ from dockline.llm.exact_dedup import exact_dedup
 from dockline.llm.filter_audit import filter_audit
 from dockline.llm.html_extract import extract
 from dockline.llm.language_id import held_out, identify, learn
+from dockline.llm.lexical_search import search
 from dockline.llm.license_scan import scan, summary
 from dockline.llm.line_dedup import drop_recurring
 from dockline.llm.packing import pack
@@ -65,6 +66,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                         sentencepiece_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -80,6 +85,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_ranked_search": op11_ranked_search,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -110,6 +116,21 @@ ORACLE = {
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op11_ranked_search": f"""
+        WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents WHERE text IS NOT NULL),
+        corpus AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM doc WHERE len(w) > 0),
+        item AS (SELECT DISTINCT item_id, unnest({WORDS}) AS term FROM benchmark),
+        tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM doc)
+               WHERE term IN (SELECT term FROM item) GROUP BY ALL),
+        df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        part AS (SELECT term, r, doc_id, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT
+                        * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))) AS score
+                 FROM tf JOIN df USING (term), corpus),
+        total AS (SELECT item_id, r, doc_id, sum(score)::BIGINT AS score
+                  FROM item JOIN part USING (term) GROUP BY ALL HAVING sum(score) > 0)
+        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+        FROM total QUALIFY rank <= 50
+    """,
     "op13_filter_audit": r"""
         WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
                             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
