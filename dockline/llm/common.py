@@ -26,6 +26,20 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(WORD_BYTES).split() if text else []
 
 
+#: Bytes of a text that are words at a time.
+CHUNK = 1 << 20
+
+
+def chunks_of_words(data: bytes, size: int = CHUNK) -> Iterator[list[bytes]]:
+    """The words between the spaces of ``data``, about ``size`` bytes at a time."""
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + size)
+        end = end if end >= 0 else len(data)
+        yield data[at:end].split()
+        at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

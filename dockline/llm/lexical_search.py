@@ -31,15 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockline.llm.common import WORD_BYTES, over_batches, ship, stored, words
+from dockline.llm.common import CHUNK, WORD_BYTES, chunks_of_words, over_batches, ship, stored, words
 
 TOP = 50
 #: Characters of item text that are searched for at once.
 BLOCK_CHARS = 500_000
 #: Bytes of the accumulators of a slice of documents.
 SLICE_BYTES = 32 << 20
-#: Bytes of a text that are words at a time.
-CHUNK = 1 << 20
 #: Nodes are paired with so many next ones, in order of the items that hold them.
 REACH = 8
 
@@ -181,18 +179,14 @@ def postings(rows: DataFrame, terms: dict[bytes, int]) -> DataFrame:
     return over_batches(rows, make, "n long, terms array<int>, counts array<long>", 1).where("n > 0")
 
 
-def term_counts(text: str | None, index: dict[bytes, int]) -> tuple[int, list[int], list[int]]:
+def term_counts(text: str | None, index: dict[bytes, int], chunk: int = CHUNK) -> tuple[int, list[int], list[int]]:
     """How many terms the text has, and the counts of those in ``index``; a long
     text is split chunk by chunk."""
     data = text.encode("utf-8", "surrogatepass").translate(WORD_BYTES) if text else b""
-    n, counts, at = 0, Counter(), 0
-    while at < len(data):
-        end = data.find(b" ", at + CHUNK)
-        end = end if end >= 0 else len(data)
-        part = data[at:end].split()
+    n, counts = 0, Counter()
+    for part in chunks_of_words(data, chunk):
         n += len(part)
         counts.update(part)
-        at = end
     known = counts.keys() & index.keys()
     return n, [index[w] for w in known], [counts[w] for w in known]
 

@@ -15,6 +15,7 @@ from dockline.llm.language_id import held_out, identify, learn
 from dockline.llm.lexical_search import search
 from dockline.llm.license_scan import scan, summary
 from dockline.llm.line_dedup import drop_recurring
+from dockline.llm.ngram_join import jaccard_components
 from dockline.llm.packing import pack
 from dockline.llm.sharding import assign_shards
 from dockline.llm.simhash_dedup import simhash_components
@@ -70,6 +71,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -86,6 +91,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_ranked_search": op11_ranked_search,
+    "op12_ngram_join": op12_ngram_join,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -131,6 +137,23 @@ ORACLE = {
         SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
         FROM total QUALIFY rank <= 50
     """,
+    "op12_ngram_join": r"""
+        WITH RECURSIVE doc AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x20\x09-\x0D]+') AS w FROM documents),
+        gram AS (SELECT DISTINCT r, array_to_string(w[i:i + 3], ' ') AS g
+                 FROM doc, unnest(range(1, greatest(len(w) - 3, 1) + 1)) t(i) WHERE len(w) > 0),
+        size AS (SELECT r, count(*) AS n FROM gram GROUP BY r),
+        pair AS (SELECT a.r AS a, b.r AS b, count(*) AS common FROM gram a JOIN gram b USING (g)
+                 WHERE a.r <> b.r GROUP BY ALL),
+        link AS (SELECT a, b FROM pair JOIN size x ON x.r = a JOIN size y ON y.r = b
+                 WHERE 100 * common >= 85 * (x.n + y.n - common)),
+        reach(r, m) AS (SELECT r, r FROM doc UNION SELECT reach.r, link.b FROM reach JOIN link ON reach.m = link.a)
+        SELECT doc.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other.doc_id) AS component_id
+        FROM reach JOIN doc USING (r) JOIN doc other ON other.r = reach.m LEFT JOIN size ON size.r = doc.r
+        GROUP BY doc.r, doc.doc_id
+    """,
     "op13_filter_audit": r"""
         WITH doc AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
                             list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

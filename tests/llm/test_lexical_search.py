@@ -100,15 +100,14 @@ def test_slices_of_documents_give_the_same_best():
     assert [sorted(map(tuple, zip(*h))) for h in held[1]] == [sorted(map(tuple, zip(*h))) for h in held[2]]
 
 
-def test_long_texts_are_counted_in_chunks(monkeypatch):
+def test_long_texts_are_counted_in_chunks():
     text = " ".join(f"w{k % 7} end" for k in range(200))
     index = {b"w3": 0, b"end": 1, b"no": 2}
     whole = S.term_counts(text, index)
-    monkeypatch.setattr(S, "CHUNK", 5)
-    n, found, counts = S.term_counts(text, index)
+    n, found, counts = S.term_counts(text, index, chunk=5)
     assert n == whole[0] == 400 and dict(zip(found, counts)) == dict(zip(*whole[1:])) == {
         0: len(range(3, 200, 7)), 1: 200}
-    assert S.term_counts("x" * 50 + " end", index) == (2, [1], [1])
+    assert S.term_counts("x" * 50 + " end", index, chunk=5) == (2, [1], [1])
     assert S.term_counts(None, index) == S.term_counts("", index) == (0, [], [])
 
 
