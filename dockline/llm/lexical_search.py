@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dockline.llm.common import CHUNK, WORD_BYTES, chunks_of_words, over_batches, ship, stored, words
+from dockline.llm.common import CHUNK, WORD_BYTES, chunks, over_batches, ship, stored, words
 
 TOP = 50
 #: Characters of item text that are searched for at once.
@@ -184,9 +184,10 @@ def term_counts(text: str | None, index: dict[bytes, int], chunk: int = CHUNK) -
     text is split chunk by chunk."""
     data = text.encode("utf-8", "surrogatepass").translate(WORD_BYTES) if text else b""
     n, counts = 0, Counter()
-    for part in chunks_of_words(data, chunk):
-        n += len(part)
-        counts.update(part)
+    for part in chunks(data, chunk):
+        found = part.split()
+        n += len(found)
+        counts.update(found)
     known = counts.keys() & index.keys()
     return n, [index[w] for w in known], [counts[w] for w in known]
 

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from dockline.llm.common import chunks_of_words, over_batches, ship, slices, stored, text_of
+from dockline.llm.common import chunks, over_batches, ship, slices, stored, text_of
 
 SHINGLE = 4
 PERCENT = 85
@@ -50,8 +50,10 @@ PERCENT = 85
 SEGMENTS_A_NEIGHBOURHOOD = 128
 #: Rows of a bucket that are compared with each other, or with as many others, at a time.
 BLOCK = 256
-#: Word hashes and sets that a task remembers.
+#: Sets that a task remembers.
 REMEMBERED = 1 << 20
+#: Pairs (of two numbers) whose sets are named in a broadcast.
+BROADCAST_PAIRS = 250_000
 #: Bits of the filter for texts whose sets are needed (8 MB), in blocks of Spark's bitmaps.
 FILTER_BITS = 1 << 26
 BLOCK_BITS = 8 * 4096
@@ -77,7 +79,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = stored(described(docs, shingle, percent))
     n = rows.count()
-    nodes = stored(rows.where("bits is not null").dropDuplicates(["node"]).drop("id"), n)
+    nodes = stored(rows.where("bits is not null").dropDuplicates(["node"]), n)
     live = allocated(shared_buckets(docs, shingle, percent), nodes)
     labels = linked(live, nodes, docs, shingle, percent, n)
     least = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("least"))
@@ -97,6 +99,7 @@ class Sizes:
     def __init__(self, percent: int):
         self.percent = percent
         self.starts = [1]  # of the bands
+        self.salts: dict[int, np.ndarray] = {}
 
     def difference(self, total: int) -> int:
         """Shingles in which linked sets of ``total`` shingles together differ at most."""
@@ -106,6 +109,12 @@ class Sizes:
         """The largest set that links with one of ``n``."""
         return 100 * n // self.percent
 
+    def salt(self, group: int, m: int) -> np.ndarray:
+        """A number for each segment of a group, so that equal subsets elsewhere differ."""
+        if group not in self.salts:
+            self.salts[group] = mixed(np.arange(m, dtype=np.uint64) + np.uint64((group + 1) << 32))
+        return self.salts[group]
+
     def band(self, n: int) -> int:
         while self.starts[-1] <= self.partner(self.partner(n)) + 2:
             last = self.starts[-1]
@@ -136,26 +145,41 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = x = xxh64_intdigest(word)
-        return x
+#: A number for each byte (none for the space) and for each place in a word.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
+BYTES[0x20] = 0
+PLACES = mixed(np.arange(1000, 1064, dtype=np.uint64)) | np.uint64(1)
+
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word between the spaces of ``data``."""
+    if not (data := data.lstrip(b" ")):
+        return np.empty(0, np.uint64)
+    codes = np.frombuffer(data, np.uint8)
+    inside = np.append(codes != 0x20, False)
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = np.append(0, edges[1::2]), edges[::2]
+    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+    hashes = np.add.reduceat(BYTES[codes] * PLACES[np.minimum(place, len(PLACES) - 1)], starts)
+    for k in np.flatnonzero(ends - starts > len(PLACES)):
+        hashes[k] = xxh64_intdigest(data[starts[k]:ends[k]])
+    return mixed(hashes)
 
-def shingle_set(text: str | None, shingle: int, hashes: WordHashes) -> np.ndarray:
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The distinct shingles of a text, as sorted 64-bit hashes."""
     data = text.encode("utf-8", "surrogatepass").translate(FOLD) if text else b""
-    parts = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for w in chunks_of_words(data)]
+    parts = [word_hashes(part) for part in chunks(data)]
     w = np.concatenate(parts) if parts else np.empty(0, np.uint64)
     k = min(shingle, len(w))
     if not k:
         return w
     joined = np.full(len(w) - k + 1, k, np.uint64)  # a shorter text's shingle is no shingle of a longer one
     for j in range(k):
-        joined = mixed(joined * np.uint64(0x9E3779B97F4A7C15) + w[j:len(w) - k + 1 + j])
-    return np.unique(joined)
+        joined = joined * np.uint64(0x9E3779B97F4A7C15) + w[j:len(w) - k + 1 + j]
+    joined = mixed(joined)
+    joined.sort()
+    return joined[np.append(True, joined[1:] != joined[:-1])]
 
 
 def signed(x: np.uint64) -> int:
@@ -175,26 +199,33 @@ def parities(members: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def signatures(members: np.ndarray, values: np.ndarray, sizes: Sizes):
-    """(role, points to spare, signatures, places) of a set in its groups.  A place
-    is the segment's number, the role and whether it is a neighbour, in one number."""
+def segments(members: np.ndarray, sizes: Sizes):
+    """Of a set in its groups: (role, group, segments with neighbourhoods, each member's
+    segment, the segments that are written, points to spare)."""
+    high = members >> np.uint64(32)
     for role, group, m, near, need in sizes.roles(len(members)):
-        segment = ((members >> np.uint64(32)) * np.uint64(m) >> np.uint64(32)).astype(np.int64)
-        sums = np.zeros(m, np.uint64)
-        np.add.at(sums, segment, values)
-        numbers = np.arange(m, dtype=np.uint64)
-        salt = mixed(numbers + np.uint64((group + 1) << 32))
-        filled = np.bincount(segment, minlength=m) > 0
-        filled[:near] = True
+        segment = (high * np.uint64(m) >> np.uint64(32)).view(np.int64)
+        written = np.bincount(segment, minlength=m) > 0
+        written[:near] = True
         spare = m + near - need
-        if (empty := m - int(filled.sum())) <= spare:
+        if (empty := m - int(np.count_nonzero(written))) <= spare:
             spare -= empty
         else:
-            filled[:] = True
+            written[:] = True
+        yield role, group, near, segment, written, spare
+
+
+def signatures(members: np.ndarray, values: np.ndarray, sizes: Sizes):
+    """(role, points to spare, signatures, places) of a set in its groups.  A place
+    is the segment's number, the role and whether it is a neighbour, in one number."""
+    for role, group, near, segment, written, spare in segments(members, sizes):
+        sums = sizes.salt(group, len(written)).copy()
+        np.add.at(sums, segment, values)
         less = np.flatnonzero(segment < near)
         at = segment[less]
-        sigs = mixed(np.concatenate([(sums + salt)[filled], sums[at] - values[less] + salt[at]]))
-        places = np.concatenate([np.flatnonzero(filled) << 2, (at << 2) | 1]) | (role << 1)
+        filled = np.flatnonzero(written)
+        sigs = mixed(np.concatenate([sums[filled], sums[at] - values[less]]))
+        places = np.concatenate([filled << 2, (at << 2) | 1]) | (role << 1)
         yield role, spare, sigs.view(np.int64), places
 
 
@@ -203,10 +234,10 @@ def described(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     its set (null if empty), points to spare in the two roles, parities (null where
     the task has met the set before)."""
     def make():
-        sizes, hashes, seen = Sizes(percent), WordHashes(), set()
+        sizes, seen = Sizes(percent), set()
 
         def describe(text):
-            members = shingle_set(text, shingle, hashes)
+            members = shingle_set(text, shingle)
             if not len(members):
                 return 0, None, None, None
             values = mixed(members)
@@ -215,7 +246,7 @@ def described(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 return len(members), node, None, None
             remember(seen, node)
             spare = [0, 0]
-            for role, points, _, _ in signatures(members, values, sizes):
+            for role, _, _, _, _, points in segments(members, sizes):
                 spare[role] = points
             return len(members), node, spare, parities(members)
 
@@ -242,11 +273,11 @@ def shared_buckets(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     names = ["sig", "node", "place"]
 
     def run(batches):
-        sizes, hashes, seen = Sizes(percent), WordHashes(), set()
+        sizes, seen = Sizes(percent), set()
         held, n = [], 0
         for b in slices(batches):
             for text in b.column(0).to_pylist():
-                members = shingle_set(text, shingle, hashes)
+                members = shingle_set(text, shingle)
                 values = mixed(members)
                 if not len(members) or (node := node_of(values)) in seen:
                     continue
@@ -313,7 +344,7 @@ def linked(live: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, per
     labels = stored(live.select("node").distinct().withColumn("label", F.col("node")), n)
     if not labels.limit(1).count():
         return labels
-    sets = stored(sets_of(docs, labels.select("node").join(nodes, "node").select("node", "hash"), shingle))
+    sets = stored(sets_of(docs, labels.select("node").join(nodes, "node").select("id", "hash"), shingle))
     verify = Verifier(nodes, sets, percent, n)
     for turn in range(1 << 30):
         live = undecided(live, labels)
@@ -366,7 +397,11 @@ class Verifier:
         both = pairs.join(b, "b").join(a, "a").select("bits_a", "bits_b", "a", "b", "n_a", "n_b")
         near = over_batches(both, lambda: lambda x, y: [hamming_of(x, y)], "differ long", 2)
         near = stored(near.where((100 + p) * F.col("differ") <= (100 - p) * (F.col("n_a") + F.col("n_b"))).drop("differ"))
-        a, b = (self.sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab")
+        named = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        # sets that no pair names don't shuffle while the names are few; beyond, they meet by a shuffle
+        named = F.broadcast(named) if near.count() <= BROADCAST_PAIRS else named
+        sets = stored(self.sets.join(named, "node", "left_semi").dropDuplicates(["node"]))
+        a, b = (sets.select(F.col("node").alias(x), F.col("members").alias(f"set_{x}")) for x in "ab")
         common = F.size(F.array_intersect("set_a", "set_b")).cast("long")
         full = near.join(b, "b").join(a, "a").withColumn("common", common)
         return stored(full.where(100 * F.col("common") >= p * (F.col("n_a") + F.col("n_b") - F.col("common")))
@@ -374,17 +409,19 @@ class Verifier:
 
 
 def sets_of(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
-    """(node, members) of the sets named by (node, hash): sets of other texts are left
-    out by a filter of fixed size and then by the join, so that texts don't shuffle."""
+    """(node, members) of the sets named by (id, hash).  Other texts are left out by a
+    filter of fixed size, so that neither texts nor sets shuffle; what it lets through
+    besides, and repeated rows, are left to those who use the sets."""
     spark = docs.sparkSession
     ship(spark)
-    slot = F.col("hash").bitwiseAND(FILTER_BITS - 1) + 1
+    key = F.xxhash64("id", "hash")
+    slot = key.bitwiseAND(FILTER_BITS - 1) + 1
     blocks = needed.groupBy(F.bitmap_bucket_number(slot).alias("block")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     known = spark.sparkContext.broadcast({r["block"] - 1: bytes(r["bits"]) for r in blocks.collect()})
 
     def run(batches):
-        blocks, hashes, seen = known.value, WordHashes(), set()
+        blocks, seen = known.value, set()
         for b in slices(batches):
             names, held = [], []
             for text, h in zip(b.column(0), b.column(1).to_pylist()):
@@ -392,7 +429,7 @@ def sets_of(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
                 if h in seen or block not in blocks or not blocks[block][bit >> 3] >> (bit & 7) & 1:
                     continue
                 remember(seen, h)
-                members = shingle_set(text.as_py(), shingle, hashes)
+                members = shingle_set(text.as_py(), shingle)
                 if len(members):
                     names.append(node_of(mixed(members)))
                     held.append(members.view(np.int64))
@@ -402,9 +439,8 @@ def sets_of(docs: DataFrame, needed: DataFrame, shingle: int) -> DataFrame:
                     [pa.array(names, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(held))],
                     names=["node", "members"])
 
-    rows = docs.select("text", F.xxhash64(text_of("text")).alias("hash"))
-    return rows.mapInArrow(run, "node long, members array<long>").join(needed.select("node"), "node", "left_semi") \
-        .dropDuplicates(["node"])
+    rows = docs.select("text", "id", F.xxhash64(text_of("text")).alias("hash")).select("text", key.alias("key"))
+    return rows.mapInArrow(run, "node long, members array<long>")
 
 
 def relabelled(labels: DataFrame, links: DataFrame, n: int) -> DataFrame:

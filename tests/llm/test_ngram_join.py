@@ -133,5 +133,12 @@ def test_odd_documents_and_empty_tables(spark, odd, empty):
 
 def test_long_texts_are_read_in_chunks():
     text = " ".join(f"w{k % 50} \t\nX{k}" for k in range(300_000))
-    members = J.shingle_set(text, 4, J.WordHashes())
-    assert len(members) == len(shingles(text))
+    assert len(J.shingle_set(text, 4)) == len(shingles(text))
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    words = [b"a", b"ab", b"ba", b"a\x00", "日本".encode(), b"x" * 63, b"x" * 64, b"x" * 65, b"y" * 5000, b"x" * 66]
+    alone = [J.word_hashes(w).tolist() for w in words]
+    assert all(len(h) == 1 for h in alone) and len({h[0] for h in alone}) == len(words)
+    assert J.word_hashes(b"  " + b"   ".join(words) + b" ").tolist() == [h[0] for h in alone]
+    assert not len(J.word_hashes(b"")) and not len(J.word_hashes(b"   "))
