@@ -1,6 +1,6 @@
 """Customer group, customer attributes, site label, DSD priority.
 
-The ordered pattern rules compile to one ``CASE WHEN`` chain (first rule in
+Up to ``MAX_CASE_PATTERNS`` ordered pattern rules compile to one ``CASE WHEN`` chain (first rule in
 config order wins), evaluated inside whole-stage codegen: no join, no shuffle,
 no UDF.  Attribute lookups are literal ``CASE`` maps keyed on the group.
 """
@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 
 from ..config import UNKNOWN_SITE, Rules
 from ..functions.text import first_word, match_key
+from .rule_table import group_table, grouped_by_table
+
+
+#: Patterns that a CASE chain may have.
+MAX_CASE_PATTERNS = 200
 
 
 def lookup(key: Column, mapping: dict[str, Any], default: Any) -> Column:
@@ -55,11 +60,21 @@ def dsd_priority(ship_key: Column, rules: Rules) -> Column:
     return first_of(hits, F.lit(None).cast("string"))
 
 
+def by_table(rules: Rules) -> bool:
+    """Whether there are too many patterns or groups for generated code."""
+    return len(rules.patterns) > MAX_CASE_PATTERNS or len(rules.groups) > MAX_CASE_PATTERNS
+
+
 def classify(orders: DataFrame, rules: Rules) -> DataFrame:
     """Add customer_group, customer_display/owner/priority/consequence,
-    deadline_flag, customer_report and site."""
+    deadline_flag, customer_report and site.  The group comes from a CASE chain, or
+    from a join with the table of patterns if they are many; both give the same."""
     ship = match_key(F.col("ship_to_name"))
     carrier = match_key(F.col("carrier_description"))
+    if by_table(rules):
+        grouped = grouped_by_table(orders, ship, carrier, rules)
+        return grouped.join(group_table(orders.sparkSession, rules), "customer_group") \
+            .withColumn("site", site_label(F.col("ys"), rules))
     grouped = orders.withColumn("customer_group", customer_group(ship, carrier, rules))
 
     def of_group(name: str) -> Column:

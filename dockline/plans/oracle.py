@@ -452,6 +452,20 @@ SELECT le_delivery, site, customer_group, customer_display, customer_priority, p
   priority, CASE priority WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2
   WHEN 'Low' THEN 3 ELSE 9 END AS priority_rank, due_date, customer_report
 FROM enriched"""),
+        # every account rule against every pair of keys; the default rules come after them
+        "classified_by_rule_table": _q("""
+, account AS (SELECT k, 'account_' || lpad(k::VARCHAR, 5, '0') AS key, k % 4 AS kind,
+    CASE k % 4 WHEN 0 THEN '#' || lpad(k::VARCHAR, 9, '0') WHEN 1 THEN 'WMX CUSTOMER#' || lpad(k::VARCHAR, 9, '0')
+               WHEN 2 THEN lpad((k * 7 % 10000)::VARCHAR, 4, '0') ELSE 'CARRIER ' || k END AS text
+  FROM range(10000) t(k)),
+pairs AS (SELECT DISTINCT sk, cark FROM enriched),
+hit AS (SELECT sk, cark, min(k) AS k FROM pairs JOIN account ON
+    CASE kind WHEN 1 THEN starts_with(sk, text) WHEN 3 THEN contains(cark, text) ELSE contains(sk, text) END
+  GROUP BY ALL)
+SELECT le_delivery, coalesce(account.key, customer_group) AS customer_group,
+  coalesce(account.key, customer_display) AS customer_display, coalesce(k % 3 + 1, customer_priority) AS customer_priority,
+  CASE WHEN k IS NULL THEN customer_report ELSE '' END AS customer_report, site
+FROM enriched LEFT JOIN hit USING (sk, cark) LEFT JOIN account USING (k)"""),
         "ordered_sites": _q("""
 SELECT site, CAST(row_number() OVER (ORDER BY CASE lower(site) WHEN 'mississauga' THEN 0
   WHEN 'calgary' THEN 1 WHEN 'surrey' THEN 2 ELSE 3 END, lower(site), site) AS BIGINT) AS site_seq

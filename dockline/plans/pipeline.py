@@ -14,7 +14,7 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import DataFrame
 
 from ..config import Rules, load_rules
-from ..operators.classify import classify
+from ..operators.classify import by_table, classify
 from ..operators.clean import dedup_orders, typed_export, validation_errors
 from ..operators.enrich import enrich
 from ..session import wide_projections
@@ -36,11 +36,13 @@ class ProcessResult:
     now: dt.datetime
     rules: Rules
     typed: DataFrame = field(repr=False, default=None)
+    unique: DataFrame | None = field(repr=False, default=None)  # where it is stored
 
     def release(self) -> None:
         """Give up what is stored; DataFrames made from it can't be run any more."""
-        for stored in (self.orders, self.validation_errors, self.typed):
-            release(stored)
+        for stored in (self.orders, self.validation_errors, self.typed, self.unique):
+            if stored is not None:
+                release(stored)
 
     def issue_tracker(self, include_non_escalated: bool = False, ordered: bool = True) -> DataFrame:
         from ..operators.tracker import issue_tracker
@@ -121,8 +123,10 @@ def process_export(raw: DataFrame, as_of: dt.date, rules: Rules | None = None,
     now = now or dt.datetime.now(PLANT_ZONE).replace(tzinfo=None)
     with wide_projections(raw.sparkSession):
         typed = typed_export(raw, lambda rows: cut_lineage(rows, materialize))
-        orders = enrich(classify(dedup_orders(typed), rules), as_of, rules)
-        orders = cut_lineage(orders, materialize)
+        unique = dedup_orders(typed)
+        if by_table(rules):  # reads them twice
+            unique = cut_lineage(unique, materialize)
+        orders = cut_lineage(enrich(classify(unique, rules), as_of, rules), materialize)
         errors = cut_lineage(validation_errors(typed), materialize)
         ids = orders.select("export_id").union(errors.select("export_id")).distinct().limit(2).count()
     # Every non-blank row is either a delivery row or a missing-key error,
@@ -132,4 +136,5 @@ def process_export(raw: DataFrame, as_of: dt.date, rules: Rules | None = None,
     if ids > 1:
         raise ExportSchemaError("The rows come from more than one export; process each by itself.")
     return ProcessResult(orders=orders, validation_errors=errors,
-                         as_of=as_of, now=now, rules=rules, typed=typed)
+                         as_of=as_of, now=now, rules=rules, typed=typed,
+                         unique=unique if by_table(rules) else None)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import load_rules
+from ..config import DEFAULT_RULES, Rules, load_rules
 from ..operators import facets, reports, summary, tracker
 from ..operators.classify import classify, ordered_sites
 from ..operators.clean import dedup_orders, typed_export, validation_errors
@@ -71,6 +71,27 @@ def q_typed_export(spark, sf_dir):
                     F.col("ordinal.k4").alias("k4"), F.col("ordinal.k5").alias("k5"))
 
 
+def account_rules(n: int) -> Rules:
+    """``n`` rules, one for each account number, before the default ones: a ship-to
+    number, a ship-to prefix, a fragment of a number, or a carrier."""
+    kinds = [("ship_to_contains", "#{:09d}", 1), ("ship_to_startswith", "WMX Customer#{:09d}", 1),
+             ("ship_to_contains", "{:04d}", 7), ("carrier_contains", "carrier {}", 1)]
+    accounts = []
+    for k in range(n):
+        name, text, factor = kinds[k % 4]
+        accounts.append({"key": f"account_{k:05d}", "priority": k % 3 + 1,
+                         "match": {name: [text.format(k * factor % 10_000)]}})
+    return Rules({**DEFAULT_RULES, "customers": accounts + DEFAULT_RULES["customers"]})
+
+
+def q_classified_by_rule_table(spark, sf_dir):
+    """Ten thousand account rules and the default ones, by the rule-table join."""
+    orders = cut_lineage(dedup_orders(fixture_typed(spark, sf_dir)).select(
+        "le_delivery", "ys", "ship_to_name", "carrier_description"))
+    return classify(orders, account_rules(10_000)).select(
+        "le_delivery", "customer_group", "customer_display", "customer_priority", "customer_report", "site")
+
+
 def q_messy_header_export(spark, sf_dir):
     """The same export under untidy headers, resolved and typed."""
     tune_for_wide_projections(spark)
@@ -117,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": q_run_summary,
     # classification + enrichment
     "enriched_orders": _orders(lambda o: o.select(*ENRICHED_COLUMNS)),
+    "classified_by_rule_table": q_classified_by_rule_table,
     "ordered_sites": _orders(lambda o: ordered_sites(o, RULES)),
     # reports
     "all_plants_summary": _orders(lambda o: summary.all_plants_summary(o, RULES, ordered=False)),

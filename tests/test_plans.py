@@ -69,3 +69,15 @@ def test_raw_text_is_read_once(spark):
     for df in (dedup_orders(typed), validation_errors(typed)):
         text = plan_text(df)
         assert "InMemoryTableScan" in text or "TableCacheQueryStage" in text
+
+
+def test_tracker_is_one_aggregation_over_one_scan(spark):
+    """Ids come from the same aggregation as the numbers: no second scan, no join."""
+    from dockline.operators import tracker
+    from dockline.plans.queries import NOW, RULES, fixture_orders
+    orders = fixture_orders(spark, SF)
+    orders.count()
+    text = plan_text(tracker.issue_tracker(orders, RULES, NOW, ordered=False))
+    tree = text.split("\n\n")[0]
+    assert tree.count("InMemoryTableScan") + tree.count("Scan parquet") == 1
+    assert "Join" not in tree and tree.count("Exchange") == 1 and tree.count("HashAggregate") == 2

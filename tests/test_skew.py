@@ -33,3 +33,21 @@ def test_hot_tracker_group(spark):
     assert "Affected LE Deliveries" not in t[0]["issue"]  # large group: no id list
     assert res.all_plants_summary().filter(F.col("site") == "All Plants").first()["late_orders"] \
         == 1 + (N - N // 3)
+
+
+def test_ids_of_groups_up_to_the_limit_beside_a_hot_one(spark):
+    """Groups of one to seven orders over many tasks: ids are listed whole up to five."""
+    late = dict(planned_dlv_date=day(-6))
+    names = {"amazon": 1, "sysco": 2, "pratt": 4, "gfs": 5, "sobeys": 6, "a&w": 7}
+    rows = [order(100 * k + i, ship_to_name=f"{name} yard", **late)
+            for k, (name, n) in enumerate(names.items()) for i in range(n)]
+    rows += [order(2000 + i, ship_to_name="walmart", **late) for i in range(1500)]
+    res = process_export(raw_export(spark, rows).repartition(16), AS_OF, load_rules())
+    counts, listed = {}, {}
+    for r in res.issue_tracker().collect():
+        counts[r["customer"]] = r["order_count"]
+        listed[r["customer"]] = r["issue"].split("Affected LE Deliveries")[1:]
+    assert sorted(counts.values()) == [1, 2, 4, 5, 6, 7, 1500]
+    for customer, n in counts.items():
+        ids = [x for x in " ".join(listed[customer]).replace(":", " ").replace(",", " ").replace(".", " ").split() if x.isdigit()]
+        assert ids == sorted(ids) and len(ids) == (n if n <= 5 else 0)
