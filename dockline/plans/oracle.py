@@ -434,6 +434,7 @@ FROM plan
     return {
         "typed_export": _q(f"SELECT {C35}, bad_total, ok AS k1, ln AS k2, k3, k4, k5 FROM typed"),
         "messy_header_export": _q(f"SELECT {C35}, bad_total, ok AS k1, ln AS k2, k3, k4, k5 FROM typed"),
+        "scan_export": _q(f"SELECT {C35}, bad_total FROM typed"),
         "clean_orders": _q(f"SELECT {C35} FROM best"),
         "validation_errors": _q(errors),
         "run_summary": _q("""

@@ -8,6 +8,7 @@ functions sort at the output edge when asked to.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +20,10 @@ from ..operators.classify import classify, ordered_sites
 from ..operators.clean import dedup_orders, typed_export, validation_errors
 from ..operators.enrich import enrich
 from ..sinks import catalog
-from ..session import tune_for_wide_projections
+from ..session import ensure_checkpoint_dir, tune_for_wide_projections
 from .materialize import cut_lineage
-from ..sources.export import from_table
-from ..sources.fixture import FIXTURE_AS_OF, fixture_export, messy_export
+from ..sources.export import from_table, read_export
+from ..sources.fixture import FIXTURE_AS_OF, fixture_export, messy_export, write_csv_files
 from ..sources.headers import COLUMNS
 
 AS_OF = dt.date.fromisoformat(FIXTURE_AS_OF)
@@ -99,6 +100,14 @@ def q_messy_header_export(spark, sf_dir):
     return t.select(*COLUMNS, "bad_total", *(F.col(f"ordinal.k{i}").alias(f"k{i}") for i in range(1, 6)))
 
 
+def q_scan_export(spark, sf_dir):
+    """The export written as CSV files under three header rows, read back and typed."""
+    tune_for_wide_projections(spark)
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dockline-tables/{uuid.uuid4().hex}"
+    folders = write_csv_files(cut_lineage(fixture_export(spark, sf_dir)), folder)
+    return typed_export(read_export(spark, folders)).select(*COLUMNS, "bad_total")
+
+
 def q_clean_orders(spark, sf_dir):
     return dedup_orders(fixture_typed(spark, sf_dir)).select(*COLUMNS)
 
@@ -133,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources + cleaning
     "typed_export": q_typed_export,
     "messy_header_export": q_messy_header_export,
+    "scan_export": q_scan_export,
     "clean_orders": q_clean_orders,
     "validation_errors": q_validation_errors,
     "run_summary": q_run_summary,

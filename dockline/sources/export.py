@@ -1,9 +1,9 @@
 """Read raw text exports (CSV or Parquet) into the canonical schema.
 
 Every cell is read as text (no inference).  All files of an export are read.
-Files may have different headers: each file's header row is resolved on the
-driver (its first record, nothing else), files with the same header row are read
-together, and the canonical frames are put one below the other.  Each row gets an
+Files may have different headers: tasks read the first record of every CSV file,
+in one job whatever the number of files, files with the same header row are read
+in one scan, and the canonical frames are put one below the other.  Each row gets an
 ``ordinal`` that reproduces file order without a global sort:
 ``(file path, split start, position within the split)``.
 """
@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +48,8 @@ def list_files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
 
 
 def read_header(spark: SparkSession, path: str, sep: str, encoding: str) -> list[str]:
-    """The first record of a CSV file; cells may be quoted and hold line breaks."""
+    """The first record of a CSV file, read by the driver; cells may be quoted and
+    hold line breaks."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at = jvm.org.apache.hadoop.fs.Path(path)
     codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
@@ -66,15 +70,73 @@ def read_header(spark: SparkSession, path: str, sep: str, encoding: str) -> list
         size *= 4
 
 
+#: Larger than any file: a task per file, whatever its size.
+WHOLE_FILE = 1 << 50
+
+
+@contextmanager
+def one_file_a_task(spark: SparkSession):
+    """Scans planned meanwhile put every file in a task of its own."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k in keys:
+            spark.conf.set(k, str(WHOLE_FILE))
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def header_rows(spark: SparkSession, files: Sequence[str], sep: str, encoding: str) -> dict[str, list[str]]:
+    """The first record of each CSV file, by file.
+
+    One job reads them: a task takes lines of its file until a record is complete,
+    and no more.  Files that it says nothing about (without lines, or in an encoding
+    whose line ends are no single bytes) are looked at one by one."""
+    found: dict[str, list[str]] = {}
+    if "\n".encode(encoding) == b"\n":
+        def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            path: list[str] = []
+
+            def lines():
+                for b in batches:
+                    path[:] = path or [b.column(0)[0].as_py()]
+                    for value in b.column(1).to_pylist():
+                        yield value.decode(encoding, "replace").removeprefix("\ufeff") + "\n"
+            if (row := next((r for r in csv.reader(lines(), delimiter=sep) if r), None)) is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(path), pa.array([row], pa.list_(pa.string()))],
+                                                 names=["path", "header"])
+
+        with one_file_a_task(spark):
+            lines = spark.read.text(list(files)).select(F.col("_metadata.file_path").alias("path"),
+                                                        F.col("value").cast("binary").alias("line"))
+            rows = lines.mapInArrow(first, "path string, header array<string>").collect()  # a row a file
+        found = {plain_path(r["path"]): r["header"] for r in rows}
+    return {f: found[plain_path(f)] if plain_path(f) in found else read_header(spark, f, sep, encoding) for f in files}
+
+
+def plain_path(path: str) -> str:
+    """One spelling of a file's path, as listed or as a scan names it."""
+    return unquote(path).replace(":///", ":/", 1)
+
+
 def read_csv(spark: SparkSession, files: Sequence[str], headers: Sequence[str], sep: str, encoding: str,
              multiline: bool) -> DataFrame:
     """Cells ``_c0``.. of CSV files with one header row, and the ordinal.  Quotes
     inside quoted cells are doubled (RFC 4180)."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
-    lines = multiline or any("\n" in h or "\r" in h for h in headers)
-    cells = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep)
-             .option("encoding", encoding).option("quote", '"').option("escape", '"').option("multiLine", lines)
-             .csv(list(files)))
+    broken = any("\n" in h or "\r" in h for h in headers)
+    read = (spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", sep)
+            .option("encoding", encoding).option("quote", '"').option("escape", '"')
+            .option("multiLine", multiline or broken))
+    if broken:
+        # The reader takes the first line end that it meets for that of the records, and this one
+        # is inside a header: name it, and take the rest of another one off the last cell.
+        read = read.option("lineSep", "\n")
+    cells = read.csv(list(files))
+    if broken:
+        cells = cells.withColumn(cells.columns[-1], F.regexp_replace(cells.columns[-1], "\r$", ""))
     return cells.select("*", F.struct(F.col("_metadata.file_path").alias("k1"),
                                       F.col("_metadata.file_block_start").alias("k2"),
                                       F.monotonically_increasing_id().alias("k3")).alias("ordinal"))
@@ -114,8 +176,8 @@ def _tables(spark, paths, fmt, sep, encoding, multiline) -> list[tuple[HeaderMap
     files = list_files(spark, [paths] if isinstance(paths, str) else list(paths))
     groups: dict[tuple, list[str]] = {}
     if fmt == "csv":
-        for f in files:
-            groups.setdefault(tuple(read_header(spark, f, sep, encoding)), []).append(f)
+        for f, header in header_rows(spark, files, sep, encoding).items():
+            groups.setdefault(tuple(header), []).append(f)
         if groups.pop((), None) and not groups:
             raise ExportSchemaError("The export is empty.")
         return [(HeaderMap(h), read_csv(spark, g, h, sep, encoding, multiline), g[0]) for h, g in groups.items()]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.materialize import broadcast_if, cut_lineage, spread, table_has_at_most
-from .headers import COLUMNS
+from .headers import COLUMNS, DISPLAY_OF
 
 # The as-of date of the derived export (day serial 35810).
 FIXTURE_AS_OF = "1998-01-15"
@@ -151,3 +151,19 @@ def messy_export(export: DataFrame) -> DataFrame:
     columns = [F.col(c).alias(h) for c, h in reversed(MESSY.items())]
     return export.select(F.lit("x").alias("Notes"), *columns, wrong.alias("le delivery "), wrong.alias("Plant"),
                          wrong.alias("Picking in"), "ordinal", "export_id")
+
+
+def write_csv_files(export: DataFrame, folder: str) -> list[str]:
+    """The export as CSV files under three header rows, a third of the deliveries
+    each; the folders of the files."""
+    shown = [F.col(c).alias(DISPLAY_OF[c]) for c in COLUMNS]
+    shouted = [F.col(c).alias(f" {DISPLAY_OF[c].upper()}: ") for c in sorted(MESSY)]
+    kinds = [lambda part: part.select(*shown), lambda part: messy_export(part).drop("ordinal", "export_id"),
+             lambda part: part.select(*shouted)]
+    folders = []
+    for k, kind in enumerate(kinds):
+        folders.append(f"{folder.rstrip('/')}/{k}")
+        part = kind(export.where(F.pmod(F.xxhash64("ordinal.k1"), F.lit(len(kinds))) == k))
+        part.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False) \
+            .option("ignoreTrailingWhiteSpace", False).csv(folders[-1])
+    return folders

@@ -59,6 +59,39 @@ def test_all_files_are_read_each_by_its_own_headers(spark, tmp_path):
         read_export(spark, str(tmp_path / "nothing*"))
 
 
+def test_header_rows_come_from_one_job_for_any_number_of_files(spark, tmp_path):
+    from dockline.sources.export import header_rows, list_files, read_header
+    turned = ",".join(HEADERS.split(",")[::-1])
+    broken = HEADERS.replace("Goods Issue", '"Goods\nIssue"')
+    for k in range(12):
+        head = (HEADERS, turned, "\n\n" + broken, "\ufeff" + HEADERS)[k % 4]
+        (tmp_path / f"part {k:02d}%.csv").write_text(f"{head}\n" + f"{line(k)}\n" * (3 if k else 30_000), encoding="utf-8")
+    files = list_files(spark, [str(tmp_path)])
+    jobs = []
+    for some in (files[:2], files):
+        spark.sparkContext.setJobGroup(f"headers {len(some)}", "x")
+        got = header_rows(spark, some, ",", "UTF-8")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"headers {len(some)}")))
+        assert got == {f: read_header(spark, f, ",", "UTF-8") for f in some} and list(got) == some
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs == [1, 1] and spark.conf.get("spark.sql.files.openCostInBytes") != str(1 << 50)
+    assert read_export(spark, str(tmp_path)).count() == 30_000 + 11 * 3
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "wide.csv").write_text(f"{HEADERS}\n{line(5)}\n", encoding="utf-16")
+    assert header_rows(spark, [f"file:{tmp_path}/w/wide.csv"], ",", "UTF-16") == {
+        f"file:{tmp_path}/w/wide.csv": HEADERS.split(",")}
+
+
+def test_line_ends_of_headers_are_not_those_of_records(spark, tmp_path):
+    for name, inner, outer in (("a", "\r\n", "\n"), ("b", "\n", "\r\n"), ("c", "\r\n", "\r\n")):
+        head = HEADERS.replace("Goods Issue", f'"Goods{inner}Issue"')
+        text = outer.join([head, *(line(k) for k in range(40)), line(99, total="N/A")]) + outer
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+        got = read_export(spark, str(tmp_path / f"{name}.csv")).collect()
+        assert len(got) == 41 and {r["goods_issue"] for r in got} == {"Open"}
+        assert {r["sales_order_total"] for r in got} == {"12", None}
+
+
 def test_quotes_commas_and_line_breaks_in_cells_and_headers(spark, tmp_path):
     head = HEADERS.replace("Goods Issue", '"Goods\nIssue"')
     rows = [line(1, name='"JO ""THE"" BAKER, LTD"'), line(2, name='"two\nlines"'), line(3, total="N/A")]
