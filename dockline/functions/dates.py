@@ -105,13 +105,15 @@ def parse_date(c: Column) -> Column:
     )
 
 
-def days_between(ts: Column, as_of: dt.date) -> Column:
+def days_between(ts: Column, as_of: dt.date | Column) -> Column:
     """Whole days from ``as_of`` to the calendar date of ``ts`` (null-safe)."""
-    return F.datediff(F.to_date(ts), F.lit(as_of)).cast("long")
+    return F.datediff(F.to_date(ts), as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("long")
 
 
-def as_of_midnight(as_of: dt.date) -> Column:
-    """Midnight of the as-of date as TIMESTAMP_NTZ (text -> NTZ: zone-independent)."""
+def as_of_midnight(as_of: dt.date | Column) -> Column:
+    """Midnight of the as-of date as TIMESTAMP_NTZ (no zone is involved)."""
+    if isinstance(as_of, Column):
+        return as_of.cast("timestamp_ntz")
     return F.lit(f"{as_of.isoformat()} 00:00:00").cast("timestamp_ntz")
 
 

@@ -39,7 +39,8 @@ def due_date(planned: Column, route: Column, dock: Column, deadline_flag: Column
     return F.least(planned, route, F.when(deadline_flag, dock))
 
 
-def enrich(df: DataFrame, as_of: dt.date, rules: Rules) -> DataFrame:
+def enrich(df: DataFrame, as_of: dt.date | Column, rules: Rules) -> DataFrame:
+    """D1-D13; ``as_of``: one day, or a column with the day of each row's export."""
     midnight = as_of_midnight(as_of)
     days = rules.windows
     at_risk_days = days["at_risk_days"]

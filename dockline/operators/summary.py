@@ -1,12 +1,14 @@
 """Per-site summary plus the 'All Plants' roll-up in ONE aggregation.
 
-``rollup("site")`` is GROUPING SETS ((site), ()): partial aggregation in every
+GROUPING SETS ((site), ()): partial aggregation in every
 map task, one small exchange on ``site``; the grand total comes out of the
 same pass.  The three late buckets (complete / partial / not started)
 partition the late orders because late implies open.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,8 @@ SUMMARY_COLUMNS = ["site", "total_orders", "total_price", "late_orders", "late_v
                    "not_started", "not_started_value"]
 
 
-def all_plants_summary(orders: DataFrame, rules: Rules, ordered: bool = True) -> DataFrame:
+def all_plants_summary(orders: DataFrame, rules: Rules, ordered: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """E22-E23; ``by``: a summary with its own roll-up for each value of these columns."""
     amt = F.col("sales_order_total")
     late = F.col("is_late")
     buckets = {"completed": F.col("is_picking_complete"),
@@ -30,12 +33,13 @@ def all_plants_summary(orders: DataFrame, rules: Rules, ordered: bool = True) ->
     for name, cond in buckets.items():
         aggs += [count_where(late & cond).alias(name),
                  money_sum(amt, late & cond).alias(f"{name}_value")]
-    rolled = (orders.rollup("site")
+    rolled = (orders.groupingSets([[*by, "site"], [*by]], *by, "site")
               .agg(*aggs, F.grouping("site").alias("g")))
     out = rolled.select(
+        *by,
         F.when(F.col("g") == 1, F.lit(ALL_PLANTS)).otherwise(F.col("site")).alias("site"),
         *SUMMARY_COLUMNS[1:], "g")
     if ordered:
-        out = out.orderBy("g", site_rank(F.col("site"), rules), F.lower(F.col("site")),
+        out = out.orderBy(*by, "g", site_rank(F.col("site"), rules), F.lower(F.col("site")),
                           F.col("site"))
-    return out.select(*SUMMARY_COLUMNS)
+    return out.select(*by, *SUMMARY_COLUMNS)

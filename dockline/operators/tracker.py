@@ -10,6 +10,7 @@ at most five orders, and holds no more ids of a larger group.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +51,12 @@ def _status_code(c):
 ID_PLACES = 16
 
 
-def tracker_groups(wanted: DataFrame) -> DataFrame:
+def tracker_groups(wanted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """E3-E7 + E10 aggregates per group: numbers, dates, and the sorted ids of a group
     with at most five orders as one text (null for a larger one)."""
     ids = F.array_sort(F.transform("some_ids", lambda x: x["item"]))
     listed = F.when(F.col("order_count") <= AFFECTED_LIMIT, F.array_join(ids, ", "))
-    return (wanted.groupBy(*KEYS, *GROUP_ATTRS).agg(
+    return (wanted.groupBy(*by, *KEYS, *GROUP_ATTRS).agg(
         F.count(F.lit(1)).alias("order_count"),
         count_where(F.col("is_not_started")).alias("n_not_started"),
         count_where(F.col("is_late")).alias("n_late"),
@@ -119,11 +120,13 @@ def latest_update(now: dt.datetime):
 
 
 def issue_tracker(orders: DataFrame, rules: Rules, now: dt.datetime,
-                  include_non_escalated: bool = False, ordered: bool = True, placed: bool = False) -> DataFrame:
+                  include_non_escalated: bool = False, ordered: bool = True, placed: bool = False,
+                  by: Sequence[str] = ()) -> DataFrame:
     """E10 (escalation-only) / E11 (all open orders) with E8/E9 text and E12 order;
-    ``placed``: with the order as a column instead of a sort."""
+    ``placed``: with the order as a column instead of a sort; ``by``: a tracker for
+    each value of these columns."""
     wanted = escalating(orders, include_non_escalated)
-    g = with_text_slots(tracker_groups(wanted))
+    g = with_text_slots(tracker_groups(wanted, by))
     status = (F.when(F.col("status_code") == 0, F.lit(CRITICAL))
               .when(F.col("status_code") == 1, F.lit(AT_RISK)))
     for i, s in enumerate(_STATUS_CODES[2:], start=2):
@@ -131,6 +134,7 @@ def issue_tracker(orders: DataFrame, rules: Rules, now: dt.datetime,
     consequence = F.when(F.col("customer_consequence") != "", F.col("customer_consequence")) \
         .otherwise(F.lit(rules.default_consequence))
     out = g.select(
+        *by,
         "site",
         F.col("customer_display").alias("customer"),
         "issue_type",
@@ -148,8 +152,8 @@ def issue_tracker(orders: DataFrame, rules: Rules, now: dt.datetime,
     keys = [F.col("_status_rank"), issue_type_rank(F.col("issue_type")), -F.col("total_price"),
             F.col("site"), F.col("customer"), F.col("issue_type")]
     if placed:
-        return out.select(*TRACKER_COLUMNS, place(keys))
-    return (out.orderBy(*keys) if ordered else out).select(*TRACKER_COLUMNS)
+        return out.select(*by, *TRACKER_COLUMNS, place(keys))
+    return (out.orderBy(*by, *keys) if ordered else out).select(*by, *TRACKER_COLUMNS)
 
 
 def tracker_drilldown(orders: DataFrame, site: str, customer: str, issue_type: str) -> DataFrame:

@@ -387,6 +387,23 @@ def _q(body: str) -> str:
     return base() + body.replace("__AS_OF__", AS_OF)
 
 
+def export_base(number: int, as_of: str) -> str:
+    """``base()`` for one of three exports, by itself; the last has fractions."""
+    s = base().replace(AS_OF, as_of).replace("% 499 <> 0", f"% 499 <> 0 AND ok % 3 = {number}")
+    if number == 2:
+        s = s.replace("ELSE '25' END AS pct,", "ELSE '25' END AS pct0, CASE pct0 WHEN 'n/k' THEN pct0 WHEN '150' THEN '1' "
+                      "ELSE CAST(CAST(pct0 AS DOUBLE) / 100 AS VARCHAR) END AS pct,")
+    return s
+
+
+def each_export(body: str) -> str:
+    """``body`` over each export, run on its own, one below the other."""
+    days = ["1998-01-13", "1998-01-15", "1998-01-18"]
+    return "\nUNION ALL\n".join(
+        f"SELECT 'export-{k}' AS export_id, * FROM (\n{export_base(k, day)}{body.replace('__AS_OF__', day)}\n)"
+        for k, day in enumerate(days))
+
+
 def oracle_queries() -> dict[str, str]:
     m = _money("sales_order_total")
     errors = (f"SELECT 'Missing LE Delivery — excluded from order calculations' AS validation_issue, {C35} FROM typed WHERE le_delivery = ''\n"
@@ -451,7 +468,10 @@ SELECT le_delivery, site, customer_group, customer_display, customer_priority, p
   is_not_started, is_late, is_route_departure_missed, days_to_planned_delivery,
   days_to_route_departure, days_to_customer_deadline, earliest_due_days, risk_status, issue_type,
   priority, CASE priority WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2
-  WHEN 'Low' THEN 3 ELSE 9 END AS priority_rank, due_date, customer_report
+  WHEN 'Low' THEN 3 ELSE 9 END AS priority_rank, due_date, customer_report,
+  CASE issue_type WHEN 'Cancellation Deadline Passed' THEN 0 WHEN 'Late Delivery' THEN 1 WHEN 'Route Departure Missed' THEN 2
+  WHEN 'Cancellation Deadline Approaching' THEN 3 WHEN 'Not Started' THEN 4 WHEN 'Picking Behind Schedule' THEN 5
+  WHEN 'Awaiting Goods Issue' THEN 6 WHEN 'Resolved' THEN 7 ELSE 8 END AS issue_type_rank
 FROM enriched"""),
         # every account rule against every pair of keys; the default rules come after them
         "classified_by_rule_table": _q("""
@@ -472,6 +492,10 @@ SELECT site, CAST(row_number() OVER (ORDER BY CASE lower(site) WHEN 'mississauga
   WHEN 'calgary' THEN 1 WHEN 'surrey' THEN 2 ELSE 3 END, lower(site), site) AS BIGINT) AS site_seq
 FROM (SELECT DISTINCT site FROM enriched WHERE trim(site) <> '')"""),
         "all_plants_summary": _q(SUMMARY),
+        "many_exports_summary": each_export(SUMMARY),
+        "many_exports_tracker": each_export(tracker_sql(ESCALATED)),
+        "processed_and_filtered": _q(tracker_sql(
+            f"{ESCALATED} AND site IN ('EUROPE') AND customer_display IN ('Amazon', 'Walmart')")),
         "issue_tracker": _q(tracker_sql(ESCALATED)),
         "tracker_all_open": _q(tracker_sql("is_open", first_status=True)),
         "not_started": _q("""
@@ -488,6 +512,8 @@ FROM enriched WHERE is_not_started"""),
         "report_pratts": _q(f"SELECT {C35} FROM enriched WHERE customer_group IN ('pratts')"),
         "report_gfs": _q(f"SELECT {C35} FROM enriched WHERE customer_group IN ('gfs', 'aw_via_gfs')"),
         "late_warehouse": _q(f"SELECT {LATE_COLS} FROM enriched WHERE {LATE_WH}"),
+        "late_lists": _q(f"SELECT 'Andrew Tab' AS report, site, {LATE_COLS} FROM enriched WHERE {LATE_WH}\n"
+                         f"UNION ALL SELECT 'Andrew Tab 2', site, {LATE_COLS} FROM enriched WHERE {LATE_DSD}"),
         "late_dsd_independent": _q(f"SELECT {LATE_COLS} FROM enriched WHERE {LATE_DSD}"),
         "dsd_priorities": _q(f"SELECT dsd_priority AS priority, {C35} FROM enriched WHERE dsd_priority IS NOT NULL"),
         "detail_reports_long": _q(f"SELECT report, comments, priority, site, {C35} FROM ({long_sql()})"),

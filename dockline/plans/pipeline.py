@@ -8,6 +8,7 @@ is a DataFrame over it.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from zoneinfo import ZoneInfo
 
@@ -15,11 +16,11 @@ from pyspark.sql import DataFrame
 
 from ..config import Rules, load_rules
 from ..operators.classify import by_table, classify
-from ..operators.clean import dedup_orders, typed_export, validation_errors
+from ..operators.clean import MAX_BROADCAST_EXPORTS, dedup_orders, typed_export, validation_errors
 from ..operators.enrich import enrich
 from ..session import wide_projections
 from ..sources.headers import ExportSchemaError
-from .materialize import cut_lineage, release
+from .materialize import broadcast_if, cut_lineage, release
 
 
 #: Where the plants are: the run clock's zone.
@@ -118,7 +119,7 @@ def process_export(raw: DataFrame, as_of: dt.date, rules: Rules | None = None,
     """Run the pipeline on one raw export (see ``dockline.sources``).
 
     ``now``: the run clock in the texts, by default the plants' current time.
-    Rows of more than one ``export_id`` are an error: process them one by one."""
+    Rows of more than one ``export_id`` are an error: see ``process_exports``."""
     rules = rules or load_rules()
     now = now or dt.datetime.now(PLANT_ZONE).replace(tzinfo=None)
     with wide_projections(raw.sparkSession):
@@ -138,3 +139,70 @@ def process_export(raw: DataFrame, as_of: dt.date, rules: Rules | None = None,
     return ProcessResult(orders=orders, validation_errors=errors,
                          as_of=as_of, now=now, rules=rules, typed=typed,
                          unique=unique if by_table(rules) else None)
+
+
+@dataclass
+class ManyExports:
+    """Several exports, processed together: every table has their ``export_id``."""
+
+    orders: DataFrame  # with as_of, the day of the row's export
+    validation_errors: DataFrame
+    days: dict[str, dt.date]
+    now: dt.datetime
+    rules: Rules
+    typed: DataFrame = field(repr=False, default=None)
+    unique: DataFrame | None = field(repr=False, default=None)  # where it is stored
+
+    def release(self) -> None:
+        for stored in (self.orders, self.validation_errors, self.typed, self.unique):
+            if stored is not None:
+                release(stored)
+
+    def all_plants_summary(self, ordered: bool = True) -> DataFrame:
+        """The summary of every export, in one aggregation."""
+        from ..operators.summary import all_plants_summary
+        return all_plants_summary(self.orders, self.rules, ordered, by=["export_id"])
+
+    def issue_tracker(self, include_non_escalated: bool = False, ordered: bool = True) -> DataFrame:
+        """The tracker of every export, in one aggregation."""
+        from ..operators.tracker import issue_tracker
+        return issue_tracker(self.orders, self.rules, self.now, include_non_escalated, ordered, by=["export_id"])
+
+    def of(self, export_id: str) -> ProcessResult:
+        """One of the exports, with all of its reports."""
+        from pyspark.sql import functions as F
+        mine = F.col("export_id") == export_id
+        return ProcessResult(orders=self.orders.where(mine), validation_errors=self.validation_errors.where(mine),
+                             as_of=self.days[export_id], now=self.now, rules=self.rules, typed=self.typed.where(mine))
+
+
+def process_exports(raw: DataFrame, days: Mapping[str, dt.date], rules: Rules | None = None,
+                    now: dt.datetime | None = None, materialize: str = "auto") -> ManyExports:
+    """Run the pipeline once on rows of many exports (by ``export_id``), each with its
+    as-of day in ``days``.
+
+    Percents are scaled, orders made unique and days counted within each export; the
+    days are a dimension joined to the orders, broadcast if there are few.  Rows of an
+    export without a day, or an export without rows, are an error."""
+    from pyspark.sql import functions as F
+    rules = rules or load_rules()
+    now = now or dt.datetime.now(PLANT_ZONE).replace(tzinfo=None)
+    spark = raw.sparkSession
+    known = broadcast_if(spark.createDataFrame(sorted(days.items()), "export_id string, as_of date"),
+                         len(days) <= MAX_BROADCAST_EXPORTS)
+    with wide_projections(spark):
+        typed = typed_export(raw, lambda rows: cut_lineage(rows, materialize))
+        unique = dedup_orders(typed)
+        if by_table(rules):
+            unique = cut_lineage(unique, materialize)
+        dated = classify(unique, rules).join(known, "export_id", "left")
+        orders = cut_lineage(enrich(dated, F.col("as_of"), rules), materialize)
+        errors = cut_lineage(validation_errors(typed), materialize)
+        there = orders.select("export_id").union(errors.select("export_id")).distinct()
+        wrong = [r[0] for r in there.join(known, "export_id", "left_anti").limit(5).collect()]
+        missing = [r[0] for r in known.join(there, "export_id", "left_anti").select("export_id").limit(5).collect()]
+    if wrong or missing:
+        raise ExportSchemaError("; ".join(f"{text}: {', '.join(sorted(ids))}" for text, ids in (
+            ("exports without a day", wrong), ("exports without rows", missing)) if ids))
+    return ManyExports(orders=orders, validation_errors=errors, days=dict(days), now=now, rules=rules, typed=typed,
+                       unique=unique if by_table(rules) else None)

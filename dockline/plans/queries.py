@@ -22,6 +22,7 @@ from ..operators.enrich import enrich
 from ..sinks import catalog
 from ..session import ensure_checkpoint_dir, tune_for_wide_projections
 from .materialize import cut_lineage
+from .pipeline import process_export, process_exports
 from ..sources.export import from_table, read_export
 from ..sources.fixture import FIXTURE_AS_OF, fixture_export, messy_export, write_csv_files
 from ..sources.headers import COLUMNS
@@ -108,6 +109,33 @@ def q_scan_export(spark, sf_dir):
     return typed_export(read_export(spark, folders)).select(*COLUMNS, "bad_total")
 
 
+#: Three exports of three days.
+EXPORT_DAYS = {f"export-{k}": AS_OF + dt.timedelta(days=d) for k, d in enumerate((-2, 0, 3))}
+
+
+def three_exports(spark, sf_dir) -> DataFrame:
+    """The fixture's deliveries as three exports; the last one has fractions for
+    percents."""
+    raw = fixture_export(spark, sf_dir)
+    number = F.pmod("ordinal.k1", F.lit(3))
+    pct = F.col("picking_in_pct")
+    part = F.when(pct == "150", "1").otherwise(F.coalesce((pct.try_cast("double") / 100).cast("string"), pct))
+    return raw.withColumns({"export_id": F.concat(F.lit("export-"), number.cast("string")),
+                            "picking_in_pct": F.when(number == 2, part).otherwise(pct)})
+
+
+def _exports(fn):
+    def q(spark, sf_dir):
+        return fn(process_exports(three_exports(spark, sf_dir), EXPORT_DAYS, RULES, NOW))
+    return q
+
+
+def q_processed_and_filtered(spark, sf_dir):
+    """G8 and F11 through the pipeline's own result."""
+    return process_export(fixture_export(spark, sf_dir), AS_OF, RULES, now=NOW).filtered(**F11_SELECTION).issue_tracker(
+        ordered=False)
+
+
 def q_clean_orders(spark, sf_dir):
     return dedup_orders(fixture_typed(spark, sf_dir)).select(*COLUMNS)
 
@@ -147,9 +175,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "validation_errors": q_validation_errors,
     "run_summary": q_run_summary,
     # classification + enrichment
-    "enriched_orders": _orders(lambda o: o.select(*ENRICHED_COLUMNS)),
+    "enriched_orders": _orders(lambda o: o.select(*ENRICHED_COLUMNS, "issue_type_rank")),
     "classified_by_rule_table": q_classified_by_rule_table,
     "ordered_sites": _orders(lambda o: ordered_sites(o, RULES)),
+    # whole runs
+    "many_exports_summary": _exports(lambda m: m.all_plants_summary(ordered=False)),
+    "many_exports_tracker": _exports(lambda m: m.issue_tracker(ordered=False)),
+    "processed_and_filtered": q_processed_and_filtered,
     # reports
     "all_plants_summary": _orders(lambda o: summary.all_plants_summary(o, RULES, ordered=False)),
     "issue_tracker": _orders(lambda o: tracker.issue_tracker(o, RULES, NOW, ordered=False)),
@@ -164,6 +196,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_pratts": _orders(lambda o: reports.customer_report(o, SPEC["Pratts"], ordered=False)),
     "report_gfs": _orders(lambda o: reports.customer_report(o, SPEC["GFS"], ordered=False)),
     "late_warehouse": _orders(lambda o: reports.late_warehouse(o, AS_OF, ordered=False)),
+    "late_lists": _orders(lambda o: reports.late_lists(o, RULES, AS_OF).drop("place")),
     "late_dsd_independent": _orders(
         lambda o: reports.late_dsd_independent(o, AS_OF, ordered=False)),
     "dsd_priorities": _orders(lambda o: reports.dsd_priorities(o, RULES, ordered=False)),
