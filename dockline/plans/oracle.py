@@ -404,6 +404,18 @@ def each_export(body: str) -> str:
         for k, day in enumerate(days))
 
 
+NOT_STARTED = """
+SELECT priority, site, customer_display AS customer_group, facility_code, warehouse_task_creat,
+  route_depart_date, planned_dlv_date, le_delivery, cust_reference, carrier_description,
+  ship_to_name, ship_to_city, ship_to_province, cases, line_items, picking_in_pct,
+  picking AS picking_status, goods_issue, sales_order, sales_order_total,
+  days_to_route_departure, days_to_planned_delivery
+FROM enriched WHERE is_not_started"""
+ISSUE_RANK = """CASE issue_type WHEN 'Cancellation Deadline Passed' THEN 0 WHEN 'Late Delivery' THEN 1 WHEN 'Route Departure Missed' THEN 2
+  WHEN 'Cancellation Deadline Approaching' THEN 3 WHEN 'Not Started' THEN 4 WHEN 'Picking Behind Schedule' THEN 5
+  WHEN 'Awaiting Goods Issue' THEN 6 WHEN 'Resolved' THEN 7 ELSE 8 END"""
+
+
 def oracle_queries() -> dict[str, str]:
     m = _money("sales_order_total")
     errors = (f"SELECT 'Missing LE Delivery — excluded from order calculations' AS validation_issue, {C35} FROM typed WHERE le_delivery = ''\n"
@@ -462,16 +474,14 @@ UNION ALL SELECT 'duplicates_removed', count(*) - count(DISTINCT le_delivery) FR
 UNION ALL SELECT 'validation_records', (SELECT count(*) FROM typed WHERE le_delivery = '')
   + (SELECT count(*) FROM typed WHERE le_delivery <> '' AND ship_to_name = '')
   + (SELECT count(*) FROM typed WHERE le_delivery <> '' AND bad_total)"""),
-        "enriched_orders": _q("""
+        "enriched_orders": _q(f"""
 SELECT le_delivery, site, customer_group, customer_display, customer_priority, picking_in_pct,
   sales_order_total, planned_dlv_date, route_depart_date, customer_dock_appointment_date, is_open,
   is_not_started, is_late, is_route_departure_missed, days_to_planned_delivery,
   days_to_route_departure, days_to_customer_deadline, earliest_due_days, risk_status, issue_type,
   priority, CASE priority WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2
   WHEN 'Low' THEN 3 ELSE 9 END AS priority_rank, due_date, customer_report,
-  CASE issue_type WHEN 'Cancellation Deadline Passed' THEN 0 WHEN 'Late Delivery' THEN 1 WHEN 'Route Departure Missed' THEN 2
-  WHEN 'Cancellation Deadline Approaching' THEN 3 WHEN 'Not Started' THEN 4 WHEN 'Picking Behind Schedule' THEN 5
-  WHEN 'Awaiting Goods Issue' THEN 6 WHEN 'Resolved' THEN 7 ELSE 8 END AS issue_type_rank
+  {ISSUE_RANK} AS issue_type_rank
 FROM enriched"""),
         # every account rule against every pair of keys; the default rules come after them
         "classified_by_rule_table": _q("""
@@ -498,13 +508,14 @@ FROM (SELECT DISTINCT site FROM enriched WHERE trim(site) <> '')"""),
             f"{ESCALATED} AND site IN ('EUROPE') AND customer_display IN ('Amazon', 'Walmart')")),
         "issue_tracker": _q(tracker_sql(ESCALATED)),
         "tracker_all_open": _q(tracker_sql("is_open", first_status=True)),
-        "not_started": _q("""
-SELECT priority, site, customer_display AS customer_group, facility_code, warehouse_task_creat,
-  route_depart_date, planned_dlv_date, le_delivery, cust_reference, carrier_description,
-  ship_to_name, ship_to_city, ship_to_province, cases, line_items, picking_in_pct,
-  picking AS picking_status, goods_issue, sales_order, sales_order_total,
-  days_to_route_departure, days_to_planned_delivery
-FROM enriched WHERE is_not_started"""),
+        "not_started": _q(NOT_STARTED),
+        "not_started_ranked": _q(NOT_STARTED.replace("FROM enriched", """,
+  row_number() OVER (ORDER BY CASE priority WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3
+    ELSE 9 END, planned_dlv_date IS NULL, planned_dlv_date, -sales_order_total, ok, ln, k3, k4, k5) AS rank
+FROM enriched""")),
+        "tracker_ranked": f"""SELECT *, row_number() OVER (
+  ORDER BY status <> 'Critical', {ISSUE_RANK}, -total_price, site, customer, issue_type) AS rank
+FROM ({_q(tracker_sql(ESCALATED))})""",
         "full_export": _q(f"SELECT {C35} FROM enriched"),
         "report_amz": _q(f"SELECT {AMZ_NOTE} AS comments, {C35} FROM enriched WHERE customer_group IN ('amazon')"),
         "report_pfg_whse": _q(f"SELECT {C35} FROM enriched WHERE customer_group IN ('save_on', 'associated_grocers') AND upper(facility_code) IN ('WAREHOUSE')"),

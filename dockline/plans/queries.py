@@ -19,6 +19,7 @@ from ..operators import facets, reports, summary, tracker
 from ..operators.classify import classify, ordered_sites
 from ..operators.clean import dedup_orders, typed_export, validation_errors
 from ..operators.enrich import enrich
+from ..operators.rank import ranked
 from ..sinks import catalog
 from ..session import ensure_checkpoint_dir, tune_for_wide_projections
 from .materialize import cut_lineage
@@ -187,6 +188,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "issue_tracker": _orders(lambda o: tracker.issue_tracker(o, RULES, NOW, ordered=False)),
     "tracker_all_open": _orders(lambda o: tracker.issue_tracker(
         o, RULES, NOW, include_non_escalated=True, ordered=False)),
+    "tracker_ranked": _orders(lambda o: ranked(tracker.issue_tracker(o, RULES, NOW, placed=True))),
+    "not_started_ranked": _orders(lambda o: ranked(reports.not_started(o, placed=True))),
     "not_started": _orders(lambda o: reports.not_started(o, ordered=False)),
     "full_export": _orders(lambda o: reports.full_export(o, ordered=False)),
     "report_amz": _orders(lambda o: reports.customer_report(o, SPEC["AMZ"], ordered=False)),

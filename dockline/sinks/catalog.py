@@ -16,7 +16,7 @@ from ..config import ALL_PLANTS, AT_RISK, CRITICAL, NOT_STARTED, READY, UNKNOWN_
 from ..functions.agg import money_sum
 from ..functions.dates import as_of_midnight
 from ..operators.classify import lookup, ordered_sites
-from ..operators.reports import FULL_EXPORT, report_totals
+from ..operators.reports import DSD_REPORT, FULL_EXPORT, report_totals
 
 # Sheet names of the combined outputs, the validation sheet, and
 # the note attached to deadline reports.
@@ -165,11 +165,18 @@ def run_summary(typed: DataFrame | None, orders: DataFrame, errors: DataFrame) -
 
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``rank`` beside their ``place``."""
+    from ..operators.rank import ranked
+    return ranked(rows.withColumn("_order", F.col("place")), "_order")
+
+
 def write_all(result, path: str, fmt: str = "parquet") -> None:
     """Persist every output of one run under ``path/<output>/as_of=.../site=...``.
 
     Re-running the same as-of date replaces exactly that day's folders.  Ranked
-    lists carry their order in ``place`` and rows their colour in ``severity``;
+    lists carry their order in ``rank`` (as sort keys in ``place`` too, where cells can
+    hold them) and rows their colour in ``severity``;
     blank numbers are 0.  Orders are written once: the reports leave out the full
     export and have the late lists in their own nine columns."""
     from ..operators.reports import late_lists, not_started
@@ -179,12 +186,13 @@ def write_all(result, path: str, fmt: str = "parquet") -> None:
     late = [r.name for r in rules.reports if r.special]
     reports = result.detail_reports().where(~F.col("report").isin(FULL_EXPORT, *late))
     tracker = issue_tracker(orders, rules, result.now, placed=True)
+    coloured = F.col("report") != DSD_REPORT  # of the reports, those of customers
     outputs = {
         "summary": result.all_plants_summary(),
-        "issue_tracker": tracker.withColumn("severity", tracker_severity(F.col("status"))),
-        "not_started": not_started(orders, placed=True).withColumn("severity", not_started_severity(F.col("priority"))),
+        "issue_tracker": numbered(tracker).withColumn("severity", tracker_severity(F.col("status"))),
+        "not_started": numbered(not_started(orders, placed=True)).withColumn("severity", not_started_severity(F.col("priority"))),
         "orders": orders.select("site", *COLUMNS, detail_severity(as_of).alias("severity"), "ordinal"),
-        "reports": reports.withColumn("severity", detail_severity(as_of)),
+        "reports": reports.withColumn("severity", F.when(coloured, detail_severity(as_of))),
         "late_lists": late_lists(orders, rules, as_of),
         "validation_errors": result.validation_errors,
         "catalog": result.report_catalog(),

@@ -94,3 +94,20 @@ def test_written_lists_keep_their_order(spark, tmp_path):
 def test_checkpoint_mode_cuts_lineage(spark):
     kept = cut_lineage(processed(spark, ORDERS).orders, "checkpoint")
     assert len(records(kept)) == 4 and "Scan" not in kept._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranks_and_colours_of_written_files(spark, tmp_path):
+    out = str(tmp_path / "out")
+    res = processed(spark, ORDERS + [order(i, planned_dlv_date=day(9 - i), ship_to_name=name)
+                                     for i, name in enumerate(["PRATT'S WHOLESALE", "AMZ 1", "gfs"] * 4, 10)])
+    write_all(res, out)
+    for name, df in (("not_started", res.not_started()), ("issue_tracker", res.issue_tracker())):
+        keys = [c for c in df.columns if c in ("le_delivery", "site", "customer", "issue_type")]
+        written = spark.read.parquet(f"{out}/{name}").orderBy("rank").collect()
+        assert [r["rank"] for r in written] == list(range(1, len(written) + 1))
+        assert [tuple(r[k] for k in keys) for r in written] == [tuple(r[k] for k in keys) for r in df.collect()]
+    reports = {}
+    for r in spark.read.parquet(out + "/reports").collect():
+        reports.setdefault(r["report"], set()).add(r["severity"])
+    assert reports["DSD Priorities"] == {None}  # of the reports, those of customers are coloured
+    assert any(v != {None} for v in reports.values())
