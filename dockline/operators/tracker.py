@@ -156,14 +156,25 @@ def issue_tracker(orders: DataFrame, rules: Rules, now: dt.datetime,
     return (out.orderBy(*by, *keys) if ordered else out).select(*by, *TRACKER_COLUMNS)
 
 
+# The columns of a drill-down.
+DRILLDOWN_COLUMNS = ["site", "le_delivery", "ship_to_name", "facility_code", "picking_in_pct", "risk_status",
+                     "issue_type", "priority", "planned_dlv_date", "route_depart_date", "sales_order_total"]
+
+
 def tracker_drilldown(orders: DataFrame, site: str, customer: str, issue_type: str) -> DataFrame:
     """F8: escalating orders behind one tracker row (11 columns)."""
     sel = escalating(orders).filter((F.col("site") == site)
                                     & (F.col("customer_display") == customer)
                                     & (F.col("issue_type") == issue_type))
-    return sel.select("site", "le_delivery", "ship_to_name", "facility_code", "picking_in_pct",
-                      "risk_status", "issue_type", "priority", "planned_dlv_date",
-                      "route_depart_date", "sales_order_total")
+    return sel.select(*DRILLDOWN_COLUMNS)
+
+
+def behind(orders: DataFrame, rows: DataFrame) -> DataFrame:
+    """F8: escalating orders behind some rows of the tracker, whichever they are: a
+    left-semi join on the tracker's keys (a large group of orders stays where it is if
+    the rows are few, as AQE then broadcasts them)."""
+    keys = rows.select("site", F.col("customer").alias("customer_display"), "issue_type")
+    return escalating(orders).join(keys, ["site", "customer_display", "issue_type"], "left_semi").select(*DRILLDOWN_COLUMNS)
 
 
 def tracker_drilldown_all(orders: DataFrame) -> DataFrame:

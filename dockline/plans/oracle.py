@@ -348,24 +348,27 @@ FROM g
 """
 
 
+#: Reports: name, workbook position, comments, which orders are in it.
+LONG_PARTS = [
+    ("SAPUI5 Export", 0, "CAST(NULL AS VARCHAR)", "true"),
+    ("DSD Priorities", 1, "CAST(NULL AS VARCHAR)", "dsd_priority IS NOT NULL"),
+    ("AMZ", 2, AMZ_NOTE, "customer_group IN ('amazon')"),
+    ("Andrew Tab", 3, "CAST(NULL AS VARCHAR)", LATE_WH),
+    ("Andrew Tab 2", 4, "CAST(NULL AS VARCHAR)", LATE_DSD),
+    ("PFG WHSE", 5, "CAST(NULL AS VARCHAR)",
+     "customer_group IN ('save_on', 'associated_grocers') AND upper(facility_code) IN ('WAREHOUSE')"),
+    ("Calgary CO-OP", 6, "''", "customer_group IN ('calgary_coop')"),
+    ("Sysco", 7, "CAST(NULL AS VARCHAR)", "customer_group IN ('sysco')"),
+    ("GFS", 8, "CAST(NULL AS VARCHAR)", "customer_group IN ('gfs', 'aw_via_gfs')"),
+    ("Pratts", 9, "CAST(NULL AS VARCHAR)", "customer_group IN ('pratts')"),
+]
+
+
 def long_sql() -> str:
     """Every (order, report) pair with the report's workbook position."""
-    parts = [
-        ("SAPUI5 Export", 0, "CAST(NULL AS VARCHAR)", "true"),
-        ("DSD Priorities", 1, "CAST(NULL AS VARCHAR)", "dsd_priority IS NOT NULL"),
-        ("AMZ", 2, AMZ_NOTE, "customer_group IN ('amazon')"),
-        ("Andrew Tab", 3, "CAST(NULL AS VARCHAR)", LATE_WH),
-        ("Andrew Tab 2", 4, "CAST(NULL AS VARCHAR)", LATE_DSD),
-        ("PFG WHSE", 5, "CAST(NULL AS VARCHAR)",
-         "customer_group IN ('save_on', 'associated_grocers') AND upper(facility_code) IN ('WAREHOUSE')"),
-        ("Calgary CO-OP", 6, "''", "customer_group IN ('calgary_coop')"),
-        ("Sysco", 7, "CAST(NULL AS VARCHAR)", "customer_group IN ('sysco')"),
-        ("GFS", 8, "CAST(NULL AS VARCHAR)", "customer_group IN ('gfs', 'aw_via_gfs')"),
-        ("Pratts", 9, "CAST(NULL AS VARCHAR)", "customer_group IN ('pratts')"),
-    ]
     sel = [f"SELECT '{n}' AS report, {seq} AS report_seq, {note} AS comments, "
            f"dsd_priority AS priority, site, {C35} FROM enriched WHERE {cond}"
-           for n, seq, note, cond in parts]
+           for n, seq, note, cond in LONG_PARTS]
     return "\nUNION ALL\n".join(sel)
 
 
@@ -416,6 +419,49 @@ ISSUE_RANK = """CASE issue_type WHEN 'Cancellation Deadline Passed' THEN 0 WHEN
   WHEN 'Awaiting Goods Issue' THEN 6 WHEN 'Resolved' THEN 7 ELSE 8 END"""
 
 
+PRIORITY_RANK = """CASE priority WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 WHEN 'Low' THEN 3 ELSE 9 END"""
+
+
+def sections_sql() -> str:
+    """All sites' sections, each part as a query of its own, then numbered."""
+    late, dsd = ("Andrew Tab", "Andrew Tab 2"), "DSD Priorities"
+    shown = ("le_delivery, ship_to_name, facility_code, goods_issue, picking_in_pct, planned_dlv_date, sales_order_total")
+    no_tracker = ("NULL AS customer, NULL AS issue_type, NULL AS issue, NULL AS status, NULL AS total_price, "
+                  "NULL AS order_count, NULL AS due_date")
+    row = "ok, ln, k3, k4, k5"
+    parts = [f"""SELECT site, 0 AS part, 'Issue Tracker' AS report, customer, issue_type, issue, status, total_price,
+  order_count, due_date, NULL AS priority, NULL AS customer_group, NULL AS picking_status,
+  NULL AS days_to_planned_delivery, NULL AS comments,
+  NULL AS le_delivery, NULL AS ship_to_name, NULL AS facility_code, NULL AS goods_issue, NULL AS picking_in_pct,
+  NULL AS planned_dlv_date, NULL AS sales_order_total,
+  (status <> 'Critical')::INT AS o1, {ISSUE_RANK} AS o2, NULL::TIMESTAMP AS o3, -total_price AS o4, NULL::DOUBLE AS o5,
+  NULL AS ok, NULL AS ln, NULL AS k3, NULL AS k4, NULL AS k5 FROM tr""",
+             f"""SELECT site, 1, 'Not Started', {no_tracker}, priority, customer_display, picking, days_to_planned_delivery,
+  NULL, {shown}, {PRIORITY_RANK}, (planned_dlv_date IS NULL)::INT, planned_dlv_date, -sales_order_total, NULL, {row}
+  FROM enriched WHERE is_not_started"""]
+    for name, seq, note, cond in LONG_PARTS:
+        report, part = ("Orders", 2) if seq == 0 else (name, seq + 3)
+        cells, o = shown, "NULL, NULL, NULL, NULL, NULL"
+        if name in late:
+            cells = cells.replace("facility_code, goods_issue", "NULL, NULL")
+            o = "NULL, NULL, planned_dlv_date, picking_in_pct, -sales_order_total"
+        if name == dsd:
+            o = ("CASE WHEN dsd_priority = 'Priority 1' THEN 1 ELSE 2 END, (planned_dlv_date IS NULL)::INT, "
+                 "planned_dlv_date, NULL, NULL")
+        parts.append(f"SELECT site, {part}, '{report}', {no_tracker}, {'dsd_priority' if name == dsd else 'NULL'}, NULL, NULL, "
+                     f"NULL, {note}, {cells}, {o}, {row} FROM enriched WHERE {cond}")
+    return f"""
+, tr AS ({base()}{tracker_sql(ESCALATED)}),
+sites AS (
+  SELECT site, row_number() OVER (ORDER BY CASE lower(site) WHEN 'mississauga' THEN 0 WHEN 'calgary' THEN 1
+         WHEN 'surrey' THEN 2 ELSE 3 END, lower(site), site) AS site_seq
+  FROM (SELECT DISTINCT site FROM enriched WHERE trim(site) <> '')),
+parts AS ({" UNION ALL ".join(parts)})
+SELECT * EXCLUDE (o1, o2, o3, o4, o5, ok, ln, k3, k4, k5),
+  row_number() OVER (ORDER BY site_seq, part, o1, o2, o3, o4, o5, customer, issue_type, ok, ln, k3, k4, k5) AS rank
+FROM parts JOIN sites USING (site)"""
+
+
 def oracle_queries() -> dict[str, str]:
     m = _money("sales_order_total")
     errors = (f"SELECT 'Missing LE Delivery — excluded from order calculations' AS validation_issue, {C35} FROM typed WHERE le_delivery = ''\n"
@@ -536,6 +582,7 @@ names(report, report_seq) AS (VALUES ('DSD Priorities', 1), ('AMZ', 2), ('Andrew
 SELECT 'All Plants' AS scope, n.report, n.report_seq, count(L.report) AS rows, {m} AS total
 FROM names n LEFT JOIN L ON L.report = n.report GROUP BY n.report, n.report_seq
 UNION ALL SELECT site, report, report_seq, count(*), {m} FROM L GROUP BY site, report, report_seq"""),
+        "site_sections": _q(sections_sql()),
         "report_catalog": _q(catalog),
         "filter_options": _q("""
 SELECT DISTINCT facet, value FROM (
@@ -569,6 +616,29 @@ SELECT count(*) AS not_started_orders, {m} AS price_not_started,
   count(*) FILTER (WHERE days_to_planned_delivery < 0) AS overdue_not_started,
   count(*) FILTER (WHERE days_to_planned_delivery BETWEEN 0 AND 2) AS due_within_2_days
 FROM enriched WHERE is_not_started"""),
+        "facet_cube": _q(f"""
+SELECT site, customer_display, risk_status, priority, facility_code, ship_to_province,
+  CAST(planned_dlv_date AS DATE) AS planned_day, issue_type, count(*) AS orders, {m} AS value,
+  count(*) FILTER (WHERE is_not_started) AS not_started_orders, {_money_if('is_not_started')} AS not_started_value,
+  count(*) FILTER (WHERE is_not_started AND days_to_planned_delivery < 0) AS overdue_not_started,
+  count(*) FILTER (WHERE is_not_started AND days_to_planned_delivery BETWEEN 0 AND 2) AS due_within_2_days
+FROM enriched GROUP BY ALL"""),
+        "filtered_kpis": _q(f"""
+SELECT count(*) FILTER (WHERE risk_status = 'Critical') AS critical_issues,
+  count(*) FILTER (WHERE risk_status = 'At Risk') AS at_risk_issues,
+  count(*) FILTER (WHERE {ESCALATED}) AS orders_requiring_attention,
+  count(*) FILTER (WHERE is_not_started) AS not_started_orders,
+  {_money_if(ESCALATED)} AS price_at_risk, {_money_if('is_not_started')} AS price_not_started,
+  count(*) FILTER (WHERE is_not_started AND days_to_planned_delivery < 0) AS overdue_not_started,
+  count(*) FILTER (WHERE is_not_started AND days_to_planned_delivery BETWEEN 0 AND 2) AS due_within_2_days
+FROM enriched WHERE site IN ('AMERICA', 'ASIA') AND priority IN ('Critical', 'High')"""),
+        "tracker_row_orders": f"""WITH t AS (
+  SELECT site, customer, issue_type FROM ({_q(tracker_sql(ESCALATED))})
+  ORDER BY status <> 'Critical', {ISSUE_RANK}, -total_price, site, customer, issue_type LIMIT 1)
+SELECT d.* EXCLUDE (customer) FROM ({_q(f"""
+SELECT site, customer_display AS customer, issue_type, le_delivery, ship_to_name, facility_code,
+  picking_in_pct, risk_status, priority, planned_dlv_date, route_depart_date, sales_order_total
+FROM enriched WHERE {ESCALATED}""")}) d SEMI JOIN t USING (site, customer, issue_type)""",
         "filtered_tracker": _q(tracker_sql(f"{ESCALATED} AND site IN ('EUROPE') AND customer_display IN ('Amazon', 'Walmart')")),
         "row_severity": _q("""
 SELECT le_delivery, site,

@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ from ..session import wide_projections
 from ..sources.headers import ExportSchemaError
 from .materialize import broadcast_if, cut_lineage, release
 
+if TYPE_CHECKING:
+    from ..operators.sections import SiteSections
 
 #: Where the plants are: the run clock's zone.
 PLANT_ZONE = ZoneInfo("America/Edmonton")
@@ -77,22 +80,13 @@ class ProcessResult:
             out.append(UNPARSED_WARNING.format(n=meta["validation_records"]))
         return out
 
-    def site_sections(self) -> dict[str, dict[str, DataFrame]]:
-        """Per site (section order) its tracker, not-started list, orders and
-        reports, each the all-plants output filtered to the site (lazy)."""
-        from pyspark.sql import functions as F
+    def site_sections(self) -> SiteSections:
+        """By site (section order) its tracker, not-started list, orders and
+        reports, as slices of one sorted table that is made here."""
         from ..operators.classify import ordered_sites
-        from ..sources.headers import COLUMNS
-        sites = [r["site"] for r in
-                 ordered_sites(self.orders, self.rules).orderBy("site_seq").collect()]
-        tracker, ns, long = self.issue_tracker(), self.not_started(), self.detail_reports()
-        out = {}
-        for site in sites:  # one lazy filter per site; the site list is small
-            f = F.col("site") == site
-            out[site] = {"issue_tracker": tracker.filter(f), "not_started": ns.filter(f),
-                         "orders": self.orders.filter(f).orderBy("ordinal").select(*COLUMNS),
-                         "reports": long.filter(f & (F.col("report") != "SAPUI5 Export"))}
-        return out
+        from ..operators.sections import SiteSections, site_sections
+        table = site_sections(self.orders, self.rules, self.as_of, self.now)
+        return SiteSections(table, ordered_sites(self.orders, self.rules))
 
     def report_catalog(self) -> DataFrame:
         from ..sinks.catalog import report_catalog

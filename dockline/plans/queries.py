@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_RULES, Rules, load_rules
-from ..operators import facets, reports, summary, tracker
+from ..operators import facet_cube, facets, reports, sections, summary, tracker
 from ..operators.classify import classify, ordered_sites
 from ..operators.clean import dedup_orders, typed_export, validation_errors
 from ..operators.enrich import enrich
@@ -46,6 +46,12 @@ ENRICHED_COLUMNS = [
     "priority_rank", "due_date", "customer_report"]
 
 
+SECTION_COLUMNS = [
+    "site", "site_seq", "part", "report", "rank", "customer", "issue_type", "issue", "status", "total_price", "order_count",
+    "due_date", "priority", "customer_group", "picking_status", "days_to_planned_delivery", "comments", "le_delivery",
+    "ship_to_name", "facility_code", "goods_issue", "picking_in_pct", "planned_dlv_date", "sales_order_total"]
+
+
 def fixture_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune_for_wide_projections(spark)
     return typed_export(fixture_export(spark, sf_dir), cut_lineage)
@@ -167,6 +173,24 @@ def _filtered_tracker(orders):
                                  ordered=False)
 
 
+def _facet_cube(orders):
+    cube = facet_cube.facet_cube(orders)
+    return cube.select(*facet_cube.KEYS, *facet_cube.COUNTS,
+                       *(F.col(c).cast("double").alias(c) for c in facet_cube.VALUES))
+
+
+def _filtered_kpis(orders):
+    """F3 and F9 of a selection, from the cube."""
+    chosen = facets.facet_filter(facet_cube.facet_cube(orders), **F2_SELECTION)
+    return chosen.agg(*facet_cube.exec_columns(), *facet_cube.not_started_columns()[2:])
+
+
+def _tracker_row_orders(orders):
+    """F8 for one row: the orders behind the tracker's first one in its order."""
+    first = tracker.issue_tracker(orders, RULES, NOW).limit(1)
+    return tracker.behind(orders, first)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # sources + cleaning
     "typed_export": q_typed_export,
@@ -206,6 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "detail_reports_long": _orders(lambda o: reports.detail_reports_long(o, RULES, AS_OF).select(
         "report", "comments", "priority", "site", *COLUMNS)),
     "report_totals": _orders(lambda o: reports.report_totals(o, RULES, AS_OF)),
+    "site_sections": _orders(lambda o: sections.site_sections(o, RULES, AS_OF, NOW).select(*SECTION_COLUMNS)),
     "report_catalog": q_report_catalog,
     # dashboard queries
     "filter_options": _orders(facets.filter_options),
@@ -219,6 +244,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         lambda o: facets.risk_value_by_planned_day(o, ordered=False)),
     "tracker_drilldown": _orders(tracker.tracker_drilldown_all),
     "not_started_kpis": _orders(facets.not_started_kpis),
+    "facet_cube": _orders(_facet_cube),
+    "filtered_kpis": _orders(_filtered_kpis),
+    "tracker_row_orders": _orders(_tracker_row_orders),
     "filtered_tracker": _orders(_filtered_tracker),
     # sink shaping
     "row_severity": _orders(lambda o: o.select(
