@@ -14,6 +14,8 @@ frequent words in about ``DOCS`` different labelled texts, drawn by their hash
 """
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import re
 from array import array
@@ -21,7 +23,7 @@ from array import array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dockline.llm.common import over_batches
+from dockline.llm.common import free_name, over_batches
 
 WORDS = 10_000  # of each language
 DOCS = 500
@@ -40,7 +42,8 @@ def identify(docs: DataFrame, model: dict[str, list[str]], id_col: str = "doc_id
     text is null or has no letter, or nothing was learned; equal costs go to the
     language that sorts first.  score: the share by which the best language's
     cost is below the next one's, 0 for ``und``, 1 if there is one language.
-    Repeated rows are predicted alike; other columns are not read.
+    Repeated rows are predicted alike; other columns are not read; an empty table
+    gives an empty one.
     """
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     known = docs.sparkSession.sparkContext.broadcast(model)
@@ -50,12 +53,17 @@ def identify(docs: DataFrame, model: dict[str, list[str]], id_col: str = "doc_id
 def accepted(docs: DataFrame, model: dict[str, list[str]], text_col: str = "text",
              lang_col: str = "lang") -> DataFrame:
     """``docs``, with all its columns, without those whose language can't be told
-    (``und``); a null label is filled in by the prediction."""
-    rows = docs.select(F.col(text_col).cast("string").alias("__arg"), *docs.columns)
+    (``und``: a null text, one without letters, or nothing learned); a null label is
+    filled in by the prediction.
+
+    Repeated rows are told alike and all stay; equal costs go to the language that
+    sorts first; columns may have any names; an empty table gives an empty one."""
+    arg, pred, score = (free_name(docs, x) for x in ("arg", "told_lang", "told_score"))
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias(arg), *(F.col(f"`{c}`") for c in docs.columns))
     known = docs.sparkSession.sparkContext.broadcast(model)
-    told = over_batches(rows, lambda: parser(known.value), "__lang_pred string, __score double", 1)
-    return told.where(F.col("__lang_pred") != UNKNOWN).select(
-        *(F.coalesce(c, "__lang_pred").alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns))
+    told = over_batches(rows, lambda: parser(known.value), f"`{pred}` string, `{score}` double", 1)
+    return told.where(F.col(pred) != UNKNOWN).select(
+        *(F.coalesce(F.col(f"`{c}`"), pred).alias(c) if c == lang_col else F.col(f"`{c}`") for c in docs.columns))
 
 
 def held_out(id_col: str = "doc_id"):
@@ -147,12 +155,13 @@ class SuffixAutomaton:
         return n + 1 if node else n
 
 
-_parsers: dict[int, Parser] = {}
+_parsers: dict[bytes, Parser] = {}
 
 
 def parser(model: dict[str, list[str]]) -> Parser:
-    """This worker's parser for the model; automata are built once a worker."""
-    key = hash(tuple((lang, len(w), *w[:50]) for lang, w in model.items()))
+    """This worker's parser for the model; automata are built once a worker.  Models
+    are told apart by a digest of all their labels and words."""
+    key = hashlib.sha256(json.dumps(list(model.items())).encode()).digest()
     if key not in _parsers:
         _parsers.clear()
         _parsers[key] = Parser(model)

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from cases import ODD
 
-from dockline.llm.language_id import SuffixAutomaton, accepted, identify, learn
+from dockline.llm.language_id import SuffixAutomaton, accepted, identify, learn, parser
 from dockline.llm.queries import QUERIES
 
 
@@ -91,3 +91,20 @@ def test_automata_are_small():
     size, _ = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert size < 60 * len(words) and a.phrases(words[100:200]) == 1
+
+
+def test_another_model_gets_its_own_automata():
+    words = [f"w{k}" for k in range(60)]
+    old = {"x": words + ["zebra"], "y": words + ["crane"]}
+    new = {"x": words + ["crane"], "y": words + ["zebra"]}
+    assert parser(old).predict("zebra")[0] == "x" and parser(new).predict("zebra")[0] == "y"
+    assert parser(new) is parser(dict(new))
+
+
+def test_accepted_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "the cat", None, "a", "b", "c.d"), (2, "...", "en", "a", "b", "e"), (3, None, "en", "", "", ""),
+                                  (1, "the cat", None, "a", "b", "c.d")],
+                                 "doc_id long, text string, lang string, arg string, told_lang string, `__score` string")
+    got = accepted(docs, {"en": ["the", "cat"], "fr": ["le", "chat"]})
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "the cat", "en", "a", "b", "c.d")] * 2
+    assert accepted(docs.limit(0), {"en": ["the"]}).count() == 0
