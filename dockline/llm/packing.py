@@ -104,6 +104,11 @@ class Encoder:
         return np.array(self.plain.encode_ordinary(text), "<u4").tobytes()
 
 
+#: A sequence's number: level, block and bin, from the highest bit on (128 levels,
+#: 2^36 blocks, 2^20 bins).
+LEVEL_BITS = 56
+
+
 def pack_lengths(items: DataFrame, capacity: int, block: int) -> DataFrame:
     """(row, sequence_id, offset) for (row, length) rows of distinct rows."""
     placed, level, n = None, 0, items.count()
@@ -133,7 +138,7 @@ def _pack_block(capacity: int, level: int, last: bool):
         by_length = defaultdict(list)
         for r, x in sorted(zip(rows, lengths), reverse=True):
             by_length[x].append(r)
-        first = level << 60 | int(part["block"].iloc[0]) << 20
+        first = level << LEVEL_BITS | int(part["block"].iloc[0]) << 20
         out = []
         for b, sizes in enumerate(bins):
             at = 0

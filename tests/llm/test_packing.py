@@ -3,12 +3,13 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from cases import ODD
 from tokenizers import Tokenizer
 
-from dockline.llm.packing import Encoder, best_fit, pack, read_ranks, search
+from dockline.llm.packing import Encoder, _pack_block, best_fit, pack, read_ranks, search
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -72,3 +73,9 @@ def test_local_search_keeps_all_pieces_and_never_adds_bins():
 def test_search_empties_a_bin_that_best_fit_leaves():
     # (7 3) (6 4): after 6 3 / 7 / 4 the swap makes two full bins
     assert sorted(map(sorted, search([[6, 3], [7], [4]], 10))) == [[3, 7], [4, 6]]
+
+
+def test_sequence_numbers_of_high_levels():
+    part = pd.DataFrame({"row": [1, 2], "length": [9, 8], "block": [(1 << 36) - 1] * 2})
+    numbers = [_pack_block(10, level, False)(part)["sequence_id"].tolist() for level in (0, 8, 127)]
+    assert len({n for level in numbers for n in level}) == 6 and all(0 <= n < 1 << 63 for level in numbers for n in level)
