@@ -10,6 +10,7 @@ occurrence counts.
 """
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -202,14 +203,40 @@ class Scanner:
         spans = []
         for k, found in by_template.items():
             label, text = self.templates[k]
-            run: list[tuple] = []
-            for m in found + [None]:
-                follows = (run and m and 0 <= m[0] - run[-1][1] <= MOST_GAP and 0 <= m[2] - run[-1][3] <= MOST_GAP)
-                if run and not follows:
-                    covered = sum(b - a for a, b, _, _ in run) / len(text)
-                    if covered >= COVERED:
-                        spans.append({"start": run[0][0], "end": run[-1][1], "label": label, "covered": min(1.0, covered)})
-                    run = []
-                if m:
-                    run.append(m)
+            spans += ({"start": start, "end": end, "label": label, "covered": n / len(text)}
+                      for start, end, n in chains(found) if n / len(text) >= COVERED)
         return sorted(spans, key=lambda s: (s["start"], s["end"], s["label"]))
+
+
+def chains(found: list[tuple]) -> list[tuple[int, int, int]]:
+    """Best chains of matches (start, end, place in the template, its end), by end: the
+    file words from and to, and how many template words are matched.
+
+    In a chain both the file and the template go on, by gaps of ``MOST_GAP`` words at
+    most.  A match that begins before the one ahead of it ends, in the file or in the
+    template, counts from there on.  The chain with most words is taken first, the
+    earliest of equals; those that would overlap a taken one in the file are not."""
+    best, ahead, first = [], [], []
+    for i, (start, end, place, stop) in enumerate(found):
+        n, link = end - start, -1
+        for j in range(i - 1, -1, -1):
+            _, end_j, _, stop_j = found[j]
+            if start - end_j > MOST_GAP:  # so are all before it
+                break
+            cut = max(0, end_j - start, stop_j - place)
+            if (cut < end - start and start + cut - end_j <= MOST_GAP and place + cut - stop_j <= MOST_GAP
+                    and best[j] + end - start - cut > n):
+                n, link = best[j] + end - start - cut, j
+        best.append(n)
+        ahead.append(link)
+        first.append(first[link] if link >= 0 else start)
+    taken: list[tuple[int, int, int]] = []
+    starts: list[int] = []
+    for i in sorted(range(len(found)), key=lambda i: (-best[i], i)):
+        start, end = first[i], found[i][1]
+        at = bisect_left(starts, end)  # taken ones are apart, so only the one before may overlap
+        if at and taken[at - 1][1] > start:
+            continue
+        starts.insert(at, start)
+        taken.insert(at, (start, end, best[i]))
+    return taken
