@@ -36,6 +36,9 @@ from dockline.llm.common import over_batches, ship, stored
 SAMPLE = 8
 BROADCAST_CHARS = 8_000_000
 CACHED = 512  # wrappers a worker keeps
+#: Elements nested deeper than this count as ones of that depth, as in browsers (which
+#: have a depth of 512), but for an article and an aside.
+DEEPEST = 300
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -58,6 +61,9 @@ ASIDE_WORDS = frozenset(
     "recommended notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup "
     "login form comment comments reply replies respond disqus share sharing social toolbar pagination pager "
     "search".split())
+#: Of these, words that articles use for parts of their own too, beside other words
+#: (post-header, long-form, search-engines).
+HINT_WORDS = frozenset("header form search menu banner alert social login".split())
 ARTICLE = frozenset({"article", "main"})
 
 
@@ -65,7 +71,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             sample: int = SAMPLE) -> DataFrame:
     """One row per page: id, url, text, n_chars.
 
-    Character references are decoded, white space inside a block becomes one
+    Tags may nest to any depth and pages be of any length; an empty table gives an
+    empty one.  Character references are decoded, white space inside a block becomes one
     space, blocks are joined by one space in page order.  A null or empty page,
     and a page without an article, has the empty text; a page without a host is
     read with the others that lack one; repeated rows read alike.  Other columns
@@ -111,7 +118,7 @@ TAG, OPTIONAL, REPEATED, PAGES, CHILDREN, CONSTANT, CHARS, LINKED = range(8)
 
 def tokens(page: str):
     """("open", tag, attributes), ("close", tag, "") and ("text", text, "")."""
-    lower, at, end = page.lower(), 0, len(page)
+    lower, at, end = lowered(page), 0, len(page)
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -133,12 +140,7 @@ def tokens(page: str):
             yield "text", "<", ""
             at = lt + 1
             continue
-        gt = page.find(">", name.end())
-        while gt >= 0 and page.count('"', name.end(), gt) % 2:  # a > inside a quoted value
-            quote = page.find('"', gt)
-            if quote < 0:
-                break
-            gt = page.find(">", quote)
+        gt = tag_end(page, name.end())
         if gt < 0:
             return  # a tag that the page breaks off in
         at = gt + 1
@@ -152,8 +154,24 @@ def tokens(page: str):
             at = end if stop < 0 else stop
 
 
+def lowered(page: str) -> str:
+    """The page with A-Z in lower case and every character in its place."""
+    return page.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
+def tag_end(page: str, at: int) -> int:
+    """Where the tag's ``>`` is, -1 if nowhere.  One inside a quoted value, which ends
+    at the next quote of its kind, isn't it; a value whose quote is never closed is
+    read as unquoted."""
+    while (m := VALUE_OR_END.search(page, at)) and m[1]:
+        closed = page.find(m[1], m.end())
+        at = closed + 1 if closed >= 0 else m.end()
+    return m.start() if m else -1
+
+
+VALUE_OR_END = re.compile(r"""=\s*(["'])|>""")
 NAME = re.compile(r"(/?)([a-z][^\s/>]*)")
-MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+MARKS = re.compile(r"""(?<![\w:-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
 def signature(tag: str, attributes: str) -> str:
@@ -167,8 +185,9 @@ def signature(tag: str, attributes: str) -> str:
 
 def blocks(page: str):
     """(path of open block elements, text, linked characters) of each text block."""
-    path: list[str] = []  # signatures
+    path: list[str] = []  # signatures, down to DEEPEST
     tags: list[str] = []
+    beyond: list[tuple[int, str]] = []  # below it: the article, the aside
     parts: list[str] = []
     linked, link = 0, 0
 
@@ -177,7 +196,12 @@ def blocks(page: str):
         text = " ".join(markup.unescape("".join(parts)).split())
         parts.clear()
         n, linked = linked, 0
-        return (tuple(path), text, n) if text else None
+        return ((*path, *(x for _, x in beyond)), text, n) if text else None
+
+    def close(k: int):
+        del tags[k:], path[k:]
+        while beyond and beyond[-1][0] >= k:
+            beyond.pop()
 
     for kind, x, attributes in tokens(page):
         if kind == "text":
@@ -202,21 +226,25 @@ def blocks(page: str):
             if "p" in tags and x not in RAW:
                 k = len(tags) - 1 - tags[::-1].index("p")
                 if all(t == "p" for t in tags[k:]):
-                    del tags[k:], path[k:]
+                    close(k)
             if x in CLOSES:
                 closed, holders = CLOSES[x]
                 for k in reversed(range(len(tags))):
                     if tags[k] in holders:
                         break
                     if tags[k] in closed:
-                        del tags[k:], path[k:]
+                        close(k)
                         if x not in ("tr",):
                             break
+            if len(path) < DEEPEST:
+                path.append(signature(x, attributes))
+            elif not any(map(aside, (s for _, s in beyond))):
+                s = signature(x, attributes)
+                if aside(s) or x in ARTICLE and not beyond:
+                    beyond.append((len(tags), s))
             tags.append(x)
-            path.append(signature(x, attributes))
         elif x in tags:
-            k = len(tags) - 1 - tags[::-1].index(x)
-            del tags[k:], path[k:]
+            close(len(tags) - 1 - tags[::-1].index(x))
     if (block := flush()) is not None:
         yield block
 
@@ -281,15 +309,38 @@ def repeated(node: list) -> list:
     return [*node[:2], 1, *node[3:]]
 
 
-def aside(tag: str) -> bool:
-    """Whether a signature says that the element isn't part of an article."""
+def aside(tag: str) -> int:
+    """Whether a signature says that the element isn't part of an article: 2 for sure, 1
+    if one of several words of a class or id hints at it, else 0."""
+    if tag not in _asides:
+        if len(_asides) > 100_000:
+            _asides.clear()
+        _asides[tag] = _aside(tag)
+    return _asides[tag]
+
+
+_asides: dict[str, int] = {}
+
+
+def _aside(tag: str) -> int:
     name, *marks = tag.split(" ")
     if name in ASIDE_TAGS:
-        return True
+        return 2
     if name in ("html", "body"):
-        return False
-    words = set(re.split(r"[^a-z]+", " ".join(marks)))
-    return not words.isdisjoint(ASIDE_WORDS) or "role" in words and not words.isdisjoint(ASIDE_ROLES)
+        return 0
+    found, role = 0, False
+    for mark in marks:
+        kind, eq, value = mark.partition("=")
+        if eq and kind in ("class", "id", "role"):
+            role = kind == "role"
+        else:
+            value = mark
+        words = set(re.split(r"[^a-z]+", value)) - {""}
+        if role and words & ASIDE_ROLES or words & (ASIDE_WORDS - HINT_WORDS) or words and words <= ASIDE_WORDS:
+            return 2
+        if words & HINT_WORDS:
+            found = 1
+    return found
 
 
 def slots(node: list, path: tuple = ()):
@@ -303,16 +354,20 @@ def slots(node: list, path: tuple = ()):
 def article_slots(wrapper: list) -> frozenset:
     """The paths whose text belongs to the article."""
     found = [(path, slot) for path, slot in slots(wrapper)]
+    pages = wrapper[PAGES]
     inside = []
     for path, slot in found:
         k = next((i for i, tag in enumerate(path)
                   if tag.split(" ")[0] in ARTICLE and not any(map(aside, path[:i]))), -1)
-        if k >= 0 and not any(map(aside, path[k:])):
+        if k < 0:
+            continue
+        doubt = max(map(aside, path[k:]))
+        # a mere hint decides only where the host's pages all have the same text
+        if doubt == 0 or doubt == 1 and (slot[CONSTANT] is None or pages < 3 or slot[PAGES] < 3):
             inside.append(path)
     if inside:
         return frozenset(inside)
     # no such element: the smallest one with most of the varying, unlinked text
-    pages = wrapper[PAGES]
     text = [(path, slot[CHARS]) for path, slot in found
             if not any(map(aside, path)) and 2 * slot[LINKED] <= slot[CHARS]
             and (slot[CONSTANT] is None or pages < 3 or slot[PAGES] < 3)]

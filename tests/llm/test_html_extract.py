@@ -67,3 +67,34 @@ def test_constants_of_a_host_are_not_its_article(spark):
 def test_wrapper_travels_as_json():
     tree = parse("<body><nav>n</nav><article><p>x</p></article></body>")
     assert article_slots(json.loads(json.dumps(tree))) == {("body", "article", "p")}
+
+
+def test_offsets_and_quotes():
+    turkish = "İ" * 10
+    assert read(f"<article><p>{turkish} one</p><p>two</p><SCRIPT>x</sCript><p>three</p></article>") == f"{turkish} one two three"
+    assert read("<article><p title='a>b' href=x>q</p><p data-x = 'it\"s > it' >r</p><p title=it's>s</p></article>") == "q r s"
+    assert read('<article><p title="a>b>one</p><p>two</p></article>') == "b>one two"  # a quote that is never closed
+    assert read('<article><p data-class="advert" x-id=\'menu\'>one</p><KK>two</article>') == "one two"
+
+
+def test_words_of_the_article_own_parts():
+    assert read('<article><div class="post-header"><h1>T</h1></div><p class="long-form">a</p><section id="search-engines">'
+                '<p class="form-factor">b</p></section><div class="search">no</div><div class="search-form">no</div>'
+                '<div class="advert-box">no</div></article>') == "T a b"
+
+
+def test_a_hint_decides_where_the_pages_agree(spark):
+    page = ('<article><div class="contact-form"><p>Name and address</p></div><div class="post-header"><p>Title {0}</p></div>'
+            '<p>text {0}</p></article>')
+    rows = [(k, "http://h.example/x", page.format(f"number {k}")) for k in range(5)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Title number {k} text number {k}" for k in range(5)}
+
+
+def test_deep_pages(spark):
+    deep = "<div>" * 5000
+    assert read(f"<article>{deep}<p>one</p><nav>no<p>no</p></nav><p>two</p>" + "</div>" * 5000 + "<p>three") == "one two three"
+    assert read(f"{deep}<nav>no</nav><article><p>one</p><aside><p>no</p></aside></article>") == "one"
+    rows = [(k, "http://h.example/x", f"<article>{deep}<p>page {k}</p>{'<nav>n</nav></div>' * 5000}") for k in range(3)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"page {k}" for k in range(3)}
