@@ -1,6 +1,6 @@
 """Main text of web pages by union-free wrapper inference.
 
-The pages of a host come from few templates.  From ``SAMPLE`` pages of each host
+The pages of a host come from few templates.  From all pages of each host
 a wrapper is inferred: each page becomes a tree of tags (with class and id) in
 which siblings with the same tag are one, and the trees are aligned tag by tag,
 one after the other with what was found so far.
@@ -12,28 +12,36 @@ path of tags that leads to it.
 The slots of the article are found on the wrapper: those below ``article`` or
 ``main``, or else below the smallest element that holds most of the host's
 varying text; menus, headers, footers, sidebars, notices, adverts, forms and
-comments are left out by their tags, roles, classes and ids.  So where a host has
-``article`` or ``main``, that filter decides and not what the pages differ in; the
-marks of optional and repeated groups aren't read.  A page is read
-through its host's wrapper; a page with paths that the wrapper lacks is aligned
-with it first.
-
-What is shuffled for inference is the sample.  Wrappers are broadcast if they
+comments are left out by their tags, roles, classes and ids.  A class or id of
+several words that only hints at one of those leaves an element out if its text is
+the same on all of the host's pages (three at least).  The marks of optional and
+repeated groups aren't read.  A page is read through its host's wrapper; a page with
+paths that the wrapper lacks is aligned with it first.
+
+Wrappers add up: each task folds its pages into one wrapper a host, and what is
+shuffled are those, merged in two steps so that a host with very many pages isn't one
+task's work.  A host's wrapper keeps the paths that three different pages have; what
+fewer pages have decides nothing (see ``common``).  Wrappers are broadcast if they
 have ``BROADCAST_CHARS`` or fewer in all, else joined by host.
 """
 from __future__ import annotations
 
+import hashlib
 import html as markup
 import json
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dockline.llm.common import over_batches, ship, stored
+from dockline.llm.common import over_batches, ship, slices, stored
 
-SAMPLE = 8
+FOLD_CHARS = 32_000_000  # characters of pages that are folded before wrappers are handed on
+SALTS = 256  # parts of a host's wrappers in the first step of merging
+DIFFERENT = 3  # pages that a text must be on to count as the host's
 BROADCAST_CHARS = 8_000_000
 CACHED = 512  # wrappers a worker keeps
 #: Elements nested deeper than this count as ones of that depth, as in browsers (which
@@ -67,8 +75,7 @@ HINT_WORDS = frozenset("header form search menu banner alert social login".split
 ARTICLE = frozenset({"article", "main"})
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            sample: int = SAMPLE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars.
 
     Tags may nest to any depth and pages be of any length; an empty table gives an
@@ -80,7 +87,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     rows = pages.select(F.col(html_col).cast("string").alias("html"), F.col(id_col).alias("id"),
                         F.col(url_col).alias("url"), host_of(F.col(url_col).cast("string")).alias("host"))
-    learned = stored(wrappers(rows, sample))
+    learned = stored(wrappers(rows))
     size = learned.agg(F.sum(F.length("wrapper"))).first()[0] or 0
     joined = rows.join(F.broadcast(learned) if size <= BROADCAST_CHARS else learned, "host", "left")
     args = joined.select("html", "host", "wrapper", "id", "url")
@@ -93,25 +100,72 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(rows: DataFrame, sample: int) -> DataFrame:
-    """(host, wrapper as JSON), from ``sample`` distinct pages of each host."""
+def wrappers(rows: DataFrame) -> DataFrame:
+    """(host, wrapper as JSON), from all pages of each host."""
     ship(rows.sparkSession)
-    order = Window.partitionBy("host").orderBy("draw")
-    drawn = (rows.where(F.length("html") > 0).select("host", "html", F.xxhash64("html").alias("draw"))
-             .withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).drop("n"))
 
-    def infer(part: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[str, list] = {}
+        seen: set[tuple[str, int]] = set()  # copies add nothing
+        folded = 0
+        for b in batches:
+            for part in slices(iter([b])):
+                for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    folded += len(page)
+                    if (known := (host, digest(page))) not in seen:
+                        seen.add(known)
+                        tree = parse(page)
+                        trees[host] = align(trees[host], tree) if host in trees else tree
+                if folded > FOLD_CHARS:
+                    yield handed_on(trees)
+                    trees, seen, folded = {}, set(), 0
+        if trees:
+            yield handed_on(trees)
+
+    def merge(part: pd.DataFrame, last: bool) -> list:
         found = None
-        for page in part.sort_values("draw").drop_duplicates("draw")["html"]:
-            tree = parse(page)
+        for text in part.sort_values("wrapper")["wrapper"]:
+            tree = json.loads(text)
             found = tree if found is None else align(found, tree)
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "wrapper": [json.dumps(found)]})
+        return [common(found) if last else found]
+
+    def some(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": part["host"].iloc[:1], "wrapper": [json.dumps(t) for t in merge(part, False)]})
+
+    def whole(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"host": part["host"].iloc[:1], "wrapper": [json.dumps(t) for t in merge(part, True)]})
+
+    folded = rows.where(F.length("html") > 0).select("host", "html").mapInArrow(
+        fold, "host string, salt int, wrapper string")
+    return (folded.groupBy("host", "salt").applyInPandas(some, "host string, wrapper string")
+            .groupBy("host").applyInPandas(whole, "host string, wrapper string"))
+
+
+def handed_on(trees: dict[str, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array(list(trees), pa.string()), pa.array([t[PAGES][0] % SALTS for t in trees.values()], pa.int32()),
+        pa.array([json.dumps(t) for t in trees.values()], pa.string())], ["host", "salt", "wrapper"])
 
-    return drawn.groupBy("host").applyInPandas(infer, "host string, wrapper string")
+
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=7).digest())
+
+
+def common(wrapper: list) -> list:
+    """The wrapper with the slots that ``DIFFERENT`` pages have.  A slot of fewer pages
+    is read like one that varies, whatever it holds, and a page that has it is aligned
+    with the wrapper when it is read; so a host with ever new classes has no ever
+    growing wrapper."""
+    out = [*wrapper[:PAGES], list(range(len(wrapper[PAGES]))), [], *wrapper[CHILDREN + 1:]]
+    for c in wrapper[CHILDREN]:
+        c = common(c)
+        if c[CHILDREN] or c[TAG] == TEXT and len(c[PAGES]) >= DIFFERENT:
+            out[CHILDREN].append(c)
+    return out
 
 
 # A wrapper (and a page) is a tree of lists:
-# [tag, optional, repeated, pages, children] and, for text, [TEXT, optional, repeated, pages, [], constant, chars, link chars]
+# [tag, optional, repeated, pages (digests of up to DIFFERENT ones), children] and, for text, [TEXT, optional, repeated, pages, [], constant, chars, link chars]
 TEXT = "#"
 TAG, OPTIONAL, REPEATED, PAGES, CHILDREN, CONSTANT, CHARS, LINKED = range(8)
 
@@ -251,16 +305,18 @@ def blocks(page: str):
 
 def parse(page: str) -> list:
     """The page as a tree in which what recurs among siblings is one repeated group."""
-    root = ["", 0, 0, 1, []]
+    here = [digest(page)]
+    root = ["", 0, 0, here, []]
     for path, text, linked in blocks(page):
         node = root
         for tag in path:
-            node = child(node, tag, lambda tag=tag: [tag, 0, 0, 1, []])
+            node = child(node, tag, lambda tag=tag: [tag, 0, 0, here, []])
         known = next((c for c in node[CHILDREN] if c[TAG] == TEXT), None)
         if known is None:
-            node[CHILDREN].append([TEXT, 0, 0, 1, [], text if len(text) < 200 else None, len(text), linked])
-        else:  # the place recurs: a repeated group around a slot
-            known[REPEATED], known[CONSTANT] = 1, None
+            constant = text if len(text) <= 16 else digest(text)
+            node[CHILDREN].append([TEXT, 0, 0, here, [], constant, len(text), linked])
+        else:  # the place recurs: a repeated group, constant if all of its texts are
+            known[REPEATED], known[CONSTANT] = 1, digest(f"{known[CONSTANT]}\n{text}")
             known[CHARS] += len(text)
             known[LINKED] += linked
     return root
@@ -278,7 +334,9 @@ def align(a: list, b: list) -> list:
     """Two streams with the same outer tag as one: siblings are matched by
     their tag, what only one side has becomes optional, texts
     that differ become a slot."""
-    out = [a[TAG], a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], a[PAGES] + b[PAGES], []]
+    out = [a[TAG], a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], a[PAGES], []]
+    if a[PAGES] != b[PAGES] and len(a[PAGES]) < DIFFERENT:
+        out[PAGES] = sorted({*a[PAGES], *b[PAGES]})[:DIFFERENT]
     if a[TAG] == TEXT:
         same = a[CONSTANT] == b[CONSTANT]
         return [*out, a[CONSTANT] if same else None, a[CHARS] + b[CHARS], a[LINKED] + b[LINKED]]
@@ -351,10 +409,14 @@ def slots(node: list, path: tuple = ()):
             yield from slots(c, (*path, c[TAG]))
 
 
+def varies(slot: list) -> bool:
+    """Whether nothing says that the slot's text is the host's own."""
+    return slot[CONSTANT] is None or len(slot[PAGES]) < DIFFERENT
+
+
 def article_slots(wrapper: list) -> frozenset:
     """The paths whose text belongs to the article."""
     found = [(path, slot) for path, slot in slots(wrapper)]
-    pages = wrapper[PAGES]
     inside = []
     for path, slot in found:
         k = next((i for i, tag in enumerate(path)
@@ -363,14 +425,14 @@ def article_slots(wrapper: list) -> frozenset:
             continue
         doubt = max(map(aside, path[k:]))
         # a mere hint decides only where the host's pages all have the same text
-        if doubt == 0 or doubt == 1 and (slot[CONSTANT] is None or pages < 3 or slot[PAGES] < 3):
+        if doubt == 0 or doubt == 1 and varies(slot):
             inside.append(path)
     if inside:
         return frozenset(inside)
     # no such element: the smallest one with most of the varying, unlinked text
     text = [(path, slot[CHARS]) for path, slot in found
             if not any(map(aside, path)) and 2 * slot[LINKED] <= slot[CHARS]
-            and (slot[CONSTANT] is None or pages < 3 or slot[PAGES] < 3)]
+            and varies(slot)]
     root: tuple = ()
     while True:
         here = [(p, n) for p, n in text if p[:len(root)] == root]
@@ -398,7 +460,7 @@ class Reader:
         if host not in self.known:
             if len(self.known) >= CACHED:
                 self.known.clear()
-            tree = json.loads(learned) if learned else ["", 0, 0, 0, []]
+            tree = json.loads(learned) if learned else ["", 0, 0, [], []]
             self.known[host] = tree, frozenset(p for p, _ in slots(tree)), article_slots(tree)
         return self.known[host]
 

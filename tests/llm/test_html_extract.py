@@ -4,7 +4,7 @@ import re
 
 import duckdb
 
-from dockline.llm.html_extract import Reader, align, article_slots, extract, parse
+from dockline.llm.html_extract import Reader, align, article_slots, extract, parse, slots
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -98,3 +98,53 @@ def test_deep_pages(spark):
     rows = [(k, "http://h.example/x", f"<article>{deep}<p>page {k}</p>{'<nav>n</nav></div>' * 5000}") for k in range(3)]
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k: f"page {k}" for k in range(3)}
+
+
+def test_three_templates_with_unmarked_boilerplate(spark):
+    """The rarest template, seen on three pages among many, has its boilerplate left out too."""
+    templates = ["<body><table><tr><td>Home and more links here</td></tr></table><div><p>{}</p></div></body>",
+                 "<body><ul><li>All our offices in the world<li>write to us</ul><section><p>{}</p></section></body>",
+                 "<body><dl><dd>A standing line of the third kind</dl><blockquote><p>{}</p></blockquote></body>"]
+    rows = [(k, "https://h.example/x", templates[2 if k % 40 == 7 else k % 2].format(f"article {k} has its own words in it"))
+            for k in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    assert got == {k: f"article {k} has its own words in it" for k in range(120)}
+    copies = spark.createDataFrame([(k, "https://c.example/x", templates[0].format("one and the same")) for k in range(9)],
+                                   "page_id long, url string, html string").repartition(5)
+    assert {r.text for r in extract(copies).collect()} == {"Home and more links here one and the same"}  # one page, nine times
+
+
+def test_wrappers_add_up_in_any_order():
+    pages = [f"<body><p>same</p><div class=c{'x' * (k % 4)}><b>v</b>{k}</div><ul>{'<li>i' * (k % 3)}</ul></body>" for k in range(12)]
+    trees = [parse(p) for p in pages]
+
+    def fold(order):
+        out = order[0]
+        for t in order[1:]:
+            out = align(out, t)
+        return {path: (len(slot[3]), slot[5]) for path, slot in slots(out)}
+    one = fold(trees)
+    assert fold(trees[::-1]) == one == fold(trees + trees)
+    halves = [trees[:5], trees[5:]]
+    parts = []
+    for h in halves:
+        out = h[0]
+        for t in h[1:]:
+            out = align(out, t)
+        parts.append(out)
+    assert fold(parts) == fold(parts[::-1]) == one
+
+
+def test_handed_on_wrappers():
+    from dockline.llm import html_extract
+    page = "<body><table><tr><td>Home and more links here</td></tr></table><div><p>{}</p></div></body>"
+    folds = [[parse(page.format(f"text {k}"))] for k in range(10)]
+    batch = html_extract.handed_on({str(k): f[0] for k, f in enumerate(folds)})
+    assert batch.num_rows == 10 and all(0 <= s < html_extract.SALTS for s in batch.column(1).to_pylist())
+    tree = folds[0][0]
+    for f in folds[1:]:
+        tree = align(tree, json.loads(json.dumps(f[0])))
+    kept = html_extract.common(tree)
+    assert article_slots(kept) == {("body", "div", "p")} and len(list(slots(kept))) == 2
+    assert html_extract.common(parse(page))[4] == []  # one page is no host
