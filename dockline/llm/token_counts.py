@@ -4,7 +4,8 @@ The vocabulary's pieces make a trie with two roots: pieces that start a word and
 pieces that go on.  A node's failure link leads to where matching goes on once
 the longest pieces of the node's string are taken off, and the node holds how
 many pieces that takes off.  Each character so costs constant time on average,
-and the count comes without building the pieces.
+and the count comes without building the pieces.  If the mark itself is a piece,
+a word that no other piece starts has it as its first token.
 """
 from __future__ import annotations
 
@@ -25,10 +26,12 @@ def token_counts(docs: DataFrame, pieces: list[str], id_col: str = "doc_id", tex
     """One row per document: id, n_words, n_tokens, n_unknown.
 
     Words are what white space parts.  A word's tokens: the longest piece that
-    starts it, then the longest piece that goes on, and so on; a word for which
-    that ends without a piece is one unknown token.  A null or empty text has no
-    words.  ``pieces``: the vocabulary (what travels to the tasks); those that
-    start a word begin with ``mark``.  Other columns are not read.
+    starts it (``mark`` alone, if it is a piece and no longer one does), then the
+    longest piece that goes on, and so on; a word for which that ends without a
+    piece is one unknown token.  A null or empty text has no words; repeated rows
+    give a row each; an empty table gives none.  ``pieces``: the vocabulary (what
+    travels to the tasks); those that start a word begin with ``mark``.  Other
+    columns are not read.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(pieces)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
@@ -53,7 +56,7 @@ class Automaton:
         for piece in pieces:
             starts = piece.startswith(mark)
             node, text = (self.START, piece[len(mark):]) if starts else (self.GO_ON, piece)
-            if not text:
+            if not text and not starts:
                 continue
             for c in text:
                 if c not in self.next[node]:
@@ -64,6 +67,8 @@ class Automaton:
             ends[node] = True
         #: Where to go on (-1: nowhere), and after how many pieces.
         self.fail, self.popped = [-1] * len(self.next), [0] * len(self.next)
+        if ends[self.START]:  # the bare mark: a token without a character
+            self.fail[self.START], self.popped[self.START] = self.GO_ON, 1
         queue = deque([self.START, self.GO_ON])
         while queue:
             node = queue.popleft()
