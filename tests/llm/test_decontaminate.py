@@ -48,9 +48,9 @@ def test_against_brute_force_in_one_and_in_many_blocks(spark):
     docs, bench = tables()
     d, b = docs_of(spark, docs), spark.createDataFrame(bench, "item_id long, text string")
     for chars in (10_000, 60):
-        got = contamination(decontaminate(d, b, block_chars=chars)).collect()
+        got = contamination(decontaminate(d, b, block_bytes=chars)).collect()
         assert sorted(map(tuple, got), key=str) == brute(docs, bench)
-        left = uncontaminated(d, b, block_chars=chars)
+        left = uncontaminated(d, b, block_bytes=chars)
         assert left.columns == d.columns
         assert sorted((r.doc_id, r.text) for r in left.collect() if r.doc_id) == sorted(
             (i, t) for (i, t), r in zip(docs, [brute([x], bench)[0] for x in docs]) if i and not r[5])
