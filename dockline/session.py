@@ -55,11 +55,13 @@ def wide_projections(spark: SparkSession):
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the configured ``spark.checkpoint.dir``; set a scratch one only if unset
-    (tests / local runs)."""
+    in a local session.  On a cluster executors couldn't reach it: an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return sc.getCheckpointDir()
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not conf:
         conf = tempfile.mkdtemp(prefix="dockline-ckpt-")
     sc.setCheckpointDir(conf)
