@@ -8,8 +8,8 @@ differ in is a variable field, and the rest open the next template, until no
 line is left: ``TEMPLATES`` rounds over all leaves, then what is left of each leaf
 in one task, where a line is held only against templates that it shares a band
 of tokens with.  A leaf with more than ``GROUP`` lines left is first split by those
-bands, and again, until no part is larger; what its parts group together is then
-one template.
+bands, and again, until no part is larger; rounds over its parts then find the same
+templates as one task would, so that nothing depends on ``GROUP``.
 
 A template recurs if it is found in ``LEAST`` documents or more that are
 otherwise different.  Copies of one document share all their lines and would
@@ -28,6 +28,7 @@ that is broadcast, and pass 2 sends on only lines of such leaves.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from operator import eq
 
 import pandas as pd
@@ -245,32 +246,38 @@ def templates(lines: DataFrame, similar: float, n: int, rounds: int = TEMPLATES,
 
 
 def parts_of_leaves(left: DataFrame, similar: float, n: int, group: int) -> DataFrame:
-    """(leaf, sig, template) of lines that the rounds left.
+    """(leaf, sig, template) of lines that the rounds left.  Leaves of ``group`` lines or
+    fewer are one task's work each; the others get the same templates by ``first_openers``."""
+    sizes = left.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines"))
+    large = stored(sizes.where(F.col("lines") > group).select("leaf"), n)
+    small = left.join(large, "leaf", "left_anti").withColumn("part", F.col("leaf"))
+    whole = by_opener(small, similar).select("leaf", "sig", F.col("opener").alias("template"))
+    if not large.limit(1).count():
+        return whole
+    held = stored(left.join(large, "leaf").select("leaf", "sig", "tokens"), n)
+    return whole.unionAll(first_openers(held, *parts(held, similar, n, group), similar))
+
 
-    A part is a leaf at first.  One of ``group`` lines or fewer is one task's work.
-    In a larger one, two lines that agree differ in ``miss`` places at most: if it
-    has no more places with different tokens, all its lines agree; else it is split
-    by each of ``miss + 1`` bands of those places, one of which is the same in two
-    lines that agree.  Each split fixes a place, so this ends.
+def parts(lines: DataFrame, similar: float, n: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """(leaf, part, sig, tokens) of parts of ``group`` lines or fewer, and (leaf, part, sig)
+    of parts all of whose lines agree.  Two lines that agree are in one of them together.
+
+    A part is a leaf at first.  In one that is too large, two lines that agree differ in
+    ``miss`` places at most: if it has no more places with different tokens, all its lines
+    agree; else it is split by each of ``miss + 1`` bands of those places, one of which is
+    the same in two lines that agree.  Each split fixes a place, so this ends.
     """
-    rows, whole, links, splits = left.withColumn("part", F.col("leaf")), None, None, 0
+    rows, members, alikes = lines.withColumn("part", F.col("leaf")), [], []
     size = F.size("t")
     miss = F.floor(size * (1 - similar) + 1e-9).cast("int")
     while True:
         sizes = stored(rows.groupBy("leaf", "part").agg(
-            F.count(F.lit(1)).alias("lines"), F.min("sig").alias("opener"),
-            F.min_by("tokens", "sig").alias("opened")).where("lines > 1" if splits else "lines > 0"), n)
+            F.count(F.lit(1)).alias("lines"), F.min_by("tokens", "sig").alias("opened")).where("lines > 1"), n)
         small = sizes.where(F.col("lines") <= group).select("leaf", "part")
-        opened = stored(by_opener(rows.join(small, ["leaf", "part"]), similar))
-        if whole is None:
-            whole = opened.select("leaf", "sig", F.col("opener").alias("template"))
-            links = opened.limit(0)
-        else:
-            links = links.unionAll(opened)
+        members.append(rows.join(small, ["leaf", "part"]).select("leaf", "part", "sig", "tokens"))
         large = sizes.where(F.col("lines") > group).drop("lines")
         if not large.limit(1).count():
             break
-        splits += 1
         held = stored(rows.join(large, ["leaf", "part"]).withColumn("t", F.split("tokens", " ")))
         other = F.split("opened", " ")
         places = held.select("leaf", "part", F.explode(F.filter(
@@ -278,16 +285,68 @@ def parts_of_leaves(left: DataFrame, similar: float, n: int, group: int) -> Data
         places = places.distinct().groupBy("leaf", "part").agg(F.sort_array(F.collect_list("place")).alias("places"))
         held = held.join(places, ["leaf", "part"])
         alike = F.size("places") <= miss
-        links = links.unionAll(held.where(alike).select("leaf", "part", "sig", "opener"))
+        alikes.append(held.where(alike).select("leaf", "part", "sig"))
         banded = held.where(~alike).select(
             "leaf", "part", "sig", "tokens", "t", "places", F.explode(F.sequence(F.lit(0), miss)).alias("band"))
         mine = F.transform(F.filter("places", lambda p, k: k % (miss + 1) == F.col("band")), lambda p: F.get("t", p))
         rows = stored(banded.select("leaf", "sig", "tokens", F.xxhash64("part", "band", mine).alias("part")))
-    if not splits:
-        return whole
-    split = left.join(whole, ["leaf", "sig"], "left_anti").select("leaf", "sig")
-    return whole.unionAll(split.join(least_labels(links), ["leaf", "sig"], "left").select(
-        "leaf", "sig", F.coalesce("label", "sig").alias("template")))
+    empty = lines.select("leaf", F.col("leaf").alias("part"), "sig").limit(0)
+    return stored(reduce(DataFrame.unionAll, members)), stored(reduce(DataFrame.unionAll, alikes, empty))
+
+
+WAITS, OPENS, JOINS = range(3)
+
+
+def first_openers(lines: DataFrame, members: DataFrame, alike: DataFrame, similar: float) -> DataFrame:
+    """(leaf, sig, template) as one task would find them that takes a whole leaf line by
+    line: a line joins the first opener that it agrees with, or opens a template.
+
+    It opens one if no line before it that it agrees with does.  So in every round those
+    open that agree with no line before them that still waits, and those join that agree
+    with an opener.  Lines are in the order of a hash, so the rounds are few (in
+    proportion to the logarithm of a leaf's lines)."""
+    state = stored(lines.select("leaf", "sig", F.lit(WAITS).alias("state")))
+    while state.where(F.col("state") == WAITS).limit(1).count():
+        told = seen_in_parts(members, alike, state, similar, False).groupBy("leaf", "sig").agg(
+            F.min("opener").alias("opener"), F.max("blocked").alias("blocked"))
+        now = F.when(F.col("state") != WAITS, F.col("state")).when(F.col("opener").isNotNull(), F.lit(JOINS)) \
+            .when(F.coalesce("blocked", F.lit(False)), F.lit(WAITS)).otherwise(F.lit(OPENS))
+        state = stored(state.join(told, ["leaf", "sig"], "left").select("leaf", "sig", now.alias("state")))
+    first = seen_in_parts(members, alike, state, similar, True).groupBy("leaf", "sig").agg(F.min("opener").alias("opener"))
+    return state.join(first, ["leaf", "sig"], "left").select(
+        "leaf", "sig", F.when(F.col("state") == OPENS, F.col("sig")).otherwise(F.col("opener")).alias("template"))
+
+
+def seen_in_parts(members: DataFrame, alike: DataFrame, state: DataFrame, similar: float, last: bool) -> DataFrame:
+    """(leaf, sig, opener, blocked) of the waiting lines (``last``: the joined ones) by
+    part: the first opener before each that it agrees with, and whether, without one, it
+    agrees with a line before it that waits."""
+    asks = JOINS if last else WAITS
+    ship(members.sparkSession)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("sig")
+        states = part["state"].tolist()
+        found = []
+        if asks in states:
+            found = openers_before([x.split(" ") for x in part["tokens"]], states, asks, similar)
+        sigs = part["sig"].to_numpy()
+        at = [k for k, _, _ in found]
+        return pd.DataFrame({"leaf": part["leaf"].to_numpy()[at], "sig": sigs[at],
+                             "opener": pd.array([None if o is None else sigs[o] for _, o, _ in found], dtype="Int64"),
+                             "blocked": [b for *_, b in found]})
+
+    of_interest = state.where(F.col("state").isin(asks, OPENS))
+    kind = "leaf long, sig long, opener long, blocked boolean"
+    in_members = members.join(of_interest, ["leaf", "sig"]).groupBy("leaf", "part").applyInPandas(run, kind)
+    placed = alike.join(of_interest, ["leaf", "sig"])
+    least = placed.groupBy("leaf", "part").agg(
+        F.min(F.when(F.col("state") == OPENS, F.col("sig"))).alias("opens"),
+        F.min(F.when(F.col("state") == WAITS, F.col("sig"))).alias("waits"))
+    in_alike = placed.where(F.col("state") == asks).join(least, ["leaf", "part"]).select(
+        "leaf", "sig", F.when(F.col("opens") < F.col("sig"), F.col("opens")).alias("opener"),
+        F.coalesce(F.col("waits") < F.col("sig"), F.lit(False)).alias("blocked"))
+    return in_members.unionAll(in_alike)
 
 
 def by_opener(rows: DataFrame, similar: float) -> DataFrame:
@@ -304,33 +363,51 @@ def by_opener(rows: DataFrame, similar: float) -> DataFrame:
     return rows.groupBy("leaf", "part").applyInPandas(run, "leaf long, part long, sig long, opener long")
 
 
-def least_labels(links: DataFrame) -> DataFrame:
-    """(leaf, sig, label): the least line reached over openers in common."""
-    nodes = links.withColumn("label", F.col("sig"))
-    while True:
-        nodes = stored(nodes)
-        least = nodes.groupBy("leaf", "part", "opener").agg(F.min("label").alias("to"))
-        told = stored(nodes.join(least, ["leaf", "part", "opener"]).groupBy("leaf", "sig").agg(
-            F.any_value("label").alias("label"), F.min("to").alias("to")))
-        if not told.where(F.col("to") < F.col("label")).limit(1).count():
-            return told.select("leaf", "sig", "label")
-        nodes = nodes.drop("label").join(told.select("leaf", "sig", F.col("to").alias("label")), ["leaf", "sig"])
+def bands_of(lines: list[list[str]], similar: float) -> list[list[int]]:
+    """Lines of ``n`` tokens that agree differ in ``miss`` of them at most, so of
+    ``miss + 1`` bands of the places in which any differ one is the same."""
+    n = len(lines[0])
+    miss = max(m for m in range(n + 1) if n - m >= similar * n)
+    differ = [i for i in range(n) if len({x[i] for x in lines}) > 1]
+    return [differ[b::miss + 1] for b in range(miss + 1)]
+
+
+def openers_before(lines: list[list[str]], states: list[int], asks: int, similar: float):
+    """(place, place of the first opener before it that it agrees with or None, whether
+    without one it agrees with a line before it that waits) of each line that asks."""
+    bands = bands_of(lines, similar)
+    known: dict[int, dict[tuple, list[int]]] = {OPENS: {}, WAITS: {}}
+
+    def first(x: list[str], keys: list[tuple], kind: int) -> int | None:
+        near = sorted({o for key in keys for o in known[kind].get(key, ())})
+        return next((o for o in near if sum(map(eq, x, lines[o])) >= similar * len(x)), None)
+
+    out = []
+    for k, x in enumerate(lines):
+        keys = [(b, *(x[i] for i in band)) for b, band in enumerate(bands)]
+        kind = states[k]
+        if kind == asks:
+            opener = first(x, keys, OPENS)
+            blocked = opener is None and first(x, keys, WAITS) is not None
+            out.append((k, opener, blocked))
+            if opener is not None:
+                continue
+        if kind in known:
+            for key in keys:
+                known[kind].setdefault(key, []).append(k)
+    return out
 
 
 def opened_by(lines: list[list[str]], similar: float) -> list[int]:
     """The place of the line that opened each line's template: the first one that
-    it agrees with of those that opened one.  Lines of ``n`` tokens that agree
-    differ in ``miss`` of them at most, so of ``miss + 1`` bands one is the same."""
-    n = len(lines[0])
-    miss = max(m for m in range(n + 1) if n - m >= similar * n)
-    differ = [i for i in range(n) if len({x[i] for x in lines}) > 1]
-    bands = [differ[b::miss + 1] for b in range(miss + 1)]
+    it agrees with of those that opened one."""
+    bands = bands_of(lines, similar)
     known: dict[tuple, list[int]] = {}
     out = []
     for k, x in enumerate(lines):
         keys = [(b, *(x[i] for i in band)) for b, band in enumerate(bands)]
         near = sorted({o for key in keys for o in known.get(key, ())})
-        found = next((o for o in near if sum(map(eq, x, lines[o])) >= similar * n), k)
+        found = next((o for o in near if sum(map(eq, x, lines[o])) >= similar * len(x)), k)
         if found == k:
             for key in keys:
                 known.setdefault(key, []).append(k)

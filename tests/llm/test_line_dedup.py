@@ -158,3 +158,29 @@ def test_lines_that_agree_in_all_but_a_few_places_need_no_task(spark):
     lines = hot_leaf(spark, 1, 300).where("kind = 0")
     got = line_dedup.parts_of_leaves(lines.select("leaf", "sig", "tokens"), 0.8, 300, 10).collect()
     assert len(got) == 300 and len({r.template for r in got}) == 1
+
+
+def greedy(lines):
+    """Template by line: the first line, by number, that opened one and agrees in 0.8 of the tokens."""
+    opened, out = [], {}
+    for sig, tokens in sorted(lines):
+        x = tokens.split(" ")
+        out[sig] = next((o for o, y in opened if sum(a == b for a, b in zip(x, y)) >= 0.8 * len(x)), sig)
+        if out[sig] == sig:
+            opened.append((sig, x))
+    return out
+
+
+def test_templates_do_not_depend_on_the_size_of_a_part(spark):
+    # chains of lines: many agree with several that don't agree with each other
+    lines = []
+    for k in range(300):
+        x = signed(f"line {k}")
+        tokens = " ".join(["we", "all", "know", "that", *("abcd"[x >> 3 * i & 3 if i % 3 else x >> 3 * i & 1] for i in range(8))])
+        lines.append((signed(tokens), tokens))
+    lines = list(dict.fromkeys(lines))
+    want = greedy(lines)
+    assert 10 < len(set(want.values())) < len(lines) - 10
+    df = spark.createDataFrame([(1, *x) for x in lines], "leaf long, sig long, tokens string")
+    for group in (10_000, 20):
+        assert {r.sig: r.template for r in line_dedup.parts_of_leaves(df, 0.8, len(lines), group).collect()} == want
