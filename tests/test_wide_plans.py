@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from dockline.functions.text import WHITESPACE, once, ustrip
 from dockline.operators import reports
 from dockline.operators.classify import classify
-from dockline.operators.clean import dedup_orders, typed_export
+from dockline.functions.dates import parse_date
+from dockline.operators.clean import dedup_orders, typed_export, typed_for_orders
 from dockline.operators.enrich import enrich
+from dockline.plans import queries
 from dockline.plans.pipeline import process_export
 from dockline.session import tune_for_wide_projections, wide_projections, wide_settings
 
@@ -57,3 +59,41 @@ def test_rows_without_any_text_are_dropped(spark):
     rows = [order(1), blank, blank | {"cases": "2"}, dict.fromkeys(blank)]
     res = process_export(raw_export(spark, rows), AS_OF, RULES, materialize="persist")
     assert res.typed.count() == 2
+
+
+def test_orders_are_made_without_storing_the_typed_rows(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(queries, "cut_lineage", lambda df: stored.append(df) or df.persist())
+    orders = queries.fixture_orders(spark, "/root/testdata/sf0.001")
+    assert orders.count() > 0 and len(stored) == 1
+
+
+@pytest.mark.parametrize("percents", [["0.5", "1", None, "x"], ["0.5", "1.5", "-3", "250"], ["0", " ", None, "-0.2"]])
+def test_typed_rows_are_the_same_stored_or_not(spark, percents):
+    cells = [order(k % 3, picking_in_pct=p, cases=str(k)) for k, p in enumerate(percents)]
+    blank = dict.fromkeys(order(0), " ")
+    raw = raw_export(spark, [*cells, blank, order(9, le_delivery=" ", picking_in_pct="0.25"), order(9, le_delivery=None)])
+    both = [typed_export(raw, lambda rows: rows.persist()), typed_for_orders(raw)]
+    assert both[0].columns == both[1].columns
+    for make in (lambda t: t, dedup_orders):
+        first, second = (sorted(str(r) for r in make(t).collect()) for t in both)
+        assert first == second and len(first) == (6 if make is not dedup_orders else 3)
+
+
+def test_percents_of_exports_with_and_without_fractions(spark):
+    def export(name, *percents):
+        rows = [order(k, picking_in_pct=p) for k, p in enumerate(percents)]
+        return raw_export(spark, rows).withColumn("export_id", F.lit(name))
+    raw = export("a", "0.5", "1").unionByName(export("b", "0.5", "100")).unionByName(export("c", None, "0"))
+    got = {(r["export_id"], r["le_delivery"]): r["picking_in_pct"] for r in dedup_orders(typed_for_orders(raw)).collect()}
+    assert [got[k] for k in sorted(got)] == [50.0, 100.0, 0.5, 100.0, 0.0, 0.0]
+
+
+def test_plain_dates_are_read_without_a_lambda(spark):
+    texts = {"01/02/1998": "1998-01-02", "1-2-1998": "1998-01-02", "13.05.1998": "1998-05-13", "02/29/1999": None,
+             "02/30/1998": None, "29/02/2000": "2000-02-29", "13/13/1998": None, "00/05/1998": None, "5/0/1998": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["d"] and str(r["d"])[:10] for r in rows.select("t", parse_date(F.col("t")).alias("d")).collect()}
+    assert got == texts
+    from dockline.functions import dates
+    assert dates._PLAIN in rows.select(parse_date(F.col("t")))._jdf.queryExecution().analyzed().toString()
