@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from ..config import Rules, load_rules
 from ..operators.classify import by_table, classify
-from ..operators.clean import MAX_BROADCAST_EXPORTS, dedup_orders, typed_export, validation_errors
+from ..operators.clean import MAX_BROADCAST_EXPORTS, errors_of, percent_factors, typed_for_orders, unique_orders
 from ..operators.enrich import enrich
 from ..session import wide_projections
 from ..sources.headers import ExportSchemaError
@@ -39,12 +39,12 @@ class ProcessResult:
     as_of: dt.date
     now: dt.datetime
     rules: Rules
-    typed: DataFrame = field(repr=False, default=None)
+    typed: DataFrame = field(repr=False, default=None)  # worked out from the raw text when read
     unique: DataFrame | None = field(repr=False, default=None)  # where it is stored
 
     def release(self) -> None:
         """Give up what is stored; DataFrames made from it can't be run any more."""
-        for stored in (self.orders, self.validation_errors, self.typed, self.unique):
+        for stored in (self.orders, self.validation_errors, self.unique):
             if stored is not None:
                 release(stored)
 
@@ -117,12 +117,13 @@ def process_export(raw: DataFrame, as_of: dt.date, rules: Rules | None = None,
     rules = rules or load_rules()
     now = now or dt.datetime.now(PLANT_ZONE).replace(tzinfo=None)
     with wide_projections(raw.sparkSession):
-        typed = typed_export(raw, lambda rows: cut_lineage(rows, materialize))
-        unique = dedup_orders(typed)
+        factors = percent_factors(raw)
+        typed = typed_for_orders(raw, factors)
+        unique = unique_orders(raw, factors)
         if by_table(rules):  # reads them twice
             unique = cut_lineage(unique, materialize)
         orders = cut_lineage(enrich(classify(unique, rules), as_of, rules), materialize)
-        errors = cut_lineage(validation_errors(typed), materialize)
+        errors = cut_lineage(errors_of(raw, factors), materialize)
         ids = orders.select("export_id").union(errors.select("export_id")).distinct().limit(2).count()
     # Every non-blank row is either a delivery row or a missing-key error,
     # so "no data rows" is checked on the two stored tables (no extra pass).
@@ -144,11 +145,11 @@ class ManyExports:
     days: dict[str, dt.date]
     now: dt.datetime
     rules: Rules
-    typed: DataFrame = field(repr=False, default=None)
+    typed: DataFrame = field(repr=False, default=None)  # worked out from the raw text when read
     unique: DataFrame | None = field(repr=False, default=None)  # where it is stored
 
     def release(self) -> None:
-        for stored in (self.orders, self.validation_errors, self.typed, self.unique):
+        for stored in (self.orders, self.validation_errors, self.unique):
             if stored is not None:
                 release(stored)
 
@@ -185,13 +186,14 @@ def process_exports(raw: DataFrame, days: Mapping[str, dt.date], rules: Rules |
     known = broadcast_if(spark.createDataFrame(sorted(days.items()), "export_id string, as_of date"),
                          len(days) <= MAX_BROADCAST_EXPORTS)
     with wide_projections(spark):
-        typed = typed_export(raw, lambda rows: cut_lineage(rows, materialize))
-        unique = dedup_orders(typed)
+        factors = percent_factors(raw)
+        typed = typed_for_orders(raw, factors)
+        unique = unique_orders(raw, factors)
         if by_table(rules):
             unique = cut_lineage(unique, materialize)
         dated = classify(unique, rules).join(known, "export_id", "left")
         orders = cut_lineage(enrich(dated, F.col("as_of"), rules), materialize)
-        errors = cut_lineage(validation_errors(typed), materialize)
+        errors = cut_lineage(errors_of(raw, factors), materialize)
         there = orders.select("export_id").union(errors.select("export_id")).distinct()
         wrong = [r[0] for r in there.join(known, "export_id", "left_anti").limit(5).collect()]
         missing = [r[0] for r in known.join(there, "export_id", "left_anti").select("export_id").limit(5).collect()]
