@@ -1,0 +1,52 @@
+"""Usual cells are read without the costly way that odd ones need, with the same results."""
+import datetime as dt
+
+from helpers import raw_export, order
+from pyspark.sql import functions as F
+
+from dockline.functions.dates import parse_date
+from dockline.functions.text import MATCH_NULL_TEXT, WHITESPACE, clean_identifier, match_key
+from dockline.operators.clean import drop_blank_rows
+
+
+def read(spark, texts, rule):
+    """What ``rule`` gives for the texts, and its plan."""
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    out = rows.select("k", rule(F.col("t")).alias("v"))
+    return [r["v"] for r in out.orderBy("k").collect()], out._jdf.queryExecution().analyzed().toString()
+
+
+def test_keys_with_nothing_to_collapse_skip_the_replacement(spark):
+    texts = ["Save-On Foods", " gfs ", "a  b", "a\tb", "a  b", "　x ", "\x1cq\x1f", "nan", " <na> ", "", "   ", "é x", "~!\x7f", None]
+
+    def want(t):
+        words = " ".join("".join(" " if x.isspace() and not "\x1c" <= x <= "\x1f" else x for x in t or "").split(" ")).strip(WHITESPACE)
+        while "  " in words:
+            words = words.replace("  ", " ")
+        return "" if words.upper() in MATCH_NULL_TEXT else words.upper()
+    got, plan = read(spark, texts, match_key)
+    assert got == [want(t) for t in texts]
+    assert plan.count("regexp_replace(") == 1 and "RLIKE(t" in plan
+
+
+def test_identifiers_are_repaired_as_longs_where_they_fit(spark):
+    texts = {"00123.0": "123", "-0.0": "0", "+5.00": "5", ".0": "0", "9223372036854775807.0": "9223372036854775807",
+             "9223372036854775808.0": "9223372036854775808", "9" * 38 + ".0": "9" * 38, "9" * 39 + ".0": "9" * 39 + ".0",
+             "9007199254740993.000": "9007199254740993", " 7.50": "7.50", "A1.0": "A1.0"}
+    got, plan = read(spark, texts, clean_identifier)
+    assert got == list(texts.values()) and "substring_index(" in plan
+
+
+def test_whole_serials_are_read_as_whole_days(spark):
+    day = dt.datetime(1899, 12, 30)
+    texts = {"0": day, "35810": dt.datetime(1998, 1, 15), "00035811": None, "0035811": dt.datetime(1998, 1, 16),
+             "35810.0": dt.datetime(1998, 1, 15), "35810.5": dt.datetime(1998, 1, 15, 12), "106751": day + dt.timedelta(106751),
+             "106752": None, "4294967297": None, "1998": dt.datetime(1998, 1, 1), "1677": day + dt.timedelta(1677)}
+    got, plan = read(spark, texts, parse_date)
+    assert got == list(texts.values()) and "date_add(1899-12-30, try_cast(" in plan
+
+
+def test_blank_cells_are_seen_from_one_end(spark):
+    blank = dict.fromkeys(order(0), " \t ")
+    kept = drop_blank_rows(raw_export(spark, [order(1), blank, blank | {"cases": "  2 "}, dict.fromkeys(blank), blank | {"ys": "\x00"}]))
+    assert kept.count() == 3 and "ltrim(" in kept._jdf.queryExecution().analyzed().toString()
